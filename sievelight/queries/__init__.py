@@ -1,7 +1,10 @@
-"""Queries over the driver's tables for each operator family."""
+"""Queries over the driver's tables for each operator family, and their SQL."""
 
 from __future__ import annotations
 
+from . import modules
+
 FLAGSHIP = "module_scorecard"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+_FAMILIES = (modules,)
+QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
+ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}
