@@ -73,8 +73,8 @@ def functions(decoded: DataFrame) -> DataFrame:
     a = decoded.select("hash", F.explode("functions").alias("f")).select("hash", "f.*")
     # the category of an opcode is found once; each count is then a sum over the few entries of its category
     a = a.withColumn("_cats", F.transform(F.map_entries("ops"), lambda e: F.struct(category(e["key"]).alias("c"), e["value"].alias("n"))))
-    for c in CATEGORIES:
-        a = a.withColumn(f"n_{c}", _sum(F.transform(F.filter("_cats", lambda e, c=c: e["c"] == c), lambda e: e["n"])))
+    of = lambda c: _sum(F.transform(F.filter("_cats", lambda e: e["c"] == c), lambda e: e["n"]))
+    a = a.withColumns({f"n_{c}": of(c) for c in CATEGORIES})
     a = a.drop("_cats")
     a = a.withColumn("n_indirect", F.coalesce(F.try_element_at("ops", F.lit("call_indirect")), F.lit(0)))
     a = a.withColumn("n_grow", F.coalesce(F.try_element_at("ops", F.lit("memory.grow")), F.lit(0)))

@@ -56,7 +56,7 @@ def level_changes(results: DataFrame, key: str = "hash", at: str = "ts", tie: st
 
 def lateness(ticks: DataFrame, context: str, ms: str, tie: str, tick: int) -> DataFrame:
     gap = F.col(ms) - F.lag(ms).over(Window.partitionBy(context).orderBy(ms, tie))
-    a = ticks.withColumn("late", F.greatest(F.lit(0), gap - tick)).filter("late is not null")
+    a = ticks.withColumn("late", F.when(gap.isNotNull(), F.greatest(F.lit(0), gap - tick))).filter("late is not null")
     return a.groupBy(context).agg(F.count("*").alias("samples"), F.sum("late").alias("late_ms"), F.max("late").alias("max_late_ms"))
 
 
