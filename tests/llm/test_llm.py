@@ -246,11 +246,10 @@ def test_toxicity(spark, docs, labels, awkward, empty):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.1"
     d = spark.createDataFrame([(i, f"{'you are an idiot and a moron' if i % 5 == 0 else 'words of the'} text {i} with some filler") for i in range(600)], "doc_id long, text string")
     lab = d.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
     out = toxicity.score(d, toxicity.train(d, lab)).join(lab, "doc_id").filter(toxicity.held_out(F.col("doc_id")))
-    assert sf and out.filter((F.col("score") >= 0.5) == (F.col("toxic") == 1)).count() == out.count()
+    assert out.filter((F.col("score") >= 0.5) == (F.col("toxic") == 1)).count() == out.count()
 
 
 def test_extraction(spark):
