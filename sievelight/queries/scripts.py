@@ -14,6 +14,8 @@ from ..plans.rules import half_up
 TAIL = (""" ;eval(atob("QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWZnaGlqa2xtbm9wcXJzdHV2d3h5ejAxMjM0NTY3ODk=")); new WebSocket("wss://pool.example/x"); WebAssembly.instantiate; new Worker("w.js");"""
         """ navigator.hardwareConcurrency; CoinHive; document.write("\\x41\\x42\\u0043"); setTimeout("go()", 1);""")
 
+SIGNATURES = "(?i)websocket|webassembly|coinhive|hardwareconcurrency"
+
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -60,7 +62,7 @@ def label_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import modules
 
     a = sources(spark, sf_dir).select("doc_id", modules.ascii_runs(F.encode("source", "UTF-8")).alias("runs"))
-    found = lexical.signature_contexts(a, "doc_id", "runs", "(?i)websocket|webassembly|coinhive|hardwareconcurrency")
+    found = lexical.signature_contexts(a, "doc_id", "runs", SIGNATURES)
     return found.groupBy("term").agg(F.count("*").alias("docs"), F.max(F.length("context")).cast("long").alias("longest"))
 
 
@@ -121,6 +123,8 @@ ORACLE_SQL = {
         t AS (SELECT *, floor(100 * (1 - exp(-raw / 50.0::DOUBLE)) + 0.5)::INT AS score FROM r)
         SELECT doc_id, ids, score, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' WHEN score >= 10 THEN 'low' ELSE 'benign' END AS level FROM t""",
     "ascii_runs": _S + r", r AS (SELECT doc_id, list_transform(regexp_extract_all(source, '[\x20-\x7e]{5,}'), lambda x: substr(x, 1, 200)) AS runs FROM s) SELECT doc_id, len(runs)::BIGINT AS runs, length(array_to_string(runs, ''))::BIGINT AS chars FROM r",
+    "label_evidence": _S + r", r AS (SELECT doc_id, list_transform(regexp_extract_all(source, '[\x20-\x7e]{5,}'), lambda x: substr(x, 1, 200)) AS runs FROM s), u AS (SELECT doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS pos FROM r),"
+        f" t AS (SELECT doc_id, pos, run, unnest(list_distinct(list_transform(regexp_extract_all(run, '{SIGNATURES}'), lambda x: lower(x)))) AS term FROM u), c AS (SELECT doc_id, term, length(substr(arg_min(run, pos), 1, 80)) AS n FROM t GROUP BY doc_id, term) SELECT term, count(*) AS docs, max(n)::BIGINT AS longest FROM c GROUP BY term",
     "inline_scripts": r"""WITH t AS (SELECT page_id, regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>') AS tags FROM pages), u AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos FROM t),
         c AS (SELECT page_id, pos, regexp_extract(tag, '(?is)^<script\b[^>]*>(.*)</script>$', 1) AS code FROM u) SELECT page_id, pos, length(code)::BIGINT AS length, length(code) BETWEEN 40 AND 2097152 AS big_enough, md5(code) AS code FROM c""",
     "supply_chain": "WITH r AS (SELECT p.page_id, " + _ORIGIN.format("q.url", "q.url") + " AS origin, " + _ORIGIN.format("p.url", "p.url") + """ AS own, p.page_id % 2 = 0 AS injected FROM pages p JOIN pages q ON q.page_id BETWEEN p.page_id + 1 AND p.page_id + 3),

@@ -244,6 +244,8 @@ _S = _E + ", s AS (SELECT event_id AS id, k AS hash, 'u' || (user_id % 40) AS ur
 _J = _E + ", j AS (SELECT user_id AS id, ['queued', 'running', 'complete', 'failed'][event_id % 4 + 1] AS status, event_id AS ts, least(k * 30, 2000) AS chars FROM e), x AS (SELECT id, arg_max(status, ts) AS status, min(ts) AS created_at, min(ts) FILTER (status = 'running') AS started_at, max(ts) FILTER (status IN ('complete', 'failed')) AS finished_at, arg_max(chars, ts) AS error_chars FROM j GROUP BY id) "
 _6 = lambda x: f"floor({x} * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE"
 _SHA = "sha256(text)"
+_P = "v AS (SELECT lpad(vec_id::VARCHAR, 8, '0') AS name, vec_id % 50 + 100 AS size, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT x.name AS a, y.name AS b, list_cosine_similarity(x.e, y.e) AS c FROM v x JOIN v y ON x.name < y.name AND y.size >= x.size / 3.0 AND y.size < x.size * 3 + 1) "
+_SCALED = lambda by: f"printf('%.1f', floor(n / {by}::DOUBLE * 10 + 0.5) / 10)"
 ORACLE_SQL = {
     "runtime_fold": _L + "SELECT fingerprint, sum(t)::BIGINT AS wasm_time_ms, max(t) AS longest_call_ms, " + _6("sum(least(t / 30000.0::DOUBLE, 1.0))") + " AS cpu_share, " + _6("avg((user_id % 500)::DOUBLE)") + " AS mean_drift_ms, max(user_id % 4) AS worker_count, max(k % 20) AS socket_messages, string_agg(DISTINCT context, ',' ORDER BY context) AS contexts, count(*) AS context_count, bool_or(k % 7 = 0) AS timing_stopped FROM m GROUP BY fingerprint",
     "runtime_findings": _L + ", f AS (SELECT fingerprint, sum(t) AS t, sum(least(t / 30000.0::DOUBLE, 1.0)) AS share, max(k % 20) AS msgs, max(k % 2) AS sockets FROM m GROUP BY fingerprint) SELECT fingerprint, concat_ws(',', CASE WHEN sockets > 0 AND msgs >= 10 AND t >= 5000 THEN 'persistent-socket-traffic' END, CASE WHEN share > 0.5 THEN 'sustained-execution' END) AS ids FROM f",
@@ -285,6 +287,17 @@ ORACLE_SQL = {
     "label_contradictions": f"SELECT {_SHA} AS hash, count(DISTINCT source) AS classes, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1",
     "corpus_gate": "WITH a AS (SELECT lang, doc_id, strlen(text) + CASE WHEN doc_id % 10 = 0 THEN 8 ELSE 0 END AS n FROM documents) SELECT lang, CASE WHEN n < 1024 THEN 'too-small' WHEN n > 20971520 THEN 'too-large' WHEN doc_id % 10 <> 0 AND doc_id % 3 = 0 THEN 'not-wasm-magic' WHEN doc_id % 5 = 0 THEN 'parse-failed' WHEN (doc_id % 10) / 10.0::DOUBLE + 0.15::DOUBLE < 0.9::DOUBLE THEN 'low-coverage' ELSE 'kept' END AS reason, count(*) AS n FROM a GROUP BY ALL",
     "holdout_split": f"SELECT doc_id, right({_SHA}, 1) IN ('0', '1', '2') AS held FROM documents",
-    "near_duplicate_pairs": "WITH v AS (SELECT lpad(vec_id::VARCHAR, 8, '0') AS name, vec_id % 50 + 100 AS size, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT x.name AS a, y.name AS b, list_cosine_similarity(x.e, y.e) AS c FROM v x JOIN v y ON x.name < y.name AND y.size >= x.size / 3.0 AND y.size < x.size * 3 + 1) SELECT a, b, " + _6("c") + " AS cosine FROM p WHERE c >= 0.35",
+    "near_duplicate_pairs": "WITH " + _P + "SELECT a, b, " + _6("c") + " AS cosine FROM p WHERE c >= 0.35",
+    "near_duplicate_clusters": "WITH RECURSIVE " + _P + """, n AS (SELECT a, b FROM p WHERE c >= 0.35), o AS (SELECT name, row_number() OVER (ORDER BY name) AS i, coalesce(below, []) AS below FROM v LEFT JOIN (SELECT b, list(a) AS below FROM n GROUP BY b) ON b = name),
+        w AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS seeds UNION ALL SELECT o.i, CASE WHEN list_has_any(below, seeds) THEN seeds ELSE list_append(seeds, name) END FROM w JOIN o ON o.i = w.i + 1),
+        s AS (SELECT unnest(arg_max(seeds, i)) AS seed FROM w), m AS (SELECT b AS name, min(a) AS seed FROM n JOIN s ON a = seed WHERE b NOT IN (SELECT seed FROM s) GROUP BY b UNION ALL SELECT seed, seed FROM s)
+        SELECT seed, min(name) AS kept, count(*) - 1 AS collapsed FROM m GROUP BY seed""",
+    "formats": "WITH d AS (SELECT doc_id, source, n_chars * doc_id AS n, doc_id * 997000 // 1000 AS s, string_split(text, ' ')[1:5] AS w FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN " + _SCALED(1024) + " || ' KB' ELSE " + _SCALED(1048576) + """ || ' MB' END AS size,
+        CASE WHEN s < 5 THEN 'just now' WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS age,
+        array_to_string(list_transform(string_split(replace(coalesce(source, 'unknown'), '-', ' '), ' '), lambda x: upper(x[1:1]) || lower(x[2:])), ' ') AS label,
+        array_to_string(w[1:3], ', ') || CASE WHEN len(w) > 3 THEN ' +' || (len(w) - 3) || ' more' ELSE '' END AS names FROM d""",
+    "page_fingerprints": """WITH b AS (SELECT doc_id, strlen(text)::BIGINT AS n, hex(encode(text)) AS h FROM documents), c AS (SELECT doc_id, n, CASE WHEN n <= 12288 THEN h ELSE substr(h, 1, 8192) || substr(h, (n - 4096) // 2 * 2 + 1, 8192) || right(h, 8192) END AS h FROM b),
+        l AS (SELECT doc_id, n, list_concat([n % 256, n // 256 % 256, n // 65536 % 256, n // 16777216 % 256], list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)) AS bytes FROM c)
+        SELECT doc_id, lower(to_base(n, 36)) || ':' || lower(to_base(list_reduce(bytes, lambda m, x: xor(m, x) * 16777619 % 4294967296, 2166136261::BIGINT), 36)) AS fingerprint FROM l""",
     "sighting_facts": "SELECT l_partkey AS hash, (epoch_us(min(l_shipdate)) // 1000)::BIGINT AS first_seen, (epoch_us(max(l_shipdate)) // 1000)::BIGINT AS last_seen, count(*) AS seen_count, max({'t': l_shipdate, 'p': l_suppkey::VARCHAR}).p AS last_page_url FROM lineitem GROUP BY 1",
 }
