@@ -202,7 +202,8 @@ _PLACED = "uid long, length long, sequence_id long, offset long, fill long"
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is its token ids and the end id; null and empty texts are the end id alone. Whole pieces are
+    A document is its token ids and the end id; null and empty texts are the end id alone. Strings of special
+    tokens in a text are ordinary text, and never become special ids. Whole pieces are
     sequences by themselves. The rest, at most one piece a document, is dealt by hash to cells of a bounded
     size. Islands evolve each cell apart; their elites migrate and are crossed; what then stands in bins that
     are not well filled is packed again together with that of other cells, beginning from the bins it had.
