@@ -31,6 +31,8 @@ WELL_FILLED = 0.97
 _PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 _FULL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _TWO_SPACES = re.compile(r"\s\s")
+#: Fixed value: the vocabulary's special token, read as one id wherever a text holds it.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50_256
 _encoders: dict[str, tuple] = {}
 
 
@@ -43,14 +45,15 @@ def encoders(path: str) -> tuple:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tuple(tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for n, p in (("full", _FULL), ("plain", _PLAIN)))
+        _encoders[path] = tuple(tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID}) for n, p in (("full", _FULL), ("plain", _PLAIN)))
     return _encoders[path]
 
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
     full, plain = encoders(path)
     t = text or ""
-    ids = (full if _TWO_SPACES.search(t) else plain).encode_ordinary(t)
+    encoder = full if _TWO_SPACES.search(t) else plain
+    ids = encoder.encode(t, allowed_special="all") if SPECIAL in t else encoder.encode_ordinary(t)
     ids.append(END_ID)
     return np.array(ids, dtype="<u4")
 
@@ -202,8 +205,8 @@ _PLACED = "uid long, length long, sequence_id long, offset long, fill long"
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is its token ids and the end id; null and empty texts are the end id alone. Strings of special
-    tokens in a text are ordinary text, and never become special ids. Whole pieces are
+    A document is its token ids and the end id; null and empty texts are the end id alone. The special
+    token in a text becomes its id, as the vocabulary's tokenizer has it. Whole pieces are
     sequences by themselves. The rest, at most one piece a document, is dealt by hash to cells of a bounded
     size. Islands evolve each cell apart; their elites migrate and are crossed; what then stands in bins that
     are not well filled is packed again together with that of other cells, beginning from the bins it had.
