@@ -129,12 +129,12 @@ def features(text: str | None, model: Model, scanner: re.Pattern) -> list[float]
     out = [0.0] * N_FEATURES
     stems, weak = model.stems, 0
     low = (text or "").lower()
-    end = -1
+    end = 0
     for hit in scanner.finditer(low):
         weak += bool(model.weak) and hit[0].startswith(model.weak)
         if hit.start() < end:
             continue
-        begin = max((m.end() for m in _CLAUSE.finditer(low, max(0, hit.start() - 2_000), hit.start())), default=max(0, hit.start() - 2_000))
+        begin = max((m.end() for m in _CLAUSE.finditer(low, end, hit.start())), default=end)
         stop = _CLAUSE.search(low, hit.start())
         end = stop.start() if stop else len(low)
         state, emitted, last = GRAMMAR.start, 0, None
