@@ -127,7 +127,6 @@ def test_packing(awkward, empty):
 
     path = packing.vocabulary()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     for t in ("a  b", "x\n\ny", " lead", "trail  ", "é ü <|endoftext|> 12'll", "　　", "日本 語", ""):
         assert packing.token_ids(t, path).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 0]
     rows = packing.pack(awkward, path, 64).collect()
@@ -239,6 +238,7 @@ def test_toxicity(spark, docs, labels, awkward, empty):
     plain, negated = (toxicity.score_of(toxicity.features(t, model, scan), model) for t in ("You are an idiot, idiot.", "She is not an idiot"))
     assert plain > negated and toxicity.features("nothing here. said he", model, scan) == [0.0] * toxicity.N_FEATURES
     assert toxicity.features("he said you idiot", model, scan)[5] > 0
+    assert toxicity.features("First. he said " + "word " * 5_000 + "idiot", model, scan)[4] > 0
     learned = toxicity.train(docs, labels)
     out = toxicity.score(awkward, learned).collect()
     assert len(out) == len(AWKWARD) and all(0 <= r.score <= 1 for r in out) and toxicity.score(empty, learned).count() == 0
