@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import learning, modules, scripts, telemetry
+from . import intake, learning, modules, scripts, telemetry
 
 FLAGSHIP = "module_scorecard"
-_FAMILIES = (modules, scripts, telemetry, learning)
+_FAMILIES = (modules, scripts, telemetry, intake, learning)
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}
