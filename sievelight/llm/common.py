@@ -48,6 +48,14 @@ def spill(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """`docs` with its own columns of these names (in any case) under others, and the columns that give `docs` back:
+    what an operator adds under these names does not touch them."""
+    made = {n.lower() for n in names}
+    away = {c: f"_own_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in made}
+    return docs.withColumnsRenamed(away), [F.col(away.get(c, c)).alias(c) for c in docs.columns]
+
+
 def small(df: DataFrame) -> DataFrame:
     """A written table, to be broadcast if its rows are counted to be few, else joined as any other."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_words_of, numbered, small, spill, table
+from .common import apart, n_words_of, numbered, small, spill, table
 
+MADE = ("size", "source_size", "target", "copies", "taken")
 #: No document is taken more often than this, so a source's target stops at so many times its size.
 MAX_COPIES = 3
 #: Weights of the sources in the order of their names, repeating.
@@ -56,7 +57,7 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     name. Ties are broken by doc_id and text; rows that agree in these are alike, so reruns agree. A source
     without words has target 0. An empty table gives an empty result. Columns with these names are replaced.
     """
-    own = docs.drop("size", "source_size", "target", "copies", "taken").withColumn("source", F.col("source").cast("string"))
+    own = docs.drop(*MADE).withColumn("source", F.col("source").cast("string"))
     sized = own.withColumn("size", n_words_of(F.col("text").cast("string"))).withColumn("_tie", F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return _mix(sized, seed).drop("_tie")
 
@@ -92,9 +93,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emitted(docs: DataFrame) -> DataFrame:
-    """The rows of the mix with the columns of `docs`: each as often as it is taken."""
-    a = mix(docs).filter("copies > 0")
-    return a.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The rows of the mix with the columns of `docs`, which keep their own values: each as often as it is taken."""
+    own, back = apart(docs, (*MADE, "_copy"))
+    a = mix(own).filter("copies > 0")
+    return a.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*back)
 
 
 OP3_SQL = r"""

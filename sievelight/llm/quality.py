@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, words_of
+from .common import SPACE, apart, table, words_of
 
 #: Labelled rows, chosen by hash, that the learner sees. The statistics of each are a dozen numbers.
 SAMPLE_ROWS = 8_000
@@ -33,6 +33,7 @@ FEATURES = ("n_words", "mean_word", "symbols_per_word", "dup_line_share", "repea
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+VERDICTS = ("base_failed", "rule", "kept")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -42,6 +43,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     words inside the row, so a long text costs n log n and nothing is exploded or shuffled.
     """
     text = F.coalesce(F.col("_q_text"), F.lit(""))
+    docs = docs.drop(*BASE)
     a = docs.withColumn("_q_text", F.col("text").cast("string"))
     a = a.withColumn("_q_words", words_of(F.col("_q_text"))).withColumn(
         "_q_lines", F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(f"[^{SPACE}]"))))
@@ -75,9 +77,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         "words_per_line": share(n, F.size("_q_lines")),
     }
     a = a.withColumns({f"_f_{k}": of[k] for k in FEATURES})
-    made = [c for c in a.columns if c not in docs.columns and not c.startswith("_q_") or c in BASE]
+    made = [c for c in a.columns if c not in docs.columns and not c.startswith("_q_")]
     # a one-row generator: the optimizer would push a later filter below these projections, and with it copies of all their expressions
-    return a.select(*[c for c in docs.columns if c not in BASE], F.inline(F.array(F.struct(*made))))
+    return a.select(*docs.columns, F.inline(F.array(F.struct(*made))))
 
 
 def base_failed() -> Column:
@@ -184,6 +186,12 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that the rules keep, with the columns of `docs`, which keep their own values."""
+    own, back = apart(docs, (*BASE, *VERDICTS))
+    return quality(own, labels).filter("kept").select(*back)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule").cast("int").alias("rule"))

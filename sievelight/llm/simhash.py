@@ -287,8 +287,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near copies: of each component the row of the smallest id stays, and of rows
-    that repeat this id, one. Rows with a null id only lose equal texts."""
+    that repeat this id, one. Rows with a null id only lose equal texts. Other columns pass through, whatever their names."""
     classes = near_duplicates(docs)
-    ids = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    kept = docs.filter("doc_id is not null").join(ids, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    ids = classes.filter("doc_id = component_id").select("doc_id")
+    kept = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, spill, table
+from .common import apart, small_batches, spill, table
 
 #: Labelled rows, chosen by hash, from which lexicon and weights are learned.
 SAMPLE_ROWS = 20_000
@@ -263,6 +263,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("score", scored(F.col("text").cast("string")))
 
 
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that score below 0.5, with the columns of `docs`, which keep their own values."""
+    own, back = apart(docs, ("score",))
+    return score(own, train(own, labels)).filter(F.col("score") < 0.5).select(*back)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -121,6 +121,16 @@ def test_mixing(spark, awkward, empty):
     assert mixing.mix(empty).count() == 0 and mixing.emitted(awkward).columns == awkward.columns
 
 
+def test_stages_leave_own_columns_alone(spark, awkward, labels):
+    names = ("N_Words", "kept", "rule", "score", "size", "copies", "_copy", "_id", "component_id")
+    text = " ".join(f"w{i}" for i in range(80))
+    own = awkward.select("doc_id", "text", "source").unionByName(spark.createDataFrame([(7, text, "s")], "doc_id long, text string, source string"))
+    own = own.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    for out in (quality.accepted(own, labels), toxicity.clean(own, labels), simhash.keep_one(own), mixing.emitted(own)):
+        rows = out.collect()
+        assert out.dtypes == own.dtypes and rows and all(r[n] == f"own {n}" for r in rows for n in names)
+
+
 def test_packing(awkward, empty):
     from tokenizers import Tokenizer
     import public_tokenizers
