@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import copies
 from .common import gathered, small_batches, spill, table
 from .components import components
 
@@ -287,8 +288,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near copies: of each component the row of the smallest id stays, and of rows
-    that repeat this id, one. Rows with a null id only lose equal texts. Other columns pass through, whatever their names."""
-    classes = near_duplicates(docs)
-    ids = classes.filter("doc_id = component_id").select("doc_id")
-    kept = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    that repeat this id, one. Rows with a null id only lose equal texts. Other columns pass through, whatever their names.
+
+    Copies are texts with a Jaccard similarity of 0.8 or more in their 5-word shingles (`copies`), not the 4 bits of
+    `near_duplicates`, which are the contract of `op1_simhash`: 4 of 64 bits stand for a similarity of about 0.96."""
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), copies.key_of(F.col("text")).alias("key"))
+    rooted = rows.join(copies.classes(docs), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))

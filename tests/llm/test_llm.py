@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sievelight.llm import chat, extraction, mixing, neighbours, packing, quality, sharding, simhash, toxicity, warc
+from sievelight.llm import chat, copies, extraction, mixing, neighbours, packing, quality, sharding, simhash, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, g string, score string, fp string"
@@ -90,6 +90,29 @@ def test_simhash_awkward(awkward, empty):
     assert simhash.fingerprint("A b") == simhash.fingerprint("a\tb") != 0 == simhash.fingerprint(" \n")
 
 
+def test_near_copies_of_the_pipeline(spark, monkeypatch):
+    monkeypatch.setattr(copies, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        for edits in (0, 1, 2, 3, 4, 5, 7, 9, 12, 20):
+            now = list(base)
+            for at in rng.choice(200, edits, replace=False):
+                now[at] = f"v{rng.integers(10**6)}"
+            texts.append(" ".join(now))
+    hot = [f"w{x}" for x in rng.integers(0, 10**6, 200)]  # more copies than a block holds
+    texts += [" ".join([*hot[:i], "x", *hot[i + 1:]]) for i in range(60)]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root)) and 13 < len(set(root)) < 100
+
+
 def test_quality_statistics(docs, labels, awkward, empty):
     def want(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
