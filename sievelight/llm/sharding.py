@@ -7,7 +7,7 @@ without links fill up what is left, so counts differ by one at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, numbered, spill, table
@@ -79,6 +79,12 @@ def propagate(state: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFr
     return state
 
 
+def first_shard(room: list[int]) -> Column:
+    """Where a document of a small group begins: by hash, in shares of the room that large groups leave. Full shards get none."""
+    at = F.pmod(F.xxhash64("doc_id", "g"), F.lit(max(1, sum(room))))
+    return sum(((at >= sum(room[:s + 1])).cast("int") for s in range(len(room) - 1)), F.lit(0))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: the law is `rows`) of every row.
 
@@ -90,14 +96,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     own = spill(docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("g")), "shard-rows")
     n = own.count()
     quota = quotas(n, shards)
-    at = F.pmod(F.xxhash64("doc_id", "g"), F.lit(shards)).cast("int")
     counts = own.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
     counts = spill(counts, "shard-groups")
     limit = max(1, int(quota[-1] * LARGE_SHARE))
     room = list(quota)
     # groups of over n / 24 / 64 rows are fewer than 24 * 64 + 64: a bounded number comes to the driver
     large = place_large([(r.g, r.n) for r in counts.filter(F.col("n") > limit).collect()], room)
-    spread = own.select("g", at.alias("shard")).join(counts.filter(F.col("n") <= limit).select("g"), "g", "left_semi").groupBy("g", "shard").agg(F.count("*").alias("cnt"))
+    spread = own.select("g", first_shard(room).alias("shard")).join(counts.filter(F.col("n") <= limit).select("g"), "g", "left_semi").groupBy("g", "shard").agg(F.count("*").alias("cnt"))
     state = propagate(checkpoint(spread), room)
     parts = state.unionByName(own.sparkSession.createDataFrame(large, "g string, shard int, cnt long")) if large else state
     parts = spill(parts.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("shard", "cnt"))).alias("parts")), "shard-parts")  # at most one a shard

@@ -230,6 +230,23 @@ def test_sharding(spark, docs, awkward, empty):
     assert len(where[zlib.crc32(b"same")]) <= 12
 
 
+def _shards_of_texts(spark, texts):
+    where = collections.defaultdict(set)
+    rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sizes = collections.Counter(r.shard for r in rows)
+    assert len(rows) == len(texts) and max(sizes.values()) - min(sizes.values()) <= 1
+    for r in rows:
+        where[r.text_crc32].add(r.shard)
+    return where
+
+
+def test_sharding_beside_a_hot_group(spark):
+    texts = ["hot"] * 1600 + [f"pair {i // 2}" for i in range(480)] + [f"one {i}" for i in range(2720)]
+    where = _shards_of_texts(spark, texts)
+    assert len(where[zlib.crc32(b"hot")]) == 8
+    assert all(len(where[zlib.crc32(f"pair {i}".encode())]) == 1 for i in range(240))
+
+
 @pytest.mark.parametrize("compress", [False, True])
 def test_warc(spark, tmp_path, compress):
     big = "<p>" + "x" * 200
