@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation: equal texts move together, and every shard gets as many rows.
 
 Groups of equal texts are the linked documents. Their labels (shards) spread over joins: each round a group
-proposes to gather where most of its documents are, and shards grant proposals within their quotas. Documents
-without links fill up what is left, so counts differ by one at most.
+proposes to gather where most of its documents are, and shards grant proposals within their quotas. Groups that
+are still apart after the rounds are placed whole, class by class of equal size, in the room that is left. Documents
+without links fill up the rest, so counts differ by one at most.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def _grants(proposed: list, room: list[int]) -> dict[tuple[int, int], float]:
 def propagate(state: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFrame:
     """state: (g, shard, cnt) of small groups. Rounds of moves towards the shard with most of the group."""
     spark = state.sparkSession
-    for _ in range(rounds):
+    for turn in range(rounds):
         loads = {r.shard: r.n for r in state.groupBy("shard").agg(F.sum("cnt").alias("n")).collect()}
         free = [room[s] - loads.get(s, 0) for s in range(len(room))]
         open_ = F.get(F.array(*[F.lit(int(x > 0)) for x in free]), F.col("shard"))
@@ -70,15 +71,60 @@ def propagate(state: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFr
         if not asked:
             break
         grants = _grants(asked, free)
+        if not any(grants.values()):
+            break
         told = spark.createDataFrame([(t, k, float(x)) for (t, k), x in grants.items()], "target int, klass int, share double")
         # SHARDS times the number of size classes: at most 24 * 64 rows
-        lucky = (both.join(F.broadcast(told), ["target", "klass"]).filter(F.pmod(F.xxhash64("g", F.lit("grant")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+        lucky = (both.join(F.broadcast(told), ["target", "klass"]).filter(F.pmod(F.xxhash64("g", F.lit(f"grant {turn}")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
                  .select("g", "target").distinct())
         moved = state.join(lucky, "g", "left").withColumn("shard", F.coalesce("target", "shard"))
         state = checkpoint(moved.groupBy("g", "shard").agg(F.sum("cnt").alias("cnt")))
     return state
 
 
+def fit(counts: dict[tuple[int, int], int], room: list[int]) -> list[tuple[int, int, int, int, int, int]]:
+    """counts: groups by (home, size), home -1 if they are apart. Segments (home, size, from, to, shard, documents of
+    each group): of the groups of a home and size, the places from..to-1 go to the shard.
+
+    Groups stay at home as far as there is room; the others go, larger sizes first, where they fit. A group that no shard
+    holds is cut over the emptiest ones. Each cut fills a shard, so fewer groups than shards are cut.
+    """
+    room, out, away = list(room), [], []
+    for (home, n), c in sorted(counts.items(), key=lambda x: (-x[0][1], x[0][0])):
+        stay = min(c, room[home] // n) if home >= 0 else 0
+        if stay:
+            out.append((home, n, 0, stay, home, n))
+            room[home] -= stay * n
+        if stay < c:
+            away.append((home, n, stay, c))
+    for home, n, at, c in away:
+        for s in sorted(range(len(room)), key=lambda s: (-room[s], s)):
+            if k := min(c - at, room[s] // n):
+                out.append((home, n, at, at + k, s, n))
+                room[s] -= k * n
+                at += k
+        for place in range(at, c):
+            left = n
+            while left:
+                s = max(range(len(room)), key=lambda s: (room[s], -s))
+                k = min(left, room[s])
+                out.append((home, n, place, place + 1, s, k))
+                room[s] -= k
+                left -= k
+    return out
+
+
+def settle(state: DataFrame, room: list[int]) -> DataFrame:
+    """(g, shard, cnt) of groups after propagation: those that are apart, or above a shard's room, are placed by `fit`."""
+    whole = state.groupBy("g").agg(F.sum("cnt").alias("all"), F.when(F.count("*") == 1, F.first("shard")).otherwise(-1).alias("home"))
+    whole = spill(whole, "shard-whole")
+    # sizes are at most LARGE_SHARE of a shard, and d sizes take over d * d / 2 documents
+    counts = {(r.home, r.all): r.n for r in whole.groupBy("home", "all").agg(F.count("*").alias("n")).collect()}
+    places = state.sparkSession.createDataFrame(fit(counts, room), "home int, all long, first long, end long, shard int, cnt long")
+    placed = numbered(whole, ["home", "all"], ["g"], "_k")
+    return placed.join(F.broadcast(places), ["home", "all"]).filter("_k >= first and _k < end").select("g", "shard", "cnt")
+
+
 def first_shard(room: list[int]) -> Column:
     """Where a document of a small group begins: by hash, in shares of the room that large groups leave. Full shards get none."""
     at = F.pmod(F.xxhash64("doc_id", "g"), F.lit(max(1, sum(room))))
@@ -89,8 +135,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: the law is `rows`) of every row.
 
     Size is the UTF-8 bytes of the text plus 8; null texts have none and are equal to each other and to empty
-    ones. Null ids and repeated rows are rows like others. Groups larger than a shard are cut over as few as hold
-    them. Rows that agree in id and text are alike, so reruns agree. An empty table gives an empty result.
+    ones. Null ids and repeated rows are rows like others. Groups larger than the room of any shard are cut
+    over the emptiest ones, all others stay whole. Rows that agree in id and text are alike, so reruns agree. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = spill(docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("g")), "shard-rows")
@@ -103,7 +149,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     # groups of over n / 24 / 64 rows are fewer than 24 * 64 + 64: a bounded number comes to the driver
     large = place_large([(r.g, r.n) for r in counts.filter(F.col("n") > limit).collect()], room)
     spread = own.select("g", first_shard(room).alias("shard")).join(counts.filter(F.col("n") <= limit).select("g"), "g", "left_semi").groupBy("g", "shard").agg(F.count("*").alias("cnt"))
-    state = propagate(checkpoint(spread), room)
+    state = settle(propagate(checkpoint(spread), room), room)
     parts = state.unionByName(own.sparkSession.createDataFrame(large, "g string, shard int, cnt long")) if large else state
     parts = spill(parts.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("shard", "cnt"))).alias("parts")), "shard-parts")  # at most one a shard
     linked = own.join(parts, "g", "left")

@@ -240,6 +240,26 @@ def _shards_of_texts(spark, texts):
     return where
 
 
+def test_sharding_of_groups_only(spark):
+    sizes = [2, 3, 4] * 400
+    where = _shards_of_texts(spark, [f"group {i}" for i, n in enumerate(sizes) for _ in range(n)])
+    assert sum(len(s) > 1 for s in where.values()) < 24
+
+
+def test_fit_keeps_groups_whole():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        counts = {(int(h), int(n)): int(rng.integers(1, 40)) for h in rng.integers(-1, 6, 5) for n in rng.integers(2, 30, 4)}
+        total = sum(n * c for (_, n), c in counts.items())
+        room = sharding.quotas(total, 6)
+        held, whole, cut = [0] * 6, 0, set()
+        for h, n, first, end, s, k in sharding.fit(counts, room):
+            held[s] += (end - first) * k
+            whole += (end - first) * (n == k)
+            cut |= {(h, n, first)} if n != k else set()
+        assert held == room and len(cut) < 6 and whole + len(cut) == sum(counts.values())
+
+
 def test_sharding_beside_a_hot_group(spark):
     texts = ["hot"] * 1600 + [f"pair {i // 2}" for i in range(480)] + [f"one {i}" for i in range(2720)]
     where = _shards_of_texts(spark, texts)
