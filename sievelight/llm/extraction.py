@@ -24,7 +24,7 @@ from .common import small_batches, table
 TRAINING_PAGES, SEED = 400, 7
 #: A tag's weight, and a word's before its elements are known.
 TAG_WEIGHT, WORD_WEIGHT = -0.6, 0.5
-#: The least that a word counts in the scan, so that an advert inside an article doesn't end it. It is left out in any case.
+#: The least that a word counts in the scan. Noise inside content counts nothing, however long it is; it is left out in any case.
 NOISE_WEIGHT = -1.0
 
 # Fixed values of HTML.
@@ -35,6 +35,8 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
          "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"}
 #: An opening tag of the left closes an open one of the right.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
+#: Elements of running text: what holds one is content even if nothing is known of its names.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"}
 CLOSES |= {t: {"p"} for t in BLOCK if t not in CLOSES and t not in ("body", "html", "head")}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -50,6 +52,8 @@ class Node:
     weight: float
     marks: tuple[str, ...] = ()
     article: bool = False
+    #: Stands in content, or holds paragraphs of its own; what noise stands in says whether it counts in the scan.
+    content: bool = False
 
 
 @dataclass
@@ -91,25 +95,34 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                     at = end if stop < 0 else stop
 
 
-def _walk(page: str, weights: Weights) -> Iterator[tuple[str, str, float, tuple[str, ...]]]:
-    """(kind, text or tag, weight, marks of the open elements): kinds are text, block (a block begins or ends), tag."""
+def _noise(weight: float) -> bool:
+    return WORD_WEIGHT + weight <= 0
+
+
+def _walk(page: str, weights: Weights) -> Iterator[tuple[str, str, float, tuple[str, ...], bool]]:
+    """(kind, text or tag, weight, marks of the open elements, noise inside content): kinds are text, block (a block
+    begins or ends), tag."""
     stack = [Node("", 0.0)]
     for kind, what, attrs in events(page):
         if kind == "text":
-            yield "text", what, stack[-1].weight, stack[-1].marks
+            yield "text", what, stack[-1].weight, stack[-1].marks, _noise(stack[-1].weight) and stack[-1].content
             continue
         if kind == "open":
             while len(stack) > 1 and stack[-1].tag in CLOSES.get(what, ()):
                 stack.pop()
             marks = marks_of(what, attrs, stack[-1].article)
-            yield "block" if what in BLOCK else "tag", what, 0.0, ()
+            add = sum(map(weights.mark, marks))
+            # noise inside content stays noise: what an element takes away, those inside it don't give back
+            now = stack[-1].weight + add if stack[-1].weight >= 0 else min(stack[-1].weight, stack[-1].weight + add)
+            if what in PROSE and not _noise(now) and stack[-1].tag not in ("", "html", "body"):
+                stack[-1].content = True
+            yield "block" if what in BLOCK else "tag", what, 0.0, (), _noise(now) and stack[-1].content
             if what not in VOID and not attrs.rstrip().endswith("/"):
-                add = sum(map(weights.mark, marks))
-                # noise inside content stays noise: what an element takes away, those inside it don't give back
-                now = stack[-1].weight + add if stack[-1].weight >= 0 else min(stack[-1].weight, stack[-1].weight + add)
-                stack.append(Node(what, now, (*stack[-1].marks, *marks), stack[-1].article or what in ("article", "main")))
+                # noise is in content if what it stands in is
+                inside = stack[-1].content if _noise(now) else now > 0 or stack[-1].content
+                stack.append(Node(what, now, (*stack[-1].marks, *marks), stack[-1].article or what in ("article", "main"), inside))
         else:
-            yield "block" if what in BLOCK else "tag", what, 0.0, ()
+            yield "block" if what in BLOCK else "tag", what, 0.0, (), _noise(stack[-1].weight) and stack[-1].content
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == what), 0)
             if depth and (what in BLOCK or not any(n.tag in BLOCK for n in stack[depth + 1:])):
                 del stack[depth:]
@@ -119,7 +132,7 @@ def extract(page: str | None, weights: Weights) -> str:
     """The main text: blocks in page order, joined by a line end. Null, empty and textless pages: ''."""
     items: list[tuple[str, float]] = []  # text, or "\n" where a block begins or ends, and weight
     best, best_at, run, run_from = 0.0, (0, 0), 0.0, 0
-    for kind, what, weight, _ in _walk(page or "", weights):
+    for kind, what, weight, _, neutral in _walk(page or "", weights):
         if kind == "text":
             n = len(what.split())
             # words of one stretch have one weight, so its sum is taken at once
@@ -131,7 +144,7 @@ def extract(page: str | None, weights: Weights) -> str:
                 items.append(("\n", 0.0))
             elif what in ("br", "wbr", "img", "input"):
                 items.append((" " if what != "wbr" else "", math.inf))
-        run += value
+        run += 0.0 if neutral else value
         if run <= 0:
             run, run_from = 0.0, len(items)
         elif run > best:
@@ -196,7 +209,7 @@ def learn(pages: list[str]) -> Weights:
     bad: dict[str, float] = defaultdict(float)
     for page in pages:
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for kind, text, _, marks in _walk(page, Weights()):
+        for kind, text, _, marks, _ in _walk(page, Weights()):
             if kind == "text":
                 words = text.split()
                 for m in marks:

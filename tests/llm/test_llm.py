@@ -337,6 +337,18 @@ def test_extraction(spark):
     assert [r.n_chars for r in extraction.main_text(odd).orderBy("page_id").collect()] == [0, 299_999]
 
 
+def test_extraction_of_articles_with_long_noise():
+    w = extraction.learn(extraction.labelled_pages())
+    run = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    share = '<div class="share"><ul>' + '<li><a href="/x">share</a></li>' * 30 + "</ul></div>"
+    advert = f'<div class="advert"><p>{run("z", 300)}</p></div>'
+    comments = '<div class="comments">' + f'<div class="comment"><p>{run("z", 40)}</p></div>' * 10 + "</div>"
+    for tag in ("article", 'div class="post"', 'div class="qx"'):
+        inner = f'<h1>{run("h", 5)}</h1>{share}<p>{run("a", 20)}</p>{advert}<p>{run("b", 20)}</p>{comments}<p>{run("c", 20)}</p>'
+        page = f'<html><body><nav>{run("n", 30)}</nav><div>{run("t", 3)}</div><nav>{run("n", 30)}</nav><{tag}>{inner}</{tag.split()[0]}><footer>{run("f", 40)}</footer><div>{run("u", 4)}</div></body></html>'
+        assert extraction.extract(page, w) == "\n".join([run("h", 5), run("a", 20), run("b", 20), run("c", 20)]), tag
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
