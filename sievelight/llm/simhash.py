@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import copies
-from .common import gathered, small_batches, spill, table
+from .common import apart, gathered, small_batches, spill, table
 from .components import components
 
 BITS = 64
@@ -287,13 +287,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without near copies: of each component the row of the smallest id stays, and of rows
-    that repeat this id, one. Rows with a null id only lose equal texts. Other columns pass through, whatever their names.
+    """The rows of `docs` without near copies: of each component one row stays, that of the smallest id (null ids last;
+    among equal ids, that of the smallest hash of the text). Rows that share an id but no text are judged apart, and rows
+    with a null id follow their component like others. Other columns pass through, whatever their names.
 
     Copies are texts with a Jaccard similarity of 0.8 or more in their 5-word shingles (`copies`), not the 4 bits of
     `near_duplicates`, which are the contract of `op1_simhash`: 4 of 64 bits stand for a similarity of about 0.96."""
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), copies.key_of(F.col("text")).alias("key"))
+    key = copies.key_of(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), key.alias("key"))
     rooted = rows.join(copies.classes(docs), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("r"))
+    first = first.select(F.col("r.doc_id").alias("_kept_id"), F.col("r.key").alias("_kept_key"))
+    own, back = apart(docs, ["_kept_id", "_kept_key", "_row_id", "_row_key"])
+    keyed = own.withColumns({"_row_id": F.col("doc_id").cast("long"), "_row_key": key})
+    kept = keyed.join(first, F.col("_row_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_key") == F.col("_kept_key")), "left_semi")
+    return kept.dropDuplicates(["_row_id", "_row_key"]).select(*back)

@@ -113,6 +113,15 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root)) and 13 < len(set(root)) < 100
 
 
+def test_near_copies_are_dropped_by_row(spark):
+    run = lambda c: [f"{c}{i}" for i in range(100)]
+    a, b, d = run("a"), run("b"), run("d")
+    near = lambda x: " ".join([*x[:99], "other"])
+    rows = [(1, " ".join(a)), (7, near(a)), (7, " ".join(b)), (7, " ".join(b)), (None, near(b)), (None, " ".join(d)), (None, near(d))]
+    kept = [(r.doc_id, r.text[0]) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == [(1, "a"), (7, "b"), (None, "d")]
+
+
 def test_quality_statistics(docs, labels, awkward, empty):
     def want(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
