@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 SPACE = r"\x20\x09-\x0D"
 #: Rows that a Python worker gets at once where rows carry whole texts.
 TEXT_BATCH_ROWS = 256
-#: Rows of one salted bucket when rows are numbered without a single-task sort.
-RANK_BUCKET_ROWS = 50_000
+#: Rows of one range when rows are numbered without a single-task sort, and the most ranges (sorts spill beyond).
+RANGE_ROWS, MAX_RANGES = 50_000, 20_000
 #: Narrow tables of at most so many rows may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or f"file://{tempfile.mkdtemp(prefix='sievelight-')}")
     return configured or sc.getCheckpointDir()
 
@@ -76,25 +78,29 @@ def n_words_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"(?<![^{SPACE}])[^{SPACE}]")).cast("long")
 
 
-def numbered(df: DataFrame, key: list[str], order: list[str], out: str, total: int | None = None,
-             coarse: Column | None = None) -> DataFrame:
-    """Adds `out`, each row's place from 0 among those with its key, without one task for a key.
+def numbered(df: DataFrame, key: list[str], order: list[str], out: str, total: int | None = None) -> DataFrame:
+    """Adds `out`, each row's place from 0 among those with its key in the order of `order`, without one task for a key.
 
-    Rows of a key are dealt to hashed buckets, numbered inside each, and moved on by the size of the buckets
-    before theirs. `coarse` orders whole buckets (rows of a lower value come first); inside, `order` holds.
-    The numbers depend on the rows only: ties in `order` are rows that agree in all that `order` names.
+    Rows are dealt by ranges of (key, order) and sorted inside each, so a key of any size is spread over as many
+    ranges as it needs; each row's place is that in its range, moved on by what earlier ranges hold of its key. The
+    places are those of one sort, whatever the ranges. Ties are rows that agree in all that `key` and `order` name;
+    they get places next to each other. `df` should be narrow: its rows are shuffled and written once.
     """
     n = df.count() if total is None else total
-    salts = max(1, -(-n // RANK_BUCKET_ROWS))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts))).withColumn("_coarse", F.lit(0) if coarse is None else coarse)
-    at = [*key, "_coarse", "_salt"]
-    sizes = salted.groupBy(*at).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*key).orderBy("_coarse", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    starts = small(spill(starts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(at)], "_start"), "starts"))
-    placed = salted.withColumn("_rn", F.row_number().over(Window.partitionBy(*at).orderBy(*order)) - 1)
-    joined = placed.join(starts, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(at)])
-    return joined.select(*df.columns, (F.col("_start") + F.col("_rn")).alias(out))
+    ranges = max(1, min(MAX_RANGES, -(-n // RANGE_ROWS)))
+    by = [*key, *order]
+    lined = df.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+    # the number of a row's task and its place there, in one long
+    lined = spill(lined.withColumn("_at", F.monotonically_increasing_id()), "lined")
+    place = F.shiftright("_at", 33)
+    spans = lined.groupBy(*key, place.alias("_range")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # a row for each key and one more for each range that a key goes on in
+    spans = small(spill(spans.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], "_range", "_first", "_start"), "spans"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]
+    joined = lined.withColumn("_r", place).join(spans, [*same, F.col("_r") == F.col("_range")])
+    return joined.select(*df.columns, (F.col("_start") + F.col("_at") - F.col("_first")).alias(out))
 
 
 def gathered(batches: Iterable[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.Table]:

@@ -1,9 +1,10 @@
 """Sharding by balanced label propagation: equal texts move together, and every shard gets as many rows.
 
-Groups of equal texts are the linked documents. Their labels (shards) spread over joins: each round a group
-proposes to gather where most of its documents are, and shards grant proposals within their quotas. Groups that
-are still apart after the rounds are placed whole, class by class of equal size, in the room that is left. Documents
-without links fill up the rest, so counts differ by one at most.
+Groups of equal texts are the linked documents. Each document begins with the label (shard) of its hash; the labels of
+a group's documents are joined and counted, and the group proposes to gather where most of its documents are. Shards
+grant proposals within their quotas, larger groups first; who is refused proposes elsewhere, until no group that still
+waits fits anywhere. Groups larger than a shard take part as pieces of a shard's size. What waits then (fewer groups than
+there are shards) is cut, and documents without links fill up the rest, so counts differ by one at most.
 """
 
 from __future__ import annotations
@@ -11,166 +12,135 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, numbered, spill, table
+from .common import numbered, small, spill, table
 
 SHARDS = 24
 LAW = "rows"
-ROUNDS = 6
-#: Groups of over this share of a shard are placed one by one, largest first; there are at most SHARDS / SHARE.
-LARGE_SHARE = 1 / 64
-#: Proposals of groups of like size are granted by hash, so a shard stops a little short of its quota.
-MARGIN = 0.98
+_UNIT = "g string, piece long, size long, shard int"
 
 
 def quotas(n: int, shards: int) -> list[int]:
     return [n // shards + (s < n % shards) for s in range(shards)]
 
 
-def place_large(groups: list[tuple[str, int]], room: list[int]) -> list[tuple[str, int, int]]:
-    """(group, shard, documents): largest first, each where the least room is left that holds it. One that no
-    shard holds is cut over the emptiest ones."""
+def grants(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """asked: proposals by (shard, size). How many of each are granted, larger sizes first; takes from `room`."""
+    out = {}
+    for (s, size), n in sorted(asked.items(), key=lambda x: (x[0][0], -x[0][1])):
+        out[s, size] = min(n, room[s] // size)
+        room[s] -= out[s, size] * size
+    return out
+
+
+def _wish(room: list[int]) -> Column:
+    """Where a group would gather: of the shards with room for all of it the one with most of its documents, ties and groups
+    that have none there by hash. Null if no shard has room."""
+    rooms = F.array(*[F.lit(r).cast("long") for r in room])
+    own = F.filter("parts", lambda p: F.get(rooms, p["shard"]) >= F.col("size"))
+    ranked = F.transform(own, lambda p: F.struct(p["cnt"].alias("cnt"), F.xxhash64("g", p["shard"]).alias("h"), p["shard"].alias("shard")))
+    open_ = F.filter(F.sequence(F.lit(0), F.lit(len(room) - 1)), lambda s: F.get(rooms, s) >= F.col("size"))
+    other = F.get(open_, F.pmod(F.xxhash64("g", "piece"), F.greatest(F.size(open_), F.lit(1))).cast("int"))
+    return F.coalesce(F.array_max(ranked)["shard"], other)
+
+
+def propagate(units: DataFrame, room: list[int]) -> tuple[DataFrame | None, DataFrame]:
+    """units: (g, piece, size, parts), a written table. Rounds of proposals and grants to a fixed point; takes from `room`.
+    Returns what was granted (g, piece, size, shard) and what waits. A shard that refuses a group has less room than the
+    group needs and never gains any, so no group is refused by one shard twice and rounds are at most one more than shards."""
+    spark, done = units.sparkSession, None
+    for _ in range(len(room) + 2):
+        asked = units.withColumn("shard", _wish(room)).filter("shard is not null")
+        # a row for each shard and size: d sizes take over d * d / 2 documents
+        counts = {(r.shard, r["size"]): r.n for r in asked.groupBy("shard", "size").agg(F.count("*").alias("n")).collect()}
+        if not counts:
+            break
+        told = grants(counts, room)
+        rows = [(s, size, k, k == counts[s, size]) for (s, size), k in told.items() if k]
+        lot = asked.select("g", "piece", "shard", "size").join(F.broadcast(spark.createDataFrame(rows, "shard int, size long, k long, everyone boolean")), ["shard", "size"])
+        lot = spill(lot, "shard-asked")
+        lucky = lot.filter("everyone")
+        if not all(r[3] for r in rows):
+            lucky = lucky.unionByName(numbered(lot.filter("not everyone"), ["shard", "size"], ["g", "piece"], "_k").filter("_k < k").drop("_k"))
+        lucky = spill(lucky.select("g", "piece", "size", "shard"), "shard-granted")
+        done = lucky if done is None else done.unionByName(lucky)
+        units = spill(units.join(small(lucky.select("g", "piece")), ["g", "piece"], "left_anti"), "shard-waiting")
+    return done, units
+
+
+def cut(waiting: list[tuple[str, int, int]], room: list[int]) -> list[tuple[str, int, int, int]]:
+    """(g, piece, size) to (g, piece, documents, shard): each is spread over the emptiest shards."""
     out = []
-    for g, n in sorted(groups, key=lambda x: (-x[1], x[0])):
-        fitting = [s for s in range(len(room)) if room[s] >= n]
-        if fitting:
-            s = min(fitting, key=lambda s: (room[s], s))
-            out.append((g, s, n))
-            room[s] -= n
-            continue
+    for g, piece, n in sorted(waiting, key=lambda x: (-x[2], x[0], x[1])):
         while n:
             s = max(range(len(room)), key=lambda s: (room[s], -s))
             k = min(n, room[s])
-            out.append((g, s, k))
+            out.append((g, piece, k, s))
             room[s] -= k
             n -= k
     return out
 
 
-def _grants(proposed: list, room: list[int]) -> dict[tuple[int, int], float]:
-    """Share granted of the proposals to a shard of a size class: larger groups first, until the room is used."""
-    left, out = [MARGIN * r for r in room], {}
-    for r in sorted(proposed, key=lambda r: (r.target, -r.klass)):
-        share = min(1.0, max(0.0, left[r.target]) / r.moving) if r.moving else 1.0
-        left[r.target] -= share * r.moving
-        out[r.target, r.klass] = share
-    return out
-
-
-def propagate(state: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """state: (g, shard, cnt) of small groups. Rounds of moves towards the shard with most of the group."""
-    spark = state.sparkSession
-    for turn in range(rounds):
-        loads = {r.shard: r.n for r in state.groupBy("shard").agg(F.sum("cnt").alias("n")).collect()}
-        free = [room[s] - loads.get(s, 0) for s in range(len(room))]
-        open_ = F.get(F.array(*[F.lit(int(x > 0)) for x in free]), F.col("shard"))
-        # a full shard is only proposed to by groups that have nothing elsewhere
-        wish = state.groupBy("g").agg(F.max_by("shard", F.struct(open_.alias("o"), F.col("cnt"), F.xxhash64("g", "shard").alias("h"))).alias("target"), F.sum("cnt").alias("all"), F.count("*").alias("parts"))
-        wish = wish.filter("parts > 1")
-        both = state.join(wish, "g").withColumn("klass", F.length(F.bin("all")))
-        asked = both.filter("shard <> target").groupBy("target", "klass").agg(F.sum("cnt").alias("moving")).collect()
-        if not asked:
-            break
-        grants = _grants(asked, free)
-        if not any(grants.values()):
-            break
-        told = spark.createDataFrame([(t, k, float(x)) for (t, k), x in grants.items()], "target int, klass int, share double")
-        # SHARDS times the number of size classes: at most 24 * 64 rows
-        lucky = (both.join(F.broadcast(told), ["target", "klass"]).filter(F.pmod(F.xxhash64("g", F.lit(f"grant {turn}")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-                 .select("g", "target").distinct())
-        moved = state.join(lucky, "g", "left").withColumn("shard", F.coalesce("target", "shard"))
-        state = checkpoint(moved.groupBy("g", "shard").agg(F.sum("cnt").alias("cnt")))
-    return state
-
-
-def fit(counts: dict[tuple[int, int], int], room: list[int]) -> list[tuple[int, int, int, int, int, int]]:
-    """counts: groups by (home, size), home -1 if they are apart. Segments (home, size, from, to, shard, documents of
-    each group): of the groups of a home and size, the places from..to-1 go to the shard.
-
-    Groups stay at home as far as there is room; the others go, larger sizes first, where they fit. A group that no shard
-    holds is cut over the emptiest ones. Each cut fills a shard, so fewer groups than shards are cut.
-    """
-    room, out, away = list(room), [], []
-    for (home, n), c in sorted(counts.items(), key=lambda x: (-x[0][1], x[0][0])):
-        stay = min(c, room[home] // n) if home >= 0 else 0
-        if stay:
-            out.append((home, n, 0, stay, home, n))
-            room[home] -= stay * n
-        if stay < c:
-            away.append((home, n, stay, c))
-    for home, n, at, c in away:
-        for s in sorted(range(len(room)), key=lambda s: (-room[s], s)):
-            if k := min(c - at, room[s] // n):
-                out.append((home, n, at, at + k, s, n))
-                room[s] -= k * n
-                at += k
-        for place in range(at, c):
-            left = n
-            while left:
-                s = max(range(len(room)), key=lambda s: (room[s], -s))
-                k = min(left, room[s])
-                out.append((home, n, place, place + 1, s, k))
-                room[s] -= k
-                left -= k
-    return out
-
-
-def settle(state: DataFrame, room: list[int]) -> DataFrame:
-    """(g, shard, cnt) of groups after propagation: those that are apart, or above a shard's room, are placed by `fit`."""
-    whole = state.groupBy("g").agg(F.sum("cnt").alias("all"), F.when(F.count("*") == 1, F.first("shard")).otherwise(-1).alias("home"))
-    whole = spill(whole, "shard-whole")
-    # sizes are at most LARGE_SHARE of a shard, and d sizes take over d * d / 2 documents
-    counts = {(r.home, r.all): r.n for r in whole.groupBy("home", "all").agg(F.count("*").alias("n")).collect()}
-    places = state.sparkSession.createDataFrame(fit(counts, room), "home int, all long, first long, end long, shard int, cnt long")
-    placed = numbered(whole, ["home", "all"], ["g"], "_k")
-    return placed.join(F.broadcast(places), ["home", "all"]).filter("_k >= first and _k < end").select("g", "shard", "cnt")
-
-
-def first_shard(room: list[int]) -> Column:
-    """Where a document of a small group begins: by hash, in shares of the room that large groups leave. Full shards get none."""
-    at = F.pmod(F.xxhash64("doc_id", "g"), F.lit(max(1, sum(room))))
-    return sum(((at >= sum(room[:s + 1])).cast("int") for s in range(len(room) - 1)), F.lit(0))
-
-
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: the law is `rows`) of every row.
-
-    Size is the UTF-8 bytes of the text plus 8; null texts have none and are equal to each other and to empty
-    ones. Null ids and repeated rows are rows like others. Groups larger than the room of any shard are cut
-    over the emptiest ones, all others stay whole. Rows that agree in id and text are alike, so reruns agree. An empty table gives an empty result.
-    """
+def _gathered(own: DataFrame, n: int, room: list[int]) -> DataFrame:
+    """(g, parts): for each group of several documents how many go to which shard, at most one entry a shard."""
+    shards, whole = len(room), max(1, n // len(room))
+    labels = own.groupBy("g", F.pmod(F.xxhash64("doc_id", "g"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("cnt"))
+    groups = labels.groupBy("g").agg(F.sum("cnt").alias("all"), F.collect_list(F.struct("shard", "cnt")).alias("parts")).filter("all > 1")
+    units = groups.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(all - 1) div {whole}"))))
+    units = units.withColumn("size", F.least(F.lit(whole), F.col("all") - F.col("piece") * whole))
+    units = units.withColumn("parts", F.when(F.col("all") > whole, F.slice("parts", 1, 0)).otherwise(F.col("parts")))
+    done, waiting = propagate(spill(units.select("g", "piece", "size", "parts"), "shard-units"), room)
+    # each that waits is larger than any room, and all rooms together hold them: fewer than there are shards
+    pieces = cut([(r.g, r.piece, r["size"]) for r in waiting.select("g", "piece", "size").collect()], room)
+    placed = own.sparkSession.createDataFrame(pieces, _UNIT)
+    placed = placed if done is None else placed.unionByName(done)
+    parts = placed.groupBy("g", "shard").agg(F.sum("size").alias("cnt")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("shard", "cnt"))).alias("parts"))
+    return spill(parts, "shard-parts")
+
+
+def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, g (the MD5 of the text), shard and slot of every row; see `shard`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = spill(docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("g")), "shard-rows")
     n = own.count()
     quota = quotas(n, shards)
-    counts = own.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
-    counts = spill(counts, "shard-groups")
-    limit = max(1, int(quota[-1] * LARGE_SHARE))
     room = list(quota)
-    # groups of over n / 24 / 64 rows are fewer than 24 * 64 + 64: a bounded number comes to the driver
-    large = place_large([(r.g, r.n) for r in counts.filter(F.col("n") > limit).collect()], room)
-    spread = own.select("g", first_shard(room).alias("shard")).join(counts.filter(F.col("n") <= limit).select("g"), "g", "left_semi").groupBy("g", "shard").agg(F.count("*").alias("cnt"))
-    state = settle(propagate(checkpoint(spread), room), room)
-    parts = state.unionByName(own.sparkSession.createDataFrame(large, "g string, shard int, cnt long")) if large else state
-    parts = spill(parts.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("shard", "cnt"))).alias("parts")), "shard-parts")  # at most one a shard
-    linked = own.join(parts, "g", "left")
+    linked = spill(own.join(small(_gathered(own, n, room)), "g", "left"), "shard-joined")
     whole = linked.filter(F.size("parts") == 1).withColumn("shard", F.get("parts", 0)["shard"])
-    cut = linked.filter(F.size("parts") > 1)
     # only documents of groups in several shards need their place in the group
-    cut = numbered(cut.withColumn("_ends", F.transform("parts", lambda p, i: F.aggregate(F.slice("parts", 1, i + 1), F.lit(0).cast("long"), lambda m, q: m + q["cnt"]))), ["g"], ["doc_id"], "_k")
-    cut = cut.withColumn("shard", F.get("parts", F.size(F.filter("_ends", lambda e: e <= F.col("_k"))))["shard"])
+    ends = F.transform("parts", lambda p, i: F.aggregate(F.slice("parts", 1, i + 1), F.lit(0).cast("long"), lambda m, q: m + q["cnt"]))
+    parted = numbered(linked.filter(F.size("parts") > 1).withColumn("_ends", ends), ["g"], ["doc_id"], "_k")
+    parted = parted.withColumn("shard", F.get("parts", F.size(F.filter("_ends", lambda e: e <= F.col("_k"))))["shard"])
     cols = ["doc_id", "size", "text_crc32", "g", "shard"]
-    sat = spill(numbered(whole.select(cols).unionByName(cut.select(cols)), ["shard"], ["g", "doc_id"], "slot"), "shard-linked")
-    limits = F.get(F.array(*map(F.lit, quota)), F.col("shard"))
-    used = {r.shard: min(r.n, quota[r.shard]) for r in sat.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    held = [used.get(s, 0) for s in range(shards)]
-    rest = linked.filter("parts is null").select(cols[:-1]).unionByName(sat.filter(F.col("slot") >= limits).select(cols[:-1]))
-    rest = numbered(rest, [], ["g", "doc_id"], "_k", n)
-    ends = [sum(quota[:s + 1]) - sum(held[:s + 1]) for s in range(shards)]
-    which = sum(((F.col("_k") >= e).cast("int") for e in ends), F.lit(0))
-    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), F.col("shard"))
-    rest = rest.withColumn("shard", which).withColumn("slot", F.col("_k") - pick([0, *ends[:-1]]) + pick(held))
-    both = sat.filter(F.col("slot") < limits).select(*cols, "slot").unionByName(rest.select(*cols, "slot"))
-    return both.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+    sat = numbered(whole.select(cols).unionByName(parted.select(cols)), ["shard"], ["g", "doc_id"], "slot", n)
+    rest = numbered(linked.filter("parts is null").select(cols[:-1]), [], ["g", "doc_id"], "_k", n)
+    # single documents fill up what room is left, shard by shard
+    upto = [sum(room[:s + 1]) for s in range(shards)]
+    rest = rest.withColumn("shard", sum(((F.col("_k") >= e).cast("int") for e in upto), F.lit(0)))
+    pick = lambda xs: F.get(F.array(*[F.lit(x).cast("long") for x in xs]), F.col("shard"))
+    rest = rest.withColumn("slot", F.col("_k") - pick([0, *upto[:-1]]) + pick([q - r for q, r in zip(quota, room, strict=True)]))
+    return sat.select(*cols, "slot").unionByName(rest.select(*cols, "slot"))
+
+
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: the law is `rows`) of every row.
+
+    Size is the UTF-8 bytes of the text plus 8; null texts have none and are equal to each other and to empty
+    ones. Null ids and repeated rows are rows like others. Groups larger than a shard take whole shards and one part
+    of another; besides them fewer groups than shards are cut, all others stay whole. Rows that agree in id and text are
+    alike, so reruns agree. An empty table gives an empty result. Texts of any length are hashed whole; columns other than
+    doc_id and text are left out, so none can clash.
+    """
+    out = placed(docs, shards)
+    return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def cut_links(at: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """One row about `placed` documents: links (documents of a group beyond its first), cut (shards of a group beyond its
+    first) and least (what any sharding with these quotas must cut)."""
+    most = max(1, -(-at.count() // shards))
+    by = at.groupBy("g", "shard").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return by.agg(total(F.col("n") - 1).alias("links"), total(F.col("parts") - 1).alias("cut"), total(F.expr(f"(n - 1) div {most}")).alias("least"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
