@@ -24,7 +24,7 @@ CURVES = 64
 DIMENSIONS, BITS = 16, 3
 #: A query's window on each curve is 2 * REACH + 1 ranges, together WINDOW * rows ** GROWTH rows. On random directions, where
 #: nothing is alike and no curve is selective, this finds nine of ten at every size; where vectors are alike far fewer would do.
-WINDOW, GROWTH, REACH = 0.055, 0.82, 3
+WINDOW, GROWTH, REACH = 0.06, 0.82, 3
 LEAST_WINDOW = 24
 #: Vectors, chosen by hash, on which the curves' quantiles and ranges are fitted. Every vector is indexed.
 FIT_ROWS = 65_536
