@@ -32,6 +32,8 @@ FIT_ROWS = 65_536
 BOUND_ROWS = 128
 #: Candidates of each query and range, and of each query in all, that are left over k for the exact ranking.
 SPARE = 6
+#: 2 ** CHUNK_BITS neighbouring ranges are searched by one task; it holds so many candidates before it merges or sends them.
+CHUNK_BITS, HELD = 7, 500_000
 SEED = 20
 
 
@@ -125,7 +127,7 @@ def _squares(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _dealt(index: Index, k: int):
-    """A row for each place (range and curve) that a vector stands in (role 0) or looks through (role 1)."""
+    """A row for each place (curve and range) that a vector stands in (role 0) or looks through (role 1)."""
     names = ["place", "role", "rep", "bound", "v"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +152,7 @@ def _dealt(index: Index, k: int):
                     where.append((low[ask] + d).astype(np.int32))
                     role.append(np.ones(len(ask), np.int8))
                 i = np.concatenate(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(where).astype(np.int64) * CURVES + c), pa.array(np.concatenate(role)),
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(where) + (np.int64(c) << 40)), pa.array(np.concatenate(role)),
                                                   pa.array(rep[i]), pa.array(bound[i]), v.take(pa.array(i))], names)
     return run
 
@@ -168,17 +170,33 @@ def _near(x: np.ndarray, reps: np.ndarray, q: np.ndarray, own: np.ndarray, bound
     return [own[rows], reps[nearest[rows, cols]], d[rows, cols]]
 
 
+def _nearest(found: list[list[np.ndarray]], take: int) -> list[np.ndarray]:
+    """Of each query the `take` nearest rows, each once."""
+    q, rep, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((d, rep, q))
+    q, rep, d = q[order], rep[order], d[order]
+    once = np.concatenate(([True], (q[1:] != q[:-1]) | (rep[1:] != rep[:-1]))) if len(q) else np.zeros(0, bool)
+    q, rep, d = q[once], rep[once], d[once]
+    order = np.lexsort((rep, d, q))
+    q, rep, d = q[order], rep[order], d[order]
+    starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
+    keep = np.arange(len(q)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(q)])))) < take
+    return [q[keep], rep[keep], d[keep]]
+
+
 def _found(take: int):
-    """Rows sorted by (place, role): the candidates of each query in each range. A range is held, queries pass by."""
+    """Rows sorted by (place, role): the nearest candidates of each query. A range is held, queries pass by; what they find in
+    the ranges of their windows, which stand one behind the other, is merged before it is sent on."""
     names = ["q", "rep", "near"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, x, reps = -1, np.zeros((0, 0), np.float32), np.zeros(0, np.int64)
+        out: list[list[np.ndarray]] = []
+        held = 0
         for tb in gathered(batches, 16_384):
             at, role, rep, bound = (tb.column(c).to_numpy() for c in ("place", "role", "rep", "bound"))
             v = np.frombuffer(b"".join(tb.column("v").to_pylist()), "<f2").reshape(len(rep), -1).astype(np.float32)
             cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
-            out: list[list[np.ndarray]] = []
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rep)], strict=True):
                 if at[s] != now:
                     now, x, reps = at[s], v[:0], rep[:0]
@@ -188,8 +206,15 @@ def _found(take: int):
                 step = max(1, 4_000_000 // max(1, len(x)))
                 for f in range(m, e if len(x) else m, step):
                     out.append(_near(x, reps, v[f:min(e, f + step)], rep[f:min(e, f + step)], bound[f:min(e, f + step)], take))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names)
+                    held += len(out[-1][0])
+                    if held > HELD:
+                        out = [_nearest(out, take)]
+                        held = len(out[0][0])
+                        if held > HELD // 2:
+                            yield pa.RecordBatch.from_arrays([pa.array(o) for o in out[0]], names)
+                            out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(o) for o in _nearest(out, take)], names)
     return run
 
 
@@ -225,7 +250,8 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     sample = index.orderBy("tie").limit(FIT_ROWS).select("v", "tie").collect()
     fitted = fit(np.frombuffer(b"".join(bytes(r.v) for r in sample), "<f8").reshape(len(sample), -1), np.array([r.tie for r in sample], np.int64), n)
     dealt = index.select("rep", "v", "tie", "asks").mapInArrow(_dealt(fitted, k), "place long, role byte, rep long, bound float, v binary")
-    dealt = dealt.repartition("place").sortWithinPartitions("place", "role")
+    # ranges side by side go to one task, as many as make up some windows
+    dealt = dealt.repartition(F.shiftright("place", CHUNK_BITS)).sortWithinPartitions("place", "role")
     found = dealt.mapInArrow(_found(k + SPARE), "q long, rep long, near float").groupBy("q", "rep").agg(F.min("near").alias("near"))
     likely = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("near", "rep"))).filter(F.col("_r") <= k + SPARE).select("q", "rep")
     # the exact distance of the original vectors
