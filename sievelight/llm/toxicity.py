@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five transducers read a clause's words as symbols: insults (a lexicon of stems learned from labels), threats,
-targets, negation and reported speech. Their composition is one deterministic machine whose state says how long
-ago a target or a negator was read and whether speech is reported; at an insult or a threat it emits which of
-these hold. The emissions of all clauses are weighed by learned log-odds.
+Six transducers read a clause's words as symbols: insults (a lexicon of stems learned from labels), threats,
+targets, negation, reported speech and abuse that goes on. Their composition is one deterministic machine whose state says
+how long ago a target or a negator was read, whether speech is reported and whether the clause has been abusive before;
+at an insult or a threat it emits which of these hold. Stems that also occur by chance (weak ones) emit where the
+clause has a target in reach or was abusive before; a clause that holds one alone is suspect, and suspect clauses count
+where there are others. The emissions of all clauses are weighed by learned log-odds.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ MAX_OTHERS_TWICE = 0.25
 STEM_LETTERS = range(4, 10)
 #: Chance that a prefix is found in toxic texts only must be below this.
 CHANCE = 1e-7
-MAX_CANDIDATES = 50_000
 
 # Function words of the four languages of the texts that the grammar knows.
 TARGETS = {"you", "your", "youre", "u", "he", "she", "they", "them", "him", "her", "these", "those", "people",
@@ -44,7 +45,8 @@ THREATS = ("kill", "murder", "hurt", "stab", "shoot", "strangle", "töten", "umb
 
 _CLAUSE = re.compile(r"[.!?;:\n\r]+")
 _WORD = re.compile(r"[^\W\d_]+")
-INSULT, THREAT, TARGET, NEGATOR, REPORT, OTHER = range(6)
+SYMBOLS = 7
+INSULT, THREAT, TARGET, NEGATOR, REPORT, WEAK, OTHER = range(SYMBOLS)
 #: How many words a target or a negator reaches.
 REACH = 4
 
@@ -67,9 +69,19 @@ def _fading(symbol: int, reach: int) -> Transducer:
     return Transducer(0, arcs, frozenset(range(1, reach + 1)))
 
 
-def _staying(symbol: int) -> Transducer:
-    """Marks from the symbol to the end of the clause."""
-    return Transducer(0, {(0, symbol): 1}, frozenset({1}))
+def _staying(*symbols: int) -> Transducer:
+    """Marks from any of the symbols to the end of the clause."""
+    return Transducer(0, {(0, s): 1 for s in symbols}, frozenset({1}))
+
+
+def emission(symbol: int, marks: list[bool]) -> int:
+    """What a symbol emits where the parts hold these marks: targeted, negated, reported, abusive before. -1: nothing."""
+    targeted, negated, reported, abusive = marks
+    if symbol in (INSULT, THREAT):
+        return targeted + 2 * negated + 4 * reported + 8 * (symbol == THREAT)
+    if symbol == WEAK and (targeted or abusive):
+        return WEAK_AT + (1 if not abusive else 2 + targeted) - 1
+    return SUSPECT if symbol == WEAK else -1
 
 
 @dataclass(frozen=True)
@@ -85,23 +97,24 @@ class Grammar:
         number, todo, arcs = {start: 0}, [start], []
         while todo:
             state, row = todo.pop(0), []
-            for symbol in range(6):
+            for symbol in range(SYMBOLS):
                 nxt = tuple(p.step(s, symbol) for p, s in zip(parts, state, strict=True))
                 if nxt not in number:
                     number[nxt] = len(number)
                     todo.append(nxt)
-                marks = [s in p.marks for p, s in zip(parts, state, strict=True)]
-                row.append((number[nxt], sum(m << i for i, m in enumerate(marks)) + 8 * (symbol == THREAT) if symbol in (INSULT, THREAT) else -1))
+                row.append((number[nxt], emission(symbol, [s in p.marks for p, s in zip(parts, state, strict=True)])))
             arcs.append(row)
         return Grammar(arcs, 0)
 
 
-GRAMMAR = Grammar.compose(_fading(TARGET, REACH), _fading(NEGATOR, REACH), _staying(REPORT))
-#: Emissions: bit 0 targeted, 1 negated, 2 reported, 3 a threat; then clauses with more than one, target after an
-#: insult, words of weak stems after the first, and how many of these there are in a hundred words.
-N_FEATURES = 20
+#: Emissions 0 to 15: bit 0 targeted, 1 negated, 2 reported, 3 a threat; from WEAK_AT: a weak stem that is targeted, in
+#: a clause abusive before, or both; then clauses with more than one emission, targets soon after an insult, suspect clauses
+#: after the first, and how many of these there are in a hundred clauses.
+WEAK_AT, MANY, AFTER, AGAIN, DENSE, N_FEATURES = 16, 19, 20, 21, 22, 23
+SUSPECT = N_FEATURES
+GRAMMAR = Grammar.compose(_fading(TARGET, REACH), _fading(NEGATOR, REACH), _staying(REPORT), _staying(INSULT, THREAT, WEAK))
 # Where labels show nothing, a negated or reported insult counts less, a threat only with a target.
-PRIOR = [2.0, 2.5, 1.0, 1.2, 1.0, 1.2, 0.8, 0.8, 0.5, 2.5, 0.2, 0.8, 0.2, 0.8, 0.1, 0.4, 1.0, 0.5, 1.0, 0.5]
+PRIOR = [2.0, 2.5, 1.0, 1.2, 1.0, 1.2, 0.8, 0.8, 0.5, 2.5, 0.2, 0.8, 0.2, 0.8, 0.1, 0.4, 0.3, 1.0, 1.2, 1.0, 0.5, 1.0, 0.5]
 PRIOR_BIAS = -3.0
 
 
@@ -116,9 +129,11 @@ class Model:
         return re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, sorted((*self.stems, *self.weak, *THREATS), key=len, reverse=True)))})")
 
 
-def symbol_of(word: str, stems: tuple[str, ...]) -> int:
-    if stems and word.startswith(stems):
+def symbol_of(word: str, model: Model) -> int:
+    if model.stems and word.startswith(model.stems):
         return INSULT
+    if model.weak and word.startswith(model.weak):
+        return WEAK
     if word.startswith(THREATS):
         return THREAT
     return TARGET if word in TARGETS else NEGATOR if word in NEGATORS else REPORT if word in REPORTERS else OTHER
@@ -127,29 +142,30 @@ def symbol_of(word: str, stems: tuple[str, ...]) -> int:
 def features(text: str | None, model: Model, scanner: re.Pattern) -> list[float]:
     """log(1 + emissions) of a whole text. Clauses without an insult or a threat emit nothing and are passed over."""
     out = [0.0] * N_FEATURES
-    stems, weak = model.stems, 0
-    low = (text or "").lower()
+    low, suspects = (text or "").lower(), 0
     end = 0
     for hit in scanner.finditer(low):
-        weak += bool(model.weak) and hit[0].startswith(model.weak)
         if hit.start() < end:
             continue
         begin = max((m.end() for m in _CLAUSE.finditer(low, end, hit.start())), default=end)
         stop = _CLAUSE.search(low, hit.start())
         end = stop.start() if stop else len(low)
-        state, emitted, last = GRAMMAR.start, 0, None
+        state, emitted, last, suspect = GRAMMAR.start, 0, None, False
         for m in _WORD.finditer(low, begin, end):
-            symbol = symbol_of(m[0], stems)
+            symbol = symbol_of(m[0], model)
             state, e = GRAMMAR.arcs[state][symbol]
             last = REACH if symbol == INSULT else last and last - 1
-            if e >= 0:
+            if e == SUSPECT:
+                suspect = True
+            elif e >= 0:
                 out[e] += 1
                 emitted += 1
             elif symbol == TARGET and last:
-                out[17] += 1
-        out[16] += emitted > 1
-    if weak > 1:
-        out[18], out[19] = weak - 1, 100 * weak / len(_WORD.findall(low))
+                out[AFTER] += 1
+        out[MANY] += emitted > 1
+        suspects += suspect
+    if suspects > 1:
+        out[AGAIN], out[DENSE] = suspects - 1, 100 * suspects / (1 + len(_CLAUSE.findall(low)))
     return [math.log1p(x) for x in out]
 
 
@@ -162,37 +178,39 @@ def _prefixes(text: str | None) -> Counter[str]:
     return n
 
 
-def _counting(among: frozenset[str] | None):
-    """In how many texts a prefix begins a word, and more than one."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            once: Counter[str] = Counter()
-            twice: Counter[str] = Counter()
-            for t in b.column("text").to_pylist():
-                p = _prefixes(t)
-                once.update(p.keys() if among is None else p.keys() & among)
-                twice.update(x for x, c in p.items() if c > 1 and (among is None or x in among))
-            yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.string()), pa.array(list(once.values()), pa.int64()), pa.array([twice[x] for x in once], pa.int64())],
-                                             ["prefix", "n", "n2"])
-    return run
+def _counting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of a kind a prefix begins a word, and more than one."""
+    for b in batches:
+        once: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+        twice: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+        for t, kind in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            p = _prefixes(t)
+            once[kind].update(p.keys())
+            twice[kind].update(x for x, c in p.items() if c > 1)
+        for kind, of in once.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.string()), pa.array([kind] * len(of), pa.int32()), pa.array(list(of.values()), pa.int64()),
+                                              pa.array([twice[kind][x] for x in of], pa.int64())], ["prefix", "toxic", "n", "n2"])
 
 
-def stems_of(toxic: dict[str, tuple[int, int]], other: dict[str, tuple[int, int]], n_toxic: int, n_other: int) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """Prefixes of words that are all but only found in toxic texts, and weak ones that are so where they occur
-    more than once; of a chain of prefixes, the one that separates best, and the longest of equals."""
+def worth_of(n_toxic: int, n_other: int) -> tuple[Column, Column]:
+    """worth and weak of a prefix by the texts that it occurs in: it begins words that are all but only found in toxic texts, or
+    is weak and does so where it occurs more than once. Null: neither."""
     base = n_toxic / max(1, n_toxic + n_other)
     least = max(4, MIN_SHARE * n_toxic, math.log(CHANCE) / math.log(min(max(base, 1e-3), 0.9)))
-    worth = {}
-    for p, (t, t2) in toxic.items():
-        o, o2 = other.get(p, (0, 0))
-        if t >= least and o <= MAX_OTHERS * t:
-            worth[p] = (t - 10 * o, False)
-        elif t2 >= least and o2 <= MAX_OTHERS_TWICE * t2:
-            worth[p] = (t2 - 3 * o2, True)
-    chosen: list[str] = []
+    strong = (F.col("n_1") >= least) & (F.col("n_0") <= MAX_OTHERS * F.col("n_1"))
+    weak = (F.col("n2_1") >= least) & (F.col("n2_0") <= MAX_OTHERS_TWICE * F.col("n2_1"))
+    worth = F.when(strong, F.col("n_1") - 10 * F.col("n_0")).when(weak, F.col("n2_1") - 3 * F.col("n2_0"))
+    return worth.alias("worth"), (~strong).alias("weak")
+
+
+def stems_of(worth: dict[str, tuple[int, bool]]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Stems and weak stems: of a chain of prefixes the one that separates best, and the longest of equals."""
+    chosen: set[str] = set()
+    heads: set[str] = set()  # all that chosen stems begin with
     for p in sorted(worth, key=lambda p: (-worth[p][0], -len(p), p)):
-        if not any(p.startswith(q) or q.startswith(p) for q in chosen):
-            chosen.append(p)
+        if p not in heads and not any(p[:k] in chosen for k in STEM_LETTERS):
+            chosen.add(p)
+            heads.update(p[:k] for k in range(1, len(p) + 1))
     return tuple(sorted(p for p in chosen if not worth[p][1])), tuple(sorted(p for p in chosen if worth[p][1]))
 
 
@@ -227,12 +245,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Model()
-    count = lambda kind, among: (own.filter(F.col("toxic") == kind).select("text").mapInArrow(_counting(among), "prefix string, n long, n2 long")
-                                 .groupBy("prefix").agg(F.sum("n").alias("n"), F.sum("n2").alias("n2")))
-    toxic = {r.prefix: (r.n, r.n2) for r in count(1, None).filter(F.col("n") >= max(4, MIN_SHARE * n[1])).orderBy(F.desc("n"), "prefix").limit(MAX_CANDIDATES).collect()}
-    other = {r.prefix: (r.n, r.n2) for r in count(0, frozenset(toxic)).collect()}
-    model = Model(*stems_of(toxic, other, n[1], n[0]))
-    rows = own.mapInArrow(_features(model), "toxic int, x array<double>").orderBy("toxic", "x").collect()
+    # prefixes are counted, joined and judged in Spark; only the stems come to the driver, and there are few
+    counted = own.mapInArrow(_counting, "prefix string, toxic int, n long, n2 long").groupBy("prefix").agg(*[
+        F.coalesce(F.sum(F.when(F.col("toxic") == kind, F.col(c))), F.lit(0)).alias(f"{c}_{kind}") for kind in (0, 1) for c in ("n", "n2")])
+    worth = {r.prefix: (r.worth, r.weak) for r in counted.select("prefix", *worth_of(n[1], n[0])).filter("worth is not null").collect()}
+    model = Model(*stems_of(worth))
+    rows = own.mapInArrow(_features(model), "toxic int, x array<double>").collect()
+    rows.sort(key=lambda r: (r.toxic, r.x))  # at most SAMPLE_ROWS; sums must not depend on the order in which tasks end
     model.weights, model.bias = fit(np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float))
     return model
 
@@ -264,7 +283,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that score below 0.5, with the columns of `docs`, which keep their own values."""
+    """The rows of `docs` that score below 0.5, with the columns of `docs`, which keep their own values. Null and empty texts stay
+    unless the labels make most texts toxic; ties and repeated rows are judged alike, each alone."""
     own, back = apart(docs, ("score",))
     return score(own, train(own, labels)).filter(F.col("score") < 0.5).select(*back)
 
