@@ -1,8 +1,9 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
-Every word and tag of a page has a weight by the elements it stands in, learned as log-odds from labelled pages;
-a linear scan finds the contiguous run of the largest sum. Inside the run, words that stand in elements of
-negative weight (an advert, a comment thread) are left out.
+Every word and tag of a page has a weight by the elements it stands in, learned as log-odds from labelled pages: by their
+names, and by how they stand among the others (mostly links, a named box among plain paragraphs, beside the article).
+A linear scan finds the contiguous run of the largest sum. Inside the run, words that stand in elements of
+negative weight (an advert, a comment thread) are left out. All passes over a page are linear in its length.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Labelled pages that the weights are learned from, and their seed.
-TRAINING_PAGES, SEED = 400, 7
+TRAINING_PAGES, SEED = 800, 7
+#: Share of their boxes whose names the learner can't know; names need this many pages to be learned.
+UNKNOWN, LEAST_PAGES = 0.25, 2
+PLAIN = {"<html", "<body", "<div", "<p", "<ul", "<li", "<a", "<section", "<span", "<b", "<table", "<tr", "<td", "<h1", "<h2", "<blockquote"}
 #: A tag's weight, and a word's before its elements are known.
 TAG_WEIGHT, WORD_WEIGHT = -0.6, 0.5
 #: The least that a word counts in the scan. Noise inside content counts nothing, however long it is; it is left out in any case.
@@ -37,42 +41,37 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 #: Elements of running text: what holds one is content even if nothing is known of its names.
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"}
+#: Elements that hold others; mostly links in one is a menu, while a paragraph may be one link.
+BOXES = {"div", "ul", "ol", "dl", "section", "nav", "aside", "table", "header", "footer", "menu"}
 CLOSES |= {t: {"p"} for t in BLOCK if t not in CLOSES and t not in ("body", "html", "head")}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PART = re.compile(r"[a-z]+")
+#: As browsers read it: a quote matters only behind "=", and a tag that never ends takes the rest of the page with it.
+#: Nothing is matched twice, so a page is read once whatever it holds.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+>?|"
+                    r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?P<end>>?)", re.S)
+_ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+_PART = re.compile(r"[^\W\d_]+")
+_ZEROS, _HUGE = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])"), re.compile(r"&#[1-9][0-9]{7,};?")
 
 
-@dataclass
-class Node:
-    """An open element: its tag and the weight that it and those around it give to words."""
-
-    tag: str
-    weight: float
-    marks: tuple[str, ...] = ()
-    article: bool = False
-    #: Stands in content, or holds paragraphs of its own; what noise stands in says whether it counts in the scan.
-    content: bool = False
-
-
-@dataclass
-class Weights:
-    of: dict[str, float] = field(default_factory=dict)
-
-    def mark(self, m: str) -> float:
-        return self.of.get(m, 0.0)
+def decoded(text: str) -> str:
+    """Character references of one text node, those of absurdly large numbers too."""
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub(r"&#\1", text))
+    return html_.unescape(text) if "&" in text else text
 
 
-def marks_of(tag: str, attrs: str, in_article: bool) -> tuple[str, ...]:
-    """What the weights are learned of: the tag (a header of an article apart from one of the page) and the words of class, id and role."""
-    names = {p for m in _ATTR.finditer(attrs or "") for p in _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower())}
-    return (f"<{tag}" + " in article" * (in_article and tag in ("header", "footer")), *sorted(f".{n}" for n in names))
+def marks_of(tag: str, attrs: str) -> tuple[str, ...]:
+    """What the weights are learned of: the tag and the words of class, id and role."""
+    if not attrs:
+        return (f"<{tag}",)
+    names = {p for m in _ATTR.finditer(attrs) for p in _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower())}
+    return (f"<{tag}", *sorted(f".{n}" for n in names))
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("open", tag, attributes) and ("close", tag, ""); comments and raw elements are left out."""
-    at, low, end = 0, None, len(page)
+    at, end, open_ended = 0, len(page), set()
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -81,82 +80,170 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         if m.start() > at:
             yield "text", page[at:m.start()], ""
         at = m.end()
-        if m["tag"]:
-            tag = m["tag"].lower()
-            if m["close"]:
-                yield "close", tag, ""
+        if not m["tag"]:
+            continue
+        if not m["end"]:
+            return
+        tag = m["tag"].lower()
+        if m["close"]:
+            yield "close", tag, ""
+            continue
+        yield "open", tag, m["attrs"]
+        if tag in RAW and tag not in open_ended and not m["attrs"].rstrip().endswith("/"):
+            stop = _RAW_END[tag].search(page, at)
+            if stop is not None:
+                at = stop.start()
+            elif tag in ("script", "style", "textarea", "title"):
+                at = end
             else:
-                yield "open", tag, m["attrs"]
-                if tag in RAW and not m["attrs"].rstrip().endswith("/"):
-                    low = page.lower() if low is None else low
-                    stop = low.find(f"</{tag}", at) if len(low) == end else next((x.start() for x in re.compile(f"</{tag}", re.I).finditer(page, at)), -1)
-                    if stop < 0 and tag not in ("script", "style", "textarea", "title"):
-                        continue
-                    at = end if stop < 0 else stop
+                open_ended.add(tag)  # nothing ends it from here on
 
 
-def _noise(weight: float) -> bool:
-    return WORD_WEIGHT + weight <= 0
+_RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])", re.I | re.A) for t in RAW}
 
 
-def _walk(page: str, weights: Weights) -> Iterator[tuple[str, str, float, tuple[str, ...], bool]]:
-    """(kind, text or tag, weight, marks of the open elements, noise inside content): kinds are text, block (a block
-    begins or ends), tag."""
-    stack = [Node("", 0.0)]
+@dataclass
+class Weights:
+    of: dict[str, float] = field(default_factory=dict)
+
+    def mark(self, m: str) -> float:
+        return self.of.get(m, 0.0)
+
+
+@dataclass
+class Tree:
+    """Elements in page order (0 is the page) and what happens in it: (kind, text or tag, element); kinds are text, block
+    (a block begins or ends) and tag."""
+
+    tags: list[str] = field(default_factory=lambda: [""])
+    parents: list[int] = field(default_factory=lambda: [0])
+    marks: list[tuple[str, ...]] = field(default_factory=lambda: [()])
+    items: list[tuple[str, str, int]] = field(default_factory=list)
+
+
+def parse(page: str) -> Tree:
+    """Every element is opened and closed once. For each tag it is known where it is open, so no search goes up the stack."""
+    t, stack = Tree(), [0]
+    where: dict[str, list[int]] = defaultdict(list)  # places in the stack, by tag; "" for blocks
+
+    def pop() -> None:
+        tag = t.tags[stack.pop()]
+        where[tag].pop()
+        if tag in BLOCK:
+            where[""].pop()
+
     for kind, what, attrs in events(page):
         if kind == "text":
-            yield "text", what, stack[-1].weight, stack[-1].marks, _noise(stack[-1].weight) and stack[-1].content
-            continue
-        if kind == "open":
-            while len(stack) > 1 and stack[-1].tag in CLOSES.get(what, ()):
-                stack.pop()
-            marks = marks_of(what, attrs, stack[-1].article)
-            add = sum(map(weights.mark, marks))
-            # noise inside content stays noise: what an element takes away, those inside it don't give back
-            now = stack[-1].weight + add if stack[-1].weight >= 0 else min(stack[-1].weight, stack[-1].weight + add)
-            if what in PROSE and not _noise(now) and stack[-1].tag not in ("", "html", "body"):
-                stack[-1].content = True
-            yield "block" if what in BLOCK else "tag", what, 0.0, (), _noise(now) and stack[-1].content
+            t.items.append(("text", what, stack[-1]))
+        elif kind == "open":
+            while len(stack) > 1 and t.tags[stack[-1]] in CLOSES.get(what, ()):
+                pop()
+            t.items.append(("block" if what in BLOCK else "tag", what, stack[-1]))
             if what not in VOID and not attrs.rstrip().endswith("/"):
-                # noise is in content if what it stands in is
-                inside = stack[-1].content if _noise(now) else now > 0 or stack[-1].content
-                stack.append(Node(what, now, (*stack[-1].marks, *marks), stack[-1].article or what in ("article", "main"), inside))
+                t.tags.append(what)
+                t.parents.append(stack[-1])
+                t.marks.append(marks_of(what, attrs))
+                where[what].append(len(stack))
+                if what in BLOCK:
+                    where[""].append(len(stack))
+                stack.append(len(t.tags) - 1)
         else:
-            yield "block" if what in BLOCK else "tag", what, 0.0, (), _noise(stack[-1].weight) and stack[-1].content
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == what), 0)
-            if depth and (what in BLOCK or not any(n.tag in BLOCK for n in stack[depth + 1:])):
-                del stack[depth:]
+            t.items.append(("block" if what in BLOCK else "tag", what, stack[-1]))
+            depth = where[what][-1] if where[what] else 0
+            if depth and (what in BLOCK or not where[""] or where[""][-1] <= depth):
+                while len(stack) > depth:
+                    pop()
+    _add_structure(t)
+    return t
+
+
+def _add_structure(t: Tree) -> None:
+    """Marks of how an element stands among the others, which no name tells."""
+    n = len(t.tags)
+    words, linked, prose = [0] * n, [0] * n, [0] * n
+    in_link, article = [False] * n, [False] * n
+    for i in range(1, n):
+        in_link[i] = in_link[t.parents[i]] or t.tags[i] == "a"
+        article[i] = article[t.parents[i]] or t.tags[i] in ("article", "main")
+        prose[t.parents[i]] += t.tags[i] == "p"
+    for kind, what, i in t.items:
+        if kind == "text":
+            k = len(what.split())
+            words[i] += k
+            linked[i] += k * in_link[i]
+    for i in range(n - 1, 0, -1):
+        words[t.parents[i]] += words[i]
+        linked[t.parents[i]] += linked[i]
+    main = max((i for i in range(1, n) if t.tags[i] in ("article", "main")), key=lambda i: (words[i], -i), default=0)
+    above, up = {0}, main
+    while up:
+        above.add(up)
+        up = t.parents[up]
+    for i in range(1, n):
+        tag, parent, more = t.tags[i], t.parents[i], []
+        if article[parent] and tag in ("header", "footer"):
+            t.marks[i] = (f"<{tag} in article", *t.marks[i][1:])
+        if tag in BOXES and words[i] and 2 * linked[i] >= words[i]:
+            more.append("?links")
+        if tag == "div" and len(t.marks[i]) > 1 and prose[parent] > 1:
+            more.append("?named among paragraphs")
+        if main and parent in above and parent != main and i not in above and tag in BLOCK:
+            more.append("?beside the article")
+        if more:
+            t.marks[i] = (*t.marks[i], *more)
+
+
+def _noise(weight: float) -> bool:
+    return WORD_WEIGHT + weight <= 0
+
+
+def weigh(t: Tree, weights: Weights) -> tuple[list[float], list[bool]]:
+    """For each element the weight that it and those around it give to words, and whether it stands in content or holds
+    paragraphs of its own; what noise stands in says whether it counts in the scan."""
+    n = len(t.tags)
+    weight, content = [0.0] * n, [False] * n
+    for i in range(1, n):
+        above, add = weight[t.parents[i]], sum(map(weights.mark, t.marks[i]))
+        # noise inside content stays noise: what an element takes away, those inside it don't give back
+        weight[i] = above + add if above >= 0 else min(above, above + add)
+        if t.tags[i] in PROSE and not _noise(weight[i]) and t.tags[t.parents[i]] not in ("", "html", "body"):
+            content[t.parents[i]] = True
+    for i in range(1, n):
+        content[i] = content[t.parents[i]] or content[i] or weight[i] > 0 and not _noise(weight[i])
+    return weight, content
 
 
 def extract(page: str | None, weights: Weights) -> str:
     """The main text: blocks in page order, joined by a line end. Null, empty and textless pages: ''."""
+    t = parse(page or "")
+    weight, content = weigh(t, weights)
     items: list[tuple[str, float]] = []  # text, or "\n" where a block begins or ends, and weight
     best, best_at, run, run_from = 0.0, (0, 0), 0.0, 0
-    for kind, what, weight, _, neutral in _walk(page or "", weights):
+    for kind, what, i in t.items:
+        noise = _noise(weight[i])
         if kind == "text":
-            n = len(what.split())
             # words of one stretch have one weight, so its sum is taken at once
-            value = n * max(WORD_WEIGHT + weight, NOISE_WEIGHT)
-            items.append((what, WORD_WEIGHT + weight))
+            value = len(what.split()) * max(WORD_WEIGHT + weight[i], NOISE_WEIGHT)
+            items.append((what, WORD_WEIGHT + weight[i]))
         else:
             value = TAG_WEIGHT
             if kind == "block":
                 items.append(("\n", 0.0))
-            elif what in ("br", "wbr", "img", "input"):
-                items.append((" " if what != "wbr" else "", math.inf))
-        run += 0.0 if neutral else value
+            elif what == "br":
+                items.append((" ", math.inf))
+        run += 0.0 if noise and content[i] else value
         if run <= 0:
             run, run_from = 0.0, len(items)
         elif run > best:
             best, best_at = run, (run_from, len(items))
     blocks, now = [], []
-    for text, weight in [*items[best_at[0]:best_at[1]], ("\n", 0.0)]:
-        if text == "\n" and weight == 0.0:
-            block = " ".join(html_.unescape("".join(now)).split())
-            if block:
+    for text, value in [*items[best_at[0]:best_at[1]], ("\n", 0.0)]:
+        if text == "\n" and value == 0.0:
+            # references are those of one text node each
+            if block := " ".join("".join(map(decoded, now)).split()):
                 blocks.append(block)
             now = []
-        elif weight > 0:
+        elif value > 0:
             now.append(text)
     return "\n".join(blocks)
 
@@ -169,6 +256,8 @@ NOISE = ["nav", "nav.menu", "nav.breadcrumbs", "header", "header.site", "header.
          "div.comments", "div.comment", "section.comments", "div.replies", "div.reply", "div.responses", "div.disqus", "ol.commentlist", "ul.comments", "div.related", "div.recommended", "div.more", "div.popular", "div.trending",
          "div.menu", "ul.menu", "ul.nav", "div.navigation", "div.navbar", "div.topbar", "div.toolbar", "div.header", "div.footer", "div.copyright", "div.legal", "div.disclaimer", "div.pagination", "div.pager",
          "div.breadcrumb", "div.tags", "div.widget", "dialog", "menu", "button", "div.skip", "select", "fieldset", "label", "section.related", "section.newsletter", "aside.ad", "aside.related", "div.tracking", "div.paywall",
+         "div.werbung", "div.anzeige", "div.kommentar", "div.kommentare", "div.warenkorb", "div.hinweis", "div.teilen", "div.seitenleiste", "div.fusszeile", "div.kopfzeile", "div.publicite", "div.pub", "div.commentaire",
+         "div.commentaires", "div.partager", "div.avis", "div.panier", "div.publicidad", "div.anuncio", "div.comentario", "div.comentarios", "div.compartir", "div.aviso", "div.menú", "div.barra", "div.pie",
          "div.advertising", "div.adbox", "div.promoted", "div.notification", "div.toast", "div.rail", "div.secondary", "div.colophon", "div.links", "div.feedback", "div.discussion", "div.shoutbox"]
 ROLES = ["navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"]
 
@@ -184,8 +273,9 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
     rng, out = random.Random(seed), []
     for _ in range(n):
         words = lambda c, a, b: " ".join(f"{c}{rng.randrange(10**9)}" for _ in range(rng.randint(a, b)))
+        unknown = lambda known, tag: f"{tag}.x{rng.randrange(10**9)}" if rng.random() < UNKNOWN else rng.choice(known)
         noise = lambda: _element(
-            rng.choice(NOISE), rng.choice(["<ul>" + "".join(f'<li><a href="/x">{words("z", 1, 2)}</a></li>' for _ in range(rng.randint(2, 8))) + "</ul>", words("z", 3, 40), f'<p>{words("z", 5, 40)}</p>' * rng.randint(1, 3)]))
+            unknown(NOISE, "div"), rng.choice(["<ul>" + "".join(f'<li><a href="/x">{words("z", 1, 2)}</a></li>' for _ in range(rng.randint(2, 8))) + "</ul>", words("z", 3, 40), f'<p>{words("z", 5, 40)}</p>' * rng.randint(1, 3)]))
         parts = [rng.choice([f"<p>{words('a', 8, 60)}</p>", f"<h2>{words('a', 2, 6)}</h2>", f"<ul><li>{words('a', 3, 12)}</li><li>{words('a', 3, 12)}</li></ul>",
                              f"<blockquote>{words('a', 5, 20)}</blockquote>", f"<p><b>{words('a', 2, 5)}</b> {words('a', 5, 30)} <a href='y'>{words('a', 1, 3)}</a></p>",
                              f"<table><tr><td>{words('a', 2, 6)}</td></tr></table>", f"<div>{words('a', 5, 30)}</div>"]) for _ in range(rng.randint(3, 9))]
@@ -195,7 +285,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
         if rng.random() < 0.3:
             inner = f"<header>{inner[:inner.find('</h1>') + 5]}</header>{inner[inner.find('</h1>') + 5:]}"
         role = f' role="{rng.choice(ROLES)}"'
-        main = _element(rng.choice(CONTENT), inner)
+        main = _element(unknown(CONTENT, "div"), inner)
         around = rng.random()
         main = f"<div>{main}</div>" if around < 0.3 else f"<section>{main}</section>" if around < 0.4 else main
         page = "".join(noise() for _ in range(rng.randint(1, 4))) + _element("div", words("z", 3, 20), role) * (rng.random() < 0.3) + main + "".join(noise() for _ in range(rng.randint(1, 4)))
@@ -209,21 +299,24 @@ def learn(pages: list[str]) -> Weights:
     bad: dict[str, float] = defaultdict(float)
     for page in pages:
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for kind, text, _, marks, _ in _walk(page, Weights()):
+        t = parse(page)
+        for kind, text, i in t.items:
             if kind == "text":
                 words = text.split()
-                for m in marks:
-                    seen[m][0] += sum(w[0] == "a" for w in words)
-                    seen[m][1] += sum(w[0] == "z" for w in words)
+                while i:
+                    for m in t.marks[i]:
+                        seen[m][0] += sum(w[0] == "a" for w in words)
+                        seen[m][1] += sum(w[0] == "z" for w in words)
+                    i = t.parents[i]
         for m, (a, z) in seen.items():
             if a + z:
                 good[m] += a / (a + z)
                 bad[m] += z / (a + z)
-    plain = {"<html", "<body", "<div", "<p", "<ul", "<li", "<a", "<section", "<span", "<b", "<table", "<tr", "<td", "<h1", "<h2", "<blockquote"}
     weights = {}
     for m in good:
-        w = math.log((good[m] + 0.5) / (bad[m] + 0.5))
-        if m not in plain:
+        # plain elements say nothing by themselves, nor do names that hardly occur
+        if m not in PLAIN and good[m] + bad[m] >= LEAST_PAGES:
+            w = math.log((good[m] + 0.5) / (bad[m] + 0.5))
             # a mark found around noise only outweighs all others
             weights[m] = -8.0 if good[m] < 0.05 * bad[m] else max(0.2, min(w, 2.0)) if w > 0 else max(w, -8.0)
     return Weights(weights)
@@ -231,7 +324,8 @@ def learn(pages: list[str]) -> Weights:
 
 def main_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """`pages` with text and n_chars (code points). Null html has text ''. Other columns pass through; ones named
-    text or n_chars are replaced. Each row is judged alone, so ties and repeated rows need no care."""
+    text or n_chars are replaced. Each row is judged alone, so ties and repeated rows need no care; the time that a page
+    takes grows with its length only. An empty table gives an empty result."""
     small_batches(pages.sparkSession)
     w = weights or learn(labelled_pages())
 
