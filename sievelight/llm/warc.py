@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import gzip
-import hashlib
-import json
 import uuid
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,8 @@ from .common import small_batches, small, spill, shared_dir, table
 
 #: A file is closed when it holds this much, so that a file is a bounded partition for readers.
 FILE_BYTES = 32 << 20
+#: Files of a manifest that one task reads.
+TASK_FILES = 4
 #: Shorter payloads are never replaced by a reference.
 REVISIT_BYTES = 100
 _CRLF = b"\r\n"
@@ -50,7 +51,7 @@ def _uri(text: str | None) -> str | None:
 def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     common = {"WARC-Record-ID": record_id(page_id), "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Target-URI": _uri(url),
-              "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha256:{digest}", "X-Payload-Length": str(len(payload))}
+              "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha256:{digest}"}
     if refers_to is None:
         return record({"WARC-Type": "response", **common}, head + payload)
     return record({"WARC-Type": "revisit", **common, "WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_id(refers_to)}, head)
@@ -92,13 +93,15 @@ def _writing(folder: str, compress: bool):
     return run
 
 
-def archive(pages: DataFrame, folder: str, compress: bool = False) -> DataFrame:
-    """Writes a record per row of `pages` to files in a shared folder; returns their manifest (path, records, bytes).
+def archive(pages: DataFrame, folder: str, compress: bool = False) -> str:
+    """Writes a record per row of `pages` to files in a shared folder; returns the folder of their manifest, a table of
+    (path, records, bytes).
 
     Of equal payloads of at least REVISIT_BYTES the smallest page_id is a response and the others revisit it; rows
     that repeat this id are responses too. Null html is an empty payload, a null url leaves the header out, null
     ids are written as empty and never named by a revisit. Files of lost or repeated tasks stay unnamed by the
-    manifest and are not read.
+    manifest and are not read. Payloads of any length are written whole; columns other than page_id, url and html are left
+    out, so none can clash. An empty table gives an empty manifest.
     """
     small_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
@@ -108,20 +111,38 @@ def archive(pages: DataFrame, folder: str, compress: bool = False) -> DataFrame:
     b = a.join(small(first), "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")))
     open_folder, path = open_at(folder)
     open_folder.create_dir(path, recursive=True)
-    return spill(b.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_writing(folder, compress), "path string, records long, bytes long"), "warc-manifest")
+    manifest = f"{folder.rstrip('/')}-manifest"
+    b.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_writing(folder, compress), "path string, records long, bytes long").write.parquet(manifest)
+    return manifest
 
 
 class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Archives by name, or the rows first..end-1 of a part of a manifest, which the task itself reads."""
+
+    def __init__(self, paths: list[str] = (), part: str | None = None, first: int = 0, end: int = 0):
+        self.paths, self.part, self.first, self.end = list(paths), part, first, end
+
+    def names(self) -> list[str]:
+        if self.part is None:
+            return self.paths
+        where, path = open_at(self.part)
+        with where.open_input_file(path) as f:
+            return pq.read_table(f, columns=["path"]).slice(self.first, self.end - self.first).column("path").to_pylist()
+
+
+def _listed(folder: str, *ends: str) -> list[str]:
+    where, path = open_at(folder)
+    scheme = folder.split("://")[0] if "://" in folder else "file"
+    found = [f for f in where.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(ends)]
+    return [f"{scheme}://{f.path}" for f in sorted(found, key=lambda f: f.path)]
 
 
 class WarcReader(DataSourceReader):
-    """Options: manifest (JSON list of files) or path (a folder); payload = false leaves payloads undecoded."""
+    """Options: manifest (folder of the table that `archive` returns) or path (a folder of archives); payload = false leaves
+    payloads undecoded. Archives of a manifest are never listed on the driver, which sees its parts and their row counts."""
 
     def __init__(self, options: dict):
-        self.paths = json.loads(options["manifest"]) if "manifest" in options else None
-        self.path = options.get("path")
+        self.manifest, self.path = options.get("manifest"), options.get("path")
         self.with_payload = options.get("payload", "true") != "false"
         self.wanted: list[tuple[str, str, object]] = []
 
@@ -141,13 +162,15 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        paths = self.paths
-        if paths is None:
-            where, path = open_at(self.path)
-            found = [f for f in where.get_file_info(fs.FileSelector(path)) if f.base_name.endswith((".warc", ".warc.gz"))]
-            scheme = self.path.split("://")[0] if "://" in self.path else "file"
-            paths = [f"{scheme}://{f.path}" for f in sorted(found, key=lambda f: f.path)]
-        return [Files([p]) for p in paths] or [Files([])]
+        if self.manifest is None:
+            return [Files([p]) for p in _listed(self.path, ".warc", ".warc.gz")] or [Files()]
+        out = []
+        for part in _listed(self.manifest, ".parquet"):
+            where, path = open_at(part)
+            with where.open_input_file(path) as f:
+                n = pq.read_metadata(f).num_rows
+            out += [Files(part=part, first=i, end=min(n, i + TASK_FILES)) for i in range(0, n, TASK_FILES)]
+        return out or [Files()]
 
     def _wants(self, head: dict[str, str]) -> bool:
         for name, how, value in self.wanted:
@@ -158,7 +181,7 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: Files):
-        for p in partition.paths:
+        for p in partition.names():
             where, path = open_at(p)
             with where.open_input_file(path) as raw:
                 stream = gzip.GzipFile(fileobj=raw) if p.endswith(".gz") else raw
@@ -183,27 +206,32 @@ class WarcReader(DataSourceReader):
             head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
             length, buffer = int(head["content-length"]), buffer[cut + 4:]
             total = length + 4
-            if self._wants(head) and self.with_payload and head.get("warc-type") == "response":
-                if len(buffer) < total:
-                    more = stream.read(total - len(buffer))
-                    at += len(more)
-                    buffer += more
-                block, buffer = buffer[:length], buffer[total:]
-                yield self._row(head, block[block.find(_CRLF * 2) + 4:])
-            else:
-                if len(buffer) >= total:
-                    buffer = buffer[total:]
-                else:  # the payload is neither read nor decoded
-                    skip, buffer = total - len(buffer), b""
-                    at += skip
-                    stream.seek(at)
-                if self._wants(head):
-                    yield self._row(head, None)
-
-    def _row(self, head: dict[str, str], payload: bytes | None) -> tuple:
-        digest, length = head.get("warc-payload-digest"), head.get("x-payload-length")
+            wanted, block = self._wants(head), b""
+            # a wanted record's HTTP header is read; its payload only if asked for
+            need = total if wanted and self.with_payload and head.get("warc-type") == "response" else 0
+            while len(buffer) < need or wanted and not need and (block := buffer[:length]).find(_CRLF * 2) < 0 and len(buffer) < total:
+                more = stream.read(max(need - len(buffer), 1 << 12) if need else min(1 << 12, total - len(buffer)))
+                if not more:
+                    break
+                at += len(more)
+                buffer += more
+            block = buffer[:length]
+            if len(buffer) >= total:
+                buffer = buffer[total:]
+            else:  # the payload is neither read nor decoded
+                at += total - len(buffer)
+                stream.seek(at)
+                buffer = b""
+            if wanted:
+                http, _, payload = block.partition(_CRLF * 2)
+                yield self._row(head, http, payload if need else None)
+
+    def _row(self, head: dict[str, str], http: bytes, payload: bytes | None) -> tuple:
+        digest = head.get("warc-payload-digest")
+        # a revisit repeats the header of the response that it stands for, and with it the payload's length
+        length = next((int(v) for k, _, v in (x.partition(b":") for x in http.split(_CRLF)) if k.strip().lower() == b"content-length" and v.strip().isdigit()), None)
         return (head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"), digest and digest.removeprefix("sha256:"),
-                head.get("warc-refers-to"), None if length is None else int(length), head, payload)
+                head.get("warc-refers-to"), length, head, payload)
 
 
 class WarcSource(DataSource):
@@ -218,23 +246,28 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
 
-def read(spark: SparkSession, paths: list[str] | str, payload: bool = True) -> DataFrame:
-    """Records of WARC files. Filters on record_type and header columns are pushed to the reader."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read(spark: SparkSession, folder: str, payload: bool = True, manifest: bool = False) -> DataFrame:
+    """Records of the WARC files of a folder, or of those that a written manifest names. Filters on record_type and header
+    columns are pushed to the reader. The session must allow push-down to Python sources: see `pushing`."""
     spark.dataSource.register(WarcSource)
     r = spark.read.format("sievelight_warc").option("payload", str(payload).lower())
-    return r.load(paths) if isinstance(paths, str) else r.option("manifest", json.dumps(paths)).load()
+    return r.option("manifest", folder).load() if manifest else r.load(folder)
+
+
+def pushing(spark: SparkSession) -> None:
+    """Lets Spark hand filters to Python data sources. The setting is read when a query is planned, so it stays on."""
+    if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") != "true":
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = archive(table(spark, sf_dir, "pages"), f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
-    files = sorted(r.path for r in made.select("path").collect())
+    pushing(spark)
+    manifest = archive(table(spark, sf_dir, "pages"), f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
     page = lambda c: F.when(F.col(c) != "<urn:page:>", F.regexp_extract(c, "^<urn:page:(.*)>$", 1)).cast("long")
-    got = read(spark, files)
-    full = got.filter("record_type = 'response'").select(page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
-                                                         F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = read(spark, files, payload=False).filter("record_type = 'revisit'").select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", page("refers_to").alias("refers_to"))
-    return full.unionByName(again)
+    # one pass over the archives: a response's length and digest are those of what was read, a revisit's those of its headers
+    got = read(spark, manifest, manifest=True).filter(F.col("record_type").isin("response", "revisit"))
+    return got.select(page("record_id").alias("page_id"), F.coalesce(F.octet_length("payload"), F.col("payload_length")).cast("long").alias("payload_bytes"),
+                      F.coalesce(F.sha2("payload", 256), F.col("payload_digest")).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
 
 
 OP7_SQL = """
