@@ -154,7 +154,7 @@ def features(text: str | None, model: Model, scanner: re.Pattern) -> list[float]
         for m in _WORD.finditer(low, begin, end):
             symbol = symbol_of(m[0], model)
             state, e = GRAMMAR.arcs[state][symbol]
-            last = REACH if symbol == INSULT else last and last - 1
+            last = REACH + 1 if symbol == INSULT else last and last - 1
             if e == SUSPECT:
                 suspect = True
             elif e >= 0:
