@@ -1,9 +1,11 @@
 """Operators against brute force and their SQL, and the awkward inputs that each must bear."""
 
 import collections
+import itertools
 import html
 import os
 import re
+import time
 import zlib
 
 import duckdb
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sievelight.llm import chat, copies, extraction, mixing, neighbours, packing, quality, sharding, simhash, toxicity, warc
+from sievelight.llm import chat, common, copies, extraction, mixing, neighbours, packing, quality, sharding, simhash, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, g string, score string, fp string"
@@ -186,6 +188,31 @@ def test_packing(awkward, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_tokens_of_long_runs():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    path, tok = packing.vocabulary(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(6)
+    parts = [*" \n\t\u3000\x85\xa0\x1cab1!é<|>'s", "<|endoftext|>", " " * 70, "\n" * 65, " " * 66, "x\x1d"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(600)] + [c * 20_000 + e for c in " \na!1é\u3000" for e in ("", "b", " b")]
+    for t in texts:
+        assert packing.token_ids(t, path).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 0], t[:80]
+    for c in " \na!\u3000":
+        assert len(packing.token_ids(c * 1_000_000 + "b", path)) > 1_000
+
+
+def test_islands_beat_best_fit_on_triplets(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(500, 820, (2, 100)).tolist()
+    lengths = [x for i, j in zip(a, b) for x in (i, j, 2048 - i - j)]
+    plain = packing.Packing(lengths, 2048).best_fit(sorted(range(300), key=lambda i: -lengths[i]))
+    rows = packing.islands(spark.createDataFrame([(i, n, 0) for i, n in enumerate(lengths)], "uid long, length long, cell long"), 2048).collect()
+    assert sorted(r.uid for r in rows) == list(range(300)) and len({r.sequence_id for r in rows}) < len(plain.bins)
+    one = packing.evolve(lengths, 2048, 1)
+    assert packing.evolve(lengths, 2048, 2, [one.bins, packing.evolve(lengths, 2048, 3).bins]).fitness >= one.fitness > plain.fitness
+
+
 def test_evolution_is_no_worse_than_best_fit():
     rng = np.random.default_rng(5)
     lengths = rng.integers(300, 900, 300).tolist()
@@ -215,6 +242,26 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0)).count() == 0 and neighbours.search(df.filter("vec_id < 3")).count() == 2
 
 
+def test_neighbours_of_clustered_and_far_off_vectors(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 24))[rng.integers(0, 40, 3000)] + 0.1 * rng.normal(size=(3000, 24)) + 1e4
+    df = spark.createDataFrame([(i, v.tolist(), 5) for i, v in enumerate(x)] + [(i, [1.0, 2.0], 5) for i in range(5000, 5100)], "vec_id long, embedding array<double>, rank int")
+    got = collections.defaultdict(set)
+    for r in neighbours.search(df).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len(got[q] & set(np.lexsort((np.arange(3000), d))[:10].tolist()))
+    assert sorted(got) == list(range(0, 3000, 100)) and hit >= 0.95 * 300
+
+
+def test_windows_grow_slower_than_rows():
+    share = [neighbours.CURVES * neighbours.window(n) / n for n in (5_000, 10_000, 100_000, 10**7, 10**9)]
+    assert share == sorted(share, reverse=True) and share[0] < 1 and share[-1] < 0.1
+
+
 def test_hilbert_is_a_walk():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = neighbours.hilbert(cells, 3)
@@ -255,18 +302,56 @@ def test_sharding_of_groups_only(spark):
     assert sum(len(s) > 1 for s in where.values()) < 24
 
 
-def test_fit_keeps_groups_whole():
+def _least_cut(sizes, quota):
+    """Fewest cuts of any sharding, by search: groups whole or in parts over shards with these quotas."""
+    best = [10**9]
+
+    def go(i, room, cuts):
+        if cuts >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = cuts
+            return
+        for k in range(1, len(room) + 1):
+            for where in itertools.combinations(range(len(room)), k):
+                if sum(room[s] for s in where) >= sizes[i] and all(sum(room[s] for s in where if s != w) < sizes[i] for w in where):
+                    left, now = sizes[i], list(room)
+                    for s in sorted(where, key=lambda s: now[s]):  # fill the smaller rooms
+                        take = min(left, now[s])
+                        now[s], left = now[s] - take, left - take
+                    go(i + 1, now, cuts + k - 1)
+    go(0, list(quota), 0)
+    return best[0]
+
+
+def test_cut_links_against_brute_force(spark):
     rng = np.random.default_rng(3)
-    for _ in range(50):
-        counts = {(int(h), int(n)): int(rng.integers(1, 40)) for h in rng.integers(-1, 6, 5) for n in rng.integers(2, 30, 4)}
-        total = sum(n * c for (_, n), c in counts.items())
-        room = sharding.quotas(total, 6)
-        held, whole, cut = [0] * 6, 0, set()
-        for h, n, first, end, s, k in sharding.fit(counts, room):
-            held[s] += (end - first) * k
-            whole += (end - first) * (n == k)
-            cut |= {(h, n, first)} if n != k else set()
-        assert held == room and len(cut) < 6 and whole + len(cut) == sum(counts.values())
+    for _ in range(4):
+        sizes = rng.integers(2, 9, 6).tolist()
+        texts = [f"group {i}" for i, n in enumerate(sizes) for _ in range(n)] + [f"one {i}" for i in range(int(rng.integers(0, 6)))]
+        at = sharding.placed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3)
+        r = sharding.cut_links(at, 3).first()
+        best = _least_cut(sorted(sizes, reverse=True), sharding.quotas(len(texts), 3))
+        assert r.links == sum(sizes) - 6 and r.least <= best <= r.cut < best + 3
+
+
+def test_places_are_those_of_one_sort(spark, monkeypatch):
+    monkeypatch.setattr(common, "RANGE_ROWS", 40)
+    rng = np.random.default_rng(4)
+    rows = [(None if k == 3 else f"k{k}", int(v), i) for i, (k, v) in enumerate(zip(rng.choice([0, 0, 0, 1, 2, 3], 900), rng.integers(0, 30, 900)))]
+    df = spark.createDataFrame(rows, "k string, v long, i long")
+    at = collections.defaultdict(list)
+    for r in common.numbered(df, ["k"], ["v", "i"], "place").collect():
+        at[r.k].append((r.place, r.v, r.i))
+    for k, got in at.items():
+        assert [(v, i) for _, v, i in sorted(got)] == sorted((v, i) for kk, v, i in rows if kk == k) and sorted(p for p, _, _ in got) == list(range(len(got)))
+
+
+def test_mixing_does_not_depend_on_ranges(spark, docs, monkeypatch):
+    rows = lambda: sorted((r.doc_id, r.taken) for r in mixing.op3_mixing(spark, SF).collect())
+    whole = rows()
+    monkeypatch.setattr(common, "RANGE_ROWS", 20)
+    assert rows() == whole == sorted((r.doc_id, r.taken) for r in mixing.mix(docs).collect())
 
 
 def test_sharding_beside_a_hot_group(spark):
@@ -281,19 +366,24 @@ def test_warc(spark, tmp_path, compress):
     big = "<p>" + "x" * 200
     pages = spark.createDataFrame([(3, "http://a/\r\nX: é", big, 1), (1, "http://b", big, 2), (2, None, None, 3), (None, "u", big, 4), (4, "v", "", 5), (5, "w", "<p>\r\n\r\nWARC/1.1\r\n\r\n" + "y" * 200_000, 6)], "page_id long, url string, html string, payload int")
     made = warc.archive(pages, f"file://{tmp_path}/w", compress)
-    files = [r.path for r in made.collect()]
-    got = {r.record_id: r for r in warc.read(spark, files).collect()}
+    warc.pushing(spark)
+    got = {r.record_id: r for r in warc.read(spark, made, manifest=True).collect()}
     assert got["<urn:page:3>"].refers_to == "<urn:page:1>" and got["<urn:page:1>"].record_type == "response" and bytes(got["<urn:page:1>"].payload) == big.encode()
     assert bytes(got["<urn:page:2>"].payload) == b"" and got["<urn:page:2>"].target_uri is None and bytes(got["<urn:page:5>"].payload).endswith(b"y" * 200_000) and len(got) == 6
-    assert got["<urn:page:>"].record_type == "revisit"
-    some = warc.read(spark, files).filter("record_type = 'revisit' and target_uri like 'http%'")
-    assert some.count() == 1 and warc.read(spark, f"file://{tmp_path}/w", payload=False).filter("payload is not null").count() == 0
+    assert got["<urn:page:>"].record_type == "revisit" and got["<urn:page:>"].payload is None and got["<urn:page:>"].payload_length == len(big)
+    some = warc.read(spark, made, manifest=True).filter("record_type = 'revisit' and target_uri like 'http%'")
+    assert some.count() == 1
+    bare = {r.record_id: r for r in warc.read(spark, f"file://{tmp_path}/w", payload=False).collect()}
+    assert all(bare[i].payload is None and bare[i].payload_length == got[i].payload_length for i in got)
+    assert got["<urn:page:5>"].payload_length == len(got["<urn:page:5>"].payload)
+    none = warc.archive(pages.limit(0), f"file://{tmp_path}/none", compress)
+    assert warc.read(spark, none, manifest=True).count() == 0
 
 
 def test_pushdown_tests_headers_before_payloads():
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
-    r = warc.WarcReader({"manifest": "[]"})
+    r = warc.WarcReader({"path": "x"})
     assert len(list(r.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("payload_length",), 3)]))) == 1
     assert r._wants({"warc-type": "revisit"}) and not r._wants({"warc-type": "response"})
 
@@ -311,6 +401,12 @@ def test_chat(spark):
     assert chat.digest(chat.examples(df.limit(0))).count() == 0
 
 
+def test_a_long_conversation(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} <|end|>") for i in range(2_000)]
+    d = chat.digest(chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert d.n_turns == 2_000 and d.loss_chars == sum(len(t) for _, i, _, t in rows if i % 2)
+
+
 def test_toxicity(spark, docs, labels, awkward, empty):
     model = toxicity.Model(stems=("idiot",))
     scan = model.scanner()
@@ -318,12 +414,50 @@ def test_toxicity(spark, docs, labels, awkward, empty):
     assert plain > negated and toxicity.features("nothing here. said he", model, scan) == [0.0] * toxicity.N_FEATURES
     assert toxicity.features("he said you idiot", model, scan)[5] > 0
     assert toxicity.features("First. he said " + "word " * 5_000 + "idiot", model, scan)[4] > 0
+    weak = toxicity.Model(stems=("idiot",), weak=("rot",))
+    scan = weak.scanner()
+    of = lambda t: toxicity.features(t, weak, scan)
+    assert not any(of("some rot here. nothing else")) and of("you rot here")[toxicity.WEAK_AT] > 0 and of("idiot and rot")[toxicity.WEAK_AT + 1] > 0
+    assert of("some rot. more rot")[toxicity.AGAIN] > 0 and not any(of("rotten. fine")[:toxicity.AGAIN])
     learned = toxicity.train(docs, labels)
     out = toxicity.score(awkward, learned).collect()
     assert len(out) == len(AWKWARD) and all(0 <= r.score <= 1 for r in out) and toxicity.score(empty, learned).count() == 0
     assert toxicity.train(docs, labels.limit(0)) == toxicity.Model()
 
 
+def test_grammar_against_a_second_reading():
+    """Every emission, told from the words before it in the clause instead of a state."""
+    model = toxicity.Model(stems=("idiot",), weak=("rot",))
+    scan, rng = model.scanner(), np.random.default_rng(8)
+    words = ["idiot", "rotten", "kill", "you", "not", "said", "the", "sky", "."]
+    for _ in range(2_000):
+        text = " ".join(rng.choice(words, rng.integers(1, 25)))
+        want = collections.Counter()
+        suspects = 0
+        for clause in text.split("."):
+            seen, emitted, suspect = clause.split(), 0, False
+            for i, w in enumerate(seen):
+                near = lambda x: x in seen[max(0, i - toxicity.REACH):i]  # noqa: B023, E731
+                abusive = any(x in ("idiot", "kill", "rotten") for x in seen[:i])
+                if w in ("idiot", "kill"):
+                    want[near("you") + 2 * near("not") + 4 * ("said" in seen[:i]) + 8 * (w == "kill")] += 1
+                elif w == "rotten" and (near("you") or abusive):
+                    want[toxicity.WEAK_AT + (0 if not abusive else 1 + near("you"))] += 1
+                elif w == "rotten":
+                    suspect = True
+                    continue
+                else:
+                    want[toxicity.AFTER] += w == "you" and "idiot" in seen[max(0, i - toxicity.REACH):i]
+                    continue
+                emitted += 1
+            suspects += suspect
+            want[toxicity.MANY] += emitted > 1
+        got = toxicity.features(text, model, scan)
+        if suspects > 1:
+            want[toxicity.AGAIN] = suspects - 1
+        assert got[:toxicity.DENSE] == pytest.approx([np.log1p(want[i]) for i in range(toxicity.DENSE)]), text
+
+
 def test_toxicity_held_out(spark):
     d = spark.createDataFrame([(i, f"{'you are an idiot and a moron' if i % 5 == 0 else 'words of the'} text {i} with some filler") for i in range(600)], "doc_id long, text string")
     lab = d.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
@@ -346,6 +480,26 @@ def test_extraction(spark):
     assert [r.n_chars for r in extraction.main_text(odd).orderBy("page_id").collect()] == [0, 299_999]
 
 
+@pytest.mark.parametrize("page", ["<a '" * 8_000, "<a " * 8_000, "<div>" * 8_000 + "</b>" * 8_000, "<svg>" * 8_000, '<a b="' * 8_000, "<!--" * 8_000, "<p>&#" + "9" * 9_000, "<b>" * 8_000 + "</i>" * 8_000, "<p>" * 8_000, "<a class=" * 8_000])
+def test_hostile_pages_take_linear_time(page):
+    w = extraction.Weights()
+    took = []
+    for k in (4, 16):
+        at = time.process_time()
+        extraction.extract(page * k, w)
+        took.append(time.process_time() - at)
+    assert took[1] < 8 * took[0] + 0.2
+
+
+def test_extraction_reads_text_nodes():
+    w = extraction.learn(extraction.labelled_pages())
+    assert extraction.extract("<article><p>AT&<b>amp;</b>T &lt;x&gt; foo<img>bar a<br>b &#0065;&#99999999999;</p></article>", w) == "AT&amp;T <x> foobar a b A\ufffd"
+    run = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    for name in ("warenkorb", "kommentare", "x81"):
+        page = f"<body><nav>{run('n', 20)}</nav><div class=post><h1>T</h1><p>{run('a', 30)}</p><div class='{name}'>{run('z', 20)}</div><p>{run('b', 30)}</p><div class='{name}'><p>{run('z', 9)}</p></div></div></body>"
+        assert extraction.extract(page, w) == f"T\n{run('a', 30)}\n{run('b', 30)}"
+
+
 def test_extraction_of_articles_with_long_noise():
     w = extraction.learn(extraction.labelled_pages())
     run = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
@@ -368,3 +522,14 @@ def test_pipeline(spark):
         assert docs.columns == columns
         docs = corpus_pipeline.spill(docs, "test")
     assert docs.count() > 0 and corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, empty):
+    import corpus_pipeline
+
+    for df in (awkward, empty):
+        docs = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.spill(stage(spark, docs, SF), "test")
+            assert docs.columns == df.columns
+        corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
