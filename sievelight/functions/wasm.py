@@ -1,14 +1,19 @@
-"""Bytes of WebAssembly modules to nested rows. The only row-wise Python of the engine; everything after it is native."""
+"""Bytes of WebAssembly modules to nested rows. The only row-wise Python of the engine; everything after it is native.
+
+Bodies are read by one loop over the bytes that counts opcodes and keeps what control flow needs; operands are only read
+where a listing is asked for.
+"""
 
 from __future__ import annotations
 
 import bisect
 import struct
-from collections import Counter
+from decimal import Decimal
 
 # Fixed values of the binary format.
 MAGIC, VERSION = b"\0asm", b"\x01\0\0\0"
-EXTERN_KINDS = ("func", "table", "memory", "global", "tag")
+EXTERN_KINDS = ("func", "table", "memory", "global")
+VALUE_TYPES = {0x7F: "i32", 0x7E: "i64", 0x7D: "f32", 0x7C: "f64", 0x7B: "v128", 0x70: "funcref", 0x6F: "externref"}
 _LOADS = "i32.load i64.load f32.load f64.load i32.load8_s i32.load8_u i32.load16_s i32.load16_u i64.load8_s i64.load8_u i64.load16_s i64.load16_u i64.load32_s i64.load32_u"
 _STORES = "i32.store i64.store f32.store f64.store i32.store8 i32.store16 i64.store8 i64.store16 i64.store32"
 _INT_TESTS = "eqz eq ne lt_s lt_u gt_s gt_u le_s le_u ge_s ge_u"
@@ -45,7 +50,21 @@ def opcode_table() -> dict[int, tuple[str, str]]:
 
 
 OPCODES = opcode_table()
-MAX_INSTRUCTIONS, MAX_FUNCTIONS, MAX_NESTING = 2_000_000, 2_000, 256
+#: Instructions of a module that are decoded, functions whose rows are stored, open frames that a branch can name.
+MAX_INSTRUCTIONS, MAX_FUNCTIONS, MAX_OPEN = 2_000_000, 2_000, 256
+CATEGORIES = ("control", "call", "variable", "memory", "integer", "bitwise", "float", "simd", "atomic", "reference", "other")
+# Integer operations that count as bitwise, and what names of vectors begin with.
+BITWISE = ("and", "or", "xor", "shl", "shr_s", "shr_u", "rotl", "rotr", "clz", "ctz", "popcnt")
+VECTORS = ("v128.", "i8x16.", "i16x8.", "i32x4.", "i64x2.", "f32x4.", "f64x2.")
+
+
+def category(name: str) -> str:
+    """First match decides; constants, compares and conversions of integers are integer operations."""
+    kind, _, op = name.partition(".")
+    tests = (("simd", name.startswith(VECTORS)), ("atomic", "atomic" in name), ("reference", kind == "ref" and op), ("call", name in ("call", "call_indirect")),
+             ("variable", kind in ("local", "global") and op), ("memory", kind in ("memory", "data", "table", "elem") and op or ".load" in name or ".store" in name),
+             ("bitwise", kind in ("i32", "i64") and op.split(".")[0] in BITWISE), ("integer", kind in ("i32", "i64") and op), ("float", kind in ("f32", "f64")), ("other", not name))
+    return next((c for c, holds in tests if holds), "control")
 
 
 class Bad(Exception):
@@ -55,12 +74,12 @@ class Bad(Exception):
 class Bytes:
     """Bounds-checked cursor."""
 
-    def __init__(self, data: bytes, at: int = 0, end: int | None = None):
-        self.data, self.at, self.end = data, at, len(data) if end is None else end
+    def __init__(self, data: bytes, at: int = 0):
+        self.data, self.at = data, at
 
     def take(self, n: int) -> bytes:
-        if n < 0 or self.at + n > self.end:
-            raise Bad(f"needs {n} bytes at {self.at}, {self.end - self.at} left")
+        if n < 0 or self.at + n > len(self.data):
+            raise Bad(f"needs {n} bytes at {self.at}, {len(self.data) - self.at} left")
         self.at += n
         return self.data[self.at - n:self.at]
 
@@ -87,22 +106,54 @@ class Bytes:
         return value - (1 << bits) if value >> (bits - 1) else value
 
     def name(self) -> str:
-        return self.take(self.u32()).decode("utf-8", "replace")
+        return self.take(self.u32()).decode("utf-8", "replace").removeprefix("\ufeff")
 
     def count(self) -> int:
         n = self.u32()
-        if n > self.end - self.at:
-            raise Bad(f"vector of {n} in {self.end - self.at} bytes")
+        if n > len(self.data) - self.at:
+            raise Bad(f"vector of {n} in {len(self.data) - self.at} bytes")
         return n
 
+    def vector(self, read) -> list:
+        return [read() for _ in range(self.count())]
+
+    def value_type(self) -> str:
+        return VALUE_TYPES.get(self.byte(), "?")
+
+    def limits(self) -> dict:
+        flags = self.byte()
+        return {"min": self.u32(), "max": self.u32() if flags & 1 else None, "shared": bool(flags & 2)}
+
+
+def number(x: float) -> str:
+    """The shortest text of a double that reads back the same, in the style of scripts: whole ones without a point, exponents
+    from 1e21 and below 1e-6."""
+    if x != x or x in (float("inf"), float("-inf")):
+        return "NaN" if x != x else "Infinity" if x > 0 else "-Infinity"
+    if not x:
+        return "0"
+    negative, figures, exponent = Decimal(repr(x)).as_tuple()
+    digits = "".join(map(str, figures)).rstrip("0")
+    point = len(figures) + exponent  # digits before the point
+    if len(digits) <= point <= 21:
+        out = digits.ljust(point, "0")
+    elif 0 < point <= 21:
+        out = f"{digits[:point]}.{digits[point:]}"
+    elif -6 < point <= 0:
+        out = f"0.{'0' * -point}{digits}"
+    else:
+        out = f"{digits[0]}{'.' * (len(digits) > 1)}{digits[1:]}e{point - 1:+d}"
+    return "-" * negative + out
+
 
-def instruction(r: Bytes) -> tuple[str, list]:
+def instruction(r: Bytes) -> tuple[str, list[str]]:
+    """Name and operands, as text."""
     code = r.byte()
     if code == 0xFC:
         sub = r.u32()
         if sub >= len(_BULK):
             raise Bad(f"unknown 0xfc sub-opcode {sub}")
-        return _BULK[sub], [r.u32() for _ in range(_BULK_OPERANDS.get(sub, 0))]
+        return _BULK[sub], [str(r.u32()) for _ in range(_BULK_OPERANDS.get(sub, 0))]
     if code == 0xFD:
         sub, args = r.u32(), []
         if sub <= 11 or 84 <= sub <= 93:
@@ -110,213 +161,368 @@ def instruction(r: Bytes) -> tuple[str, list]:
         if sub in (12, 13):
             r.take(16)
         elif 21 <= sub <= 34 or 84 <= sub <= 91:
-            args.append(r.byte())
+            args.append(str(r.byte()))
         return _SIMD.get(sub, f"v128.op_{sub}"), args
     if code == 0xFE:
         sub = r.u32()
-        return _ATOMIC.get(sub, f"atomic.op_{sub}"), [r.byte()] if sub == 3 else _memarg(r)
+        if sub == 3:
+            r.byte()
+            return _ATOMIC[sub], []
+        return _ATOMIC.get(sub, f"atomic.op_{sub}"), _memarg(r)
     if code not in OPCODES:
         raise Bad(f"unknown opcode 0x{code:02x} at {r.at - 1}")
     name, kind = OPCODES[code]
-    if kind == "none":
-        return name, []
-    return name, _IMMEDIATES[kind](r)
+    return name, [] if kind == "none" else _IMMEDIATES[kind](r)
 
 
-def _memarg(r: Bytes) -> list[int]:
+def _memarg(r: Bytes) -> list[str]:
     align = r.u32()
-    return [align, r.u32()] + ([r.u32()] if align & 0x40 else [])
+    return [str(x) for x in (align, r.u32(), *([r.u32()] if align & 0x40 else []))]
+
+
+def _block_type(r: Bytes) -> list[str]:
+    if r.at >= len(r.data):
+        raise Bad("the module ends in a block type")
+    first = r.data[r.at]
+    return [str(r.byte() if first == 0x40 or 0x6F <= first <= 0x7F else r.signed(32))]
 
 
 _IMMEDIATES = {
-    "u32": lambda r: [r.u32()], "u32u32": lambda r: [r.u32(), r.u32()], "block": lambda r: [r.signed(64)], "byte": lambda r: [r.byte()], "memarg": _memarg,
-    "br_table": lambda r: [r.u32() for _ in range(r.count() + 1)], "select_t": lambda r: [r.byte() for _ in range(r.count())],
-    "i32": lambda r: [r.signed(32)], "i64": lambda r: [r.signed(64)], "f32": lambda r: [struct.unpack("<f", r.take(4))[0]], "f64": lambda r: [struct.unpack("<d", r.take(8))[0]],
+    "u32": lambda r: [str(r.u32())], "u32u32": lambda r: [str(r.u32()), str(r.u32())], "block": _block_type, "byte": lambda r: [str(r.byte())], "memarg": _memarg,
+    "br_table": lambda r: [str(r.u32()) for _ in range(r.count() + 1)], "select_t": lambda r: [str(b) for b in r.take(r.count())],
+    "i32": lambda r: [str(r.signed(32))], "i64": lambda r: [str(r.signed(64))],
+    "f32": lambda r: [number(struct.unpack("<f", r.take(4))[0])], "f64": lambda r: [number(struct.unpack("<d", r.take(8))[0])],
 }
 
 
-def body(r: Bytes, most: int) -> tuple[list[tuple[str, list]], str | None]:
-    """Instructions up to the closing end, and why there are no more where it wasn't reached."""
-    out, depth = [], 0
+def listing(data: bytes, at: int, end: int, most: int) -> list[tuple[str, list[str]]]:
+    """The instructions that `scan` counts, with their operands."""
+    r, out, depth = Bytes(data, at), [], 0
     try:
-        while r.at < r.end:
-            if len(out) >= most:
-                return out, "instruction budget"
+        while r.at < end and len(out) < most:
             out.append(instruction(r))
-            n = out[-1][0]
-            depth += n in ("block", "loop", "if")
-            if n == "end":
-                if depth == 0:
-                    return out, None
+            if out[-1][0] in ("block", "loop", "if"):
+                depth += 1
+            elif out[-1][0] == "end":
+                if not depth:
+                    break
                 depth -= 1
-        return out, "no closing end"
+    except Bad:
+        pass
+    return out
+
+
+# What follows an opcode, as the loop of `scan` asks for it.
+_NONE, _ONE, _TWO, _BYTE, _MEMARG, _TYPES, _LONG, _FOUR, _EIGHT, _BLOCK, _CONTROL, _BRANCH, _TABLE, _PREFIX, _UNKNOWN = range(15)
+_SHAPES = {"none": _NONE, "u32": _ONE, "i32": _ONE, "u32u32": _TWO, "byte": _BYTE, "memarg": _MEMARG, "select_t": _TYPES, "i64": _LONG, "f32": _FOUR, "f64": _EIGHT, "block": _BLOCK, "br_table": _TABLE}
+_SHAPE_OF = [_SHAPES[OPCODES[c][1]] if c in OPCODES else _UNKNOWN for c in range(256)]
+for _c in (0x00, 0x05, 0x0B, 0x0F):
+    _SHAPE_OF[_c] = _CONTROL
+_SHAPE_OF[0x0C] = _SHAPE_OF[0x0D] = _BRANCH
+_SHAPE_OF[0xFC] = _SHAPE_OF[0xFD] = _SHAPE_OF[0xFE] = _PREFIX
+_IF, _LOOP, _ELSE, _END, _BR, _BR_IF, _BR_TABLE = 0x04, 0x03, 0x05, 0x0B, 0x0C, 0x0D, 0x0E
+_NAME_OF = [OPCODES[c][0] if c in OPCODES else "" for c in range(256)]
+_CATEGORY_OF = {n: CATEGORIES.index(category(n)) for n in {*_NAME_OF, *_BULK, *_SIMD.values(), *_ATOMIC.values()}}
+
+
+def _over(data: bytes, at: int, most: int) -> int:
+    """Where a number ends whose first byte, before `at`, said that it goes on."""
+    for _ in range(most - 1):
+        at += 1
+        if data[at - 1] < 0x80:
+            return at
+    raise Bad(f"number longer than {most} bytes at {at}")
+
+
+def _value(data: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    for _ in range(5):
+        b = data[at]
+        at += 1
+        value |= (b & 0x7F) << shift
+        if b < 0x80:
+            return value & 0xFFFFFFFF, at
+        shift += 7
+    raise Bad(f"number longer than 5 bytes at {at}")
+
+
+def scan(data: bytes, at: int, end: int, most: int) -> tuple[int, dict[str, int], list[tuple], str | None]:
+    """(instructions, count of each name, control instructions as (place, opcode, labels), why decoding stopped early) of a body.
+
+    It ends at the `end` that closes it, where its bytes end, at the first thing that can't be read, or after `most`. An
+    operand may reach past the body's end, not past the module's.
+    """
+    counts, more, control = [0] * 256, {}, []
+    n = depth = 0
+    shapes, size, why = _SHAPE_OF, len(data), None
+    try:
+        while at < end:
+            if n >= most:
+                why = f"exceeded {most} instructions in a single function"
+                break
+            code = data[at]
+            at += 1
+            shape = shapes[code]
+            if shape == _NONE:
+                pass
+            elif shape == _ONE:
+                at += 1
+                if data[at - 1] > 0x7F:
+                    at = _over(data, at, 5)
+            elif shape == _MEMARG:
+                align, at = _value(data, at)
+                at = _value(data, at)[1]
+                if align & 0x40:
+                    at = _value(data, at)[1]
+            elif shape == _BLOCK:
+                at += 1
+                if data[at - 1] > 0x7F:
+                    at = _over(data, at, 5)
+                depth += 1
+                control.append((n, code, ()))
+            elif shape == _CONTROL:
+                control.append((n, code, ()))
+                if code == _END:
+                    if not depth:
+                        counts[code] += 1
+                        n += 1
+                        break
+                    depth -= 1
+            elif shape == _BRANCH:
+                label, at = _value(data, at)
+                control.append((n, code, (label,)))
+            elif shape == _LONG:
+                at += 1
+                if data[at - 1] > 0x7F:
+                    at = _over(data, at, 10)
+            elif shape == _BYTE:
+                data[at]
+                at += 1
+            elif shape == _TWO:
+                at = _value(data, _value(data, at)[1])[1]
+            elif shape in (_FOUR, _EIGHT):
+                at += 4 if shape == _FOUR else 8
+                if at > size:
+                    raise IndexError
+            elif shape == _PREFIX:
+                name, at = _prefixed(data, code, at)
+                more[name] = more.get(name, 0) + 1
+                n += 1
+                continue
+            elif shape == _UNKNOWN:
+                raise Bad(f"unknown opcode 0x{code:02x} at {at - 1}")
+            else:
+                items, at = _value(data, at)
+                if items > size - at:
+                    raise Bad(f"vector of {items} in {size - at} bytes")
+                if shape == _TYPES:
+                    at += items
+                else:
+                    labels = []
+                    for _ in range(items + 1):
+                        label, at = _value(data, at)
+                        labels.append(label)
+                    control.append((n, code, labels))
+            counts[code] += 1
+            n += 1
+    except IndexError:
+        why = "the module ends in an instruction"
     except Bad as e:
-        return out, str(e)
-
-
-def control_flow(ops: list[tuple[str, list]]) -> dict:
-    """Frames, branches and basic blocks of one body: loops (header, end, depth, size), blocks, edges, back edges."""
-    frames, stack, deepest = [], [], 0
-    for i, (n, _) in enumerate(ops):
-        if n in ("block", "loop", "if"):
-            stack.append([n, i, None, len(stack) + 1])
-            frames.append(stack[-1])
-            deepest = max(deepest, len(stack))
-        elif n == "end" and stack:
-            stack.pop()[2] = i
-    for f in frames:
-        f[2] = len(ops) - 1 if f[2] is None else f[2]
-    loops = [{"header": a, "end": e, "depth": d, "size": e - a} for k, a, e, d in frames if k == "loop"]
-    leaders, jumps, stack = {0}, [], []
-    for i, (n, _) in enumerate(ops):
-        if n in ("br", "br_if", "br_table", "return", "unreachable", "else", "end"):
+        why = str(e)
+    for code, k in enumerate(counts):
+        if k:
+            more[_NAME_OF[code]] = more.get(_NAME_OF[code], 0) + k
+    return n, more, control, why
+
+
+def _prefixed(data: bytes, code: int, at: int) -> tuple[str, int]:
+    r = Bytes(data, at - 1)
+    name, _ = instruction(r)
+    return name, r.at
+
+
+def control_flow(n: int, control: list[tuple]) -> dict:
+    """Loops (header, end, depth, size), number of basic blocks, edges and back edges, nesting, and whether a branch could not
+    be resolved, of a body of n instructions."""
+    if not n:
+        return {"loops": [], "blocks": 0, "edges": 0, "back_edges": 0, "max_nesting": 0, "approximate": False}
+    # frames: opcode, start, end, depth, place of its else; the first is the function
+    frames, stack, nesting, approximate = [[0, -1, n - 1, 0, -1]], [0], 0, False
+    leaders, branches = {0}, []
+    for i, code, labels in control:
+        if code in (_BR, _BR_IF, _BR_TABLE):
+            open_ = min(len(stack), MAX_OPEN)
+            to = [stack[-1 - label] if label < open_ else None for label in labels]
+            approximate |= None in to
+            branches.append((i, code, to))
+        elif code == _ELSE:
+            if stack and frames[stack[-1]][0] == _IF and frames[stack[-1]][4] < 0:
+                frames[stack[-1]][4] = i
+        elif code == _END:
+            if stack:
+                frames[stack.pop()][2] = i
+        elif code in (0x02, _LOOP, _IF):
+            frames.append([code, i, n - 1, len(stack) - 1, -1])
+            stack.append(len(frames) - 1)
+            nesting = max(nesting, len(stack) - 1)
+            if code == _IF:
+                branches.append((i, code, [len(frames) - 1]))
+        else:
+            branches.append((i, code, []))
+        if code not in (_BR, _BR_IF, _BR_TABLE, 0x00, 0x0F):
+            leaders.add(i)
+        if i + 1 < n:
             leaders.add(i + 1)
-    by_start = {f[1]: f for f in frames}
-    stack = []
-    for i, (n, args) in enumerate(ops):
-        if i in by_start:
-            stack.append(by_start[i])
-            if n == "loop":
-                leaders.add(i)
-        elif n == "end" and stack:
-            stack.pop()
-        elif n in ("br", "br_if", "br_table"):
-            for label in args[:MAX_NESTING]:
-                if label < len(stack[-MAX_NESTING:]):
-                    kind, a, e, _ = stack[-1 - label]
-                    jumps.append((i, a if kind == "loop" else e + 1))
-                else:
-                    jumps.append((i, len(ops)))
-    starts = sorted(x for x in leaders | {t for _, t in jumps} if x < len(ops))
-    block = lambda x: bisect.bisect_right(starts, x) - 1
-    edges = {(block(i), block(t)) for i, t in jumps if t < len(ops)}
-    for k, s in enumerate(starts):
-        last = (starts[k + 1] if k + 1 < len(starts) else len(ops)) - 1
-        if k + 1 < len(starts) and ops[last][0] not in ("br", "br_table", "return", "unreachable"):
-            edges.add((k, k + 1))
-    back = sum(1 for i, t in jumps if t < len(ops) and t <= starts[block(i)])
-    return {"loops": loops, "blocks": len(starts), "edges": len(edges), "back_edges": back, "max_nesting": deepest}
-
-
-def _limits(r: Bytes) -> dict:
-    flags = r.byte()
-    return {"min": r.u32(), "max": r.u32() if flags & 1 else None, "shared": bool(flags & 2)}
-
-
-def parse(data: bytes | None, budget: int = MAX_INSTRUCTIONS) -> dict:
-    """Total: a bad input is a row with ok = false, a bad section a warning, a bad body a truncated function."""
-    row = {"ok": False, "reason": None, "byte_length": len(data or b""), "types": 0, "imports": [], "exports": [], "memories": [], "customs": [], "data_bytes": 0,
-           "elements": 0, "start": None, "declared": [], "functions": [], "skipped": 0, "warnings": []}
+
+    def target(f: int | None) -> int:
+        """Where a branch to a frame goes on; -1: out of the function."""
+        if not f:
+            return -1
+        kind, start, end, _, _ = frames[f]
+        return start if kind == _LOOP else end + 1 if end + 1 < n else -1
+    for _, code, to in branches:
+        if code in (_BR, _BR_IF, _BR_TABLE):
+            leaders.update(t for t in map(target, to) if t >= 0)
+    starts = sorted(leaders)
+    # all blocks but those that a terminator closes go on with the next one
+    edges, back = len(starts) - 1, 0
+    for i, code, to in branches:
+        begin = starts[bisect.bisect_right(starts, i) - 1]
+        goes_on = i + 1 < n
+        if code == _IF:
+            if not goes_on:
+                continue
+            _, _, end, _, other = frames[to[0]]
+            aims = [other + 1 if other >= 0 else end + 1]
+        else:
+            aims = [t for t in map(target, to) if t >= 0]
+            if code != _BR_IF:
+                edges -= goes_on
+        known = {t for t in aims if t < n}
+        approximate |= len(known) < len(set(aims))
+        if code in (_BR_IF, _IF):
+            known.discard(i + 1)
+        edges += len(known)
+        back += sum(t <= begin for t in aims)
+    loops = [{"header": s, "end": e, "depth": d, "size": e - s} for k, s, e, d, _ in frames if k == _LOOP]
+    return {"loops": loops, "blocks": len(starts), "edges": edges, "back_edges": back, "max_nesting": nesting, "approximate": approximate}
+
+
+def parse(data: bytes | None, budget: int = MAX_INSTRUCTIONS, listings: bool = False) -> dict:
+    """Total: a bad input is a row with ok = false, a bad section a warning and nothing of it, a bad body a truncated function."""
+    row = {"ok": False, "reason": None, "byte_length": len(data or b""), "version": None, "types": [], "imports": [], "exports": [], "tables": [], "memories": [], "globals": [], "customs": [],
+           "data_segments": 0, "data_bytes": 0, "elements": 0, "start": None, "declared": [], "function_count": 0, "skipped": 0, "ops": {}, "warnings": [], "functions": []}
     if data is None or data[:4] != MAGIC:
         return row | {"reason": "not a WebAssembly module"}
-    if data[4:8] != VERSION:
-        return row | {"reason": "unknown version"}
-    row["ok"] = True
+    if len(data) < 8:
+        return row | {"reason": "the header ends early"}
+    row["ok"], row["version"] = True, int.from_bytes(data[4:8], "little")
     r, bodies = Bytes(data, 8), []
-    while r.at < r.end:
+    while r.at < len(data):
         try:
             kind, size = r.byte(), r.u32()
         except Bad as e:
-            row["warnings"].append(f"section header: {e}")
+            row["warnings"].append(f"malformed section header: {e}")
+            break
+        end = r.at + size
+        if end > len(data):
+            row["warnings"].append(f"section {kind} claims {size} bytes past end of module")
             break
-        end = min(r.at + size, r.end)
-        if r.at + size > r.end:
-            row["warnings"].append(f"section {kind} ends after the file")
         try:
-            _section(kind, Bytes(data, r.at, end), row, bodies)
+            _section(kind, r, end, row, bodies)
         except Bad as e:
             row["warnings"].append(f"section {kind}: {e}")
         r.at = end
-    left = budget
-    imported = sum(i["kind"] == "func" for i in row["imports"])
+    left, totals = budget, row["ops"]
+    row["function_count"] = len(bodies)
     for k, (start, stop, n_locals) in enumerate(bodies):
         if left <= 0:
             row["skipped"] += 1
             continue
-        ops, why = body(Bytes(data, start, stop), left)
-        left -= len(ops)
-        flow = control_flow(ops)
-        row["functions"].append({"func_idx": imported + k, "type_idx": row["declared"][k] if k < len(row["declared"]) else None, "locals": n_locals, "n": len(ops),
-                                 "ops": dict(Counter(n for n, _ in ops)), "truncated": why, **flow, "names": [n for n, _ in ops]})
-    row["function_count"] = len(bodies)
+        n, ops, control, why = scan(data, start, stop, left)
+        cats = [0] * len(CATEGORIES)
+        for name, c in ops.items():
+            totals[name] = totals.get(name, 0) + c
+            cats[_CATEGORY_OF[name] if name in _CATEGORY_OF else CATEGORIES.index(category(name))] += c
+        row["functions"].append({
+            "func_idx": k, "type_idx": row["declared"][k] if k < len(row["declared"]) else -1, "locals": n_locals, "n": n, "cats": cats, "indirect": ops.get("call_indirect", 0), "truncated": why,
+            **control_flow(n, control), "listing": [{"name": a, "operands": " ".join(b)} for a, b in listing(data, start, stop, left)] if listings else None})
+        left -= n
     return row
 
 
-def _section(kind: int, r: Bytes, row: dict, bodies: list) -> None:
+def _section(kind: int, r: Bytes, end: int, row: dict, bodies: list) -> None:
+    """Reads what the section declares; nothing of it counts unless all of it can be read."""
+    def func_type() -> dict:
+        if (form := r.byte()) != 0x60:
+            raise Bad(f"function type 0x{form:x}")
+        return {"params": r.vector(r.value_type), "results": r.vector(r.value_type)}
+
+    def entry() -> dict:
+        out = {"module": r.name(), "name": r.name(), "kind": _extern(r, "import"), "type_idx": None, "limits": None, "val_type": None, "mutable": None}
+        if out["kind"] == "func":
+            out["type_idx"] = r.u32()
+        elif out["kind"] == "global":
+            out["val_type"], out["mutable"] = r.value_type(), r.byte() == 1
+        else:
+            out["val_type"] = r.value_type() if out["kind"] == "table" else None
+            out["limits"] = r.limits()
+        return out
+
+    def global_() -> dict:
+        out = {"val_type": r.value_type(), "mutable": r.byte() == 1}
+        depth = 0
+        while r.at < end:
+            name = instruction(r)[0]
+            if name == "end" and not depth:
+                return out
+            depth += (name in ("block", "loop", "if")) - (name == "end")
+        raise Bad("constant expression is not terminated")
+
     if kind == 0:
         row["customs"].append(r.name())
     elif kind == 1:
-        row["types"] = r.count()
+        row["types"] = r.vector(func_type)
     elif kind == 2:
-        for _ in range(r.count()):
-            module, name, what = r.name(), r.name(), r.byte()
-            limits = None
-            if what == 0:
-                r.u32()
-            elif what == 1:
-                r.byte()
-                _limits(r)
-            elif what == 2:
-                limits = _limits(r)
-            elif what == 3:
-                r.take(2)
-            elif what == 4:
-                r.take(1)
-                r.u32()
-            else:
-                raise Bad(f"import kind {what}")
-            row["imports"].append({"module": module, "name": name, "kind": EXTERN_KINDS[what], "limits": limits})
+        row["imports"] = r.vector(entry)
     elif kind == 3:
-        row["declared"] = [r.u32() for _ in range(r.count())]
+        row["declared"] = r.vector(r.u32)
     elif kind == 4:
-        for _ in range(r.count()):
-            r.byte()
-            _limits(r)
+        row["tables"] = r.vector(lambda: {"ref_type": r.value_type(), "limits": r.limits()})
     elif kind == 5:
-        row["memories"] = [_limits(r) for _ in range(r.count())]
+        row["memories"] = r.vector(r.limits)
     elif kind == 6:
-        for _ in range(r.count()):
-            r.take(2)
-            _, why = body(r, 1_000)
-            if why:
-                raise Bad(why)
+        row["globals"] = r.vector(global_)
     elif kind == 7:
-        for _ in range(r.count()):
-            name, what, index = r.name(), r.byte(), r.u32()
-            row["exports"].append({"name": name, "kind": EXTERN_KINDS[what] if what < 5 else str(what), "index": index})
+        row["exports"] = r.vector(lambda: {"name": r.name(), "kind": _extern(r, "export"), "index": r.u32()})
     elif kind == 8:
         row["start"] = r.u32()
     elif kind == 9:
-        row["elements"] = r.count()
+        row["elements"] = r.u32()
     elif kind == 10:
-        for _ in range(r.count()):
+        for k in range(r.count()):
             size = r.u32()
             stop = r.at + size
-            if stop > r.end:
-                raise Bad("a body ends after its section")
-            b = Bytes(r.data, r.at, stop)
-            n = 0
-            for _ in range(b.count()):
-                n += b.u32()
-                b.byte()
-            bodies.append((b.at, stop, n))
+            if stop > len(r.data):
+                row["warnings"].append(f"function body {k} runs past end of module")
+                return
+            n = sum(r.vector(lambda: (r.u32(), r.byte())[0]))
+            bodies.append((r.at, stop, n))
             r.at = stop
     elif kind == 11:
-        for _ in range(r.count()):
-            flag = r.u32()
-            if flag == 2:
-                r.u32()
-            if flag in (0, 2):
-                _, why = body(r, 1_000)
-                if why:
-                    raise Bad(why)
-            n = r.u32()
-            r.take(n)
-            row["data_bytes"] += n
+        row["data_segments"] = r.u32()
+        row["data_bytes"] = end - r.at
     elif kind == 12:
         r.u32()
     else:
-        row["warnings"].append(f"unknown section {kind}")
+        row["warnings"].append(f"unknown section id {kind}")
+
+
+def _extern(r: Bytes, what: str) -> str:
+    kind = r.byte()
+    if kind >= len(EXTERN_KINDS):
+        raise Bad(f"unknown {what} kind 0x{kind:x}")
+    return EXTERN_KINDS[kind]
 
 
 def uleb(n: int) -> bytes:
@@ -358,3 +564,46 @@ def parametric_module(rounds: int, shared: bool) -> bytes:
     code = uleb(1) + uleb(1) + b"\x7f" + ops
     return assemble(section(1, b"\x60\x00\x00", b"\x60\x00\x01\x7f"), section(2, text("pool") + text("websocket_send") + b"\x00\x00"), section(3, uleb(1)),
                     section(5, bytes([3 if shared else 1]) + uleb(16) + uleb(32)), section(7, text("run") + b"\x00\x01"), section(10, uleb(len(code)) + code))
+
+
+def function_body(ops: bytes, locals_: bytes = b"\x00") -> bytes:
+    code = locals_ + ops
+    return uleb(len(code)) + code
+
+
+#: What `shaped_module` makes, in order.
+SHAPES = ("nested", "table", "many", "broken", "overlong", "foreign", "declared", "kernels")
+
+
+def shaped_module(shape: int, size: int) -> bytes:
+    """Modules of other shapes than one loop. size: how often the part that gives a shape its name is repeated."""
+    name = SHAPES[shape]
+    get, end = b"\x20\x00", b"\x0b"
+    plain = section(1, b"\x60\x00\x00")
+    code = lambda *bodies: section(10, *bodies)
+    declared = lambda n: section(3, *[uleb(0)] * n)
+    if name == "nested":  # block, loop, if with else, branches to each; then an if without else
+        one = b"\x02\x40\x03\x40" + get * size + b"\x04\x40\x0c\x01\x05\x0d\x02\x0b\x0b\x0b" + get + b"\x04\x40\x01" + end + end
+        return assemble(plain, declared(2), code(function_body(one, b"\x01\x01\x7f"), function_body(end)))
+    if name == "table":  # a loop that only the 301st label of a table names
+        one = b"\x03\x40\x02\x40" + get + b"\x0e" + uleb(300) + b"\x00" * 300 + b"\x01" + end + end + b"\x01" * size + end
+        return assemble(plain, declared(1), code(function_body(one, b"\x01\x01\x7f")))
+    if name == "many":  # more functions than rows are stored of
+        return assemble(plain, declared(2_500), code(*[function_body(b"\x41\x00\x1a" + end)] * 2_499, function_body(b"\x03\x40" + (get + b"\x45\x1a" + get + get + b"\x73\x1a") * size + end + end, b"\x01\x01\x7f")))
+    if name == "broken":  # an unknown opcode, then a sound function; an export of an unknown kind takes its section along
+        bad = section(7, text("f") + b"\x00\x00", text("g") + b"\x09\x00")
+        return assemble(plain, declared(2), bad, code(function_body(b"\x01" * size + b"\xf1" + end), function_body(b"\x01" + end)))
+    if name == "overlong":  # a section longer than the module
+        return assemble(plain, declared(1), code(function_body(end)), b"\x0b" + uleb(1_000) + b"\x00" * size)
+    if name == "foreign":
+        return b"<html>" + b" " * size
+    if name == "declared":  # every kind of section
+        parts = [section(1, b"\x60\x02\x7f\x7e\x01\x7d", b"\x60\x00\x00"), section(2, text("env") + text("f") + b"\x00\x01", text("env") + text("t") + b"\x01\x70\x00\x05", text("env") + text("g") + b"\x03\x7c\x01"),
+                 section(3, uleb(1)), section(4, b"\x70\x01\x01\x02"), section(5, b"\x00" + uleb(size)), section(6, b"\x7f\x01\x41\x05\x0b", b"\x7b\x00\xfd\x0c" + b"\x00" * 16 + b"\x0b"),
+                 section(7, text("m") + b"\x02\x00", text("f") + b"\x00\x01"), section(8, uleb(1), counted=False), section(9, b"\x00\x41\x00\x0b\x01\x00"), section(12, uleb(1), counted=False),
+                 code(function_body(b"\x44" + struct.pack("<d", 0.5) + b"\x1a\x42\x7f\x1a\xfe\x03\x00\x40\x00\x1a" + end)), section(11, b"\x00\x41\x00\x0b" + text("x" * size)), section(0, text("name"), b"\x00", counted=False), section(30, b"")]
+        return assemble(*parts)
+    # two kernels alike, of which the first counts; a third has a larger loop but calls too often
+    turn = lambda n, more=b"": b"\x03\x40" + (get + get + b"\x73\x1a") * n + more + end + end
+    local = b"\x01\x01\x7f"
+    return assemble(plain, declared(3), code(function_body(turn(10 + size), local), function_body(turn(10 + size), local), function_body(turn(20 + size, b"\x10\x00" * (2 + size)), local)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import modules
+from ..functions.wasm import number
 from .modules import ratio
 
 # The opcodes that have a column and a token of their own, in schema order.
@@ -26,10 +27,9 @@ FEATURE_NAMES = ["log_byteLength", "log_instructionCount", "log_functionCount",
 EPOCHS, RATE, L2 = 400, 0.3, 0.01
 
 
-def vectorise(features: DataFrame, histogram: DataFrame) -> DataFrame:
+def vectorise(features: DataFrame) -> DataFrame:
     """`features` with a vector of 73 columns. Logs of counts, shares elsewhere; nothing non-finite."""
-    ops = histogram.filter(F.col("name").isin(*VOCABULARY)).groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("_ops"))  # at most 38 a module
-    a = features.join(ops, "hash", "left")
+    a = features
     n, fns, k = F.col("instruction_count"), F.greatest("function_count", F.lit(1)), F.col("kernel")
     log = lambda c: F.log1p(F.coalesce(c, F.lit(0)).cast("double"))
     flag = lambda c: c.cast("int").cast("double")
@@ -38,9 +38,9 @@ def vectorise(features: DataFrame, histogram: DataFrame) -> DataFrame:
             *[ratio(F.col(f"n_{c}"), n) for c in modules.CATEGORIES], ratio(F.col("total_loops"), fns), ratio(F.col("total_back_edges"), fns), log(F.col("max_nesting")), ratio(F.col("indirect_calls"), n), log(F.col("memory_initial_pages")),
             flag(F.col("memory_max_pages").isNotNull()), flag(F.col("memory_shared")), log(F.col("memory_grow_sites")), ratio(F.col("data_bytes"), F.col("byte_length")), flag(F.col("stripped")),
             ratio(F.col("decoded_functions"), F.col("decoded_functions") + F.col("skipped") + F.col("truncated_functions")), flag(k.isNotNull()), zero(k["bitwise_ratio"]), zero(k["arithmetic_ratio"]), zero(k["call_ratio"]),
-            log(k["largest_loop"]), *[ratio(F.coalesce(F.try_element_at("_ops", F.lit(o)), F.lit(0)), n) for o in VOCABULARY]]
+            log(k["largest_loop"]), *[ratio(F.coalesce(F.try_element_at("ops", F.lit(o)), F.lit(0)), n) for o in VOCABULARY]]
     finite = lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
-    return a.withColumn("vector", F.transform(F.array(*[c.cast("double") for c in cols]), finite)).drop("_ops")
+    return a.withColumn("vector", F.transform(F.array(*[c.cast("double") for c in cols]), finite))
 
 
 def token_id(name: str) -> int:
@@ -57,7 +57,7 @@ def sequences(decoded: DataFrame, length: int = SEQUENCE_LENGTH, most: int = SEQ
     best = F.max(F.when(good, F.struct("bitwise_ratio", "largest_loop", (-F.col("func_idx")).alias("o")))).over(Window.partitionBy("hash"))
     fn = fn.withColumn("_kernel", (-F.col("func_idx")).eqNullSafe(best["o"]))
     head = F.array_max(F.transform("loops", lambda x: F.struct(x["size"].alias("s"), (-x["header"]).alias("h"))))["h"]
-    fn = fn.withColumn("item", F.struct((~F.col("_kernel")).alias("a"), (-F.col("n")).alias("b"), F.col("func_idx").alias("c"), F.coalesce(-head, F.lit(0)).cast("int").alias("head"), F.transform("names", lambda x: F.coalesce(F.try_element_at(ids, x), F.lit(4))).alias("t")))
+    fn = fn.withColumn("item", F.struct((~F.col("_kernel")).alias("a"), (-F.col("n")).alias("b"), F.col("func_idx").alias("c"), F.coalesce(-head, F.lit(0)).cast("int").alias("head"), F.transform("listing", lambda x: F.coalesce(F.try_element_at(ids, x["name"]), F.lit(4))).alias("t")))
     per = Window.partitionBy("hash").orderBy("item.a", "item.b", "item.c")
     top = fn.withColumn("_r", F.row_number().over(per)).filter(F.col("_r") <= most).groupBy("hash").agg(F.sort_array(F.collect_list("item")).alias("fs"))
 
@@ -109,19 +109,8 @@ def contributions(x: Column, weights: list[float], names: list[str], top: int =
     return F.transform(F.slice(F.sort_array(all_), 1, top), lambda c: F.struct(c["name"].alias("name"), c["value"].alias("value")))
 
 
-def _number(x: float) -> str:
-    """Shortest text of a double that reads back the same, in the style of JSON writers that have one number type."""
-    if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
-    t = repr(x)
-    if "e" in t:
-        m, e = t.split("e")
-        return f"{m}e{int(e):+d}" if int(e) < -6 or int(e) > 20 else f"{x:.20f}".rstrip("0")
-    return t if abs(x) >= 1e-6 else f"{x:e}"
-
-
 def model_version(model: dict) -> str:
-    text = json.dumps({"schema": model["schema"]})[:-1] + "".join(f',"{k}":[{",".join(map(_number, model[k]))}]' for k in ("weights", "mean", "sd")) + f',"bias":{_number(model["bias"])}}}'
+    text = json.dumps({"schema": model["schema"]})[:-1] + "".join(f',"{k}":[{",".join(map(number, model[k]))}]' for k in ("weights", "mean", "sd")) + f',"bias":{number(model["bias"])}}}'
     return hashlib.sha256(text.encode()).hexdigest()
 
 

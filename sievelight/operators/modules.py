@@ -15,16 +15,23 @@ from ..functions import wasm
 
 _LIMITS = "struct<min:bigint,max:bigint,shared:boolean>"
 _LOOPS = "array<struct<header:bigint,end:bigint,depth:bigint,size:bigint>>"
-_FUNCTION = (f"struct<func_idx:bigint,type_idx:bigint,locals:bigint,n:bigint,ops:map<string,bigint>,truncated:string,loops:{_LOOPS},blocks:bigint,edges:bigint,"
-             "back_edges:bigint,max_nesting:bigint,names:array<string>>")
-DECODED = (f"hash string, ok boolean, reason string, byte_length bigint, types bigint, imports array<struct<module:string,name:string,kind:string,limits:{_LIMITS}>>, "
-           f"exports array<struct<name:string,kind:string,index:bigint>>, memories array<{_LIMITS}>, customs array<string>, data_bytes bigint, elements bigint, start bigint, "
-           f"function_count bigint, skipped bigint, warnings array<string>, functions array<{_FUNCTION}>")
-
-CATEGORIES = ("control", "call", "variable", "memory", "integer", "bitwise", "float", "simd", "atomic", "reference", "other")
-# Integer operations that count as bitwise.
-BITWISE = ("and", "or", "xor", "shl", "shr_s", "shr_u", "rotl", "rotr", "clz", "ctz", "popcnt")
+_FUNCTION = (
+    "struct<func_idx:bigint,type_idx:bigint,locals:bigint,n:bigint,cats:array<bigint>,indirect:bigint,truncated:string,"
+    f"loops:{_LOOPS},blocks:bigint,edges:bigint,back_edges:bigint,max_nesting:bigint,approximate:boolean,"
+    "listing:array<struct<name:string,operands:string>>>")
+DECODED = (
+    "hash string, ok boolean, reason string, byte_length bigint, version bigint, "
+    "types array<struct<params:array<string>,results:array<string>>>, "
+    f"imports array<struct<module:string,name:string,kind:string,type_idx:bigint,limits:{_LIMITS},val_type:string,mutable:boolean>>, "
+    f"exports array<struct<name:string,kind:string,index:bigint>>, tables array<struct<ref_type:string,limits:{_LIMITS}>>, "
+    f"memories array<{_LIMITS}>, globals array<struct<val_type:string,mutable:boolean>>, customs array<string>, "
+    "data_segments bigint, data_bytes bigint, elements bigint, start bigint, function_count bigint, skipped bigint, "
+    f"ops map<string,bigint>, warnings array<string>, functions array<{_FUNCTION}>")
+
+CATEGORIES = wasm.CATEGORIES
 KERNEL_LOOP, KERNEL_CALLS = 40, 0.02
+#: Decoded functions that a task holds before it passes their modules on.
+HELD_FUNCTIONS = 20_000
 
 
 def _arrow(fields: str) -> pa.Schema:
@@ -33,84 +40,96 @@ def _arrow(fields: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(fields))
 
 
-def decode(blobs: DataFrame, budget: int = wasm.MAX_INSTRUCTIONS, names: bool = False, key: str = "hash", content: str = "bytes") -> DataFrame:
+def decode(blobs: DataFrame, budget: int = wasm.MAX_INSTRUCTIONS, listings: bool = False, key: str = "hash", content: str = "bytes") -> DataFrame:
     """(hash, bytes) to one nested row a module. Put filters on metadata before this: it is the only Python step.
-    Never fails on a bad input (ok = false and a reason). `names` keeps the opcode names in order."""
+    Never fails on a bad input (ok = false and a reason). `functions` has every function within the budget, `ops` counts
+    the opcodes of them all. `listings` keeps names and operands in order."""
     schema = _arrow(DECODED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            held = []
             for h, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                row = {"function_count": 0, **wasm.parse(data, budget), "hash": h}
-                row["functions"] = [f if names else f | {"names": None} for f in row["functions"][:wasm.MAX_FUNCTIONS]]
-                rows.append({n: row[n] for n in schema.names})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                row = wasm.parse(data, budget, listings) | {"hash": h}
+                row["ops"] = list(row["ops"].items())
+                held.append({n: row[n] for n in schema.names})
+                if sum(len(r["functions"]) for r in held) >= HELD_FUNCTIONS:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
     return blobs.select(F.col(key).cast("string").alias("hash"), F.col(content).alias("bytes")).mapInArrow(run, DECODED)
 
 
 def category(name: Column) -> Column:
-    """First match decides; constants, compares and conversions of integers are integer operations."""
-    op = F.substring_index(name, ".", -1)
+    """The category of an opcode's name; the rule is `wasm.category`, for names that the decoder does not know too."""
+    op = F.split_part(name, F.lit("."), F.lit(2))
     starts = lambda *p: reduce(lambda a, b: a | b, [name.startswith(x) for x in p])
-    return (F.when(starts("v128.", "i8x16.", "i16x8.", "i32x4.", "i64x2.", "f32x4.", "f64x2."), "simd").when(name.contains("atomic"), "atomic")
-            .when(name.startswith("ref."), "reference").when(name.isin("call", "call_indirect"), "call").when(starts("local.", "global."), "variable")
+    return (F.when(starts(*wasm.VECTORS), "simd").when(name.contains("atomic"), "atomic").when(name.startswith("ref."), "reference")
+            .when(name.isin("call", "call_indirect"), "call").when(starts("local.", "global."), "variable")
             .when(starts("memory.", "data.", "table.", "elem.") | name.contains(".load") | name.contains(".store"), "memory")
-            .when(starts("i32.", "i64.") & op.isin(*BITWISE), "bitwise").when(starts("i32.", "i64."), "integer").when(starts("f32.", "f64."), "float")
-            .when(name == "", "other").otherwise("control"))
+            .when(starts("i32.", "i64.") & op.isin(*wasm.BITWISE), "bitwise").when(starts("i32.", "i64."), "integer")
+            .when(starts("f32.", "f64."), "float").when(name == "", "other").otherwise("control"))
 
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def _sum(array: Column) -> Column:
-    return F.aggregate(F.coalesce(array, F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda m, x: m + x)
+def _cat(f: Column, name: str) -> Column:
+    return F.get(f["cats"], F.lit(CATEGORIES.index(name)))
+
+
+def _largest_loop(f: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(f["loops"], lambda x: x["size"])), F.lit(0))
 
 
 def functions(decoded: DataFrame) -> DataFrame:
     """One row a decoded function with its conditional counts, ratios and largest loop."""
-    a = decoded.select("hash", F.explode("functions").alias("f")).select("hash", "f.*")
-    # the category of an opcode is found once; each count is then a sum over the few entries of its category
-    a = a.withColumn("_cats", F.transform(F.map_entries("ops"), lambda e: F.struct(category(e["key"]).alias("c"), e["value"].alias("n"))))
-    of = lambda c: _sum(F.transform(F.filter("_cats", lambda e: e["c"] == c), lambda e: e["n"]))
-    a = a.withColumns({f"n_{c}": of(c) for c in CATEGORIES})
-    a = a.drop("_cats")
-    a = a.withColumn("n_indirect", F.coalesce(F.try_element_at("ops", F.lit("call_indirect")), F.lit(0)))
-    a = a.withColumn("n_grow", F.coalesce(F.try_element_at("ops", F.lit("memory.grow")), F.lit(0)))
-    a = a.withColumn("largest_loop", F.coalesce(F.array_max(F.transform("loops", lambda x: x["size"])), F.lit(0)))
+    a = decoded.select("hash", F.explode("functions").alias("f"))
+    f = F.col("f")
+    a = a.select("hash", "f.*", *[_cat(f, c).alias(f"n_{c}") for c in CATEGORIES], _largest_loop(f).alias("largest_loop"), f["indirect"].alias("n_indirect"))
     n = F.col("n")
     return (a.withColumn("bitwise_ratio", ratio(F.col("n_bitwise"), n)).withColumn("arithmetic_ratio", ratio(F.col("n_bitwise") + F.col("n_integer"), n))
             .withColumn("call_ratio", ratio(F.col("n_call"), n)))
 
 
+def stored_functions(decoded: DataFrame, most: int = wasm.MAX_FUNCTIONS) -> DataFrame:
+    """Rows of the functions that are stored of a module, the first `most`; totals are over all of them."""
+    return functions(decoded.withColumn("functions", F.slice("functions", 1, most)))
+
+
 def opcode_histogram(decoded: DataFrame) -> DataFrame:
-    """(hash, name, category, n): pre-aggregated per function in the decoded map, summed per module."""
-    a = decoded.select("hash", F.explode("functions").alias("f")).select("hash", F.explode("f.ops").alias("name", "n"))
-    return a.groupBy("hash", "name").agg(F.sum("n").alias("n")).withColumn("category", category(F.col("name")))
+    """(hash, name, category, n) over all functions of a module."""
+    return decoded.select("hash", F.explode("ops").alias("name", "n")).withColumn("category", category(F.col("name")))
 
 
 def features(decoded: DataFrame) -> DataFrame:
-    """One flat row a module: counts, shares, memory facts and the kernel candidate (null: none)."""
-    fn = functions(decoded).filter("n is not null")
-    qualifies = (F.col("largest_loop") >= KERNEL_LOOP) & (F.col("n_float") == 0) & (F.col("call_ratio") < KERNEL_CALLS)
-    pick = F.struct("bitwise_ratio", "largest_loop", (-F.col("func_idx")).alias("order"), "arithmetic_ratio", "call_ratio", "func_idx")
-    sums = fn.groupBy("hash").agg(
-        F.sum("n").alias("instruction_count"), F.count("*").alias("decoded"), F.count_if(F.col("truncated").isNotNull()).alias("truncated_functions"),
-        *[F.sum(f"n_{c}").alias(f"n_{c}") for c in CATEGORIES], F.sum("n_indirect").alias("indirect_calls"), F.sum("n_grow").alias("memory_grow_sites"),
-        F.sum(F.size("loops")).cast("long").alias("total_loops"), F.sum("back_edges").alias("total_back_edges"), F.max("max_nesting").alias("max_nesting"),
-        F.max(F.when(qualifies, pick)).alias("kernel"))
+    """One flat row a module: counts, shares, memory facts and the kernel candidate (null: none). Everything is found inside
+    the module's row: nothing is exploded, shuffled or joined."""
+    fs = F.col("functions")
+    total = lambda of: F.aggregate(fs, F.lit(0).cast("long"), lambda m, f: m + of(f))
+    a = decoded.filter("ok").withColumn("_cats", F.aggregate(
+        fs, F.array_repeat(F.lit(0).cast("long"), len(CATEGORIES)), lambda m, f: F.zip_with(m, f["cats"], lambda x, y: x + y)))
+    n = F.col("instruction_count")
+    kernels = F.transform(F.filter(fs, lambda f: (_largest_loop(f) >= KERNEL_LOOP) & (_cat(f, "float") == 0) & (ratio(_cat(f, "call"), f["n"]) < KERNEL_CALLS)), lambda f: F.struct(
+        ratio(_cat(f, "bitwise"), f["n"]).alias("bitwise_ratio"), _largest_loop(f).alias("largest_loop"), (-f["func_idx"]).alias("order"),
+        ratio(_cat(f, "bitwise") + _cat(f, "integer"), f["n"]).alias("arithmetic_ratio"), ratio(_cat(f, "call"), f["n"]).alias("call_ratio"), f["func_idx"].alias("func_idx")))
     own = F.coalesce(F.get("memories", 0), F.get(F.filter("imports", lambda i: i["kind"] == "memory"), 0)["limits"])
-    base = decoded.filter("ok").select(
-        "hash", "byte_length", "function_count", "skipped", "data_bytes", F.transform("imports", lambda i: F.concat(i["module"], F.lit("."), i["name"])).alias("import_names"),
+    a = a.select(
+        "hash", "byte_length", "function_count", "skipped", "data_bytes", "ops", "warnings",
+        F.transform("imports", lambda i: F.concat(i["module"], F.lit("."), i["name"])).alias("import_names"),
         F.transform("exports", lambda e: e["name"]).alias("export_names"), F.col("customs").alias("custom_names"), F.size("exports").cast("long").alias("export_count"),
-        F.size(F.filter("imports", lambda i: i["kind"] == "func")).cast("long").alias("imported_functions"), F.coalesce(own["min"], F.lit(0)).alias("memory_initial_pages"),
-        own["max"].alias("memory_max_pages"), F.coalesce(own["shared"], F.lit(False)).alias("memory_shared"), (~F.array_contains("customs", "name")).alias("stripped"), "warnings")
-    a = base.join(sums, "hash", "left")
-    counted = ["instruction_count", "decoded", "truncated_functions", *[f"n_{c}" for c in CATEGORIES], "indirect_calls", "memory_grow_sites", "total_loops", "total_back_edges", "max_nesting"]
-    a = a.withColumns({c: F.coalesce(c, F.lit(0)) for c in counted})
-    n = F.col("instruction_count")
-    a = a.withColumn("decoded_functions", F.col("decoded") - F.col("truncated_functions")).drop("decoded")
+        F.size(F.filter("imports", lambda i: i["kind"] == "func")).cast("long").alias("imported_functions"),
+        F.coalesce(own["min"], F.lit(0)).alias("memory_initial_pages"), own["max"].alias("memory_max_pages"), F.coalesce(own["shared"], F.lit(False)).alias("memory_shared"),
+        (~F.array_contains("customs", "name")).alias("stripped"), total(lambda f: f["n"]).alias("instruction_count"), F.size(fs).cast("long").alias("decoded_functions"),
+        F.size(F.filter(fs, lambda f: f["truncated"].isNotNull())).cast("long").alias("truncated_functions"),
+        *[F.get("_cats", i).alias(f"n_{c}") for i, c in enumerate(CATEGORIES)], total(lambda f: f["indirect"]).alias("indirect_calls"),
+        F.coalesce(F.try_element_at("ops", F.lit("memory.grow")), F.lit(0)).alias("memory_grow_sites"), total(lambda f: F.size(f["loops"]).cast("long")).alias("total_loops"),
+        total(lambda f: f["back_edges"]).alias("total_back_edges"), F.coalesce(F.array_max(F.transform(fs, lambda f: f["max_nesting"])), F.lit(0)).alias("max_nesting"),
+        F.array_max(kernels).alias("kernel"))
+    # a one-row generator: the optimizer would copy these folds into every rule that reads them
+    a = a.select(F.inline(F.array(F.struct(*a.columns))))
     a = a.withColumn("bitwise_ratio", ratio(F.col("n_bitwise"), n)).withColumn("float_ratio", ratio(F.col("n_float"), n))
     return a.withColumn("coverage", F.when(F.col("function_count") == 0, 1.0).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - ratio(F.col("truncated_functions") + F.col("skipped"), F.col("function_count"))))))
@@ -130,22 +149,42 @@ def summary(f: DataFrame) -> DataFrame:
 
 
 def wat_header(decoded: DataFrame) -> DataFrame:
-    """Text form of a module's imports, memories and exports."""
-    limits = lambda m: F.concat(m["min"].cast("string"), F.coalesce(F.concat(F.lit(" "), m["max"].cast("string")), F.lit("")), F.when(m["shared"], " shared").otherwise(""))
-    lines = F.concat(F.array(F.lit("(module")), F.transform("imports", lambda i: F.format_string('  (import "%s" "%s" (%s))', i["module"], i["name"], i["kind"])),
-                     F.transform("memories", lambda m: F.concat(F.lit("  (memory "), limits(m), F.lit(")"))),
-                     F.transform("exports", lambda e: F.format_string('  (export "%s" (%s %d))', e["name"], e["kind"], e["index"])), F.array(F.lit(")")))
-    return decoded.select("hash", F.array_join(lines, "\n").alias("wat"))
+    """Text form of what a module declares."""
+    text = lambda c: c.cast("string")
+    bounds = lambda m: F.concat(text(m["min"]), F.coalesce(F.concat(F.lit(" "), text(m["max"])), F.lit("")), F.when(m["shared"], " shared").otherwise(""))
+    words = lambda what, xs: F.when(F.size(xs) > 0, F.concat(F.lit(f"({what} "), F.array_join(xs, " "), F.lit(")"))).otherwise("")
+    cell = lambda g: F.when(g["mutable"], F.concat(F.lit("(mut "), g["val_type"], F.lit(")"))).otherwise(g["val_type"])
+    imported = lambda i: (
+        F.when(i["kind"] == "func", F.concat(F.lit("(func (type $t"), text(i["type_idx"]), F.lit("))")))
+        .when(i["kind"] == "memory", F.concat(F.lit("(memory "), bounds(i["limits"]), F.lit(")")))
+        .when(i["kind"] == "global", F.concat(F.lit("(global "), cell(i), F.lit(")")))
+        .otherwise(F.concat(F.lit("(table "), text(i["limits"]["min"]), F.lit(" "), i["val_type"], F.lit(")"))))
+    lines = F.concat(
+        F.array(F.lit("(module")),
+        F.transform("types", lambda t, i: F.concat(F.lit("  (type $t"), text(i), F.lit(" (func "), F.trim(F.concat(words("param", t["params"]), F.lit(" "), words("result", t["results"]))), F.lit("))"))),
+        F.transform("imports", lambda i: F.concat(F.lit('  (import "'), i["module"], F.lit('" "'), i["name"], F.lit('" '), imported(i), F.lit(")"))),
+        F.transform("memories", lambda m: F.concat(F.lit("  (memory "), bounds(m), F.lit(")"))),
+        F.transform("globals", lambda g, i: F.concat(F.lit("  (global $g"), text(i), F.lit(" "), cell(g), F.lit(")"))),
+        F.transform("exports", lambda e: F.concat(F.lit('  (export "'), e["name"], F.lit('" ('), e["kind"], F.lit(" "), text(e["index"]), F.lit("))"))),
+        F.when(F.col("start").isNotNull(), F.array(F.concat(F.lit("  (start $f"), text(F.col("start")), F.lit(")")))).otherwise(F.array().cast("array<string>")),
+        F.array(F.concat(F.lit("  ;; "), text(F.col("function_count")), F.lit(" function bodies, "), text(F.col("data_segments")), F.lit(" data segments"))), F.array(F.lit(")")))
+    return decoded.filter("ok").select("hash", F.array_join(lines, "\n").alias("wat"))
 
 
 def instructions(decoded: DataFrame) -> DataFrame:
-    """On demand: one row an instruction with its depth and its indented text (decode with names=True)."""
-    a = decoded.select("hash", F.explode("functions").alias("f")).select("hash", "f.func_idx", F.col("f.names").alias("names"))
-    a = a.select("hash", "func_idx", F.posexplode("names").alias("pos", "name"))
+    """On demand: one row an instruction with its depth and its indented text (decode with listings=True)."""
+    a = decoded.select("hash", F.explode("functions").alias("f")).select("hash", "f.func_idx", F.posexplode("f.listing").alias("pos", "op"))
+    a = a.select("hash", "func_idx", "pos", "op.name", "op.operands")
     step = F.when(F.col("name").isin("block", "loop", "if"), 1).when(F.col("name") == "end", -1).otherwise(0)
     before = F.coalesce(F.sum(step).over(Window.partitionBy("hash", "func_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    a = a.withColumn("depth", before - F.col("name").isin("end", "else").cast("int"))
-    return a.withColumn("wat", F.concat(F.repeat(F.lit("  "), F.greatest(F.col("depth"), F.lit(0)).cast("int") + 1), "name"))
+    a = a.withColumn("depth", F.greatest(before - F.col("name").isin("end", "else").cast("int"), F.lit(0)))
+    return a.withColumn("wat", F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), "name", F.when(F.col("operands") != "", F.concat(F.lit(" "), "operands")).otherwise("")))
+
+
+def wat_bodies(decoded: DataFrame) -> DataFrame:
+    """(hash, func_idx, wat): the indented text of each function."""
+    a = instructions(decoded).groupBy("hash", "func_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "wat"))).alias("lines"))
+    return a.select("hash", "func_idx", F.array_join(F.transform("lines", lambda x: x["wat"]), "\n").alias("wat"))
 
 
 def ascii_runs(content: Column, least: int = 5, clip: int = 200) -> Column:

@@ -1,4 +1,5 @@
-"""Queries over parametric modules: one module a `part` row, of p_size rounds, shared where p_partkey is even."""
+"""Queries over modules made of `part` rows: parametric ones of p_size rounds, shared where p_partkey is even, and ones of
+other shapes. The SQL tells what the format's and the measurements' rules give for each shape, from its description."""
 
 from __future__ import annotations
 
@@ -10,18 +11,33 @@ from ..operators import ml, modules
 from ..plans import rules
 
 
-def part_modules(spark: SparkSession, sf_dir: str, names: bool = False) -> DataFrame:
-    """Encodes and decodes the modules. The bytes depend on two columns only, so each distinct one is made once."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+def _spread(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Rows of `part`, dealt over all cores: the table is one small file, but its modules are large."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", *columns)
+    return part.repartition(spark.sparkContext.defaultParallelism, "p_partkey")
 
+
+def part_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(hash, bytes): a module for each row."""
     @F.pandas_udf("binary")
     def encoded(rounds, shared):
         return rounds.combine(shared, lambda r, s: wasm.parametric_module(int(r), bool(s)))
-    return part.select(F.col("p_partkey").cast("string").alias("hash"), encoded("p_size", F.col("p_partkey") % 2 == 0).alias("bytes"))
+    return _spread(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("hash"), encoded("p_size", F.col("p_partkey") % 2 == 0).alias("bytes"))
+
+
+def decoded(spark: SparkSession, sf_dir: str, listings: bool = False) -> DataFrame:
+    return modules.decode(part_modules(spark, sf_dir), listings=listings)
 
 
-def decoded(spark: SparkSession, sf_dir: str, names: bool = False) -> DataFrame:
-    return modules.decode(part_modules(spark, sf_dir), names=names)
+def shaped_modules(spark: SparkSession, sf_dir: str, *shapes: str) -> DataFrame:
+    """(hash, bytes) of modules of `wasm.SHAPES`: which one the key tells, how large p_size. With `shapes` only those."""
+    @F.pandas_udf("binary")
+    def encoded(shape, size):
+        return shape.combine(size, lambda a, b: wasm.shaped_module(int(a), int(b)))
+    few = F.element_at(F.array(*[F.lit(i) for i in (0, 1, 3, 4, 5, 6, 7)]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    a = _spread(spark, sf_dir).withColumn("shape", F.when(F.col("p_partkey") % 400 == 2, 2).otherwise(few))
+    a = a.filter(F.col("shape").isin(*[wasm.SHAPES.index(x) for x in shapes])) if shapes else a
+    return a.select(F.col("p_partkey").cast("string").alias("hash"), encoded("shape", "p_size").alias("bytes"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +102,7 @@ def wat_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instruction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = decoded(spark, sf_dir, names=True)
+    few = decoded(spark, sf_dir, listings=True)
     return modules.instructions(few).groupBy(F.col("hash").cast("long").alias("p_partkey")).agg(F.count("*").alias("instructions"), F.max("depth").cast("long").alias("deepest"), F.count_if(F.col("name") == "end").alias("ends"))
 
 
@@ -96,18 +112,53 @@ def module_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = ml.vectorise(features(spark, sf_dir), modules.opcode_histogram(decoded(spark, sf_dir)))
+    v = ml.vectorise(features(spark, sf_dir))
     z = v.select(F.col("hash").cast("long").alias("p_partkey"), F.posexplode("vector").alias("i", "v"))
     return z.groupBy("p_partkey").agg(F.count("*").alias("columns"), rules.half_up(F.max(F.when(F.col("i") == 1, F.col("v"))), 6).alias("log_instructions"), rules.half_up(F.max(F.when(F.col("i") == 6, F.col("v"))), 6).alias("bitwise_ratio"),
                                       rules.half_up(F.max(F.when(F.col("i") == 35 + 5, F.col("v"))), 6).alias("xor_share"), rules.half_up(F.max(F.when(F.col("i") == 29, F.col("v"))), 6).alias("coverage"))
 
 
 def opcode_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ml.sequences(decoded(spark, sf_dir, names=True))
+    s = ml.sequences(decoded(spark, sf_dir, listings=True))
     return s.select(F.col("hash").cast("long").alias("p_partkey"), F.size("tokens").cast("long").alias("length"), "real_tokens", F.size(F.filter("tokens", lambda t: t == ml.token_id("i32.rotl"))).cast("long").alias("rotl"),
                     F.size(F.filter("tokens", lambda t: t == 4)).cast("long").alias("others"))
 
 
+def module_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = modules.decode(shaped_modules(spark, sf_dir))
+    f = modules.features(d)
+    k = F.col("kernel")
+    return f.select(F.col("hash").cast("long").alias("p_partkey"), "function_count", "decoded_functions", "truncated_functions", "instruction_count", "total_loops", "total_back_edges", "max_nesting", "memory_initial_pages", "memory_grow_sites", "data_bytes",
+                    "export_count", "imported_functions", "stripped", "coverage", F.size("warnings").cast("long").alias("warnings"), *[f"n_{c}" for c in ("control", "call", "variable", "integer", "bitwise", "float", "atomic", "memory")],
+                    k["func_idx"].alias("kernel"), k["largest_loop"].alias("kernel_loop"))
+
+
+def shape_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = modules.functions(modules.decode(shaped_modules(spark, sf_dir, "nested", "table", "broken", "kernels")))
+    return a.select(F.col("hash").cast("long").alias("p_partkey"), "func_idx", "n", "locals", "blocks", "edges", "back_edges", "max_nesting", "largest_loop", "approximate", F.col("truncated").isNotNull().alias("cut"),
+                    F.get("loops", 0)["header"].alias("header"), F.get("loops", 0)["depth"].alias("depth"))
+
+
+def stored_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = modules.decode(shaped_modules(spark, sf_dir, "many"))
+    return modules.stored_functions(a).groupBy(F.col("hash").cast("long").alias("p_partkey")).agg(F.count("*").alias("functions"), F.max("func_idx").alias("last"), F.sum("n").alias("instructions"))
+
+
+def shape_wat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = modules.decode(shaped_modules(spark, sf_dir, "declared", "nested"), listings=True)
+    bodies = modules.wat_bodies(d).filter("func_idx = 0").select("hash", F.col("wat").alias("body"))
+    return modules.wat_header(d).join(bodies, "hash").select(F.col("hash").cast("long").alias("p_partkey"), F.col("wat").alias("header"), "body")
+
+
+def shape_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = modules.features(modules.decode(shaped_modules(spark, sf_dir, "kernels"), budget=60))
+    return f.select(F.col("hash").cast("long").alias("p_partkey"), "instruction_count", "decoded_functions", "truncated_functions", "skipped", F.round("coverage", 6).alias("coverage"))
+
+
+def foreign_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.decode(shaped_modules(spark, sf_dir)).filter("not ok").select(F.col("hash").cast("long").alias("p_partkey"), "reason", "byte_length")
+
+
 def risk_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
@@ -139,7 +190,7 @@ def stale_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (module_scorecard, module_features, module_kernels, module_findings, module_scores, opcode_histogram, category_counts, threshold_probe, instruction_budget, wat_header, instruction_rows,
-                                   module_summary, feature_vectors, opcode_sequences, risk_breakdown, hero_figures, findings_by_layer, alert_dedupe, stale_hashes)}
+                                   module_summary, feature_vectors, opcode_sequences, module_shapes, shape_functions, stored_functions, shape_wat, shape_budget, foreign_bytes, risk_breakdown, hero_figures, findings_by_layer, alert_dedupe, stale_hashes)}
 
 _M = """WITH m AS (SELECT p_partkey, p_brand, p_size::BIGINT AS r, p_partkey % 2 = 0 AS shared, 6 * p_size::BIGINT + 11 AS n, 6 * p_size::BIGINT + 5 AS loop FROM part),
 b AS (SELECT *, r >= 6 AS kernel, 2.0::DOUBLE * r / n AS bw, (3.0::DOUBLE * r + 3) / n AS ar FROM m),
@@ -162,6 +213,36 @@ h AS (SELECT l.*, CASE level WHEN 'benign' THEN 'Nothing unusual found. This loo
         WHEN 'bitwise-dominant-module' THEN 'module-wide instruction mix is bitwise integer work' WHEN 'shared-memory-parallelism' THEN 'shared memory with atomics, the shape of worker fan-out' ELSE 'imports a socket or message transport' END || '.' END AS headline,
    list_position(['benign', 'low', 'medium', 'high', 'critical'], level) AS rank FROM l LEFT JOIN top USING (p_partkey))
 """
+# s is how often a shape's part is repeated; what each shape holds is told where it is made
+_SHAPED = """WITH a AS (SELECT p_partkey, p_size::BIGINT AS s, CASE WHEN p_partkey % 400 = 2 THEN 'many'
+    ELSE ['nested', 'table', 'broken', 'overlong', 'foreign', 'declared', 'kernels'][p_partkey % 7 + 1] END AS shape FROM part)
+"""
+
+
+def _by_shape(**values: str) -> str:
+    """CASE over the shapes; 0 where none is given."""
+    other = values.pop("other", "0::BIGINT")
+    return "CASE shape " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {other} END"
+
+
+_SHAPE_COLUMNS = {
+    "function_count": _by_shape(nested="2", table="1", many="2500", broken="2", overlong="1", declared="1", kernels="3"),
+    "decoded_functions": _by_shape(nested="2", table="1", many="2500", broken="2", overlong="1", declared="1", kernels="3"),
+    "truncated_functions": _by_shape(broken="1"),
+    "instruction_count": _by_shape(nested="15 + s", table="7 + s", many="7500 + 7 * s", broken="s + 2", overlong="1", declared="8", kernels="171 + 13 * s"),
+    "total_loops": _by_shape(nested="1", table="1", many="1", kernels="3"),
+    "total_back_edges": _by_shape(nested="1", table="1"),
+    "max_nesting": _by_shape(nested="3", table="2", many="1", kernels="1"),
+    "memory_initial_pages": _by_shape(declared="s"), "memory_grow_sites": _by_shape(declared="1"), "data_bytes": _by_shape(declared="s + 5"),
+    "export_count": _by_shape(declared="2"), "imported_functions": _by_shape(declared="1"), "warnings": _by_shape(broken="1", overlong="1", declared="1"),
+    "stripped": "shape <> 'declared'", "coverage": "CASE WHEN shape = 'broken' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END",
+    "n_control": _by_shape(nested="14", table="6 + s", many="5001 + 2 * s", broken="s + 2", overlong="1", declared="4", kernels="49 + 3 * s"),
+    "n_call": _by_shape(kernels="2 + s"), "n_variable": _by_shape(nested="s + 1", table="1", many="3 * s", kernels="80 + 6 * s"),
+    "n_integer": _by_shape(many="2499 + s", declared="1"), "n_bitwise": _by_shape(many="s", kernels="40 + 3 * s"),
+    "n_float": _by_shape(declared="1"), "n_atomic": _by_shape(declared="1"), "n_memory": _by_shape(declared="1"),
+    "kernel": "CASE WHEN shape = 'nested' AND s >= 34 OR shape = 'kernels' THEN 0::BIGINT WHEN shape = 'many' AND s >= 6 THEN 2499 END",
+    "kernel_loop": "CASE WHEN shape = 'nested' AND s >= 34 THEN 6 + s WHEN shape = 'kernels' THEN 41 + 4 * s WHEN shape = 'many' AND s >= 6 THEN 7 * s + 1 END",
+}
 _CATS = {"control": "4", "call": "0", "variable": "3 * r + 2", "memory": "0", "integer": "r + 3", "bitwise": "2 * r", "float": "0", "simd": "0", "atomic": "1", "reference": "0", "other": "0"}
 ORACLE_SQL = {
     "module_scorecard": _M + """SELECT p_brand, ['benign', 'low', 'medium', 'high', 'critical'][max(rank)] AS level, max(score) AS max_score, count(*) AS modules, 0::BIGINT AS unanalysed,
@@ -169,7 +250,7 @@ ORACLE_SQL = {
     "module_features": _M + """SELECT p_partkey, n AS instruction_count, 2 * r AS n_bitwise, r + 3 AS n_integer, 1::BIGINT AS n_atomic, 0::BIGINT AS n_float, 0::BIGINT AS n_call, 1::BIGINT AS total_loops, 1::BIGINT AS total_back_edges,
         1::BIGINT AS max_nesting, 16::BIGINT AS memory_initial_pages, 32::BIGINT AS memory_max_pages, shared AS memory_shared, 0::BIGINT AS memory_grow_sites, 1::BIGINT AS export_count, 1::BIGINT AS imported_functions,
         1::BIGINT AS function_count, 1.0::DOUBLE AS coverage, true AS stripped FROM m""",
-    "module_kernels": _M + "SELECT p_partkey, 1::BIGINT AS func_idx, loop AS loop_size, floor(bw * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS bitwise_ratio, floor(ar * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS arithmetic_ratio FROM b WHERE kernel",
+    "module_kernels": _M + "SELECT p_partkey, 0::BIGINT AS func_idx, loop AS loop_size, floor(bw * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS bitwise_ratio, floor(ar * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS arithmetic_ratio FROM b WHERE kernel",
     "module_findings": _M + "SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY weight * confidence DESC, o) - 1 AS place, id, weight, confidence FROM g",
     "module_scores": _M + "SELECT p_partkey, score, level, headline FROM h",
     "opcode_histogram": _M + """, x AS (SELECT unnest([{'name': 'i32.const', 'category': 'integer', 'n': r + 2}, {'name': 'i32.atomic.load', 'category': 'atomic', 'n': 1}, {'name': 'drop', 'category': 'control', 'n': 1},
@@ -177,11 +258,29 @@ ORACLE_SQL = {
         {'name': 'local.set', 'category': 'variable', 'n': r}, {'name': 'i32.gt_s', 'category': 'integer', 'n': 1}, {'name': 'br_if', 'category': 'control', 'n': 1}, {'name': 'end', 'category': 'control', 'n': 2}]) AS e FROM m)
         SELECT e.name AS name, e.category AS category, sum(e.n)::BIGINT AS n, count(*) AS modules FROM x GROUP BY ALL""",
     "category_counts": _M + "SELECT p_partkey, " + ", ".join(f"({x.replace('4', '5') if c == 'control' else x})::BIGINT AS cat_{c}" for c, x in _CATS.items()) + " FROM m",
-    "threshold_probe": _M + "SELECT p_partkey, 1::BIGINT AS func_idx, loop AS largest_loop, 1::BIGINT AS rank FROM b WHERE loop >= 40 AND bw >= 0.15",
+    "threshold_probe": _M + "SELECT p_partkey, 0::BIGINT AS func_idx, loop AS largest_loop, 1::BIGINT AS rank FROM b WHERE loop >= 40 AND bw >= 0.15",
     "instruction_budget": _M + """, u AS (SELECT p_brand, coalesce(sum(n) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM m)
         SELECT p_brand, count(*) FILTER (used < 10000) AS decoded, count(*) FILTER (used >= 10000) AS skipped FROM u GROUP BY p_brand""",
-    "wat_header": _M + """SELECT p_partkey, '(module' || chr(10) || '  (import "pool" "websocket_send" (func))' || chr(10) || '  (memory 16 32' || CASE WHEN shared THEN ' shared' ELSE '' END || ')' || chr(10) || '  (export "run" (func 1))' || chr(10) || ')' AS wat FROM m""",
+    "wat_header": """SELECT p_partkey, concat_ws(chr(10), '(module', '  (type $t0 (func ))', '  (type $t1 (func (result i32)))', '  (import "pool" "websocket_send" (func (type $t0)))',
+        CASE WHEN p_partkey % 2 = 0 THEN '  (memory 16 32 shared)' ELSE '  (memory 16 32)' END, '  (export "run" (func 1))', '  ;; 1 function bodies, 0 data segments', ')') AS wat FROM part""",
     "instruction_rows": _M + "SELECT p_partkey, n AS instructions, 1::BIGINT AS deepest, 2::BIGINT AS ends FROM m",
+    "module_shapes": _SHAPED + "SELECT p_partkey, " + ", ".join(f"{v} AS {k}" for k, v in _SHAPE_COLUMNS.items()) + " FROM a WHERE shape <> 'foreign'",
+    "shape_functions": _SHAPED + """
+        SELECT p_partkey, 0::BIGINT AS func_idx, 14 + s AS n, 1::BIGINT AS locals, 15::BIGINT AS blocks, 17::BIGINT AS edges, 1::BIGINT AS back_edges, 3::BIGINT AS max_nesting, 6 + s AS largest_loop, false AS approximate, false AS cut, 1::BIGINT AS header, 1::BIGINT AS depth FROM a WHERE shape = 'nested'
+        UNION ALL SELECT p_partkey, 1, 1, 0, 1, 0, 0, 0, 0, false, false, NULL, NULL FROM a WHERE shape = 'nested'
+        UNION ALL SELECT p_partkey, 0, 7 + s, 1, 7, 7, 1, 2, 5, false, false, 0, 0 FROM a WHERE shape = 'table'
+        UNION ALL SELECT p_partkey, 0, s, 0, 1, 0, 0, 0, 0, false, true, NULL, NULL FROM a WHERE shape = 'broken'
+        UNION ALL SELECT p_partkey, 1, 2, 0, 2, 1, 0, 0, 0, false, false, NULL, NULL FROM a WHERE shape = 'broken'
+        UNION ALL SELECT p_partkey, f, CASE WHEN f < 2 THEN 43 + 4 * s ELSE 85 + 5 * s END, 1, 4, 3, 0, 1, CASE WHEN f < 2 THEN 41 + 4 * s ELSE 83 + 5 * s END, false, false, 0, 0 FROM a, (SELECT unnest(range(3)) AS f) WHERE shape = 'kernels'""",
+    "stored_functions": _SHAPED + "SELECT p_partkey, 2000::BIGINT AS functions, 1999::BIGINT AS last, 6000::BIGINT AS instructions FROM a WHERE shape = 'many'",
+    "shape_wat": _SHAPED + """SELECT p_partkey, CASE shape WHEN 'nested' THEN concat_ws(chr(10), '(module', '  (type $t0 (func ))', '  ;; 2 function bodies, 0 data segments', ')')
+        ELSE concat_ws(chr(10), '(module', '  (type $t0 (func (param i32 i64) (result f32)))', '  (type $t1 (func ))', '  (import "env" "f" (func (type $t1)))', '  (import "env" "t" (table 5 funcref))', '  (import "env" "g" (global (mut f64)))',
+          '  (memory ' || s || ')', '  (global $g0 (mut i32))', '  (global $g1 v128)', '  (export "m" (memory 0))', '  (export "f" (func 1))', '  (start $f1)', '  ;; 1 function bodies, 1 data segments', ')') END AS header,
+        CASE shape WHEN 'nested' THEN concat_ws(chr(10), 'block 64', '  loop 64', rtrim(repeat('    local.get 0' || chr(10), s::INT), chr(10)), '    if 64', '      br 1', '    else', '      br_if 2', '    end', '  end', 'end', 'local.get 0', 'if 64', '  nop', 'end', 'end')
+        ELSE concat_ws(chr(10), 'f64.const 0.5', 'drop', 'i64.const -1', 'drop', 'atomic.fence', 'memory.grow 0', 'drop', 'end') END AS body FROM a WHERE shape IN ('nested', 'declared')""",
+    "shape_budget": _SHAPED + """SELECT p_partkey, 60::BIGINT AS instruction_count, CASE WHEN s <= 4 THEN 2 ELSE 1 END::BIGINT AS decoded_functions, 1::BIGINT AS truncated_functions, CASE WHEN s <= 4 THEN 1 ELSE 2 END::BIGINT AS skipped,
+        CASE WHEN s <= 4 THEN 0.333333::DOUBLE ELSE 0.0::DOUBLE END AS coverage FROM a WHERE shape = 'kernels'""",
+    "foreign_bytes": _SHAPED + "SELECT p_partkey, 'not a WebAssembly module' AS reason, 6 + s AS byte_length FROM a WHERE shape = 'foreign'",
     "module_summary": _M + "SELECT p_partkey, n AS instruction_count, 1::BIGINT AS decoded_functions, 0::BIGINT AS truncated_functions, 'pool.websocket_send' AS imports, 'run' AS exports FROM m",
     "feature_vectors": _M + """SELECT p_partkey, 73::BIGINT AS columns, floor(ln(1.0::DOUBLE + n) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS log_instructions, floor(bw * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS bitwise_ratio,
         floor(r::DOUBLE / n * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS xor_share, 1.0::DOUBLE AS coverage FROM b""",

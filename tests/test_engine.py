@@ -42,19 +42,52 @@ def test_truncated_and_foreign_inputs():
     whole = wasm.parametric_module(25, True)
     assert wasm.parse(whole[:-20])["ok"] and wasm.parse(whole[:-20])["warnings"]
     assert wasm.parse(b"<html>")["reason"] == "not a WebAssembly module"
-    assert wasm.parse(None)["ok"] is False
-    assert wasm.parse(whole, budget=10)["functions"][0]["truncated"] == "instruction budget"
+    assert wasm.parse(None)["ok"] is False and wasm.parse(whole[:6])["ok"] is False
+    assert wasm.parse(whole, budget=10)["functions"][0]["truncated"] == "exceeded 10 instructions in a single function"
+    long_types = bytearray(wasm.parametric_module(1, True))
+    long_types[9] = 0x7F
+    damaged = wasm.parse(bytes(long_types))
+    assert damaged["warnings"] and damaged["types"] == []
 
 
 def test_every_immediate_shape():
-    ops = [b"\x0e\x01\x00\x00", b"\x1c\x01\x7f", b"\x43\0\0\x80\x3f", b"\x44" + b"\0" * 8, b"\x42\x7f", b"\xd0\x70", b"\xfc\x08\x00\x00", b"\xfd\x0c" + b"\0" * 16, b"\xfd\x15\x01", b"\xfd\x54\x00\x00\x01", b"\xfe\x03\x00", b"\x28\x40\x01\x02", b"\x11\x00\x00"]
+    ops = [b"\x0e\x01\x00\x00", b"\x1c\x01\x7f", b"\x43\0\0\x80\x3f", b"\x44" + b"\0" * 8, b"\x42\x7f", b"\xd0\x70", b"\xfc\x08\x00\x00", b"\xfd\x0c" + b"\0" * 16, b"\xfd\x15\x01",
+           b"\xfd\x54\x00\x00\x01", b"\xfe\x03\x00", b"\x28\x40\x01\x02", b"\x11\x00\x00", b"\x02\x40", b"\x02\x05", b"\xfd\xff\x01", b"\xfe\x20\x02\x01"]
     got = [wasm.instruction(wasm.Bytes(o)) for o in ops]
-    assert [n for n, _ in got] == ["br_table", "select", "f32.const", "f64.const", "i64.const", "ref.null", "memory.init", "v128.const", "v128.op_21", "v128.op_84", "atomic.fence", "i32.load", "call_indirect"]
-    assert got[2][1] == [1.0] and got[4][1] == [-1] and got[11][1] == [64, 1, 2]
+    assert [n for n, _ in got] == ["br_table", "select", "f32.const", "f64.const", "i64.const", "ref.null", "memory.init", "v128.const", "v128.op_21", "v128.op_84", "atomic.fence", "i32.load", "call_indirect", "block", "block", "v128.op_255", "atomic.op_32"]
+    assert [" ".join(a) for _, a in got] == ["0 0", "127", "1", "0", "-1", "112", "0 0", "", "1", "0 0 1", "", "64 1 2", "0 0", "64", "5", "", "2 1"]
+    for o in ops:
+        n, counts, _, why = wasm.scan(o, 0, len(o), 10)
+        assert n == 1 and list(counts) == [wasm.instruction(wasm.Bytes(o))[0]] and why is None
+        assert wasm.scan(o[:-1], 0, len(o) - 1, 10)[0] == 0
     with pytest.raises(wasm.Bad):
         wasm.instruction(wasm.Bytes(b"\xfc\x63"))
 
 
+@given(st.lists(st.sampled_from([*range(0x12), 0x1C, 0x20, 0x28, 0x3F, 0x41, 0x42, 0x43, 0x44, 0x6A, 0x80, 0xD0, 0xFC, 0xFD, 0xFE, 0xFF]), max_size=60), st.integers(0, 60))
+@settings(max_examples=500, deadline=None)
+def test_scan_and_listing_agree(data, end):
+    data, end = bytes(data), min(end, len(data))
+    n, counts, control, _ = wasm.scan(data, 0, end, 50)
+    names = [name for name, _ in wasm.listing(data, 0, end, 50)]
+    assert n == len(names) and counts == {x: names.count(x) for x in set(names)}
+    flow = wasm.control_flow(n, control)
+    assert 0 <= flow["back_edges"] and flow["edges"] <= 300 and flow["blocks"] <= max(n, 0)
+
+
+@pytest.mark.parametrize(("x", "text"), [(0.1, "0.1"), (-0.0, "0"), (1e21, "1e+21"), (1.5e-7, "1.5e-7"), (1e-6, "0.000001"), (123456789012345680000.0, "123456789012345680000"), (-2.5e-5, "-0.000025"), (3.0, "3"), (5e-324, "5e-324"), (100.0, "100"), (1234.5, "1234.5")])
+def test_numbers_as_scripts_write_them(x, text):
+    assert wasm.number(x) == text
+
+
+def test_categories_of_names_and_columns_agree(spark):
+    from pyspark.sql import functions as F
+
+    names = sorted({n for n, _ in wasm.OPCODES.values()} | {*wasm._BULK, *wasm._SIMD.values(), *wasm._ATOMIC.values(), "v128.op_9", "atomic.op_9", ""})
+    got = {r.name: r.c for r in spark.createDataFrame([(n,) for n in names], "name string").select("name", modules.category(F.col("name")).alias("c")).collect()}
+    assert got == {n: wasm.category(n) for n in names}
+
+
 @pytest.mark.parametrize(("rounds", "shared", "score"), [(1, True, 30), (1, False, 14), (6, True, 30), (7, True, 46), (7, False, 31), (25, True, 63), (25, False, 51), (31, True, 65), (32, True, 79), (32, False, 72), (50, True, 82), (50, False, 76)])
 def test_published_scores(spark, rounds, shared, score):
     df = spark.createDataFrame([("h", wasm.parametric_module(rounds, shared))], "hash string, bytes binary")
