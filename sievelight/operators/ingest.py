@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,20 +48,39 @@ def from_base64(text: Column) -> Column:
 
 
 def page_fingerprint(content: Column) -> Column:
-    """`length:hash` in base 36: FNV-1a of four length bytes and three windows of 4 KiB. Byte-serial, so an Arrow UDF."""
+    """`length:hash` in base 36: FNV-1a of four length bytes and three windows of 4 KiB, at most 12,292 bytes a row."""
     @F.pandas_udf("string")
     def made(col: pd.Series) -> pd.Series:
-        return col.map(fingerprint, na_action="ignore")
+        some = col.notna().to_numpy()
+        out = pd.Series([None] * len(col), index=col.index, dtype=object)
+        out[some] = fingerprints(col[some].tolist())
+        return out
     return made(content)
 
 
+def fingerprints(contents: list[bytes]) -> list[str]:
+    """The hash goes byte by byte, but through all contents of a batch at once."""
+    w = 4_096
+    sizes = [len(d) for d in contents]
+    read = [n.to_bytes(8, "little")[:4] + (d if n <= 3 * w else d[:w] + d[(n - w) // 2:(n - w) // 2 + w] + d[-w:]) for d, n in zip(contents, sizes, strict=True)]
+    order = sorted(range(len(read)), key=lambda i: -len(read[i]))
+    h = np.full(len(read), 0x811C9DC5, np.uint32)
+    for f in range(0, len(order), 256):
+        part = order[f:f + 256]
+        longest = len(read[part[0]])
+        table = np.zeros((longest, len(part)), np.uint32)
+        for c, i in enumerate(part):
+            table[:len(read[i]), c] = np.frombuffer(read[i], np.uint8)
+        live = np.searchsorted([-len(read[i]) for i in part], -np.arange(longest), side="left")  # longer than the byte's place
+        now = np.full(len(part), 0x811C9DC5, np.uint32)
+        for row, n in zip(table, live.tolist(), strict=True):
+            now[:n] = (now[:n] ^ row[:n]) * np.uint32(0x01000193)
+        h[part] = now
+    return [f"{base36(n)}:{base36(int(x))}" for n, x in zip(sizes, h, strict=True)]
+
+
 def fingerprint(data: bytes) -> str:
-    n, w = len(data), 4_096
-    parts = [data] if n <= 3 * w else [data[:w], data[(n - w) // 2:(n - w) // 2 + w], data[-w:]]
-    h = 0x811C9DC5
-    for b in b"".join([n.to_bytes(8, "little")[:4], *parts]):
-        h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
-    return f"{base36(n)}:{base36(h)}"
+    return fingerprints([data])[0]
 
 
 def base36(n: int) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 
 from . import modules
 from ..functions.wasm import number
+from ..sources.shared import shared_folder
 from .modules import ratio
 
 # The opcodes that have a column and a token of their own, in schema order.
@@ -179,12 +181,18 @@ def rates(counts: DataFrame) -> DataFrame:
     return a.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve, ties half, 0.5 with one class. Scores are counted first, so the running sum goes
-    over distinct scores."""
-    per = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    a = per.withColumn("wins", F.col("p") * (below + F.col("n") / 2.0))
+def auc(df: DataFrame, score: str, label: str, ranges: int = 64) -> DataFrame:
+    """Area under the ROC curve, ties half, 0.5 with one class. Distinct scores are dealt by ranges of about equal size; the
+    running count of what lies below goes on over the ranges, of which there are few."""
+    per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    cuts = per.agg(F.percentile_approx("s", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10_000)).alias("c")).first().c or []
+    part = sum(((F.col("s") > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    per = per.withColumn("part", part)
+    inside = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = per.groupBy("part").agg(F.sum("n").alias("_n"))
+    starts = sums.select("part", F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    a = per.withColumn("_below", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(starts), "part")
+    a = a.withColumn("wins", F.col("p") * (F.col("_start") + F.col("_below") + F.col("n") / 2.0))
     return a.agg(F.coalesce(F.try_divide(F.sum("wins"), F.sum("p").cast("double") * F.sum("n")), F.lit(0.5)).alias("auc"))
 
 
@@ -206,7 +214,10 @@ def folds(df: DataFrame, key: str, k: int = 5, label: str | None = None) -> Data
 
 def cross_validate(df: DataFrame, names: list[str], key: str, k: int = 5, vector: str = "vector", label: str = "label", epochs: int = 60) -> DataFrame:
     """Each row with the probability of a model that has not seen its fold; one class in a fold's rest is refused."""
-    dealt = folds(df, key, k, label).persist()
+    dealt = folds(df, key, k, label)
+    path = f"{shared_folder(df.sparkSession)}/folds-{uuid.uuid4().hex}"
+    dealt.write.parquet(path)
+    dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
     parts = [predict(dealt.filter(F.col("fold") == f), train(dealt.filter(F.col("fold") != f), names, vector, label, epochs), vector).drop("contributions") for f in range(k)]
     return reduce(DataFrame.unionByName, parts)
 
