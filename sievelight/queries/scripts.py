@@ -12,7 +12,8 @@ from ..plans.rules import half_up
 
 # The tail, the same in both engines.
 TAIL = (""" ;eval(atob("QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWZnaGlqa2xtbm9wcXJzdHV2d3h5ejAxMjM0NTY3ODk=")); new WebSocket("wss://pool.example/x"); WebAssembly.instantiate; new Worker("w.js");"""
-        """ navigator.hardwareConcurrency; CoinHive; document.write("\\x41\\x42\\u0043"); setTimeout("go()", 1);""")
+        """ navigator.hardwareConcurrency; xmrig; CoinHive; document.write("\\x41\\x42\\u0043"); setTimeout("go()", 1);"""
+        """ import ("a"); importScripts("b.js"); String.fromCharCode(65); document.createElement("script"); new Function("x"); "stratum+tcp://a.example:1";""")
 
 SIGNATURES = "(?i)websocket|webassembly|coinhive|hardwareconcurrency"
 
@@ -100,13 +101,22 @@ QUERIES = {f.__name__: f for f in (script_line_stats, script_escape_density, scr
 _Q = TAIL.replace("'", "''")
 _S = f"WITH s AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '{_Q}' ELSE text END AS source FROM documents) "
 _UP = "floor({} * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE"
-_RE2 = {n: p.replace(lexical._B, r"\b").replace("'", "''") for n, p in lexical.APIS.items()}
+# The SQL spells its own patterns, in the dialect of its engine: it does not read those under test.
+_RE2 = {
+    "eval": r"\beval\s*\(", "function_constructor": r"""\bnew\s+Function\s*\(|\bFunction\s*\(\s*["''`]""", "atob": r"\batob\s*\(|decodeURIComponent\s*\(\s*escape\s*\(",
+    "from_char_code": "fromCharCode", "document_write": r"document\s*\.\s*write(?:ln)?\s*\(", "create_element_script": r"""(?i)createElement\s*\(\s*["''`]script["''`]""",
+    "import_scripts": r"\bimportScripts\s*\(", "dynamic_import": r"\bimport\s*\(", "web_assembly": r"\bWebAssembly\s*\.", "worker": r"\bnew\s+(?:Shared)?Worker\s*\(",
+    "web_socket": r"\bnew\s+WebSocket\s*\(", "timer_string": r"""set(?:Timeout|Interval)\s*\(\s*["''`]""",
+}
 _N = lambda n: f"len(regexp_extract_all(source, '{_RE2[n]}'))::BIGINT"
-_ESC = lexical.ESCAPES
+_ESC = r"\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F]+\}|u[0-9a-fA-F]{4}|[0-7]{2,3})"
 _DENSITY = f"length(array_to_string(regexp_extract_all(source, '{_ESC}'), ''))::DOUBLE / length(source)"
 _LIT = r"""(?s)"(?:\\.|[^"\\\r\n])*"|''(?:\\.|[^''\\\r\n])*''|`(?:\\.|[^`\\])*`"""
 _INNER = f"list_filter(list_transform(regexp_extract_all(source, '{_LIT}'), lambda x: substr(x, 2, length(x) - 2)), lambda x: length(x) >= 16)"
-_FIND = lambda p: f"array_to_string(list_transform(list_sort(list_distinct(regexp_extract_all(source, '{p}'))), lambda x: substr(x, 1, 80)), ',')"
+_FAMILY = r"(?i)coinhive|cryptonight|crypto-?loot|jsecoin|webminepool|deepminer|minero|coinimp|monero|randomx|xmrig|nicehash|coinhave|minr\.pw"
+_ENDPOINT = r"""(?i)stratum\+tcp://[^\s"'']{1,80}|wss?://[^\s"'']*(?:pool|xmr|monero|mine|stratum)[^\s"'']{0,60}"""
+# distinct ones in the order of their first appearance, five at most
+_FIND = lambda p: f"array_to_string(list_transform(list_filter(regexp_extract_all(source, '{p}'), lambda x, i: list_position(regexp_extract_all(source, '{p}'), x) = i)[1:5], lambda x: substr(x, 1, 80)), ',')"
 _HOST = r"regexp_extract(lower({}), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
 _ORIGIN = r"regexp_extract(lower({}), '^[a-z][a-z0-9+.-]*://', 0) || " + _HOST
 ORACLE_SQL = {
@@ -114,8 +124,8 @@ ORACLE_SQL = {
     "script_escape_density": _S + "SELECT doc_id, " + _UP.format(f"({_DENSITY})") + " AS escape_density FROM s",
     "script_literals": _S + f"SELECT doc_id, coalesce(list_max(list_transform({_INNER}, lambda x: length(x))), 0)::BIGINT AS longest_literal, len(list_filter({_INNER}, lambda x: length(x) <= 4096 AND regexp_full_match(x, '[A-Za-z0-9+/=]{{64,}}')))::BIGINT AS base64_literals FROM s",
     "script_entropy": _S + ", c AS (SELECT doc_id, unnest(string_split(source, '')) AS c FROM s), n AS (SELECT doc_id, c, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM n) SELECT doc_id, " + _UP.format("(-sum(n::DOUBLE / t * log2(n::DOUBLE / t)))") + " AS entropy FROM t GROUP BY doc_id",
-    "script_api_counts": _S + "SELECT doc_id, " + ", ".join(f"{_N(n)} AS {n}" for n in lexical.APIS) + ", contains(source, 'hardwareConcurrency') AS reads_concurrency FROM s",
-    "script_names_endpoints": _S + "SELECT doc_id, " + _FIND(lexical.FAMILY) + " AS miner_names, " + _FIND(lexical.ENDPOINT.replace("'", "''")) + " AS pool_endpoints FROM s",
+    "script_api_counts": _S + "SELECT doc_id, " + ", ".join(f"{_N(n)} AS {n}" for n in _RE2) + ", contains(source, 'hardwareConcurrency') AS reads_concurrency FROM s",
+    "script_names_endpoints": _S + "SELECT doc_id, " + _FIND(_FAMILY) + " AS miner_names, " + _FIND(_ENDPOINT) + " AS pool_endpoints FROM s",
     "script_findings": _S + f""", f AS (SELECT doc_id, {_DENSITY} AS d, length(source) AS n, doc_id % 7 = 0 AS tail FROM s),
         g AS (SELECT *, tail AND d >= 0.05 AND n >= 200 AND d > 0.05 AS obf, least((d - 0.05::DOUBLE) / 0.25::DOUBLE, 1.0::DOUBLE) AS oc FROM f),
         r AS (SELECT doc_id, CASE WHEN tail THEN 45 * 0.95::DOUBLE + 35 * 0.8::DOUBLE + 30 * CASE WHEN d >= 0.05 THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END + 25 * 0.7::DOUBLE + 8 * 0.3::DOUBLE + CASE WHEN obf THEN 20 * (floor(oc * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE) ELSE 0 END ELSE 0 END AS raw,
@@ -132,5 +142,5 @@ ORACLE_SQL = {
         SELECT *, floor(100 * (1 - exp(-(6 * 0.35::DOUBLE) / 50.0::DOUBLE)) + 0.5)::INT AS score, 'benign' AS level FROM u""",
     "host_of": "SELECT " + _HOST.format("url") + " AS host, count(*) AS n FROM pages GROUP BY 1",
     "script_summary": _S + ", c AS (SELECT doc_id, unnest(string_split(source, '')) AS c FROM s), n AS (SELECT doc_id, c, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM n), e AS (SELECT doc_id, -sum(n::DOUBLE / t * log2(n::DOUBLE / t)) AS e FROM t GROUP BY doc_id)"
-        " SELECT sha256(source) AS hash, max(length(source))::BIGINT AS byte_length, max(CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END)::BIGINT AS eval_sites, max(floor(e * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE) AS entropy, count(*) AS n FROM s JOIN e USING (doc_id) GROUP BY 1",
+        " SELECT sha256(source) AS hash, max(length(source))::BIGINT AS byte_length, max(CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 0 END)::BIGINT AS eval_sites, max(floor(e * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE) AS entropy, count(*) AS n FROM s JOIN e USING (doc_id) GROUP BY 1",
 }
