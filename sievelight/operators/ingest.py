@@ -162,9 +162,10 @@ def third_party(script: Column, page: Column) -> Column:
 
 
 def unpinned(references: DataFrame, page: str = "page_id") -> DataFrame:
-    """Per page: third-party scripts without integrity, their origins, and how many were injected."""
+    """Per page: third-party scripts without integrity, their origins and the first three by name, and how many were injected."""
     r = references.filter("third_party and not has_integrity")
-    return r.groupBy(page).agg(F.count("*").alias("unpinned"), F.count_distinct("origin").alias("origins"), F.count_if(F.col("injected")).alias("injected"))
+    by = r.groupBy(page, "origin").agg(F.count("*").alias("_n"), F.count_if(F.col("injected")).alias("_i"))
+    return by.groupBy(page).agg(F.sum("_n").alias("unpinned"), F.count("origin").alias("origins"), F.sum("_i").alias("injected"), F.slice(F.sort_array(F.collect_list("origin")), 1, 3).alias("first_origins"))
 
 
 def network_notes(seen: DataFrame) -> DataFrame:
@@ -172,7 +173,7 @@ def network_notes(seen: DataFrame) -> DataFrame:
     return seen.filter(F.coalesce(F.lower("content_type").contains("wasm"), F.lit(False)) | path.endswith(".wasm")).select("url", "tab_id", "ts", F.lit("network").alias("reason"))
 
 
-def external_scripts(rows: DataFrame) -> DataFrame:
-    return rows.dropDuplicates(["tab_id", "url"])
-
-
+def external_scripts(rows: DataFrame, at: str = "ts", tie: str = "id") -> DataFrame:
+    """The first row of each script URL of a tab."""
+    rest = [c for c in rows.columns if c not in ("tab_id", "url")]
+    return rows.groupBy("tab_id", "url").agg(F.min_by(F.struct(*rest), F.struct(at, tie)).alias("_r")).select("tab_id", "url", "_r.*").select(*rows.columns)

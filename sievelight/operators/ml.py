@@ -72,6 +72,28 @@ def sequences(decoded: DataFrame, length: int = SEQUENCE_LENGTH, most: int = SEQ
     return a.select("hash", F.concat("real", F.array_repeat(F.lit(0), F.lit(length) - F.size("real"))).alias("tokens"), F.size("real").cast("long").alias("real_tokens"))
 
 
+def sequence_job(files: DataFrame, order: str = "name") -> tuple[DataFrame, DataFrame]:
+    """(name, label, bytes) to the sequences of a training set and one row of counters.
+
+    Of equal contents the first by name is taken; what is no module, or has no function that can be decoded, is skipped. Like
+    the order in which files are read, benign ones (label 0) come before others. Counters: written, kernels (led by a kernel
+    candidate), padded, skipped, duplicates.
+    """
+    a = files.select(order, "label", "bytes", F.sha2("bytes", 256).alias("hash"))
+    first = a.groupBy("hash").agg(F.min(F.struct("label", order)).alias("r"), F.count("*").alias("copies"))
+    one = a.join(first, (a["hash"] == first["hash"]) & (a["label"].eqNullSafe(F.col("r")["label"])) & (a[order] == F.col("r")[order]), "left_semi").dropDuplicates(["hash"])
+    decoded = modules.decode(one, listings=True)
+    kernel = modules.features(decoded).select("hash", F.col("kernel").isNotNull().alias("kernel"))
+    made = sequences(decoded).join(kernel, "hash").join(first.select("hash", F.col("r.label").alias("label"), F.col(f"r.{order}").alias("source")), "hash")
+    read = decoded.select("hash", "ok", F.coalesce(F.exists("functions", lambda f: f["n"] > 0), F.lit(False)).alias("some"))
+    told = first.join(read, "hash").join(made.select("hash", F.col("kernel").alias("_k"), "real_tokens"), "hash", "left")
+    good = F.col("ok") & F.col("some")
+    # a repeat of what was skipped is read, and skipped, again
+    counters = told.agg(F.count_if(good).alias("written"), F.count_if(good & F.col("_k")).alias("kernels"), F.count_if(good & (F.col("real_tokens") < SEQUENCE_LENGTH)).alias("padded"),
+                        F.coalesce(F.sum(F.when(~good, F.col("copies"))), F.lit(0)).alias("skipped"), F.coalesce(F.sum(F.when(good, F.col("copies") - 1)), F.lit(0)).alias("duplicates"))
+    return made.join(read.filter(good), "hash").select("hash", "tokens", "label", "source", "kernel", "real_tokens"), counters
+
+
 def masked(sequences_: DataFrame, seed: int = 1, share: float = 0.15) -> DataFrame:
     """Masked copies of token sequences: of 15% of the maskable tokens 80% become MASK, 10% another token, 10% stay."""
     u = lambda i, salt: F.pmod(F.xxhash64("hash", i, F.lit(seed), F.lit(salt)), F.lit(1_000_000)) / 1_000_000.0

@@ -96,3 +96,26 @@ def argmax_sticky(df: DataFrame, group: str, name: str, value: str, order: str,
     """Name of the largest positive value, the first of equals; the default where none is."""
     best = F.max(F.when(F.col(value) > 0, F.struct(F.col(value), (-F.col(order)).alias("o"), F.col(name).alias("n"))))
     return df.groupBy(group).agg(F.coalesce(best["n"], F.lit(default)).alias("active"))
+
+
+def newest_modules(artifacts: DataFrame, analyses: DataFrame, at: str, key: str = "hash", n: int = 200) -> DataFrame:
+    """The modules' half of an activity report: the newest n with what is known of them."""
+    return artifacts.orderBy(F.desc(at), F.desc(key)).limit(n).join(analyses, key, "left")
+
+
+def last_capture(events: DataFrame, at: str, tie: str, kind: str = "kind", captured: str = "captured", n: int = 200) -> DataFrame:
+    """One row: when a capture last happened, among the newest n events; null where none of these is one."""
+    return events.orderBy(F.desc(at), F.desc(tie)).limit(n).agg(F.max(F.when(F.col(kind) == captured, F.col(at))).alias("last_capture"))
+
+
+def peak(counts: DataFrame) -> DataFrame:
+    """The largest bucket of a histogram, 0 of an empty one."""
+    return counts.agg(F.coalesce(F.max("n"), F.lit(0)).alias("peak"))
+
+
+def badges(assessed: DataFrame, page: str, position: str) -> DataFrame:
+    """Per page how many modules it has and the colour of its worst level."""
+    from ..plans.rules import page_scorecard
+
+    a = page_scorecard(assessed, page, position)
+    return a.select(page, "modules", badge(F.col("level")).alias("colour"))

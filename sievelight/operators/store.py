@@ -72,3 +72,21 @@ def without_tab(tab: Column, *stores: DataFrame) -> list[DataFrame]:
 def unseen(artifacts: DataFrame, results: DataFrame, key: str = "hash") -> DataFrame:
     """Memoisation: only what has no result is analysed."""
     return artifacts.join(results.select(key), key, "left_anti")
+
+
+#: What a stored analysis holds as JSON.
+ANALYSIS = "struct<instructions:bigint,findings:array<struct<id:string,weight:int,confidence:double>>>"
+
+
+def parsed(results: DataFrame, text: str = "analysis") -> DataFrame:
+    """Stored results with their analysis read back from JSON; level, score and versions stay their own columns. A text that is no
+    such JSON gives a null analysis and `readable` = false."""
+    a = results.withColumn(text, F.from_json(F.col(text), ANALYSIS, {"mode": "PERMISSIVE"}))
+    return a.withColumn("readable", F.coalesce(F.col(text)["findings"].isNotNull(), F.lit(False)))
+
+
+def known(artifacts: DataFrame, results: DataFrame, key: str = "hash") -> DataFrame:
+    """Artifacts with the result that is stored of them, if any: only the others are queued."""
+    rest = [c for c in results.columns if c != key]
+    a = artifacts.join(results.select(F.col(key).alias("_k"), F.struct(*rest).alias("result")), F.col(key) == F.col("_k"), "left")
+    return a.withColumn("status", F.when(F.col("_k").isNotNull(), "complete").otherwise("queued")).drop("_k")
