@@ -139,8 +139,9 @@ def _flips(mask: int, t: int) -> list[tuple[int, int]]:
     return [(sum(1 << b for b in c), 1 << c[0]) for d in range(1, t + 1) for c in combinations(bits, d)]
 
 
-def _keys(plan: Plan):
-    flips = [(i, np.uint64(m), np.array([f for f, _ in _flips(m, t)], np.uint64), np.array([low for _, low in _flips(m, t)], np.uint64))
+def _keys(plan: Plan, probes: bool = True):
+    """A row for each bucket that a fingerprint is at home in (role 0) or probes (role 1)."""
+    flips = [(i, np.uint64(m), np.array([f for f, _ in _flips(m, t * probes)], np.uint64), np.array([low for _, low in _flips(m, t * probes)], np.uint64))
              for i, (m, t) in enumerate(zip(plan.masks, plan.thresholds, strict=True)) if t >= 0]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +251,9 @@ def links(distinct: DataFrame, k: int = MAX_DIFFERENCE) -> DataFrame:
     Inside a bucket only a spanning set is returned, never all pairs; the classes are the same."""
     n = distinct.count()
     sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp")).limit(PLAN_SAMPLE).collect()], np.int64).view(np.uint64)
-    keys = distinct.mapInArrow(_keys(plan_for(sample, n, k)), "part int, key long, fp long, role byte")
-    hot = keys.filter("role = 0").groupBy("part", "key").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK)
+    plan, made = plan_for(sample, n, k), "part int, key long, fp long, role byte"
+    keys = distinct.mapInArrow(_keys(plan), made)
+    hot = distinct.mapInArrow(_keys(plan, probes=False), made).groupBy("part", "key").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK)
     hot = spill(hot.withColumn("_g", F.ceil(F.col("_n") / BLOCK).cast("int")).drop("_n"), "simhash-hot")
     if hot.isEmpty():
         dealt = keys.withColumn("block", F.lit(0))
