@@ -229,8 +229,12 @@ def shuffled(n: int, seed: int) -> list[int]:
 
 
 def folds(df: DataFrame, key: str, k: int = 5, label: str | None = None) -> DataFrame:
-    """Fold of each row by its place in a hashed order (of its label: stratified), without a driver-side shuffle."""
-    w = Window.partitionBy(*([label] if label else [F.pmod(F.xxhash64(key), F.lit(64))])).orderBy(F.xxhash64(key), key)
+    """Fold of each row: ranges of the MD5 of its key, so nothing is sorted, shuffled or numbered; with a label, rows of a label
+    are dealt in the order of their hashes (stratified, in buckets of the hash, so no label is one task)."""
+    h = F.md5(F.col(key).cast("string"))
+    if label is None:
+        return df.withColumn("fold", F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int"))
+    w = Window.partitionBy(label, F.substring(h, 1, 1)).orderBy(h, key)
     return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)))
 
 
