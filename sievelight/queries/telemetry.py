@@ -80,7 +80,7 @@ def latest_sighting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blind_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sightings(spark, sf_dir)
-    return reports.blind_spots(s.filter("tab_id = 3"), s.filter("tab_id <> 3 and hash < 10")).select("id", "url")
+    return reports.blind_spots(s.filter("hash >= 10"), s.filter("hash < 10")).select("id", "url")
 
 
 def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +110,9 @@ def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def artifact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sightings(spark, sf_dir).withColumn("size", F.col("hash") * 10)
-    first = store.upsert_artifacts(s.filter("id % 3 > 0 and hash < 90"))
-    return store.upsert_artifacts(s.filter("id % 3 = 0"), first).select("hash", "size", "first_seen", "last_seen", "seen_count", "is_new")
+    early = (F.col("id") % 3 > 0) & (F.col("hash") < 90)
+    first = store.upsert_artifacts(s.filter(early))
+    return store.upsert_artifacts(s.filter(~early), first).select("hash", "size", "first_seen", "last_seen", "seen_count", "is_new")
 
 
 def result_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,12 +261,12 @@ ORACLE_SQL = {
         SELECT user_id, count(*) AS call_count, coalesce(sum(t) FILTER (cut IS NULL OR n <= cut), 0)::BIGINT AS wasm_time_ms, max(t) FILTER (cut IS NULL OR n <= cut) AS longest_call_ms, bool_or(cut IS NOT NULL) AS timing_stopped FROM b GROUP BY user_id""",
     "message_counts": _E + "SELECT user_id, count(*) FILTER (k % 4 = 0) AS sockets, count(*) FILTER (k % 4 IN (1, 2)) AS messages, count(*) FILTER (k % 4 = 3) AS workers FROM e GROUP BY user_id",
     "latest_sighting": _S + ", t AS (SELECT *, count(*) OVER (PARTITION BY hash) AS sightings FROM s QUALIFY row_number() OVER (PARTITION BY hash ORDER BY ts DESC, id) = 1) SELECT hash, sightings, id, url, n_chars, toxic FROM t JOIN documents d ON d.doc_id = hash LEFT JOIN labels l ON l.doc_id = hash",
-    "blind_spots": _S + ", t AS (SELECT * FROM s WHERE tab_id <> 3 AND hash < 10 QUALIFY row_number() OVER (PARTITION BY hash ORDER BY ts DESC, id) = 1) SELECT id, url FROM s WHERE tab_id = 3 AND url NOT IN (SELECT url FROM t)",
+    "blind_spots": _S + ", t AS (SELECT * FROM s WHERE hash < 10 QUALIFY row_number() OVER (PARTITION BY hash ORDER BY ts DESC, id) = 1) SELECT id, url FROM s WHERE hash >= 10 AND url NOT IN (SELECT url FROM t)",
     "report_order": _S + ", a AS (SELECT hash, CASE WHEN hash % 3 > 0 THEN hash % 5 END AS score, max(ts) AS last_seen FROM s GROUP BY hash) SELECT hash, score, last_seen FROM a ORDER BY coalesce(score, -1) DESC, last_seen DESC, hash LIMIT 25",
     "activity_feed": _E + ", n AS (SELECT * FROM e ORDER BY ms DESC, event_id DESC LIMIT 200) SELECT event_id, k, quality FROM n LEFT JOIN labels ON doc_id = k",
     "activity_histogram": _E + f", a AS (SELECT {NOW - 330_000} + ms % 340000 AS t FROM e), b AS (SELECT least(59, floor((t - {NOW - 300_000}) * 60 / 300000.0::DOUBLE))::BIGINT AS bucket, count(*) AS n FROM a WHERE t >= {NOW - 300_000} GROUP BY 1) SELECT r.bucket, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(60)) AS bucket) r LEFT JOIN b USING (bucket)",
     "page_urls": _S + ", a AS (SELECT tab_id, arg_max(page_url, id) AS u FROM s WHERE tab_id < 5 GROUP BY 1), b AS (SELECT tab_id, arg_min(page_url, id) AS v FROM s WHERE tab_id > 3 GROUP BY 1) SELECT coalesce(a.tab_id, b.tab_id) AS tab_id, coalesce(u, v) AS page_url FROM a FULL JOIN b ON a.tab_id = b.tab_id",
-    "artifact_upsert": _S + "SELECT hash, hash * 10 AS size, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS seen_count, NOT bool_or(id % 3 > 0) AS is_new FROM s WHERE id % 3 = 0 OR hash < 90 GROUP BY hash",
+    "artifact_upsert": _S + "SELECT hash, hash * 10 AS size, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS seen_count, NOT bool_or(id % 3 > 0 AND hash < 90) AS is_new FROM s GROUP BY hash",
     "result_upsert": _E + "SELECT k AS hash, event_id, event_type FROM e QUALIFY row_number() OVER (PARTITION BY k ORDER BY ms DESC, event_id DESC) = 1",
     "job_states": _J + "SELECT * FROM x",
     "next_queued": _J + "SELECT id, 'queued' AS status FROM x WHERE status IN ('queued', 'running') ORDER BY created_at, id LIMIT 1",

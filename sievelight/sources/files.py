@@ -44,13 +44,15 @@ def write_sequences(df: DataFrame, path: str) -> None:
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """First row of each sha256; a token table of another order is refused, and so are labels that aren't 0 or 1."""
+    """First row of each sha256, by file and place in it; a token table of another order is refused, and so are labels that
+    aren't 0 or 1."""
     if json.loads(_read_text(spark, f"{path}.vocab"))["tokens"] != [*ml.SPECIAL, *ml.VOCABULARY]:
         raise ValueError("the sequences have another token table")
     df = spark.read.schema("sha256 string, tokens array<int>, label int, source string, kernel boolean, real_tokens long").json(path)
     if not df.filter(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).isEmpty():
         raise ValueError("a label is neither 0 nor 1")
-    return df.groupBy("sha256").agg(F.min(F.struct("source", "tokens", "label", "kernel", "real_tokens")).alias("r")).select("sha256", "r.*")
+    at = df.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")).alias("_at"))
+    return at.groupBy("sha256").agg(F.min_by(F.struct("tokens", "label", "source", "kernel", "real_tokens"), "_at").alias("r")).select("sha256", "r.*")
 
 
 def write_evidence(df: DataFrame, path: str, name: str) -> None:

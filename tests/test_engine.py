@@ -139,6 +139,98 @@ def test_training_learns_and_refuses(spark, tmp_path):
         ml.check_model(model | {"bias": math.nan})
 
 
+def test_sequences_come_back_first_row_first(spark, tmp_path):
+    path = str(tmp_path / "seq")
+    rows = [("a", [2, 6], 0, "z", True, 2), ("a", [2, 7], 1, "b", False, 2), ("b", [2], 1, "c", False, 1)]
+    df = spark.createDataFrame(rows, "sha256 string, tokens array<int>, label int, source string, kernel boolean, real_tokens long").coalesce(1)
+    files.write_sequences(df, path)
+    assert sorted((r.sha256, r.source) for r in files.read_sequences(spark, path).collect()) == [("a", "z"), ("b", "c")]
+    files.write_sequences(df.withColumn("label", F.lit(2)), path)
+    with pytest.raises(ValueError, match="label"):
+        files.read_sequences(spark, path)
+    files._write_text(spark, f"{path}.vocab", '{"tokens": ["x"]}')
+    with pytest.raises(ValueError, match="token table"):
+        files.read_sequences(spark, path)
+
+
+def test_evidence_is_written_by_name(spark, tmp_path):
+    path = str(tmp_path / "evidence")
+    files.write_evidence(spark.createDataFrame([("m1", 3), ("m2", 4)], "name string, score int"), path, "name")
+    got = spark.read.text(path)
+    assert sorted((r.name, r.value) for r in got.collect()) == [("m1", '{"name":"m1","score":3}'), ("m2", '{"name":"m2","score":4}')]
+
+
+def test_first_script_of_a_tab(spark):
+    rows = [(1, "u", 5, 2, "late"), (1, "u", 5, 1, "first"), (2, "u", 9, 3, "other")]
+    got = ingest.external_scripts(spark.createDataFrame(rows, "tab_id long, url string, ts long, id long, what string"))
+    assert sorted((r.tab_id, r.what) for r in got.collect()) == [(1, "first"), (2, "other")]
+
+
+def test_rate_limit_goes_on_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(f, i * 10, i) for f in (None, 1, 2) for i in range(50)]
+        got = ingest.rate_limited(spark.createDataFrame(rows, "f long, ms long, i long"), "f", "ms", "i", 3, 100).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 150 and all(r.allowed == (r.i % 10 < 3) for r in got)
+
+
+def test_upserts_of_a_stream_do_not_depend_on_repeats(spark, tmp_path):
+    from sievelight.streaming import flows
+
+    for _ in range(2):
+        flows.merged(flows.events(spark, SF), f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/t")
+    assert got.count() == got.select("user_id").distinct().count() > 0
+
+
+def test_rescoring_writes_what_moved(spark, tmp_path):
+    from sievelight.streaming import flows
+
+    schema = "k long, value double"
+    for i, rows in enumerate(([(1, 0.5), (2, 0.5)], [(1, 0.55), (2, 0.9)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        flows.rescored(spark.readStream.schema(schema).json(f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/c")
+        got = {(r.k, r.share, r.epoch) for r in spark.read.parquet(f"{tmp_path}/t").collect()}
+    assert got == {(1, 0.5, 0), (2, 0.5, 0), (2, 0.9, 1)}
+
+
+def test_pairs_of_blocks_are_all_pairs(spark):
+    import numpy as np
+
+    from sievelight.operators import corpus
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(160, 4))
+    x[5] = x[6] = 0
+    size = rng.integers(1, 400, 160)
+    df = spark.createDataFrame([(f"n{i:03d}", int(s), v.tolist()) for i, (s, v) in enumerate(zip(size, x))], "name string, size long, v array<double>")
+    got = {(r.a, r.c) for r in corpus.similar_pairs(df, "name", "size", "v", 0.7, block=16).collect()}
+    want = set()
+    for i in range(160):
+        for j in range(i + 1, 160):
+            n = np.linalg.norm(x[i]) * np.linalg.norm(x[j])
+            c = x[i] @ x[j] / n if n else float(not x[i].any() and not x[j].any())
+            if c >= 0.7 and size[j] >= size[i] / 3 and size[j] < size[i] * 3 + 1:
+                want.add((f"n{i:03d}", f"n{j:03d}"))
+    assert got == want and len(want) > 300
+
+
+def test_fingerprints_of_a_batch():
+    def one(d):
+        n, w = len(d), 4_096
+        h = 0x811C9DC5
+        for b in n.to_bytes(4, "little") + (d if n <= 3 * w else d[:w] + d[(n - w) // 2:(n - w) // 2 + w] + d[-w:]):
+            h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+        return f"{ingest.base36(n)}:{ingest.base36(h)}"
+    import random
+
+    rng = random.Random(2)
+    some = [rng.randbytes(n) for n in (0, 1, 5, 5, 4_096, 12_288, 12_289, 50_000, 3, 700)]
+    assert ingest.fingerprints(some) == [one(d) for d in some]
+
+
 def test_module_files(spark, tmp_path):
     folder = tmp_path / "bad"
     files.write_modules(spark, str(folder), {"a.wasm": wasm.parametric_module(3, True), "b.txt": b"x"})
