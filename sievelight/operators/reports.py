@@ -94,8 +94,8 @@ def source_label(source: Column) -> Column:
 
 def argmax_sticky(df: DataFrame, group: str, name: str, value: str, order: str, default: str) -> DataFrame:
     """Name of the largest positive value, the first of equals; the default where none is."""
-    best = F.max(F.when(F.col(value) > 0, F.struct(F.col(value), (-F.col(order)).alias("o"), F.col(name).alias("n"))))
-    return df.groupBy(group).agg(F.coalesce(best["n"], F.lit(default)).alias("active"))
+    best = F.max(F.when(F.col(value) > 0, F.struct(F.col(value).alias("worth"), (-F.col(order)).alias("place"), F.col(name).alias("name"))))
+    return df.groupBy(group).agg(F.coalesce(best["name"], F.lit(default)).alias("active"))
 
 
 def newest_modules(artifacts: DataFrame, analyses: DataFrame, at: str, key: str = "hash", n: int = 200) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import wasm
-from ..operators import ml, reports, store
+from ..operators import ingest, intake, ml, reports, runtime, store
 from ..plans import rules
 from ..plans.rules import half_up
 from ..sources.shared import shared_folder
@@ -128,8 +128,57 @@ def stream_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.rescored(flows.events(spark, sf_dir), f"{base}/table", f"{base}/state").select("k", "reports", half_up(F.col("share"), 6).alias("share"))
 
 
+def network_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as responses: every third is declared a module, every fifth has a module's path, every seventh no type."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    kind = F.when(F.col("page_id") % 7 == 0, None).when(F.col("page_id") % 3 == 0, "Application/WASM").otherwise("text/html")
+    url = F.when(F.col("page_id") % 5 == 0, F.concat(F.regexp_extract("url", "^[^?#]*", 0), F.lit("/A.WASM?x#y"))).otherwise(F.concat("url", F.lit("?q=.wasm")))
+    return ingest.network_notes(p.select(url.alias("url"), (F.col("page_id") % 10).alias("tab_id"), F.col("page_id").alias("ts"), kind.alias("content_type")))
+
+
+def upload_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.get(F.array(*map(F.lit, (200, 202, 413, 500, None))), (F.col("p_size") % 5).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(ingest.upload_outcome(status).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def first_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.external_scripts(telemetry.sightings(spark, sf_dir)).select("tab_id", "url", "id")
+
+
+def runtime_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a report on two modules."""
+    e = telemetry.events(spark, sf_dir)
+    module = lambda f, t: F.struct(f.alias("fingerprint"), t.alias("wasm_time_ms"))
+    zero = F.lit(0).cast("long")
+    report = F.struct(F.col("event_type").alias("context"), F.lit(30_000).alias("observed_ms"), F.struct(F.col("k").alias("samples"), (F.col("k") * 3).alias("late_ms")).alias("drift"), zero.alias("worker_count"),
+                      zero.alias("socket_count"), zero.alias("socket_messages"), zero.alias("hardware_concurrency"), F.array(module(F.col("k"), F.col("ms") % 1000), module(F.col("k") + 1000, F.lit(5).cast("long"))).alias("modules"))
+    a = runtime.samples(e.select(F.col("event_id").alias("context_id"), report.alias("report")))
+    return a.select(F.col("context_id").alias("event_id"), "context", "fingerprint", "wasm_time_ms", "drift_ms")
+
+
+def rescored_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second module has come to run in another context."""
+    f = modules.features(spark, sf_dir)
+    at = lambda n: spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("hash"), n.alias("context_count"), F.lit(0.5).alias("cpu_share"), F.lit(30_000).alias("observed_ms"))
+    a = intake.rescored(at(1 + F.col("p_partkey") % 2), at(F.lit(1)), f, rules.module_rules())
+    return a.select(F.col("hash").cast("long").alias("p_partkey"), "score")
+
+
+def report_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = reports.visible(modules.assessed(spark, sf_dir))
+    flags = reports.flags(F.col("memory_shared"), F.col("memory_grow_sites"), F.col("indirect_calls"), F.col("stripped"), F.col("truncated_functions"))
+    return a.select(F.col("hash").cast("long").alias("p_partkey"), F.array_join(flags, ",").alias("flags"))
+
+
+def active_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type that most of a tenth's events are of, if it has over 5 more than the average."""
+    e = telemetry.events(spark, sf_dir).groupBy((F.col("user_id") % 50).alias("g"), "event_type").agg(F.count("*").alias("n"))
+    a = e.withColumn("o", F.conv(F.substring(F.md5("event_type"), 1, 6), 16, 10).cast("long")).withColumn("n", F.col("n") - 30)
+    return reports.argmax_sticky(a, "g", "event_type", "n", "o", "none")
+
+
 QUERIES = {f.__name__: f for f in (rule_cases, finding_evidence, rule_catalogue, stored_results, known_results, activity_modules, activity_status, page_badges, coverage_gap, classifier_against_rules, sequence_counters,
-                                   stream_intake, stream_rescored)}
+                                   stream_intake, stream_rescored, network_notes, upload_outcomes, first_scripts, runtime_samples, rescored_modules, report_flags, active_types)}
 
 _SAYS = "floor({} * 1000.0::DOUBLE + 0.5) / 10.0::DOUBLE"
 _PCT = lambda x: f"printf('%.1f%%', {_SAYS.format(x)})"
@@ -180,5 +229,15 @@ ORACLE_SQL = {
         SELECT """ + telemetry._6("a") + " AS model_f1, " + telemetry._6("b") + " AS rules_f1, CASE WHEN a - b > 0.01 THEN 'better' WHEN a - b < -0.01 THEN 'worse' ELSE 'same' END AS verdict FROM fm",
     "sequence_counters": "WITH p AS (SELECT p_size::BIGINT AS r, count(*) AS n FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1) SELECT count(*) AS written, count(*) FILTER (r >= 6) AS kernels, count(*) FILTER (6 * r + 12 < 512) AS padded, (SELECT count(*) FROM part WHERE p_partkey % 11 = 0) AS skipped, sum(n - 1)::BIGINT AS duplicates FROM p",
     "stream_intake": telemetry._E + ", f AS (SELECT user_id, k FROM e GROUP BY ALL) SELECT CASE WHEN k < 20 THEN 'known' ELSE 'queued' END AS status, count(*) AS n, count(DISTINCT user_id) AS frames FROM f GROUP BY 1",
+    "network_notes": """SELECT CASE WHEN page_id % 5 = 0 THEN regexp_extract(url, '^[^?#]*') || '/A.WASM?x#y' ELSE url || '?q=.wasm' END AS url, page_id % 10 AS tab_id, page_id AS ts, 'network' AS reason
+        FROM pages WHERE page_id % 5 = 0 OR page_id % 3 = 0 AND page_id % 7 <> 0""",
+    "upload_outcomes": "SELECT ['known', 'accepted', 'too-large', 'rejected', 'unreachable'][p_size % 5 + 1] AS outcome, count(*) AS n FROM part GROUP BY 1",
+    "first_scripts": telemetry._S + "SELECT tab_id, url, id FROM s QUALIFY row_number() OVER (PARTITION BY tab_id, url ORDER BY ts, id) = 1",
+    "runtime_samples": telemetry._E + """SELECT event_id, event_type AS context, k AS fingerprint, ms % 1000 AS wasm_time_ms, CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE 3.0::DOUBLE END AS drift_ms FROM e
+        UNION ALL SELECT event_id, event_type, k + 1000, 5, CASE WHEN k = 0 THEN 0.0 ELSE 3.0 END FROM e""",
+    "rescored_modules": modules._M + "SELECT p_partkey, score FROM h WHERE p_partkey % 2 = 1",
+    "report_flags": modules._M + "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'shared memory,stripped' ELSE 'stripped' END AS flags FROM h WHERE score > 0",
+    "active_types": telemetry._E + """, c AS (SELECT user_id % 50 AS g, event_type, count(*) - 30 AS n, ('0x' || substr(md5(event_type), 1, 6))::BIGINT AS o FROM e GROUP BY 1, 2),
+        t AS (SELECT * FROM c WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, o) = 1) SELECT g, coalesce(t.event_type, 'none') AS active FROM (SELECT DISTINCT g FROM c) LEFT JOIN t USING (g)""",
     "stream_rescored": telemetry._E + "SELECT k, count(*) AS reports, " + telemetry._6("avg(value)") + " AS share FROM e GROUP BY k",
 }
