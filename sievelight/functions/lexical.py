@@ -15,6 +15,8 @@ FAMILY = r"(?i)coinhive|cryptonight|crypto-?loot|jsecoin|webminepool|deepminer|m
 ENDPOINT = r"""(?i)stratum\+tcp://[^\s"']{1,80}|wss?://[^\s"']*(?:pool|xmr|monero|mine|stratum)[^\s"']{0,60}"""
 ESCAPES = r"\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F]+\}|u[0-9a-fA-F]{4}|[0-7]{2,3})"
 LITERAL = r"""(?s)"(?:\\.|[^"\\\r\n])*+"|'(?:\\.|[^'\\\r\n])*+'|`(?:\\.|[^`\\])*+`"""
+SIGNATURES = (r"(?i)crypto-?night|cryptonote|\bcn_(?:slow_)?hash|_hash_cn|_loot_cn|coin-?hive|coinimp|crypto-?loot|deepminer|webminer|minero|equihash|randomx|yespower|yescrypt|argon2d"
+              r"|cuckoo|nimiq|webdollar|stratum|getwork|\bnonce\b|jsecoin|monero|\bxmr\b|zcash|hushminer|yazec|jazec")
 APIS = {
     "eval": _B + r"eval\s*\(", "function_constructor": _B + r"new\s+Function\s*\(|" + _B + r"""Function\s*\(\s*["'`]""", "atob": _B + r"atob\s*\(|decodeURIComponent\s*\(\s*escape\s*\(",
     "from_char_code": "fromCharCode", "document_write": r"document\s*\.\s*write(?:ln)?\s*\(", "create_element_script": r"""(?i)createElement\s*\(\s*["'`]script["'`]""",

@@ -178,7 +178,8 @@ def findings_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alert_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = assessed(spark, sf_dir).withColumn("origin", F.lit("site"))
-    seen = spark.range(0, 100).select(F.concat_ws("|", F.lit("site"), F.lit("high"), F.col("id").cast("string")).alias("alert_key"), F.col("id").alias("ts"))
+    # more than are remembered: the oldest hundred count no more
+    seen = spark.range(0, 300).select(F.concat_ws("|", F.lit("site"), F.lit("high"), F.col("id").cast("string")).alias("alert_key"), F.col("id").alias("ts"))
     return rules.alerts(a, seen).select("alert_key", "score")
 
 
@@ -288,6 +289,6 @@ ORACLE_SQL = {
     "risk_breakdown": _M + "SELECT level, count(*) AS n, floor(count(*)::DOUBLE / sum(count(*)) OVER () * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS share FROM h GROUP BY level",
     "hero_figures": _M + "SELECT count(*) FILTER (rank >= 3) AS flagged, max(score) AS peak, count(DISTINCT p_brand) AS sites FROM h",
     "findings_by_layer": _M + "SELECT p_partkey, count(*) AS static_findings, 0::BIGINT AS runtime_findings, 0::BIGINT AS model_findings FROM g GROUP BY p_partkey",
-    "alert_dedupe": _M + "SELECT 'site|' || level || '|' || p_partkey AS alert_key, score FROM h WHERE level IN ('high', 'critical') AND NOT (level = 'high' AND p_partkey < 100)",
+    "alert_dedupe": _M + "SELECT 'site|' || level || '|' || p_partkey AS alert_key, score FROM h WHERE level IN ('high', 'critical') AND NOT (level = 'high' AND p_partkey BETWEEN 100 AND 299)",
     "stale_hashes": "SELECT p_partkey FROM part WHERE (CASE WHEN p_size % 5 <> 0 THEN p_size % 3 END) IS DISTINCT FROM 1 OR (CASE WHEN p_size % 7 <> 0 THEN 'm1' END) IS DISTINCT FROM 'm1'",
 }

@@ -15,6 +15,7 @@ TAIL = (""" ;eval(atob("QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWZnaGlqa2xtbm9w
         """ navigator.hardwareConcurrency; xmrig; CoinHive; document.write("\\x41\\x42\\u0043"); setTimeout("go()", 1);"""
         """ import ("a"); importScripts("b.js"); String.fromCharCode(65); document.createElement("script"); new Function("x"); "stratum+tcp://a.example:1";""")
 
+#: Terms of a query on modules that have no name of a miner.
 SIGNATURES = "(?i)websocket|webassembly|coinhive|hardwareconcurrency"
 
 
@@ -60,13 +61,21 @@ def script_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms are in lines of their own behind every third document."""
     from ..operators import modules
 
-    a = sources(spark, sf_dir).select("doc_id", modules.ascii_runs(F.encode("source", "UTF-8")).alias("runs"))
-    found = lexical.signature_contexts(a, "doc_id", "runs", SIGNATURES)
+    told = F.concat("source", F.lit("\nnonce of yespower\n"), F.element_at(F.array(*map(F.lit, TERMS)), (F.col("doc_id") % len(TERMS) + 1).cast("int")), F.lit("\nstratum nonce _hash_cn\n"))
+    a = sources(spark, sf_dir).withColumn("source", F.when(F.col("doc_id") % 3 == 0, told).otherwise(F.col("source")))
+    a = a.select("doc_id", modules.ascii_runs(F.encode("source", "UTF-8")).alias("runs"))
+    found = lexical.signature_contexts(a, "doc_id", "runs", lexical.SIGNATURES)
     return found.groupBy("term").agg(F.count("*").alias("docs"), F.max(F.length("context")).cast("long").alias("longest"))
 
 
+# One for each alternative of the pattern, and what is none.
+TERMS = ("CryptoNight", "crypto-night", "cryptonote", "my cn_slow_hash", "cn_hash", "x_hash_cn", "x_loot_cn", "coin-hive", "CoinImp", "crypto-loot", "deepMiner", "webminer", "minero", "equihash", "RandomX", "yescrypt", "argon2d",
+         "cuckoo", "nimiq", "webdollar", "getwork", "jsecoin", "monero", "an xmr b", "zcash", "hushminer", "yazec", "jazec", "announced", "xmrx", "acn_hash")
+
+
 def ascii_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import modules
 
@@ -113,6 +122,8 @@ _ESC = r"\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F]+\}|u[0-9a-fA-F]{4}|[0-7]{2,3})"
 _DENSITY = f"length(array_to_string(regexp_extract_all(source, '{_ESC}'), ''))::DOUBLE / length(source)"
 _LIT = r"""(?s)"(?:\\.|[^"\\\r\n])*"|''(?:\\.|[^''\\\r\n])*''|`(?:\\.|[^`\\])*`"""
 _INNER = f"list_filter(list_transform(regexp_extract_all(source, '{_LIT}'), lambda x: substr(x, 2, length(x) - 2)), lambda x: length(x) >= 16)"
+_SIGNATURES = (r"(?i)crypto-?night|cryptonote|\bcn_(?:slow_)?hash|_hash_cn|_loot_cn|coin-?hive|coinimp|crypto-?loot|deepminer|webminer|minero|equihash|randomx|yespower|yescrypt|argon2d|cuckoo|nimiq"
+               r"|webdollar|stratum|getwork|\bnonce\b|jsecoin|monero|\bxmr\b|zcash|hushminer|yazec|jazec")
 _FAMILY = r"(?i)coinhive|cryptonight|crypto-?loot|jsecoin|webminepool|deepminer|minero|coinimp|monero|randomx|xmrig|nicehash|coinhave|minr\.pw"
 _ENDPOINT = r"""(?i)stratum\+tcp://[^\s"'']{1,80}|wss?://[^\s"'']*(?:pool|xmr|monero|mine|stratum)[^\s"'']{0,60}"""
 # distinct ones in the order of their first appearance, five at most
@@ -133,8 +144,9 @@ ORACLE_SQL = {
         t AS (SELECT *, floor(100 * (1 - exp(-raw / 50.0::DOUBLE)) + 0.5)::INT AS score FROM r)
         SELECT doc_id, ids, score, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' WHEN score >= 10 THEN 'low' ELSE 'benign' END AS level FROM t""",
     "ascii_runs": _S + r", r AS (SELECT doc_id, list_transform(regexp_extract_all(source, '[\x20-\x7e]{5,}'), lambda x: substr(x, 1, 200)) AS runs FROM s) SELECT doc_id, len(runs)::BIGINT AS runs, length(array_to_string(runs, ''))::BIGINT AS chars FROM r",
-    "label_evidence": _S + r", r AS (SELECT doc_id, list_transform(regexp_extract_all(source, '[\x20-\x7e]{5,}'), lambda x: substr(x, 1, 200)) AS runs FROM s), u AS (SELECT doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS pos FROM r),"
-        f" t AS (SELECT doc_id, pos, run, unnest(list_distinct(list_transform(regexp_extract_all(run, '{SIGNATURES}'), lambda x: lower(x)))) AS term FROM u), c AS (SELECT doc_id, term, length(substr(arg_min(run, pos), 1, 80)) AS n FROM t GROUP BY doc_id, term) SELECT term, count(*) AS docs, max(n)::BIGINT AS longest FROM c GROUP BY term",
+    "label_evidence": _S + ", v AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || chr(10) || 'nonce of yespower' || chr(10) || [" + ", ".join(f"'{t}'" for t in TERMS) + f"][doc_id % {len(TERMS)} + 1] || chr(10) || 'stratum nonce _hash_cn' || chr(10) ELSE source END AS source FROM s)"
+        r", r AS (SELECT doc_id, list_transform(regexp_extract_all(source, '[\x20-\x7e]{5,}'), lambda x: substr(x, 1, 200)) AS runs FROM v), u AS (SELECT doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS pos FROM r),"
+        f" t AS (SELECT doc_id, pos, run, unnest(list_distinct(list_transform(regexp_extract_all(run, '{_SIGNATURES}'), lambda x: lower(x)))) AS term FROM u), c AS (SELECT doc_id, term, length(substr(arg_min(run, pos), 1, 80)) AS n FROM t GROUP BY doc_id, term) SELECT term, count(*) AS docs, max(n)::BIGINT AS longest FROM c GROUP BY term",
     "inline_scripts": r"""WITH t AS (SELECT page_id, regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>') AS tags FROM pages), u AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos FROM t),
         c AS (SELECT page_id, pos, regexp_extract(tag, '(?is)^<script\b[^>]*>(.*)</script>$', 1) AS code FROM u) SELECT page_id, pos, length(code)::BIGINT AS length, length(code) BETWEEN 40 AND 2097152 AS big_enough, md5(code) AS code FROM c""",
     "supply_chain": "WITH r AS (SELECT p.page_id, " + _ORIGIN.format("q.url", "q.url") + " AS origin, " + _ORIGIN.format("p.url", "p.url") + """ AS own, p.page_id % 2 = 0 AS injected FROM pages p JOIN pages q ON q.page_id BETWEEN p.page_id + 1 AND p.page_id + 3),
