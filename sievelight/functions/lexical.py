@@ -18,9 +18,12 @@ LITERAL = r"""(?s)"(?:\\.|[^"\\\r\n])*+"|'(?:\\.|[^'\\\r\n])*+'|`(?:\\.|[^`\\])*
 SIGNATURES = (r"(?i)crypto-?night|cryptonote|\bcn_(?:slow_)?hash|_hash_cn|_loot_cn|coin-?hive|coinimp|crypto-?loot|deepminer|webminer|minero|equihash|randomx|yespower|yescrypt|argon2d"
               r"|cuckoo|nimiq|webdollar|stratum|getwork|\bnonce\b|jsecoin|monero|\bxmr\b|zcash|hushminer|yazec|jazec")
 APIS = {
-    "eval": _B + r"eval\s*\(", "function_constructor": _B + r"new\s+Function\s*\(|" + _B + r"""Function\s*\(\s*["'`]""", "atob": _B + r"atob\s*\(|decodeURIComponent\s*\(\s*escape\s*\(",
-    "from_char_code": "fromCharCode", "document_write": r"document\s*\.\s*write(?:ln)?\s*\(", "create_element_script": r"""(?i)createElement\s*\(\s*["'`]script["'`]""",
-    "import_scripts": _B + r"importScripts\s*\(", "dynamic_import": _B + r"import\s*\(", "web_assembly": _B + r"WebAssembly\s*\.", "worker": _B + r"new\s+(?:Shared)?Worker\s*\(",
+    "eval": _B + r"eval\s*\(", "function_constructor": _B + r"new\s+Function\s*\(|" + _B + r"""Function\s*\(\s*["'`]""",
+    "atob": _B + r"atob\s*\(|decodeURIComponent\s*\(\s*escape\s*\(",
+    "from_char_code": "fromCharCode", "document_write": r"document\s*\.\s*write(?:ln)?\s*\(",
+    "create_element_script": r"""(?i)createElement\s*\(\s*["'`]script["'`]""",
+    "import_scripts": _B + r"importScripts\s*\(", "dynamic_import": _B + r"import\s*\(", "web_assembly": _B + r"WebAssembly\s*\.",
+    "worker": _B + r"new\s+(?:Shared)?Worker\s*\(",
     "web_socket": _B + r"new\s+WebSocket\s*\(", "timer_string": r"""set(?:Timeout|Interval)\s*\(\s*["'`]""",
 }
 
@@ -51,7 +54,8 @@ def measure(df: DataFrame, text: str = "source") -> DataFrame:
     """Adds all measurements but the entropy. Empty or null sources have ok = false; of sources over 4 Mi
     characters the first 4 Mi are searched, byte_length stays true and coverage is the searched share."""
     full, s = F.coalesce(F.col(text), F.lit("")), F.col("_scan")
-    a = df.withColumn("ok", F.length(full) > 0).withColumn("byte_length", F.length(full).cast("long")).withColumn("_scan", F.substring(full, 1, SCAN_CHARS))
+    a = df.withColumn("ok", F.length(full) > 0).withColumn("byte_length", F.length(full).cast("long")).withColumn("_scan",
+        F.substring(full, 1, SCAN_CHARS))
     a = a.withColumn("coverage", F.when(F.col("ok"), F.length(s) / F.col("byte_length")).otherwise(1.0)).withColumn("_lines", F.split(s, "\n", -1))
     longest = F.array_max(F.transform("_lines", lambda x: F.length(x)))
     a = a.withColumn("line_count", F.size("_lines").cast("long")).withColumn("max_line", longest.cast("long"))
@@ -61,17 +65,21 @@ def measure(df: DataFrame, text: str = "source") -> DataFrame:
     inner = F.transform(F.regexp_extract_all(s, F.lit(LITERAL), F.lit(0)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
     a = a.withColumn("_literals", F.filter(inner, lambda x: F.length(x) >= MIN_LITERAL))
     a = a.withColumn("longest_literal", F.coalesce(F.array_max(F.transform("_literals", lambda x: F.length(x))), F.lit(0)).cast("long"))
-    a = a.withColumn("base64_literals", F.size(F.filter("_literals", lambda x: (F.length(x) <= BASE64_MOST) & F.regexp_like(x, F.lit(rf"\A[A-Za-z0-9+/=]{{{BASE64_LEAST},}}\z")))).cast("long"))
+    a = a.withColumn("base64_literals", F.size(F.filter("_literals", lambda x: (F.length(x) <= BASE64_MOST) & F.regexp_like(x,
+        F.lit(rf"\A[A-Za-z0-9+/=]{{{BASE64_LEAST},}}\z")))).cast("long"))
     a = a.withColumns({n: F.regexp_count(s, F.lit(p)).cast("long") for n, p in APIS.items()})
-    a = a.withColumn("miner_names", _names(s, FAMILY)).withColumn("pool_endpoints", _names(s, ENDPOINT)).withColumn("reads_concurrency", s.contains("hardwareConcurrency"))
+    a = a.withColumn("miner_names", _names(s, FAMILY)).withColumn("pool_endpoints", _names(s, ENDPOINT)).withColumn("reads_concurrency",
+        s.contains("hardwareConcurrency"))
     return a.drop("_scan", "_lines", "_literals")
 
 
 def stored(measured: DataFrame) -> DataFrame:
     """What is kept of a script: never its source."""
     down = lambda c, n: F.floor(F.col(c) * 10.0 ** n + 0.5).cast("double") / 10.0 ** n
-    return measured.select("hash", "byte_length", "line_count", "max_line", down("escape_density", 5).alias("escape_density"), down("entropy", 2).alias("entropy"), "longest_literal", "base64_literals",
-                           (F.col("eval") + F.col("function_constructor") + F.col("timer_string")).alias("eval_sites"), "atob", "miner_names", "pool_endpoints", "reads_concurrency")
+    return measured.select("hash", "byte_length", "line_count", "max_line", down("escape_density", 5).alias("escape_density"),
+        down("entropy", 2).alias("entropy"), "longest_literal", "base64_literals",
+                           (F.col("eval") + F.col("function_constructor") + F.col("timer_string")).alias("eval_sites"), "atob",
+                           "miner_names", "pool_endpoints", "reads_concurrency")
 
 
 def signature_contexts(df: DataFrame, key: str, runs: str, terms: str) -> DataFrame:

@@ -30,21 +30,28 @@ _INDEXED = {0x0C: "br", 0x0D: "br_if", 0x10: "call", 0x20: "local.get", 0x21: "l
 _BULK = ("i32.trunc_sat_f32_s i32.trunc_sat_f32_u i32.trunc_sat_f64_s i32.trunc_sat_f64_u i64.trunc_sat_f32_s i64.trunc_sat_f32_u i64.trunc_sat_f64_s i64.trunc_sat_f64_u "
          "memory.init data.drop memory.copy memory.fill table.init elem.drop table.copy table.grow table.size table.fill").split()
 _BULK_OPERANDS = {8: 2, 9: 1, 10: 2, 11: 1, 12: 2, 13: 1, 14: 2, 15: 1, 16: 1, 17: 1}
-_SIMD = {0: "v128.load", 11: "v128.store", 12: "v128.const", 13: "i8x16.shuffle", 14: "i8x16.swizzle", 15: "i8x16.splat", 16: "i16x8.splat", 17: "i32x4.splat", 18: "i64x2.splat",
-         19: "f32x4.splat", 20: "f64x2.splat", 77: "v128.not", 78: "v128.and", 80: "v128.or", 81: "v128.xor", 92: "v128.load32_zero", 93: "v128.load64_zero"}
-_ATOMIC = {0: "memory.atomic.notify", 1: "memory.atomic.wait32", 2: "memory.atomic.wait64", 3: "atomic.fence", 16: "i32.atomic.load", 17: "i64.atomic.load",
-           30: "i32.atomic.store", 31: "i64.atomic.store", 36: "i32.atomic.rmw.add", 37: "i64.atomic.rmw.add", 72: "i32.atomic.rmw.cmpxchg", 73: "i64.atomic.rmw.cmpxchg"}
+_SIMD = {0: "v128.load", 11: "v128.store", 12: "v128.const", 13: "i8x16.shuffle", 14: "i8x16.swizzle", 15: "i8x16.splat", 16: "i16x8.splat",
+    17: "i32x4.splat", 18: "i64x2.splat",
+         19: "f32x4.splat", 20: "f64x2.splat", 77: "v128.not", 78: "v128.and", 80: "v128.or", 81: "v128.xor", 92: "v128.load32_zero",
+         93: "v128.load64_zero"}
+_ATOMIC = {0: "memory.atomic.notify", 1: "memory.atomic.wait32", 2: "memory.atomic.wait64", 3: "atomic.fence", 16: "i32.atomic.load",
+    17: "i64.atomic.load",
+           30: "i32.atomic.store", 31: "i64.atomic.store", 36: "i32.atomic.rmw.add", 37: "i64.atomic.rmw.add", 72: "i32.atomic.rmw.cmpxchg",
+           73: "i64.atomic.rmw.cmpxchg"}
 
 
 def opcode_table() -> dict[int, tuple[str, str]]:
     """Opcode to (name, immediate shape)."""
     out = {c: (n, "none") for c, n in _PLAIN.items()} | {c: (n, "u32") for c, n in _INDEXED.items()}
-    out |= {0x02: ("block", "block"), 0x03: ("loop", "block"), 0x04: ("if", "block"), 0x0E: ("br_table", "br_table"), 0x11: ("call_indirect", "u32u32"), 0x1C: ("select", "select_t"),
-            0x3F: ("memory.size", "byte"), 0x40: ("memory.grow", "byte"), 0x41: ("i32.const", "i32"), 0x42: ("i64.const", "i64"), 0x43: ("f32.const", "f32"), 0x44: ("f64.const", "f64"),
+    out |= {0x02: ("block", "block"), 0x03: ("loop", "block"), 0x04: ("if", "block"), 0x0E: ("br_table", "br_table"),
+        0x11: ("call_indirect", "u32u32"), 0x1C: ("select", "select_t"),
+            0x3F: ("memory.size", "byte"), 0x40: ("memory.grow", "byte"), 0x41: ("i32.const", "i32"), 0x42: ("i64.const", "i64"),
+            0x43: ("f32.const", "f32"), 0x44: ("f64.const", "f64"),
             0xD0: ("ref.null", "byte")}
     for i, n in enumerate(f"{_LOADS} {_STORES}".split()):
         out[0x28 + i] = (n, "memarg")
-    numeric = [f"{t}.{o}" for t, ops in (("i32", _INT_TESTS), ("i64", _INT_TESTS), ("f32", _FLOAT_TESTS), ("f64", _FLOAT_TESTS), ("i32", _INT_OPS), ("i64", _INT_OPS),
+    numeric = [f"{t}.{o}" for t, ops in (("i32", _INT_TESTS), ("i64", _INT_TESTS), ("f32", _FLOAT_TESTS), ("f64", _FLOAT_TESTS),
+        ("i32", _INT_OPS), ("i64", _INT_OPS),
                                          ("f32", _FLOAT_OPS), ("f64", _FLOAT_OPS)) for o in ops.split()] + _CONVERSIONS.split()
     return out | {0x45 + i: (n, "none") for i, n in enumerate(numeric)}
 
@@ -61,9 +68,12 @@ VECTORS = ("v128.", "i8x16.", "i16x8.", "i32x4.", "i64x2.", "f32x4.", "f64x2.")
 def category(name: str) -> str:
     """First match decides; constants, compares and conversions of integers are integer operations."""
     kind, _, op = name.partition(".")
-    tests = (("simd", name.startswith(VECTORS)), ("atomic", "atomic" in name), ("reference", kind == "ref" and op), ("call", name in ("call", "call_indirect")),
-             ("variable", kind in ("local", "global") and op), ("memory", kind in ("memory", "data", "table", "elem") and op or ".load" in name or ".store" in name),
-             ("bitwise", kind in ("i32", "i64") and op.split(".")[0] in BITWISE), ("integer", kind in ("i32", "i64") and op), ("float", kind in ("f32", "f64")), ("other", not name))
+    tests = (("simd", name.startswith(VECTORS)), ("atomic", "atomic" in name), ("reference", kind == "ref" and op),
+        ("call", name in ("call", "call_indirect")),
+             ("variable", kind in ("local", "global") and op),
+             ("memory", kind in ("memory", "data", "table", "elem") and op or ".load" in name or ".store" in name),
+             ("bitwise", kind in ("i32", "i64") and op.split(".")[0] in BITWISE), ("integer", kind in ("i32", "i64") and op),
+             ("float", kind in ("f32", "f64")), ("other", not name))
     return next((c for c, holds in tests if holds), "control")
 
 
@@ -188,7 +198,8 @@ def _block_type(r: Bytes) -> list[str]:
 
 
 _IMMEDIATES = {
-    "u32": lambda r: [str(r.u32())], "u32u32": lambda r: [str(r.u32()), str(r.u32())], "block": _block_type, "byte": lambda r: [str(r.byte())], "memarg": _memarg,
+    "u32": lambda r: [str(r.u32())], "u32u32": lambda r: [str(r.u32()), str(r.u32())], "block": _block_type,
+    "byte": lambda r: [str(r.byte())], "memarg": _memarg,
     "br_table": lambda r: [str(r.u32()) for _ in range(r.count() + 1)], "select_t": lambda r: [str(b) for b in r.take(r.count())],
     "i32": lambda r: [str(r.signed(32))], "i64": lambda r: [str(r.signed(64))],
     "f32": lambda r: [number(struct.unpack("<f", r.take(4))[0])], "f64": lambda r: [number(struct.unpack("<d", r.take(8))[0])],
@@ -214,7 +225,8 @@ def listing(data: bytes, at: int, end: int, most: int) -> list[tuple[str, list[s
 
 # What follows an opcode, as the loop of `scan` asks for it.
 _NONE, _ONE, _TWO, _BYTE, _MEMARG, _TYPES, _LONG, _FOUR, _EIGHT, _BLOCK, _CONTROL, _BRANCH, _TABLE, _PREFIX, _UNKNOWN = range(15)
-_SHAPES = {"none": _NONE, "u32": _ONE, "i32": _ONE, "u32u32": _TWO, "byte": _BYTE, "memarg": _MEMARG, "select_t": _TYPES, "i64": _LONG, "f32": _FOUR, "f64": _EIGHT, "block": _BLOCK, "br_table": _TABLE}
+_SHAPES = {"none": _NONE, "u32": _ONE, "i32": _ONE, "u32u32": _TWO, "byte": _BYTE, "memarg": _MEMARG, "select_t": _TYPES, "i64": _LONG,
+    "f32": _FOUR, "f64": _EIGHT, "block": _BLOCK, "br_table": _TABLE}
 _SHAPE_OF = [_SHAPES[OPCODES[c][1]] if c in OPCODES else _UNKNOWN for c in range(256)]
 for _c in (0x00, 0x05, 0x0B, 0x0F):
     _SHAPE_OF[_c] = _CONTROL
@@ -410,8 +422,10 @@ def control_flow(n: int, control: list[tuple]) -> dict:
 
 def parse(data: bytes | None, budget: int = MAX_INSTRUCTIONS, listings: bool = False) -> dict:
     """Total: a bad input is a row with ok = false, a bad section a warning and nothing of it, a bad body a truncated function."""
-    row = {"ok": False, "reason": None, "byte_length": len(data or b""), "version": None, "types": [], "imports": [], "exports": [], "tables": [], "memories": [], "globals": [], "customs": [],
-           "data_segments": 0, "data_bytes": 0, "elements": 0, "start": None, "declared": [], "function_count": 0, "skipped": 0, "ops": {}, "warnings": [], "functions": []}
+    row = {"ok": False, "reason": None, "byte_length": len(data or b""), "version": None, "types": [], "imports": [], "exports": [],
+        "tables": [], "memories": [], "globals": [], "customs": [],
+           "data_segments": 0, "data_bytes": 0, "elements": 0, "start": None, "declared": [], "function_count": 0, "skipped": 0, "ops": {},
+           "warnings": [], "functions": []}
     if data is None or data[:4] != MAGIC:
         return row | {"reason": "not a WebAssembly module"}
     if len(data) < 8:
@@ -445,8 +459,10 @@ def parse(data: bytes | None, budget: int = MAX_INSTRUCTIONS, listings: bool = F
             totals[name] = totals.get(name, 0) + c
             cats[_CATEGORY_OF[name] if name in _CATEGORY_OF else CATEGORIES.index(category(name))] += c
         row["functions"].append({
-            "func_idx": k, "type_idx": row["declared"][k] if k < len(row["declared"]) else -1, "locals": n_locals, "n": n, "cats": cats, "indirect": ops.get("call_indirect", 0), "truncated": why,
-            **control_flow(n, control), "listing": [{"name": a, "operands": " ".join(b)} for a, b in listing(data, start, stop, left)] if listings else None})
+            "func_idx": k, "type_idx": row["declared"][k] if k < len(row["declared"]) else -1, "locals": n_locals, "n": n, "cats": cats,
+            "indirect": ops.get("call_indirect", 0), "truncated": why,
+            **control_flow(n, control), "listing": [{"name": a, "operands": " ".join(b)} for a,
+                b in listing(data, start, stop, left)] if listings else None})
         left -= n
     return row
 
@@ -459,7 +475,8 @@ def _section(kind: int, r: Bytes, end: int, row: dict, bodies: list) -> None:
         return {"params": r.vector(r.value_type), "results": r.vector(r.value_type)}
 
     def entry() -> dict:
-        out = {"module": r.name(), "name": r.name(), "kind": _extern(r, "import"), "type_idx": None, "limits": None, "val_type": None, "mutable": None}
+        out = {"module": r.name(), "name": r.name(), "kind": _extern(r, "import"), "type_idx": None, "limits": None, "val_type": None,
+            "mutable": None}
         if out["kind"] == "func":
             out["type_idx"] = r.u32()
         elif out["kind"] == "global":
@@ -562,8 +579,10 @@ def parametric_module(rounds: int, shared: bool) -> bytes:
     """One import, one export, one loop of `rounds` rotate-and-xor rounds after an atomic load."""
     ops = b"\x41\x00\xfe\x10\x02\x00\x1a\x03\x40" + b"".join(b"\x20\x00\x41" + sleb(i * 7 % 31) + b"\x77\x20\x00\x73\x21\x00" for i in range(rounds)) + b"\x20\x00\x41\x00\x4a\x0d\x00\x0b\x20\x00\x0b"
     code = uleb(1) + uleb(1) + b"\x7f" + ops
-    return assemble(section(1, b"\x60\x00\x00", b"\x60\x00\x01\x7f"), section(2, text("pool") + text("websocket_send") + b"\x00\x00"), section(3, uleb(1)),
-                    section(5, bytes([3 if shared else 1]) + uleb(16) + uleb(32)), section(7, text("run") + b"\x00\x01"), section(10, uleb(len(code)) + code))
+    return assemble(section(1, b"\x60\x00\x00", b"\x60\x00\x01\x7f"), section(2, text("pool") + text("websocket_send") + b"\x00\x00"),
+        section(3, uleb(1)),
+                    section(5, bytes([3 if shared else 1]) + uleb(16) + uleb(32)), section(7, text("run") + b"\x00\x01"),
+                    section(10, uleb(len(code)) + code))
 
 
 def function_body(ops: bytes, locals_: bytes = b"\x00") -> bytes:
@@ -589,7 +608,8 @@ def shaped_module(shape: int, size: int) -> bytes:
         one = b"\x03\x40\x02\x40" + get + b"\x0e" + uleb(300) + b"\x00" * 300 + b"\x01" + end + end + b"\x01" * size + end
         return assemble(plain, declared(1), code(function_body(one, b"\x01\x01\x7f")))
     if name == "many":  # more functions than rows are stored of
-        return assemble(plain, declared(2_500), code(*[function_body(b"\x41\x00\x1a" + end)] * 2_499, function_body(b"\x03\x40" + (get + b"\x45\x1a" + get + get + b"\x73\x1a") * size + end + end, b"\x01\x01\x7f")))
+        return assemble(plain, declared(2_500), code(*[function_body(b"\x41\x00\x1a" + end)] * 2_499,
+            function_body(b"\x03\x40" + (get + b"\x45\x1a" + get + get + b"\x73\x1a") * size + end + end, b"\x01\x01\x7f")))
     if name == "broken":  # an unknown opcode, then a sound function; an export of an unknown kind takes its section along
         bad = section(7, text("f") + b"\x00\x00", text("g") + b"\x09\x00")
         return assemble(plain, declared(2), bad, code(function_body(b"\x01" * size + b"\xf1" + end), function_body(b"\x01" + end)))
@@ -598,12 +618,18 @@ def shaped_module(shape: int, size: int) -> bytes:
     if name == "foreign":
         return b"<html>" + b" " * size
     if name == "declared":  # every kind of section
-        parts = [section(1, b"\x60\x02\x7f\x7e\x01\x7d", b"\x60\x00\x00"), section(2, text("env") + text("f") + b"\x00\x01", text("env") + text("t") + b"\x01\x70\x00\x05", text("env") + text("g") + b"\x03\x7c\x01"),
-                 section(3, uleb(1)), section(4, b"\x70\x01\x01\x02"), section(5, b"\x00" + uleb(size)), section(6, b"\x7f\x01\x41\x05\x0b", b"\x7b\x00\xfd\x0c" + b"\x00" * 16 + b"\x0b"),
-                 section(7, text("m") + b"\x02\x00", text("f") + b"\x00\x01"), section(8, uleb(1), counted=False), section(9, b"\x00\x41\x00\x0b\x01\x00"), section(12, uleb(1), counted=False),
-                 code(function_body(b"\x44" + struct.pack("<d", 0.5) + b"\x1a\x42\x7f\x1a\xfe\x03\x00\x40\x00\x1a" + end)), section(11, b"\x00\x41\x00\x0b" + text("x" * size)), section(0, text("name"), b"\x00", counted=False), section(30, b"")]
+        parts = [section(1, b"\x60\x02\x7f\x7e\x01\x7d", b"\x60\x00\x00"),
+            section(2, text("env") + text("f") + b"\x00\x01", text("env") + text("t") + b"\x01\x70\x00\x05",
+                text("env") + text("g") + b"\x03\x7c\x01"),
+                 section(3, uleb(1)), section(4, b"\x70\x01\x01\x02"), section(5, b"\x00" + uleb(size)),
+                 section(6, b"\x7f\x01\x41\x05\x0b", b"\x7b\x00\xfd\x0c" + b"\x00" * 16 + b"\x0b"),
+                 section(7, text("m") + b"\x02\x00", text("f") + b"\x00\x01"), section(8, uleb(1), counted=False),
+                 section(9, b"\x00\x41\x00\x0b\x01\x00"), section(12, uleb(1), counted=False),
+                 code(function_body(b"\x44" + struct.pack("<d", 0.5) + b"\x1a\x42\x7f\x1a\xfe\x03\x00\x40\x00\x1a" + end)),
+                 section(11, b"\x00\x41\x00\x0b" + text("x" * size)), section(0, text("name"), b"\x00", counted=False), section(30, b"")]
         return assemble(*parts)
     # two kernels alike, of which the first counts; a third has a larger loop but calls too often
     turn = lambda n, more=b"": b"\x03\x40" + (get + get + b"\x73\x1a") * n + more + end + end
     local = b"\x01\x01\x7f"
-    return assemble(plain, declared(3), code(function_body(turn(10 + size), local), function_body(turn(10 + size), local), function_body(turn(20 + size, b"\x10\x00" * (2 + size)), local)))
+    return assemble(plain, declared(3), code(function_body(turn(10 + size), local), function_body(turn(10 + size), local),
+        function_body(turn(20 + size, b"\x10\x00" * (2 + size)), local)))

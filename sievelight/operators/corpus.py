@@ -20,7 +20,8 @@ BLOCK_ROWS, ROWS_AT_ONCE = 2_048, 512
 
 def gate(size: Column, magic: Column, parsed: Column, coverage: Column) -> Column:
     """First failed test, null where none; sizes come first, so that bytes are only read for what they leave."""
-    return F.when(size < LEAST, "too-small").when(size > MOST, "too-large").when(~magic, "not-wasm-magic").when(~parsed, "parse-failed").when(coverage < COVERAGE, "low-coverage")
+    return F.when(size < LEAST, "too-small").when(size > MOST, "too-large").when(~magic, "not-wasm-magic").when(~parsed,
+        "parse-failed").when(coverage < COVERAGE, "low-coverage")
 
 
 def rejections(df: DataFrame, klass: str, reason: str) -> DataFrame:
@@ -75,13 +76,15 @@ def _products(threshold: float, r: float):
     return run
 
 
-def similar_pairs(df: DataFrame, name: str, size: str, vector: str, threshold: float = COSINE, r: float = SIZE_RATIO, block: int = BLOCK_ROWS) -> DataFrame:
+def similar_pairs(df: DataFrame, name: str, size: str, vector: str, threshold: float = COSINE, r: float = SIZE_RATIO,
+    block: int = BLOCK_ROWS) -> DataFrame:
     """Pairs within the size window at or above the threshold. Rows stand in buckets of log size, buckets in blocks of about
     `block` rows, and each two blocks of one bucket or of neighbouring ones meet in a cell: a task multiplies two
     blocks of bounded size, whatever the size of a bucket. Vectors of another length, or that hold nulls, are like none."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     bucket = F.floor(F.log(F.greatest(F.col(size), F.lit(1)).cast("double")) / math.log(r)).cast("int")
-    base = df.select(F.col(name).alias("name"), F.col(size).cast("double").alias("size"), v.alias("v"), bucket.alias("b")).filter(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    base = df.select(F.col(name).alias("name"), F.col(size).cast("double").alias("size"), v.alias("v"),
+        bucket.alias("b")).filter(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
     # a few dozen buckets at most: sizes are 64-bit numbers
     blocks = {row.b: -(-row.n // block) for row in base.groupBy("b").agg(F.count("*").alias("n")).collect()}
     if not blocks:
@@ -91,7 +94,8 @@ def similar_pairs(df: DataFrame, name: str, size: str, vector: str, threshold: f
     upto = lambda n: F.filter(F.sequence(F.lit(-1), n - 1), lambda x: x >= 0)
     cell = lambda b, i, j, step: F.struct(b.alias("b"), i.alias("i"), j.alias("j"), F.lit(step).alias("step"))
     b, i = F.col("b"), F.col("own")
-    cells = F.concat(F.transform(upto(of(b)), lambda j: cell(b, F.least(i, j), F.greatest(i, j), 0)), F.transform(upto(of(b + 1)), lambda j: cell(b, i, j, 1)),
+    cells = F.concat(F.transform(upto(of(b)), lambda j: cell(b, F.least(i, j), F.greatest(i, j), 0)),
+        F.transform(upto(of(b + 1)), lambda j: cell(b, i, j, 1)),
                      F.transform(upto(of(b - 1)), lambda j: cell(b - 1, j, i, 1)))
     dealt = base.withColumn("own", own).withColumn("part", F.col("b") * F.lit(1 << 20) + F.col("own")).withColumn("cell", F.explode(cells))
     return dealt.groupBy("cell", F.size("v")).applyInPandas(lambda pdf: _products(threshold, r)(pdf), "a string, c string, cosine double")
@@ -105,8 +109,11 @@ def star_clusters(names: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     state = names.select(F.col(name).alias("n"), F.lit(None).cast("string").alias("s")).checkpoint()  # s: 'seed', 'member' or null
     for _ in range(MAX_ROUNDS):
         # what the smaller neighbours are
-        seen = down.join(state.select(F.col("n").alias("m"), "s"), "m").groupBy("n").agg(F.bool_or(F.coalesce(F.col("s") == "seed", F.lit(False))).alias("x"), F.bool_and(F.coalesce(F.col("s") == "member", F.lit(False))).alias("all"))
-        nxt = state.join(seen, "n", "left").select("n", F.coalesce("s", F.when(F.coalesce("x", F.lit(False)), "member").when(F.coalesce("all", F.lit(True)), "seed")).alias("s")).checkpoint()
+        seen = down.join(state.select(F.col("n").alias("m"), "s"),
+            "m").groupBy("n").agg(F.bool_or(F.coalesce(F.col("s") == "seed", F.lit(False))).alias("x"),
+            F.bool_and(F.coalesce(F.col("s") == "member", F.lit(False))).alias("all"))
+        nxt = state.join(seen, "n", "left").select("n",
+            F.coalesce("s", F.when(F.coalesce("x", F.lit(False)), "member").when(F.coalesce("all", F.lit(True)), "seed")).alias("s")).checkpoint()
         state = nxt
         if state.filter("s is null").isEmpty():
             break
@@ -114,7 +121,8 @@ def star_clusters(names: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         raise RuntimeError("star clusters did not settle")
     seeds = state.filter("s = 'seed'").select(F.col("n").alias("m"))
     joined = down.join(seeds, "m").groupBy("n").agg(F.min("m").alias("seed"))
-    return state.filter("s = 'member'").join(joined, "n").select(F.col("n").alias(name), "seed").unionByName(seeds.select(F.col("m").alias(name), F.col("m").alias("seed")))
+    return state.filter("s = 'member'").join(joined, "n").select(F.col("n").alias(name),
+        "seed").unionByName(seeds.select(F.col("m").alias(name), F.col("m").alias("seed")))
 
 
 def keep_first(clusters: DataFrame, name: str) -> DataFrame:

@@ -26,7 +26,8 @@ def is_version_1(content: Column) -> Column:
 def text_share(content: Column) -> Column:
     """Share of printable ASCII, tab, CR, LF and bytes from 0x80 in the first 4096 bytes; empty: 0."""
     head = F.decode(F.substring(content, 1, SNIFF_BYTES), "ISO-8859-1")
-    return F.coalesce(F.try_divide(F.regexp_count(head, F.lit("[\\t\\r\\n\\x20-\\x7e\\x80-\\xff]")).cast("double"), F.length(head).cast("double")), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.regexp_count(head, F.lit("[\\t\\r\\n\\x20-\\x7e\\x80-\\xff]")).cast("double"),
+        F.length(head).cast("double")), F.lit(0.0))
 
 
 def kind(content: Column, content_type: Column) -> Column:
@@ -65,7 +66,8 @@ def fingerprints(contents: list[bytes]) -> list[str]:
     """The hash goes byte by byte, but through all contents of a batch at once."""
     w = 4_096
     sizes = [len(d) for d in contents]
-    read = [n.to_bytes(8, "little")[:4] + (d if n <= 3 * w else d[:w] + d[(n - w) // 2:(n - w) // 2 + w] + d[-w:]) for d, n in zip(contents, sizes, strict=True)]
+    read = [n.to_bytes(8, "little")[:4] + (d if n <= 3 * w else d[:w] + d[(n - w) // 2:(n - w) // 2 + w] + d[-w:]) for d,
+        n in zip(contents, sizes, strict=True)]
     order = sorted(range(len(read)), key=lambda i: -len(read[i]))
     h = np.full(len(read), 0x811C9DC5, np.uint32)
     for f in range(0, len(order), 256):
@@ -97,17 +99,20 @@ def base36(n: int) -> str:
 
 def upload_status(size: Column, is_wasm: Column, claimed: Column, hashed: Column, known: Column) -> Column:
     """Answer of the ingest endpoint for one body."""
-    return F.when((size == 0) | (size > MAX_BYTES), 400).when(~is_wasm, 415).when(claimed.isNotNull() & (F.lower(claimed) != hashed), 409).when(known, 200).otherwise(202)
+    return F.when((size == 0) | (size > MAX_BYTES), 400).when(~is_wasm, 415).when(claimed.isNotNull() & (F.lower(claimed) != hashed),
+        409).when(known, 200).otherwise(202)
 
 
 def upload_outcome(status: Column) -> Column:
-    return F.when(status.isNull(), "unreachable").when(status == 200, "known").when(status == 202, "accepted").when(status == 413, "too-large").otherwise("rejected")
+    return F.when(status.isNull(), "unreachable").when(status == 200, "known").when(status == 202, "accepted").when(status == 413,
+        "too-large").otherwise("rejected")
 
 
 def validated(messages: DataFrame, apis: tuple[str, ...], contexts: tuple[str, ...]) -> DataFrame:
     """Adds context (default page) and reject (null: accepted)."""
     a = messages.withColumn("context", F.coalesce("context", F.lit("page")))
-    return a.withColumn("reject", F.when(~F.coalesce(F.col("api").isin(*apis), F.lit(False)), "api").when(~F.col("context").isin(*contexts), "context").when(F.col("size").isNull() | (F.col("size") < 0) | (F.col("size") > MAX_BYTES), "size"))
+    return a.withColumn("reject", F.when(~F.coalesce(F.col("api").isin(*apis), F.lit(False)), "api").when(~F.col("context").isin(*contexts),
+        "context").when(F.col("size").isNull() | (F.col("size") < 0) | (F.col("size") > MAX_BYTES), "size"))
 
 
 def first_seen(df: DataFrame, frame: str, fp: str, at: str, tie: str) -> DataFrame:
@@ -116,7 +121,8 @@ def first_seen(df: DataFrame, frame: str, fp: str, at: str, tie: str) -> DataFra
     return df.groupBy(frame, fp).agg(F.min_by(F.struct(*cols), F.struct(at, tie)).alias("_r")).select(frame, fp, "_r.*")
 
 
-def gate(times: list[int], state: tuple[int, int] | None = None, rate: int = RATE, window: int = WINDOW_MS) -> tuple[list[bool], tuple[int, int] | None]:
+def gate(times: list[int], state: tuple[int, int] | None = None, rate: int = RATE, window: int = WINDOW_MS) -> tuple[list[bool],
+    tuple[int, int] | None]:
     """Windows restart at the first event that is `window` after the last start."""
     out = []
     for t in times:
@@ -156,12 +162,14 @@ def inline_scripts(pages: DataFrame) -> DataFrame:
     kind_ = F.lower(F.regexp_extract(head, r"""(?i)\btype\s*=\s*["']?([^"'\s>]+)""", 1))
     a = a.filter(~F.regexp_like(head, F.lit(r"(?i)\bsrc\s*="))).filter(kind_.isin("", "module", "text/javascript", "application/javascript"))
     a = a.withColumn("code", F.regexp_extract("tag", r"(?is)^<script\b[^>]*>(.*)</script>$", 1)).withColumn("length", F.length("code").cast("long"))
-    return a.select("page_id", F.col("pos").cast("long").alias("pos"), "code", "length", ((F.col("length") >= SCRIPT_LEAST) & (F.col("length") <= SCRIPT_MOST)).alias("big_enough"))
+    return a.select("page_id", F.col("pos").cast("long").alias("pos"), "code", "length",
+        ((F.col("length") >= SCRIPT_LEAST) & (F.col("length") <= SCRIPT_MOST)).alias("big_enough"))
 
 
 def host(url: Column) -> Column:
     """Lower-case host with a port that isn't the scheme's own; null where the URL can't be read."""
-    scheme, name = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    scheme, name = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.lower(F.regexp_extract(url,
+        r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     port = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]+:(\d+)", 1)
     own = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     return F.when(name != "", F.when(own, name).otherwise(F.concat(name, F.lit(":"), port)))
@@ -179,15 +187,18 @@ def unpinned(references: DataFrame, page: str = "page_id") -> DataFrame:
     """Per page: third-party scripts without integrity, their origins and the first three by name, and how many were injected."""
     r = references.filter("third_party and not has_integrity")
     by = r.groupBy(page, "origin").agg(F.count("*").alias("_n"), F.count_if(F.col("injected")).alias("_i"))
-    return by.groupBy(page).agg(F.sum("_n").alias("unpinned"), F.count("origin").alias("origins"), F.sum("_i").alias("injected"), F.slice(F.sort_array(F.collect_list("origin")), 1, 3).alias("first_origins"))
+    return by.groupBy(page).agg(F.sum("_n").alias("unpinned"), F.count("origin").alias("origins"), F.sum("_i").alias("injected"),
+        F.slice(F.sort_array(F.collect_list("origin")), 1, 3).alias("first_origins"))
 
 
 def network_notes(seen: DataFrame) -> DataFrame:
     path = F.lower(F.regexp_extract("url", r"^[^?#]*", 0))
-    return seen.filter(F.coalesce(F.lower("content_type").contains("wasm"), F.lit(False)) | path.endswith(".wasm")).select("url", "tab_id", "ts", F.lit("network").alias("reason"))
+    return seen.filter(F.coalesce(F.lower("content_type").contains("wasm"), F.lit(False)) | path.endswith(".wasm")).select("url", "tab_id",
+        "ts", F.lit("network").alias("reason"))
 
 
 def external_scripts(rows: DataFrame, at: str = "ts", tie: str = "id") -> DataFrame:
     """The first row of each script URL of a tab."""
     rest = [c for c in rows.columns if c not in ("tab_id", "url")]
-    return rows.groupBy("tab_id", "url").agg(F.min_by(F.struct(*rest), F.struct(at, tie)).alias("_r")).select("tab_id", "url", "_r.*").select(*rows.columns)
+    return rows.groupBy("tab_id", "url").agg(F.min_by(F.struct(*rest), F.struct(at, tie)).alias("_r")).select("tab_id", "url",
+        "_r.*").select(*rows.columns)

@@ -24,13 +24,15 @@ def captures(messages: DataFrame) -> DataFrame:
     a = a.withColumn("outcome", F.when(F.col("bytes").isNull(), "undecodable").when((n == 0) | (n > ingest.MAX_BYTES), "size")
                      .when(~ingest.is_module(F.col("bytes")), "not-wasm").otherwise("captured"))
     kept = F.col("outcome") == "captured"
-    return a.withColumns({"size": F.when(kept, n.cast("long")), "hash": F.when(kept, ingest.identity(F.col("bytes"))), "bytes": F.when(kept, F.col("bytes"))})
+    return a.withColumns({"size": F.when(kept, n.cast("long")), "hash": F.when(kept, ingest.identity(F.col("bytes"))),
+        "bytes": F.when(kept, F.col("bytes"))})
 
 
 def capture_sinks(captured: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Artifacts and log events of a batch of captures; a stream hands its micro-batches to this."""
     good = captured.filter("outcome = 'captured'")
-    return store.upsert_artifacts(good.select("hash", "size", "page_url", "ts")), good.select("ts", F.lit("captured").alias("kind"), "page_url", "tab_id", "hash", "size")
+    return store.upsert_artifacts(good.select("hash", "size", "page_url", "ts")), good.select("ts", F.lit("captured").alias("kind"),
+        "page_url", "tab_id", "hash", "size")
 
 
 def skips(messages: DataFrame) -> DataFrame:
@@ -66,18 +68,23 @@ def evidence(assessed: DataFrame, signatures: DataFrame) -> DataFrame:
     return assessed.join(found, "hash", "left").select(
         "hash", "byte_length", "stripped", "function_count", "instruction_count", rules.half_up(F.col("bitwise_ratio"), 4).alias("bitwise_ratio"),
         rules.half_up(F.col("float_ratio"), 4).alias("float_ratio"), F.col("memory_initial_pages").alias("memory_pages"),
-        F.when(k.isNotNull(), F.struct(k["largest_loop"].alias("loop_size"), rules.half_up(k["bitwise_ratio"], 4).alias("bitwise_ratio"))).alias("kernel"),
+        F.when(k.isNotNull(), F.struct(k["largest_loop"].alias("loop_size"),
+            rules.half_up(k["bitwise_ratio"], 4).alias("bitwise_ratio"))).alias("kernel"),
         F.struct("score", "level", F.transform("findings", lambda f: f["id"]).alias("findings")).alias("risk"),
-        F.slice("export_names", 1, 40).alias("exports"), F.slice("import_names", 1, 40).alias("imports"), F.coalesce("signatures", F.create_map().cast("map<string,string>")).alias("signatures"))
+        F.slice("export_names", 1, 40).alias("exports"), F.slice("import_names", 1, 40).alias("imports"),
+        F.coalesce("signatures", F.create_map().cast("map<string,string>")).alias("signatures"))
 
 
 def inspection(assessed: DataFrame, name: str = "hash") -> DataFrame:
     """One line of text a module."""
     text = lambda c: F.col(c).cast("string")
     share = lambda c: F.format_string("%.1f%%", rules.half_up(F.col(c) * 100, 1))
-    parts = [text(name), F.concat(F.lit("funcs="), text("decoded_functions"), F.lit(" truncated="), text("truncated_functions")), F.concat(F.lit("instrs="), text("instruction_count")),
-             F.concat(F.lit("loops="), text("total_loops"), F.lit(" nest="), text("max_nesting")), F.concat(F.lit("bitwise="), share("bitwise_ratio"), F.lit(" float="), share("float_ratio")),
-             F.concat(F.lit("mem="), text("memory_initial_pages"), F.lit("p shared="), text("memory_shared")), F.concat(F.lit("warnings="), F.size("warnings").cast("string")),
+    parts = [text(name), F.concat(F.lit("funcs="), text("decoded_functions"), F.lit(" truncated="), text("truncated_functions")),
+        F.concat(F.lit("instrs="), text("instruction_count")),
+             F.concat(F.lit("loops="), text("total_loops"), F.lit(" nest="), text("max_nesting")),
+             F.concat(F.lit("bitwise="), share("bitwise_ratio"), F.lit(" float="), share("float_ratio")),
+             F.concat(F.lit("mem="), text("memory_initial_pages"), F.lit("p shared="), text("memory_shared")),
+             F.concat(F.lit("warnings="), F.size("warnings").cast("string")),
              F.concat(F.lit("risk="), text("score"), F.lit("/100 "), F.col("level"))]
     return assessed.select(name, F.concat_ws(" | ", *parts).alias("line"))
 
@@ -89,7 +96,8 @@ def _timed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = time.perf_counter()
             ok = wasm.parse(data)["ok"]
             rows.append({"hash": h, "byte_length": len(data or b""), "ok": ok, "elapsed_ms": (time.perf_counter() - start) * 1000})
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("hash", pa.string()), ("byte_length", pa.int64()), ("ok", pa.bool_()), ("elapsed_ms", pa.float64())]))
+        yield pa.RecordBatch.from_pylist(rows,
+            schema=pa.schema([("hash", pa.string()), ("byte_length", pa.int64()), ("ok", pa.bool_()), ("elapsed_ms", pa.float64())]))
 
 
 def profile(blobs: DataFrame) -> DataFrame:

@@ -23,9 +23,12 @@ VOCABULARY = ("i32.add i32.sub i32.mul i32.and i32.or i32.xor i32.shl i32.shr_u
               "local.get local.set local.tee global.get call call_indirect br_if br loop block if return f64.add f64.mul f32.add f32.mul memory.grow memory.size").split()
 SPECIAL = ("PAD", "MASK", "CLS", "UNK", "OTHER", "SEP")
 SEQUENCE_LENGTH, SEQUENCE_FUNCTIONS = 512, 4
-FEATURE_NAMES = ["log_byteLength", "log_instructionCount", "log_functionCount", "log_importedFunctionCount", "log_exportCount", "exports_per_function", "bitwiseRatio", "floatRatio",
-                 *[f"cat_{c}" for c in modules.CATEGORIES], "loops_per_function", "backEdges_per_function", "log_maxNesting", "indirectCall_ratio", "log_memoryInitialPages", "memory_bounded", "memoryShared",
-                 "log_memoryGrowSites", "dataSection_share", "stripped", "coverage", "has_kernel", "kernel_bitwiseRatio", "kernel_arithmeticRatio", "kernel_callRatio", "log_kernel_loopSize", *[f"op_{o}" for o in VOCABULARY]]
+FEATURE_NAMES = ["log_byteLength", "log_instructionCount", "log_functionCount", "log_importedFunctionCount", "log_exportCount",
+    "exports_per_function", "bitwiseRatio", "floatRatio",
+                 *[f"cat_{c}" for c in modules.CATEGORIES], "loops_per_function", "backEdges_per_function", "log_maxNesting",
+                 "indirectCall_ratio", "log_memoryInitialPages", "memory_bounded", "memoryShared",
+                 "log_memoryGrowSites", "dataSection_share", "stripped", "coverage", "has_kernel", "kernel_bitwiseRatio",
+                 "kernel_arithmeticRatio", "kernel_callRatio", "log_kernel_loopSize", *[f"op_{o}" for o in VOCABULARY]]
 EPOCHS, RATE, L2 = 400, 0.3, 0.01
 
 
@@ -36,10 +39,14 @@ def vectorise(features: DataFrame) -> DataFrame:
     log = lambda c: F.log1p(F.coalesce(c, F.lit(0)).cast("double"))
     flag = lambda c: c.cast("int").cast("double")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    cols = [log(F.col("byte_length")), log(n), log(F.col("function_count")), log(F.col("imported_functions")), log(F.col("export_count")), ratio(F.col("export_count"), fns), F.col("bitwise_ratio"), F.col("float_ratio"),
-            *[ratio(F.col(f"n_{c}"), n) for c in modules.CATEGORIES], ratio(F.col("total_loops"), fns), ratio(F.col("total_back_edges"), fns), log(F.col("max_nesting")), ratio(F.col("indirect_calls"), n), log(F.col("memory_initial_pages")),
-            flag(F.col("memory_max_pages").isNotNull()), flag(F.col("memory_shared")), log(F.col("memory_grow_sites")), ratio(F.col("data_bytes"), F.col("byte_length")), flag(F.col("stripped")),
-            ratio(F.col("decoded_functions"), F.col("decoded_functions") + F.col("skipped") + F.col("truncated_functions")), flag(k.isNotNull()), zero(k["bitwise_ratio"]), zero(k["arithmetic_ratio"]), zero(k["call_ratio"]),
+    cols = [log(F.col("byte_length")), log(n), log(F.col("function_count")), log(F.col("imported_functions")), log(F.col("export_count")),
+        ratio(F.col("export_count"), fns), F.col("bitwise_ratio"), F.col("float_ratio"),
+            *[ratio(F.col(f"n_{c}"), n) for c in modules.CATEGORIES], ratio(F.col("total_loops"), fns),
+            ratio(F.col("total_back_edges"), fns), log(F.col("max_nesting")), ratio(F.col("indirect_calls"), n), log(F.col("memory_initial_pages")),
+            flag(F.col("memory_max_pages").isNotNull()), flag(F.col("memory_shared")), log(F.col("memory_grow_sites")),
+            ratio(F.col("data_bytes"), F.col("byte_length")), flag(F.col("stripped")),
+            ratio(F.col("decoded_functions"), F.col("decoded_functions") + F.col("skipped") + F.col("truncated_functions")),
+            flag(k.isNotNull()), zero(k["bitwise_ratio"]), zero(k["arithmetic_ratio"]), zero(k["call_ratio"]),
             log(k["largest_loop"]), *[ratio(F.coalesce(F.try_element_at("ops", F.lit(o)), F.lit(0)), n) for o in VOCABULARY]]
     finite = lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
     return a.withColumn("vector", F.transform(F.array(*[c.cast("double") for c in cols]), finite))
@@ -59,7 +66,9 @@ def sequences(decoded: DataFrame, length: int = SEQUENCE_LENGTH, most: int = SEQ
     best = F.max(F.when(good, F.struct("bitwise_ratio", "largest_loop", (-F.col("func_idx")).alias("o")))).over(Window.partitionBy("hash"))
     fn = fn.withColumn("_kernel", (-F.col("func_idx")).eqNullSafe(best["o"]))
     head = F.array_max(F.transform("loops", lambda x: F.struct(x["size"].alias("s"), (-x["header"]).alias("h"))))["h"]
-    fn = fn.withColumn("item", F.struct((~F.col("_kernel")).alias("a"), (-F.col("n")).alias("b"), F.col("func_idx").alias("c"), F.coalesce(-head, F.lit(0)).cast("int").alias("head"), F.transform("listing", lambda x: F.coalesce(F.try_element_at(ids, x["name"]), F.lit(4))).alias("t")))
+    fn = fn.withColumn("item", F.struct((~F.col("_kernel")).alias("a"), (-F.col("n")).alias("b"), F.col("func_idx").alias("c"),
+        F.coalesce(-head, F.lit(0)).cast("int").alias("head"),
+        F.transform("listing", lambda x: F.coalesce(F.try_element_at(ids, x["name"]), F.lit(4))).alias("t")))
     per = Window.partitionBy("hash").orderBy("item.a", "item.b", "item.c")
     top = fn.withColumn("_r", F.row_number().over(per)).filter(F.col("_r") <= most).groupBy("hash").agg(F.sort_array(F.collect_list("item")).alias("fs"))
 
@@ -67,9 +76,11 @@ def sequences(decoded: DataFrame, length: int = SEQUENCE_LENGTH, most: int = SEQ
         joint = F.when(F.size(acc) > 1, 1).otherwise(0)
         room = F.lit(length) - F.size(acc) - joint
         window = F.slice(f["t"], F.greatest(F.least(f["head"], F.size(f["t"]) - room), F.lit(0)) + 1, F.greatest(room, F.lit(0)))
-        return F.when(room > 0, F.concat(acc, F.when(joint == 1, F.array(F.lit(5))).otherwise(F.array().cast("array<int>")), F.when(F.size(f["t"]) <= room, f["t"]).otherwise(window))).otherwise(acc)
+        return F.when(room > 0, F.concat(acc, F.when(joint == 1, F.array(F.lit(5))).otherwise(F.array().cast("array<int>")),
+            F.when(F.size(f["t"]) <= room, f["t"]).otherwise(window))).otherwise(acc)
     a = top.withColumn("real", F.aggregate("fs", F.array(F.lit(2)), add))
-    return a.select("hash", F.concat("real", F.array_repeat(F.lit(0), F.lit(length) - F.size("real"))).alias("tokens"), F.size("real").cast("long").alias("real_tokens"))
+    return a.select("hash", F.concat("real", F.array_repeat(F.lit(0), F.lit(length) - F.size("real"))).alias("tokens"),
+        F.size("real").cast("long").alias("real_tokens"))
 
 
 def sequence_job(files: DataFrame, order: str = "name") -> tuple[DataFrame, DataFrame]:
@@ -81,16 +92,20 @@ def sequence_job(files: DataFrame, order: str = "name") -> tuple[DataFrame, Data
     """
     a = files.select(order, "label", "bytes", F.sha2("bytes", 256).alias("hash"))
     first = a.groupBy("hash").agg(F.min(F.struct("label", order)).alias("r"), F.count("*").alias("copies"))
-    one = a.join(first, (a["hash"] == first["hash"]) & (a["label"].eqNullSafe(F.col("r")["label"])) & (a[order] == F.col("r")[order]), "left_semi").dropDuplicates(["hash"])
+    one = a.join(first, (a["hash"] == first["hash"]) & (a["label"].eqNullSafe(F.col("r")["label"])) & (a[order] == F.col("r")[order]),
+        "left_semi").dropDuplicates(["hash"])
     decoded = modules.decode(one, listings=True)
     kernel = modules.features(decoded).select("hash", F.col("kernel").isNotNull().alias("kernel"))
-    made = sequences(decoded).join(kernel, "hash").join(first.select("hash", F.col("r.label").alias("label"), F.col(f"r.{order}").alias("source")), "hash")
+    made = sequences(decoded).join(kernel, "hash").join(first.select("hash", F.col("r.label").alias("label"),
+        F.col(f"r.{order}").alias("source")), "hash")
     read = decoded.select("hash", "ok", F.coalesce(F.exists("functions", lambda f: f["n"] > 0), F.lit(False)).alias("some"))
     told = first.join(read, "hash").join(made.select("hash", F.col("kernel").alias("_k"), "real_tokens"), "hash", "left")
     good = F.col("ok") & F.col("some")
     # a repeat of what was skipped is read, and skipped, again
-    counters = told.agg(F.count_if(good).alias("written"), F.count_if(good & F.col("_k")).alias("kernels"), F.count_if(good & (F.col("real_tokens") < SEQUENCE_LENGTH)).alias("padded"),
-                        F.coalesce(F.sum(F.when(~good, F.col("copies"))), F.lit(0)).alias("skipped"), F.coalesce(F.sum(F.when(good, F.col("copies") - 1)), F.lit(0)).alias("duplicates"))
+    counters = told.agg(F.count_if(good).alias("written"), F.count_if(good & F.col("_k")).alias("kernels"),
+        F.count_if(good & (F.col("real_tokens") < SEQUENCE_LENGTH)).alias("padded"),
+                        F.coalesce(F.sum(F.when(~good, F.col("copies"))), F.lit(0)).alias("skipped"),
+                        F.coalesce(F.sum(F.when(good, F.col("copies") - 1)), F.lit(0)).alias("duplicates"))
     return made.join(read.filter(good), "hash").select("hash", "tokens", "label", "source", "kernel", "real_tokens"), counters
 
 
@@ -103,7 +118,8 @@ def masked(sequences_: DataFrame, seed: int = 1, share: float = 0.15) -> DataFra
 
 def standardiser(df: DataFrame, vector: str = "vector") -> DataFrame:
     """(i, mean, sd): population statistics of each column; sd is 1e-9 at least."""
-    return df.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("mean"), F.greatest(F.stddev_pop("v"), F.lit(1e-9)).alias("sd"))
+    return df.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("mean"),
+        F.greatest(F.stddev_pop("v"), F.lit(1e-9)).alias("sd"))
 
 
 def scaled(vector: Column, mean: list[float], sd: list[float]) -> Column:
@@ -123,18 +139,21 @@ def dot(x: Column, weights: list[float]) -> Column:
 def predict(df: DataFrame, model: dict, vector: str = "vector") -> DataFrame:
     check_model(model)
     x = scaled(F.col(vector), model["mean"], model["sd"])
-    return df.withColumn("probability", sigmoid(dot(x, model["weights"]) + F.lit(model["bias"]))).withColumn("contributions", contributions(x, model["weights"], model["schema"]))
+    return df.withColumn("probability", sigmoid(dot(x, model["weights"]) + F.lit(model["bias"]))).withColumn("contributions",
+        contributions(x, model["weights"], model["schema"]))
 
 
 def contributions(x: Column, weights: list[float], names: list[str], top: int = 5) -> Column:
     """Largest weight times value by absolute value; zeros are dropped, ties keep column order."""
     w, n = F.array(*map(F.lit, weights)), F.array(*map(F.lit, names))
-    all_ = F.filter(F.transform(x, lambda v, i: F.struct((-F.abs(v * F.get(w, i))).alias("k"), i.alias("i"), F.get(n, i).alias("name"), (v * F.get(w, i)).alias("value"))), lambda c: c["value"] != 0)
+    all_ = F.filter(F.transform(x, lambda v, i: F.struct((-F.abs(v * F.get(w, i))).alias("k"), i.alias("i"), F.get(n, i).alias("name"),
+        (v * F.get(w, i)).alias("value"))), lambda c: c["value"] != 0)
     return F.transform(F.slice(F.sort_array(all_), 1, top), lambda c: F.struct(c["name"].alias("name"), c["value"].alias("value")))
 
 
 def model_version(model: dict) -> str:
-    text = json.dumps({"schema": model["schema"]})[:-1] + "".join(f',"{k}":[{",".join(map(number, model[k]))}]' for k in ("weights", "mean", "sd")) + f',"bias":{number(model["bias"])}}}'
+    text = json.dumps({"schema": model["schema"]})[:-1] + "".join(f',"{k}":[{",".join(map(number, model[k]))}]' for k in ("weights", "mean",
+        "sd")) + f',"bias":{number(model["bias"])}}}'
     return hashlib.sha256(text.encode()).hexdigest()
 
 
@@ -148,7 +167,8 @@ def check_model(model: dict) -> None:
         raise ValueError("model version does not fit its content")
 
 
-def train(df: DataFrame, names: list[str], vector: str = "vector", label: str = "label", epochs: int = EPOCHS, rate: float = RATE, l2: float = L2) -> dict:
+def train(df: DataFrame, names: list[str], vector: str = "vector", label: str = "label", epochs: int = EPOCHS, rate: float = RATE,
+    l2: float = L2) -> dict:
     """Weighted logistic regression by batch gradient descent. Each epoch is one pass of partial sums over the
     stored vectors; only one gradient a partition comes back."""
     stats = {r.i: r for r in standardiser(df, vector).collect()}
@@ -206,13 +226,15 @@ def rates(counts: DataFrame) -> DataFrame:
 def auc(df: DataFrame, score: str, label: str, ranges: int = 64) -> DataFrame:
     """Area under the ROC curve, ties half, 0.5 with one class. Distinct scores are dealt by ranges of about equal size; the
     running count of what lies below goes on over the ranges, of which there are few."""
-    per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"),
+        F.count_if(F.col(label) == 0).alias("n"))
     cuts = per.agg(F.percentile_approx("s", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10_000)).alias("c")).first().c or []
     part = sum(((F.col("s") > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
     per = per.withColumn("part", part)
     inside = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     sums = per.groupBy("part").agg(F.sum("n").alias("_n"))
-    starts = sums.select("part", F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    starts = sums.select("part", F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_start"))
     a = per.withColumn("_below", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(starts), "part")
     a = a.withColumn("wins", F.col("p") * (F.col("_start") + F.col("_below") + F.col("n") / 2.0))
     return a.agg(F.coalesce(F.try_divide(F.sum("wins"), F.sum("p").cast("double") * F.sum("n")), F.lit(0.5)).alias("auc"))
@@ -238,13 +260,15 @@ def folds(df: DataFrame, key: str, k: int = 5, label: str | None = None) -> Data
     return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)))
 
 
-def cross_validate(df: DataFrame, names: list[str], key: str, k: int = 5, vector: str = "vector", label: str = "label", epochs: int = 60) -> DataFrame:
+def cross_validate(df: DataFrame, names: list[str], key: str, k: int = 5, vector: str = "vector", label: str = "label",
+    epochs: int = 60) -> DataFrame:
     """Each row with the probability of a model that has not seen its fold; one class in a fold's rest is refused."""
     dealt = folds(df, key, k, label)
     path = f"{shared_folder(df.sparkSession)}/folds-{uuid.uuid4().hex}"
     dealt.write.parquet(path)
     dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
-    parts = [predict(dealt.filter(F.col("fold") == f), train(dealt.filter(F.col("fold") != f), names, vector, label, epochs), vector).drop("contributions") for f in range(k)]
+    parts = [predict(dealt.filter(F.col("fold") == f), train(dealt.filter(F.col("fold") != f), names, vector, label, epochs),
+        vector).drop("contributions") for f in range(k)]
     return reduce(DataFrame.unionByName, parts)
 
 

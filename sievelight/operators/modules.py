@@ -88,9 +88,11 @@ def functions(decoded: DataFrame) -> DataFrame:
     """One row a decoded function with its conditional counts, ratios and largest loop."""
     a = decoded.select("hash", F.explode("functions").alias("f"))
     f = F.col("f")
-    a = a.select("hash", "f.*", *[_cat(f, c).alias(f"n_{c}") for c in CATEGORIES], _largest_loop(f).alias("largest_loop"), f["indirect"].alias("n_indirect"))
+    a = a.select("hash", "f.*", *[_cat(f, c).alias(f"n_{c}") for c in CATEGORIES], _largest_loop(f).alias("largest_loop"),
+        f["indirect"].alias("n_indirect"))
     n = F.col("n")
-    return (a.withColumn("bitwise_ratio", ratio(F.col("n_bitwise"), n)).withColumn("arithmetic_ratio", ratio(F.col("n_bitwise") + F.col("n_integer"), n))
+    return (a.withColumn("bitwise_ratio", ratio(F.col("n_bitwise"), n)).withColumn("arithmetic_ratio",
+        ratio(F.col("n_bitwise") + F.col("n_integer"), n))
             .withColumn("call_ratio", ratio(F.col("n_call"), n)))
 
 
@@ -112,21 +114,28 @@ def features(decoded: DataFrame) -> DataFrame:
     a = decoded.filter("ok").withColumn("_cats", F.aggregate(
         fs, F.array_repeat(F.lit(0).cast("long"), len(CATEGORIES)), lambda m, f: F.zip_with(m, f["cats"], lambda x, y: x + y)))
     n = F.col("instruction_count")
-    kernels = F.transform(F.filter(fs, lambda f: (_largest_loop(f) >= KERNEL_LOOP) & (_cat(f, "float") == 0) & (ratio(_cat(f, "call"), f["n"]) < KERNEL_CALLS)), lambda f: F.struct(
+    kernels = F.transform(F.filter(fs, lambda f: (_largest_loop(f) >= KERNEL_LOOP) & (_cat(f, "float") == 0) & (ratio(_cat(f, "call"),
+        f["n"]) < KERNEL_CALLS)), lambda f: F.struct(
         ratio(_cat(f, "bitwise"), f["n"]).alias("bitwise_ratio"), _largest_loop(f).alias("largest_loop"), (-f["func_idx"]).alias("order"),
-        ratio(_cat(f, "bitwise") + _cat(f, "integer"), f["n"]).alias("arithmetic_ratio"), ratio(_cat(f, "call"), f["n"]).alias("call_ratio"), f["func_idx"].alias("func_idx")))
+        ratio(_cat(f, "bitwise") + _cat(f, "integer"), f["n"]).alias("arithmetic_ratio"),
+        ratio(_cat(f, "call"), f["n"]).alias("call_ratio"), f["func_idx"].alias("func_idx")))
     own = F.coalesce(F.get("memories", 0), F.get(F.filter("imports", lambda i: i["kind"] == "memory"), 0)["limits"])
     a = a.select(
         "hash", "byte_length", "function_count", "skipped", "data_bytes", "ops", "warnings",
         F.transform("imports", lambda i: F.concat(i["module"], F.lit("."), i["name"])).alias("import_names"),
-        F.transform("exports", lambda e: e["name"]).alias("export_names"), F.col("customs").alias("custom_names"), F.size("exports").cast("long").alias("export_count"),
+        F.transform("exports", lambda e: e["name"]).alias("export_names"), F.col("customs").alias("custom_names"),
+        F.size("exports").cast("long").alias("export_count"),
         F.size(F.filter("imports", lambda i: i["kind"] == "func")).cast("long").alias("imported_functions"),
-        F.coalesce(own["min"], F.lit(0)).alias("memory_initial_pages"), own["max"].alias("memory_max_pages"), F.coalesce(own["shared"], F.lit(False)).alias("memory_shared"),
-        (~F.array_contains("customs", "name")).alias("stripped"), total(lambda f: f["n"]).alias("instruction_count"), F.size(fs).cast("long").alias("decoded_functions"),
+        F.coalesce(own["min"], F.lit(0)).alias("memory_initial_pages"), own["max"].alias("memory_max_pages"),
+        F.coalesce(own["shared"], F.lit(False)).alias("memory_shared"),
+        (~F.array_contains("customs", "name")).alias("stripped"), total(lambda f: f["n"]).alias("instruction_count"),
+        F.size(fs).cast("long").alias("decoded_functions"),
         F.size(F.filter(fs, lambda f: f["truncated"].isNotNull())).cast("long").alias("truncated_functions"),
         *[F.get("_cats", i).alias(f"n_{c}") for i, c in enumerate(CATEGORIES)], total(lambda f: f["indirect"]).alias("indirect_calls"),
-        F.coalesce(F.try_element_at("ops", F.lit("memory.grow")), F.lit(0)).alias("memory_grow_sites"), total(lambda f: F.size(f["loops"]).cast("long")).alias("total_loops"),
-        total(lambda f: f["back_edges"]).alias("total_back_edges"), F.coalesce(F.array_max(F.transform(fs, lambda f: f["max_nesting"])), F.lit(0)).alias("max_nesting"),
+        F.coalesce(F.try_element_at("ops", F.lit("memory.grow")), F.lit(0)).alias("memory_grow_sites"),
+        total(lambda f: F.size(f["loops"]).cast("long")).alias("total_loops"),
+        total(lambda f: f["back_edges"]).alias("total_back_edges"), F.coalesce(F.array_max(F.transform(fs, lambda f: f["max_nesting"])),
+            F.lit(0)).alias("max_nesting"),
         F.array_max(kernels).alias("kernel"))
     # a one-row generator: the optimizer would copy these folds into every rule that reads them
     a = a.select(F.inline(F.array(F.struct(*a.columns))))
@@ -143,9 +152,12 @@ def threshold_probe(fn: DataFrame, top: int = 6) -> DataFrame:
 
 def summary(f: DataFrame) -> DataFrame:
     """What is stored of a module: names cut to 40, warnings to 10."""
-    return f.select("hash", "byte_length", "instruction_count", "function_count", "decoded_functions", "truncated_functions", "skipped", "imported_functions", "export_count",
-                    "total_loops", "max_nesting", "memory_initial_pages", "memory_max_pages", "memory_shared", "memory_grow_sites", "data_bytes", "stripped",
-                    F.slice("import_names", 1, 40).alias("import_names"), F.slice("export_names", 1, 40).alias("export_names"), F.slice("warnings", 1, 10).alias("warnings"))
+    return f.select("hash", "byte_length", "instruction_count", "function_count", "decoded_functions", "truncated_functions", "skipped",
+        "imported_functions", "export_count",
+                    "total_loops", "max_nesting", "memory_initial_pages", "memory_max_pages", "memory_shared", "memory_grow_sites",
+                    "data_bytes", "stripped",
+                    F.slice("import_names", 1, 40).alias("import_names"), F.slice("export_names", 1, 40).alias("export_names"),
+                    F.slice("warnings", 1, 10).alias("warnings"))
 
 
 def wat_header(decoded: DataFrame) -> DataFrame:
@@ -161,13 +173,17 @@ def wat_header(decoded: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("(table "), text(i["limits"]["min"]), F.lit(" "), i["val_type"], F.lit(")"))))
     lines = F.concat(
         F.array(F.lit("(module")),
-        F.transform("types", lambda t, i: F.concat(F.lit("  (type $t"), text(i), F.lit(" (func "), F.trim(F.concat(words("param", t["params"]), F.lit(" "), words("result", t["results"]))), F.lit("))"))),
+        F.transform("types", lambda t, i: F.concat(F.lit("  (type $t"), text(i), F.lit(" (func "),
+            F.trim(F.concat(words("param", t["params"]), F.lit(" "), words("result", t["results"]))), F.lit("))"))),
         F.transform("imports", lambda i: F.concat(F.lit('  (import "'), i["module"], F.lit('" "'), i["name"], F.lit('" '), imported(i), F.lit(")"))),
         F.transform("memories", lambda m: F.concat(F.lit("  (memory "), bounds(m), F.lit(")"))),
         F.transform("globals", lambda g, i: F.concat(F.lit("  (global $g"), text(i), F.lit(" "), cell(g), F.lit(")"))),
-        F.transform("exports", lambda e: F.concat(F.lit('  (export "'), e["name"], F.lit('" ('), e["kind"], F.lit(" "), text(e["index"]), F.lit("))"))),
-        F.when(F.col("start").isNotNull(), F.array(F.concat(F.lit("  (start $f"), text(F.col("start")), F.lit(")")))).otherwise(F.array().cast("array<string>")),
-        F.array(F.concat(F.lit("  ;; "), text(F.col("function_count")), F.lit(" function bodies, "), text(F.col("data_segments")), F.lit(" data segments"))), F.array(F.lit(")")))
+        F.transform("exports", lambda e: F.concat(F.lit('  (export "'), e["name"], F.lit('" ('), e["kind"], F.lit(" "), text(e["index"]),
+            F.lit("))"))),
+        F.when(F.col("start").isNotNull(),
+            F.array(F.concat(F.lit("  (start $f"), text(F.col("start")), F.lit(")")))).otherwise(F.array().cast("array<string>")),
+        F.array(F.concat(F.lit("  ;; "), text(F.col("function_count")), F.lit(" function bodies, "), text(F.col("data_segments")),
+            F.lit(" data segments"))), F.array(F.lit(")")))
     return decoded.filter("ok").select("hash", F.array_join(lines, "\n").alias("wat"))
 
 
@@ -178,7 +194,8 @@ def instructions(decoded: DataFrame) -> DataFrame:
     step = F.when(F.col("name").isin("block", "loop", "if"), 1).when(F.col("name") == "end", -1).otherwise(0)
     before = F.coalesce(F.sum(step).over(Window.partitionBy("hash", "func_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     a = a.withColumn("depth", F.greatest(before - F.col("name").isin("end", "else").cast("int"), F.lit(0)))
-    return a.withColumn("wat", F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), "name", F.when(F.col("operands") != "", F.concat(F.lit(" "), "operands")).otherwise("")))
+    return a.withColumn("wat", F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), "name",
+        F.when(F.col("operands") != "", F.concat(F.lit(" "), "operands")).otherwise("")))
 
 
 def wat_bodies(decoded: DataFrame) -> DataFrame:
@@ -189,4 +206,5 @@ def wat_bodies(decoded: DataFrame) -> DataFrame:
 
 def ascii_runs(content: Column, least: int = 5, clip: int = 200) -> Column:
     """Printable runs of a binary column."""
-    return F.transform(F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(rf"[\x20-\x7e]{{{least},}}"), F.lit(0)), lambda s: F.substring(s, 1, clip))
+    return F.transform(F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(rf"[\x20-\x7e]{{{least},}}"), F.lit(0)),
+        lambda s: F.substring(s, 1, clip))

@@ -11,7 +11,8 @@ from .ingest import host
 def latest_sightings(sightings: DataFrame) -> DataFrame:
     """Newest sighting of each hash (of equal times the smallest id) and how many there are."""
     rest = [c for c in sightings.columns if c != "hash"]
-    return sightings.groupBy("hash").agg(F.max_by(F.struct(*rest), F.struct("ts", -F.col("id"))).alias("_r"), F.count("*").alias("sightings")).select("hash", "sightings", "_r.*")
+    return sightings.groupBy("hash").agg(F.max_by(F.struct(*rest), F.struct("ts", -F.col("id"))).alias("_r"),
+        F.count("*").alias("sightings")).select("hash", "sightings", "_r.*")
 
 
 def tab_report(sightings: DataFrame, artifacts: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -52,11 +53,13 @@ def histogram(events: DataFrame, ms: str, now: int, span: int = 300_000, buckets
         return every.withColumn("n", F.lit(0).cast("long"))
     start = now - span
     at = F.least(F.lit(buckets - 1), F.floor((F.col(ms) - start) * buckets / F.lit(float(span))))
-    return every.join(events.filter(F.col(ms) >= start).groupBy(at.cast("long").alias("bucket")).agg(F.count("*").alias("n")), "bucket", "left").na.fill(0, ["n"])
+    return every.join(events.filter(F.col(ms) >= start).groupBy(at.cast("long").alias("bucket")).agg(F.count("*").alias("n")), "bucket",
+        "left").na.fill(0, ["n"])
 
 
 def badge(level: Column) -> Column:
-    return F.when(level == "critical", "#b00020").when(level == "high", "#d9480f").when(level == "medium", "#e8a200").when(level == "low", "#4a7c59").otherwise("#6b7280")
+    return F.when(level == "critical", "#b00020").when(level == "high", "#d9480f").when(level == "medium", "#e8a200").when(level == "low",
+        "#4a7c59").otherwise("#6b7280")
 
 
 def visible(df: DataFrame) -> DataFrame:
@@ -64,13 +67,15 @@ def visible(df: DataFrame) -> DataFrame:
 
 
 def flags(shared: Column, grow: Column, indirect: Column, stripped: Column, undecodable: Column) -> Column:
-    named = (("shared memory", shared), ("grows memory", grow > 0), ("indirect calls", indirect > 0), ("stripped", stripped), ("undecodable", undecodable > 0))
+    named = (("shared memory", shared), ("grows memory", grow > 0), ("indirect calls", indirect > 0), ("stripped", stripped),
+        ("undecodable", undecodable > 0))
     return F.array_compact(F.array(*[F.when(t, n) for n, t in named]))
 
 
 def first_three(names: Column) -> Column:
     more = F.size(names) - 3
-    return F.concat(F.array_join(F.slice(names, 1, 3), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(""))
+    return F.concat(F.array_join(F.slice(names, 1, 3), ", "),
+        F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(""))
 
 
 def host_or(url: Column, fallback: Column) -> Column:
@@ -79,13 +84,15 @@ def host_or(url: Column, fallback: Column) -> Column:
 
 def format_bytes(n: Column) -> Column:
     scaled = lambda by: F.format_string("%.1f", F.floor(n / by * 10 + 0.5) / 10)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 ** 2, F.concat(scaled(1024.0), F.lit(" KB"))).otherwise(F.concat(scaled(1024.0 ** 2), F.lit(" MB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 ** 2,
+        F.concat(scaled(1024.0), F.lit(" KB"))).otherwise(F.concat(scaled(1024.0 ** 2), F.lit(" MB")))
 
 
 def relative_time(ms: Column) -> Column:
     s = F.floor(F.greatest(ms, F.lit(0)) / 1000)
     part = lambda by, unit: F.concat(F.floor(s / by).cast("string"), F.lit(unit))
-    return F.when(s < 5, "just now").when(s < 60, part(1, "s ago")).when(s < 3600, part(60, "m ago")).when(s < 86400, part(3600, "h ago")).otherwise(part(86400, "d ago"))
+    return F.when(s < 5, "just now").when(s < 60, part(1, "s ago")).when(s < 3600, part(60, "m ago")).when(s < 86400,
+        part(3600, "h ago")).otherwise(part(86400, "d ago"))
 
 
 def source_label(source: Column) -> Column:

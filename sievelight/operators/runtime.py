@@ -22,17 +22,22 @@ def latest(reports: DataFrame) -> DataFrame:
 def samples(reports: DataFrame) -> DataFrame:
     """One row a module sample, with its report's figures."""
     r = F.col("report")
-    a = reports.select("context_id", r["context"].alias("context"), r["observed_ms"].alias("observed_ms"), _share(r["drift"]["late_ms"], r["drift"]["samples"]).alias("drift_ms"), r["worker_count"].alias("worker_count"),
-                       r["socket_count"].alias("socket_count"), r["socket_messages"].alias("socket_messages"), r["hardware_concurrency"].alias("hardware_concurrency"), F.explode(r["modules"]).alias("m"))
+    a = reports.select("context_id", r["context"].alias("context"), r["observed_ms"].alias("observed_ms"),
+        _share(r["drift"]["late_ms"], r["drift"]["samples"]).alias("drift_ms"), r["worker_count"].alias("worker_count"),
+                       r["socket_count"].alias("socket_count"), r["socket_messages"].alias("socket_messages"),
+                       r["hardware_concurrency"].alias("hardware_concurrency"), F.explode(r["modules"]).alias("m"))
     return a.select("*", "m.*").drop("m")
 
 
 def fold(rows: DataFrame, key: str = "fingerprint") -> DataFrame:
     """Per module: capped shares and times are summed, windows are maxima, contexts are counted."""
     return rows.groupBy(key).agg(
-        F.sum("wasm_time_ms").alias("wasm_time_ms"), F.sum("call_count").alias("call_count"), F.max("observed_ms").alias("observed_ms"), F.max("longest_call_ms").alias("longest_call_ms"),
-        F.sum(F.least(_share(F.col("wasm_time_ms"), F.col("observed_ms")), F.lit(1.0))).alias("cpu_share"), F.avg("drift_ms").alias("mean_drift_ms"), F.max("worker_count").alias("worker_count"),
-        F.max("socket_count").alias("socket_count"), F.max("socket_messages").alias("socket_messages"), F.max("hardware_concurrency").alias("hardware_concurrency"), F.bool_or("timing_stopped").alias("timing_stopped"),
+        F.sum("wasm_time_ms").alias("wasm_time_ms"), F.sum("call_count").alias("call_count"), F.max("observed_ms").alias("observed_ms"),
+        F.max("longest_call_ms").alias("longest_call_ms"),
+        F.sum(F.least(_share(F.col("wasm_time_ms"), F.col("observed_ms")), F.lit(1.0))).alias("cpu_share"),
+        F.avg("drift_ms").alias("mean_drift_ms"), F.max("worker_count").alias("worker_count"),
+        F.max("socket_count").alias("socket_count"), F.max("socket_messages").alias("socket_messages"),
+        F.max("hardware_concurrency").alias("hardware_concurrency"), F.bool_or("timing_stopped").alias("timing_stopped"),
         F.sort_array(F.collect_set("context")).alias("contexts"), F.count("*").alias("context_count"))
 
 
@@ -68,9 +73,11 @@ def call_times(calls: DataFrame, key: str, order: list[str], ms: str, most: int
     cheap = (F.col("_n") >= most) & (F.col("_t") / F.col("_n") < mean)
     a = a.withColumn("_cut", F.min(F.when(cheap, F.col("_n"))).over(Window.partitionBy(key)))
     timed = F.col("_cut").isNull() | (F.col("_n") <= F.col("_cut"))
-    return a.groupBy(key).agg(F.count("*").alias("call_count"), F.sum(F.when(timed, F.col(ms)).otherwise(0)).alias("wasm_time_ms"), F.max(F.when(timed, F.col(ms))).alias("longest_call_ms"), F.bool_or(F.col("_cut").isNotNull()).alias("timing_stopped"))
+    return a.groupBy(key).agg(F.count("*").alias("call_count"), F.sum(F.when(timed, F.col(ms)).otherwise(0)).alias("wasm_time_ms"),
+        F.max(F.when(timed, F.col(ms))).alias("longest_call_ms"), F.bool_or(F.col("_cut").isNotNull()).alias("timing_stopped"))
 
 
 def message_counts(events: DataFrame, key: str) -> DataFrame:
     is_ = lambda k: F.count_if(F.col("kind") == k)
-    return events.groupBy(key).agg(is_("socket-open").alias("sockets"), F.count_if(F.col("kind").isin("socket-sent", "socket-received")).alias("messages"), is_("worker-start").alias("workers"))
+    return events.groupBy(key).agg(is_("socket-open").alias("sockets"),
+        F.count_if(F.col("kind").isin("socket-sent", "socket-received")).alias("messages"), is_("worker-start").alias("workers"))

@@ -11,12 +11,16 @@ MAX_ARTIFACTS, MAX_BYTES, MAX_EVENTS, MAX_ERROR = 300, 134_217_728, 500, 2_000
 
 def upsert_artifacts(seen: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Sightings (hash, size, page_url, ts) to artifacts; the latest page wins, of equal times the larger URL."""
-    a = seen.groupBy("hash").agg(F.max("size").alias("size"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("seen_count"), F.max(F.struct("ts", "page_url"))["page_url"].alias("last_page_url"))
+    a = seen.groupBy("hash").agg(F.max("size").alias("size"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+        F.count("*").alias("seen_count"), F.max(F.struct("ts", "page_url"))["page_url"].alias("last_page_url"))
     if before is None:
         return a.withColumn("is_new", F.lit(True))
-    both = before.select("hash", "size", "first_seen", "last_seen", "seen_count", "last_page_url").withColumn("_old", F.lit(1)).unionByName(a.withColumn("_old", F.lit(0)))
-    return both.groupBy("hash").agg(F.max("size").alias("size"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("seen_count").alias("seen_count"),
-                                    F.max(F.struct("last_seen", "last_page_url"))["last_page_url"].alias("last_page_url"), (F.max("_old") == 0).alias("is_new"))
+    both = before.select("hash", "size", "first_seen", "last_seen", "seen_count", "last_page_url").withColumn("_old",
+        F.lit(1)).unionByName(a.withColumn("_old", F.lit(0)))
+    return both.groupBy("hash").agg(F.max("size").alias("size"), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"), F.sum("seen_count").alias("seen_count"),
+                                    F.max(F.struct("last_seen", "last_page_url"))["last_page_url"].alias("last_page_url"),
+                                    (F.max("_old") == 0).alias("is_new"))
 
 
 def latest(df: DataFrame, key: str | list[str], at: str, tie: str | None = None) -> DataFrame:
@@ -30,8 +34,10 @@ def latest(df: DataFrame, key: str | list[str], at: str, tie: str | None = None)
 def job_states(transitions: DataFrame) -> DataFrame:
     """(id, hash, status, ts, error) events to one row a job."""
     order = F.struct("ts", F.array_position(F.array(*map(F.lit, ("queued", "running", "complete", "failed"))), F.col("status")).alias("o"))
-    return transitions.groupBy("id").agg(F.max_by("status", order).alias("status"), F.min("ts").alias("created_at"), F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
-                                         F.max(F.when(F.col("status").isin("complete", "failed"), F.col("ts"))).alias("finished_at"), F.substring(F.max_by("error", order), 1, MAX_ERROR).alias("error"))
+    return transitions.groupBy("id").agg(F.max_by("status", order).alias("status"), F.min("ts").alias("created_at"),
+        F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
+                                         F.max(F.when(F.col("status").isin("complete", "failed"), F.col("ts"))).alias("finished_at"),
+                                         F.substring(F.max_by("error", order), 1, MAX_ERROR).alias("error"))
 
 
 def next_queued(jobs: DataFrame) -> DataFrame:
@@ -40,7 +46,8 @@ def next_queued(jobs: DataFrame) -> DataFrame:
 
 def requeue(jobs: DataFrame) -> DataFrame:
     running = F.col("status") == "running"
-    return jobs.withColumn("started_at", F.when(~running, F.col("started_at"))).withColumn("error", F.when(~running, F.col("error"))).withColumn("status", F.when(running, "queued").otherwise(F.col("status")))
+    return jobs.withColumn("started_at", F.when(~running, F.col("started_at"))).withColumn("error",
+        F.when(~running, F.col("error"))).withColumn("status", F.when(running, "queued").otherwise(F.col("status")))
 
 
 def count_status(jobs: DataFrame) -> DataFrame:
@@ -53,7 +60,8 @@ def stale(results: DataFrame, ruleset: int | None = None, model: str | None = No
     return results.filter(tests[0] | tests[-1] if tests else F.lit(False))
 
 
-def prune(artifacts: DataFrame, rows: int = MAX_ARTIFACTS, size: int = MAX_BYTES, key: str = "hash", at: str = "last_seen", of: str = "size") -> DataFrame:
+def prune(artifacts: DataFrame, rows: int = MAX_ARTIFACTS, size: int = MAX_BYTES, key: str = "hash", at: str = "last_seen",
+    of: str = "size") -> DataFrame:
     """The newest artifacts within both limits. At most `rows` can stay, so these are taken first (each task
     hands on no more) and only they are summed."""
     top = artifacts.orderBy(F.desc(at), F.desc(key)).limit(rows)

@@ -79,27 +79,38 @@ def module_rules() -> list[Rule]:
     shared, atomics, exports = c("memory_shared"), c("n_atomic"), c("export_count")
     small_api = (exports >= 1) & (exports <= 3) & (n > 2000)
     signs = _some(shared, atomics > 0, F.size(socket) > 0, small_api)
-    beside = listed(" and ", F.when(shared, "shared memory for worker fan-out"), F.when(atomics > 0, F.concat(atomics.cast("string"), F.lit(" atomic operations"))),
+    beside = listed(" and ", F.when(shared, "shared memory for worker fan-out"),
+        F.when(atomics > 0, F.concat(atomics.cast("string"), F.lit(" atomic operations"))),
                     F.when(F.size(socket) > 0, "a socket or message transport import"),
-                    F.when(small_api, F.concat(F.lit("only "), exports.cast("string"), F.lit(" exported function(s) over "), n.cast("string"), F.lit(" instructions"))))
+                    F.when(small_api, F.concat(F.lit("only "), exports.cast("string"), F.lit(" exported function(s) over "),
+                        n.cast("string"), F.lit(" instructions"))))
     share = F.coalesce(F.try_divide(c("data_bytes").cast("double"), c("byte_length").cast("double")), F.lit(0.0))
     pages, grows, bounded = c("memory_initial_pages"), c("memory_grow_sites"), c("memory_max_pages").isNotNull()
     # Titles, weights and thresholds.
     return [
         _rule("known-miner-family", "Names a known browser mining family", "high", 45, F.size(family) > 0, F.lit(0.95), quoted(family, 4)),
         _rule("hash-primitive-symbols", "Exports a hashing primitive by name", "low", 12, F.size(primitive) > 0, F.lit(0.4), quoted(primitive)),
-        Rule("hash-loop-density", "Tight loop of integer and bitwise arithmetic", "medium", 22, kernel, conf, _kernel_said(), SUMMARIES["hash-loop-density"], "static", CITATIONS["hash-loop-density"]),
-        _rule("mining-corroborated", "Compute kernel combined with mining infrastructure", "high", 40, kernel & (signs >= 1), F.least(conf * (F.lit(0.6) + F.lit(0.2) * signs), F.lit(1.0)), _kernel_said(), beside),
-        _rule("bitwise-dominant-module", "Module-wide instruction mix is bitwise integer work", "medium", 25, (n >= 200) & (c("bitwise_ratio") >= 0.12),
-              ramp(c("bitwise_ratio"), 0.12, 0.3) * F.when(c("float_ratio") > 0.05, 0.5).otherwise(1.0), percent(c("bitwise_ratio")), n, percent(c("float_ratio"))),
-        _rule("shared-memory-parallelism", "Shared memory with atomics, the shape of worker fan-out", "medium", 15, shared, F.when(atomics > 0, 0.7).otherwise(0.35), atomics),
+        Rule("hash-loop-density", "Tight loop of integer and bitwise arithmetic", "medium", 22, kernel, conf, _kernel_said(),
+            SUMMARIES["hash-loop-density"], "static", CITATIONS["hash-loop-density"]),
+        _rule("mining-corroborated", "Compute kernel combined with mining infrastructure", "high", 40, kernel & (signs >= 1),
+            F.least(conf * (F.lit(0.6) + F.lit(0.2) * signs), F.lit(1.0)), _kernel_said(), beside),
+        _rule("bitwise-dominant-module", "Module-wide instruction mix is bitwise integer work", "medium", 25,
+            (n >= 200) & (c("bitwise_ratio") >= 0.12),
+              ramp(c("bitwise_ratio"), 0.12, 0.3) * F.when(c("float_ratio") > 0.05, 0.5).otherwise(1.0), percent(c("bitwise_ratio")), n,
+              percent(c("float_ratio"))),
+        _rule("shared-memory-parallelism", "Shared memory with atomics, the shape of worker fan-out", "medium", 15, shared,
+            F.when(atomics > 0, 0.7).otherwise(0.35), atomics),
         _rule("socket-transport", "Imports a socket or message transport", "low", 15, F.size(socket) > 0, F.lit(0.5), quoted(socket)),
-        _rule("compute-kernel-surface", "Large compute body behind a very small API", "low", 10, (n >= 2000) & (exports <= 6) & (c("total_loops") >= 1), F.lit(0.45), n, c("total_loops"), exports),
-        _rule("aggressive-memory-growth", "Requests and grows a large linear memory", "low", 10, (pages >= 256) | (grows > 0), F.when((pages >= 256) & ~bounded, 0.5).otherwise(0.25),
+        _rule("compute-kernel-surface", "Large compute body behind a very small API", "low", 10,
+            (n >= 2000) & (exports <= 6) & (c("total_loops") >= 1), F.lit(0.45), n, c("total_loops"), exports),
+        _rule("aggressive-memory-growth", "Requests and grows a large linear memory", "low", 10, (pages >= 256) | (grows > 0),
+            F.when((pages >= 256) & ~bounded, 0.5).otherwise(0.25),
               pages, fixed(pages / 16, 1), F.when(~bounded, " with no declared maximum"), grows),
-        _rule("large-embedded-payload", "Large embedded data payload", "info", 8, (c("data_bytes") >= 262_144) & (share >= 0.4), ramp(share, 0.4, 0.8), fixed(c("data_bytes") / 1024, 0), fixed(c("byte_length") / 1024, 0)),
+        _rule("large-embedded-payload", "Large embedded data payload", "info", 8, (c("data_bytes") >= 262_144) & (share >= 0.4),
+            ramp(share, 0.4, 0.8), fixed(c("data_bytes") / 1024, 0), fixed(c("byte_length") / 1024, 0)),
         _rule("stripped-binary", "Symbol names stripped", "info", 4, c("stripped") & (n >= 500), F.lit(0.2)),
-        _rule("incomplete-coverage", "Analysis did not cover the whole module", "info", 0, c("truncated_functions") + c("skipped") > 0, F.lit(1.0), c("truncated_functions"), c("skipped")),
+        _rule("incomplete-coverage", "Analysis did not cover the whole module", "info", 0, c("truncated_functions") + c("skipped") > 0,
+            F.lit(1.0), c("truncated_functions"), c("skipped")),
     ]
 
 
@@ -112,29 +123,38 @@ def runtime_rules() -> list[Rule]:
     late, many, talks = r["mean_drift_ms"] >= 250, r["context_count"] > 1, r["socket_messages"] > 0
     signs = _some(many, late, talks)
     text = lambda x: x.cast("string")
-    beside = listed(" and ", F.when(many, F.concat(text(r["context_count"]), F.lit(" contexts at once"))), F.when(late, F.concat(F.lit("its own timers running "), fixed(r["mean_drift_ms"], 0), F.lit("ms late"))),
+    beside = listed(" and ", F.when(many, F.concat(text(r["context_count"]), F.lit(" contexts at once"))),
+        F.when(late, F.concat(F.lit("its own timers running "), fixed(r["mean_drift_ms"], 0), F.lit("ms late"))),
                     F.when(talks, F.concat(text(r["socket_messages"]), F.lit(" messages over "), text(r["socket_count"]), F.lit(" socket(s)"))))
     cores = F.when(r["hardware_concurrency"] > 0, r["hardware_concurrency"]).otherwise(4)
-    fanned = there & (r["context_count"] >= 2) & F.array_contains(r["contexts"], "worker") & (r["context_count"] >= F.greatest(F.lit(2), F.ceil(cores / 2)))
+    fanned = there & (r["context_count"] >= 2) & F.array_contains(r["contexts"],
+        "worker") & (r["context_count"] >= F.greatest(F.lit(2), F.ceil(cores / 2)))
     ran, watched, share = seconds(r["wasm_time_ms"]), seconds(r["observed_ms"]), fixed(r["cpu_share"], 2)
     floor = F.when(r["timing_stopped"], ", and that is a floor: per-call timing was stopped to avoid becoming the cost itself")
     # Titles, weights and thresholds.
     return [
-        _rule("sustained-execution", "Runs continuously rather than in bursts", "medium", 28, sustained, ramp(r["cpu_share"], 0.5, 2), ran, watched, r["context_count"], share, floor, kind="runtime"),
-        _rule("mining-runtime-corroborated", "Compute kernel that then ran flat out", "high", 45, kernel & sustained, F.least(conf * F.least(F.lit(0.7) + F.lit(0.15) * signs, F.lit(1.3)), F.lit(1.0)),
+        _rule("sustained-execution", "Runs continuously rather than in bursts", "medium", 28, sustained, ramp(r["cpu_share"], 0.5, 2), ran,
+            watched, r["context_count"], share, floor, kind="runtime"),
+        _rule("mining-runtime-corroborated", "Compute kernel that then ran flat out", "high", 45, kernel & sustained,
+            F.least(conf * F.least(F.lit(0.7) + F.lit(0.15) * signs, F.lit(1.3)), F.lit(1.0)),
               _kernel_said(), ran, watched, share, F.when(beside != "", F.concat(F.lit(", with "), beside)), kind="runtime"),
-        _rule("worker-fan-out", "Executes in several workers at once", "medium", 20, fanned, F.least(F.lit(0.4) + F.lit(0.6) * ramp(r["context_count"] / cores, 0.5, 1), F.lit(1.0)), r["context_count"], cores, ran, kind="runtime"),
-        _rule("persistent-socket-traffic", "Keeps a socket busy while it computes", "low", 12, there & (r["socket_count"] > 0) & (r["socket_messages"] >= 10) & (r["wasm_time_ms"] >= 5000), F.lit(0.45),
+        _rule("worker-fan-out", "Executes in several workers at once", "medium", 20, fanned,
+            F.least(F.lit(0.4) + F.lit(0.6) * ramp(r["context_count"] / cores, 0.5, 1), F.lit(1.0)), r["context_count"], cores, ran, kind="runtime"),
+        _rule("persistent-socket-traffic", "Keeps a socket busy while it computes", "low", 12,
+            there & (r["socket_count"] > 0) & (r["socket_messages"] >= 10) & (r["wasm_time_ms"] >= 5000), F.lit(0.45),
               r["socket_messages"], r["socket_count"], ran, kind="runtime"),
-        _rule("runtime-not-yet-observed", "Runtime behaviour not observed for long enough", "info", 0, there & (r["observed_ms"] < MIN_OBSERVED_MS), F.lit(1.0), watched, seconds(F.lit(MIN_OBSERVED_MS)), kind="runtime"),
+        _rule("runtime-not-yet-observed", "Runtime behaviour not observed for long enough", "info", 0,
+            there & (r["observed_ms"] < MIN_OBSERVED_MS), F.lit(1.0), watched, seconds(F.lit(MIN_OBSERVED_MS)), kind="runtime"),
     ]
 
 
 def model_rules(malicious: int = 0, benign: int = 0, contributions: Column | None = None) -> list[Rule]:
     """RUL-18, over a nullable column `probability`; what the model was trained on, and what moved it most."""
     p = F.col("probability")
-    drivers = F.lit("") if contributions is None else F.array_join(F.transform(F.slice(contributions, 1, 3), lambda c: F.concat(c["name"], F.lit("="), fixed(c["value"], 3))), ", ")
-    return [_rule("classifier-opinion", "A trained classifier considers this module suspicious", "medium", 18, p >= 0.6, ramp(p, 0.6, 0.95), F.lit(malicious), F.lit(benign), fixed(p, 2), drivers, kind="model")]
+    drivers = F.lit("") if contributions is None else F.array_join(F.transform(F.slice(contributions, 1, 3),
+        lambda c: F.concat(c["name"], F.lit("="), fixed(c["value"], 3))), ", ")
+    return [_rule("classifier-opinion", "A trained classifier considers this module suspicious", "medium", 18, p >= 0.6, ramp(p, 0.6, 0.95),
+        F.lit(malicious), F.lit(benign), fixed(p, 2), drivers, kind="model")]
 
 
 def script_rules() -> list[Rule]:
@@ -145,16 +165,22 @@ def script_rules() -> list[Rule]:
     decoders = c("atob") + c("base64_literals")
     shape = _some(c("web_assembly") > 0, c("worker") > 0, c("reads_concurrency"), c("web_socket") > 0)
     sites = lambda n, what: F.when(c(n) > 0, F.concat(c(n).cast("string"), F.lit(what)))
-    loader = listed(", ", sites("web_assembly", " WebAssembly call(s)"), sites("worker", " Worker construction(s)"), F.when(c("reads_concurrency"), "a read of hardwareConcurrency"), sites("web_socket", " WebSocket(s)"))
+    loader = listed(", ", sites("web_assembly", " WebAssembly call(s)"), sites("worker", " Worker construction(s)"),
+        F.when(c("reads_concurrency"), "a read of hardwareConcurrency"), sites("web_socket", " WebSocket(s)"))
     injections = c("create_element_script") + c("document_write") + c("import_scripts")
     # Titles, weights and thresholds.
     return [
-        _rule("js-known-miner-family", "Names a known browser mining family", "high", 45, F.size("miner_names") > 0, F.lit(0.95), quoted(c("miner_names"), 4)),
-        _rule("js-mining-pool-endpoint", "Contains a mining pool address", "high", 35, F.size("pool_endpoints") > 0, F.lit(0.8), quoted(c("pool_endpoints"))),
-        _rule("js-obfuscated-source", "Source is escaped rather than merely minified", "medium", 20, dense & (c("byte_length") >= 200), F.least((c("escape_density") - 0.05) / 0.25, F.lit(1.0)), percent(c("escape_density"), 2)),
-        _rule("js-decoded-code-execution", "Builds code at runtime out of encoded data", "high", 30, (evaluators > 0) & (decoders > 0), F.when(dense, 0.85).otherwise(0.5), evaluators, c("atob"), c("base64_literals"),
+        _rule("js-known-miner-family", "Names a known browser mining family", "high", 45, F.size("miner_names") > 0, F.lit(0.95),
+            quoted(c("miner_names"), 4)),
+        _rule("js-mining-pool-endpoint", "Contains a mining pool address", "high", 35, F.size("pool_endpoints") > 0, F.lit(0.8),
+            quoted(c("pool_endpoints"))),
+        _rule("js-obfuscated-source", "Source is escaped rather than merely minified", "medium", 20, dense & (c("byte_length") >= 200),
+            F.least((c("escape_density") - 0.05) / 0.25, F.lit(1.0)), percent(c("escape_density"), 2)),
+        _rule("js-decoded-code-execution", "Builds code at runtime out of encoded data", "high", 30, (evaluators > 0) & (decoders > 0),
+            F.when(dense, 0.85).otherwise(0.5), evaluators, c("atob"), c("base64_literals"),
               F.when(dense, F.concat(F.lit(", in source that is "), percent(c("escape_density"), 2), F.lit(" escapes")))),
-        _rule("js-miner-bootstrap-shape", "Has the shape of a WebAssembly miner's loader", "medium", 25, shape >= 3, F.when(shape == 4, 0.7).otherwise(0.45), loader),
+        _rule("js-miner-bootstrap-shape", "Has the shape of a WebAssembly miner's loader", "medium", 25, shape >= 3,
+            F.when(shape == 4, 0.7).otherwise(0.45), loader),
         _rule("js-injects-remote-script", "Injects further scripts at runtime", "low", 8, injections > 0, F.lit(0.3), injections),
     ]
 
@@ -162,7 +188,8 @@ def script_rules() -> list[Rule]:
 def supply_chain_rules() -> list[Rule]:
     """RUL-25, over columns unpinned, origins, first_origins and injected of a page's script references."""
     late = F.when(F.col("injected") > 0, F.concat(F.lit(", "), F.col("injected").cast("string"), F.lit(" of them added after the page parsed")))
-    return [_rule("js-third-party-unpinned", "Runs third-party scripts with no integrity pin", "info", 6, F.col("unpinned") > 0, F.lit(0.35), F.col("unpinned"), F.col("origins"), quoted(F.col("first_origins")), late)]
+    return [_rule("js-third-party-unpinned", "Runs third-party scripts with no integrity pin", "info", 6, F.col("unpinned") > 0,
+        F.lit(0.35), F.col("unpinned"), F.col("origins"), quoted(F.col("first_origins")), late)]
 
 
 def findings(rules: list[Rule]) -> Column:
@@ -171,10 +198,12 @@ def findings(rules: list[Rule]) -> Column:
     all_ = F.filter(F.array(*[
         F.when(F.coalesce(r.when, F.lit(False)) & (r.confidence > 0), F.struct(
             F.lit(r.id).alias("id"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.weight).alias("weight"),
-            half_up(r.confidence.cast("double"), 3).alias("confidence"), r.evidence.alias("evidence"), F.lit(r.title).alias("title"), F.lit(r.summary).alias("summary"), F.lit(r.reference).cast("string").alias("reference"), F.lit(i).alias("rule_order")))
+            half_up(r.confidence.cast("double"), 3).alias("confidence"), r.evidence.alias("evidence"), F.lit(r.title).alias("title"),
+            F.lit(r.summary).alias("summary"), F.lit(r.reference).cast("string").alias("reference"), F.lit(i).alias("rule_order")))
         for i, r in enumerate(rules)]), lambda f: f.isNotNull())
     worth = lambda f: f["weight"] * f["confidence"]
-    return F.array_sort(all_, lambda a, b: F.when(worth(a) > worth(b), -1).when(worth(a) < worth(b), 1).when(a["rule_order"] < b["rule_order"], -1).when(a["rule_order"] > b["rule_order"], 1).otherwise(0))
+    return F.array_sort(all_, lambda a, b: F.when(worth(a) > worth(b), -1).when(worth(a) < worth(b),
+        1).when(a["rule_order"] < b["rule_order"], -1).when(a["rule_order"] > b["rule_order"], 1).otherwise(0))
 
 
 def raw_score(f: Column) -> Column:
@@ -229,11 +258,13 @@ def catalogue(rules: list[Rule], spark) -> DataFrame:
 
 
 def by_layer(assessed: DataFrame) -> DataFrame:
-    return assessed.select("hash", F.explode("findings").alias("f")).groupBy("hash").pivot("f.kind", ["static", "runtime", "model"]).count().na.fill(0)
+    return assessed.select("hash", F.explode("findings").alias("f")).groupBy("hash").pivot("f.kind",
+        ["static", "runtime", "model"]).count().na.fill(0)
 
 
 def alerts(assessed: DataFrame, seen: DataFrame, enabled: bool = True, keep: int = 200) -> DataFrame:
     """High and critical results whose key (origin|level|hash) is not among the newest `keep` seen ones."""
     recent = seen.orderBy(F.desc("ts"), F.desc("alert_key")).limit(keep)
-    hot = assessed.filter(F.lit(enabled) & F.col("level").isin("high", "critical")).withColumn("alert_key", F.concat_ws("|", "origin", "level", "hash"))
+    hot = assessed.filter(F.lit(enabled) & F.col("level").isin("high", "critical")).withColumn("alert_key",
+        F.concat_ws("|", "origin", "level", "hash"))
     return hot.join(recent.select("alert_key"), "alert_key", "left_anti").dropDuplicates(["alert_key"])

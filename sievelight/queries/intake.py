@@ -16,7 +16,8 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures: every 13th can't be decoded, every 17th is empty, every 10th begins as a module."""
     c = telemetry.content(spark, sf_dir).select("doc_id", "bytes", "source")
     sent = F.when(F.col("doc_id") % 13 == 0, F.lit("Q!I")).when(F.col("doc_id") % 17 == 0, F.lit("")).otherwise(F.base64("bytes"))
-    return c.select("doc_id", F.regexp_replace(sent, "\\s", "").alias("bytes_base64"), F.col("source").alias("page_url"), F.col("doc_id").alias("ts"), (F.col("doc_id") % 7).alias("tab_id"))
+    return c.select("doc_id", F.regexp_replace(sent, "\\s", "").alias("bytes_base64"), F.col("source").alias("page_url"),
+        F.col("doc_id").alias("ts"), (F.col("doc_id") % 7).alias("tab_id"))
 
 
 def capture_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,15 +44,19 @@ def report_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classifier_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.when(F.col("vec_id") % 7 > 0, (F.col("vec_id") % 101).cast("double") / 100).alias("probability"))
-    return rules.assess(p, rules.model_rules()).select("vec_id", F.get(F.transform("findings", lambda f: f["confidence"]), 0).alias("confidence"), "score", "level")
+    p = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id",
+        F.when(F.col("vec_id") % 7 > 0, (F.col("vec_id") % 101).cast("double") / 100).alias("probability"))
+    return rules.assess(p, rules.model_rules()).select("vec_id", F.get(F.transform("findings", lambda f: f["confidence"]),
+        0).alias("confidence"), "score", "level")
 
 
 def evidence_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = modules.part_modules(spark, sf_dir).select("hash", ascii_runs(F.col("bytes")).alias("runs"))
     e = intake.evidence(modules.assessed(spark, sf_dir), lexical.signature_contexts(runs, "hash", "runs", scripts.SIGNATURES))
-    return e.select(F.col("hash").cast("long").alias("p_partkey"), "instruction_count", "bitwise_ratio", "float_ratio", "memory_pages", F.col("kernel.loop_size").alias("loop_size"), F.col("risk.score").alias("score"),
-                    F.array_join("risk.findings", ",").alias("findings"), F.array_join("exports", ",").alias("exports"), F.to_json("signatures").alias("signatures"))
+    return e.select(F.col("hash").cast("long").alias("p_partkey"), "instruction_count", "bitwise_ratio", "float_ratio", "memory_pages",
+        F.col("kernel.loop_size").alias("loop_size"), F.col("risk.score").alias("score"),
+                    F.array_join("risk.findings", ",").alias("findings"), F.array_join("exports", ",").alias("exports"),
+                    F.to_json("signatures").alias("signatures"))
 
 
 def inspection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,19 +69,24 @@ def decode_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def union_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules and, in place of scripts, events rated by their property: all on one page in ten."""
-    m = modules.assessed(spark, sf_dir).select((F.col("hash").cast("long") % 10).alias("page"), F.col("hash").cast("long").alias("position"), "score", "level", "headline")
-    s = telemetry.events(spark, sf_dir).select((F.col("user_id") % 10).alias("page"), (F.col("event_id") + 1_000_000_000).alias("position"), F.col("k").cast("int").alias("score"),
-                                               F.when(F.col("k") % 4 > 0, rules.level(F.col("k").cast("int"))).alias("level"), F.lit("script").alias("headline"))
+    m = modules.assessed(spark, sf_dir).select((F.col("hash").cast("long") % 10).alias("page"),
+        F.col("hash").cast("long").alias("position"), "score", "level", "headline")
+    s = telemetry.events(spark, sf_dir).select((F.col("user_id") % 10).alias("page"), (F.col("event_id") + 1_000_000_000).alias("position"),
+        F.col("k").cast("int").alias("score"),
+                                               F.when(F.col("k") % 4 > 0, rules.level(F.col("k").cast("int"))).alias("level"),
+                                               F.lit("script").alias("headline"))
     return rules.page_scorecard(m.unionByName(s), "page", "position").select("page", "level", "max_score", "modules", "unanalysed")
 
 
 def tab_report_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = ('{"artifacts": [], "notes": [1], "scorecard": {"a": 1}}', '{"artifacts": [], "notes": {}, "scorecard": {}}', '{"artifacts": [], "notes": [], "scorecard": null}', "[")
+    shapes = ('{"artifacts": [], "notes": [1], "scorecard": {"a": 1}}', '{"artifacts": [], "notes": {}, "scorecard": {}}',
+        '{"artifacts": [], "notes": [], "scorecard": null}', "[")
     e = telemetry.events(spark, sf_dir).withColumn("report", F.get(F.array(*map(F.lit, shapes)), (F.col("k") % 4).cast("int")))
     return e.groupBy(intake.is_tab_report(F.col("report")).alias("valid")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (capture_intake, captured_artifacts, skip_intake, script_intake, report_snapshot, classifier_findings, evidence_records, inspection_lines, decode_profile, union_scorecard, tab_report_shapes)}
+QUERIES = {f.__name__: f for f in (capture_intake, captured_artifacts, skip_intake, script_intake, report_snapshot, classifier_findings,
+    evidence_records, inspection_lines, decode_profile, union_scorecard, tab_report_shapes)}
 
 _C = r"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '\x00asm\x01\x00\x00\x00'::BLOB || encode(text) ELSE encode(text) END AS b FROM documents),
 o AS (SELECT doc_id, b, CASE WHEN doc_id % 13 = 0 THEN 'undecodable' WHEN doc_id % 17 = 0 OR octet_length(b) = 0 THEN 'size' WHEN doc_id % 10 = 0 THEN 'captured' ELSE 'not-wasm' END AS outcome FROM c) """

@@ -20,7 +20,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.standardiser(samples(spark, sf_dir)).select(F.col("i").cast("long").alias("i"), half_up(F.col("mean"), 6).alias("mean"), half_up(F.col("sd"), 6).alias("sd"))
+    return ml.standardiser(samples(spark, sf_dir)).select(F.col("i").cast("long").alias("i"), half_up(F.col("mean"), 6).alias("mean"),
+        half_up(F.col("sd"), 6).alias("sd"))
 
 
 def predict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,8 @@ def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     f1 = lambda c: ml.rates(ml.confusion(a, c, "label")).select(F.col("f1").alias(c))
     # three tables of one row
     one = ml.auc(a, "probability", "label").join(F.broadcast(f1("probability"))).join(F.broadcast(f1("rule")))
-    return one.select(half_up(F.col("auc"), 6).alias("auc"), half_up(F.col("probability"), 6).alias("f1"), half_up(F.col("rule"), 6).alias("rule_f1"), ml.verdict(F.col("probability"), F.col("rule")).alias("verdict"))
+    return one.select(half_up(F.col("auc"), 6).alias("auc"), half_up(F.col("probability"), 6).alias("f1"),
+        half_up(F.col("rule"), 6).alias("rule_f1"), ml.verdict(F.col("probability"), F.col("rule")).alias("verdict"))
 
 
 def holdout_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +86,8 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.drained(flows.rate_limited(flows.events(spark, sf_dir), 3, 86_400_000), "append").groupBy("allowed").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (standardise, predict, top_contributions, confusion_metrics, roc_auc, train_logistic, cross_validate, holdout_folds, stream_runtime_fold, stream_dedupe, stream_histogram, stream_rate_limit)}
+QUERIES = {f.__name__: f for f in (standardise, predict, top_contributions, confusion_metrics, roc_auc, train_logistic, cross_validate,
+    holdout_folds, stream_runtime_fold, stream_dedupe, stream_histogram, stream_rate_limit)}
 
 _6, _E = telemetry._6, telemetry._E
 _V = "WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), c AS (SELECT vec_id, i, (v / 0.125::DOUBLE) * (((i * 37) % 11 - 5) / 4.0::DOUBLE) AS c FROM v) "
@@ -122,5 +125,6 @@ ORACLE_SQL = {
     "stream_runtime_fold": _E + "SELECT user_id, event_id FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) = 1",
     "stream_dedupe": _E + "SELECT user_id, count(DISTINCT k) AS n FROM e GROUP BY user_id",
     "stream_histogram": "SELECT epoch(time_bucket(INTERVAL 1 day, ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "stream_rate_limit": telemetry.ORACLE_SQL["rate_limit"].replace("SELECT event_id, c <= 3 AS allowed FROM r JOIN o USING (user_id, i)", "SELECT c <= 3 AS allowed, count(*) AS n FROM r JOIN o USING (user_id, i) GROUP BY 1"),
+    "stream_rate_limit": telemetry.ORACLE_SQL["rate_limit"].replace("SELECT event_id, c <= 3 AS allowed FROM r JOIN o USING (user_id, i)",
+        "SELECT c <= 3 AS allowed, count(*) AS n FROM r JOIN o USING (user_id, i) GROUP BY 1"),
 }

@@ -22,7 +22,8 @@ def part_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("binary")
     def encoded(rounds, shared):
         return rounds.combine(shared, lambda r, s: wasm.parametric_module(int(r), bool(s)))
-    return _spread(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("hash"), encoded("p_size", F.col("p_partkey") % 2 == 0).alias("bytes"))
+    return _spread(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("hash"),
+        encoded("p_size", F.col("p_partkey") % 2 == 0).alias("bytes"))
 
 
 def decoded(spark: SparkSession, sf_dir: str, listings: bool = False) -> DataFrame:
@@ -55,14 +56,18 @@ def module_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def module_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select(F.col("hash").cast("long").alias("p_partkey"), "instruction_count", "n_bitwise", "n_integer", "n_atomic", "n_float", "n_call", "total_loops", "total_back_edges",
-                                          "max_nesting", "memory_initial_pages", "memory_max_pages", "memory_shared", "memory_grow_sites", "export_count", "imported_functions", "function_count", "coverage", "stripped")
+    return features(spark, sf_dir).select(F.col("hash").cast("long").alias("p_partkey"), "instruction_count", "n_bitwise", "n_integer",
+        "n_atomic", "n_float", "n_call", "total_loops", "total_back_edges",
+                                          "max_nesting", "memory_initial_pages", "memory_max_pages", "memory_shared", "memory_grow_sites",
+                                          "export_count", "imported_functions", "function_count", "coverage", "stripped")
 
 
 def module_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("kernel")
-    return features(spark, sf_dir).filter(k.isNotNull()).select(F.col("hash").cast("long").alias("p_partkey"), k["func_idx"].alias("func_idx"), k["largest_loop"].alias("loop_size"),
-                                                                rules.half_up(k["bitwise_ratio"], 6).alias("bitwise_ratio"), rules.half_up(k["arithmetic_ratio"], 6).alias("arithmetic_ratio"))
+    return features(spark, sf_dir).filter(k.isNotNull()).select(F.col("hash").cast("long").alias("p_partkey"),
+        k["func_idx"].alias("func_idx"), k["largest_loop"].alias("loop_size"),
+                                                                rules.half_up(k["bitwise_ratio"], 6).alias("bitwise_ratio"),
+                                                                rules.half_up(k["arithmetic_ratio"], 6).alias("arithmetic_ratio"))
 
 
 def module_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +84,13 @@ def opcode_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select(F.col("hash").cast("long").alias("p_partkey"), *[F.col(f"n_{c}").alias(f"cat_{c}") for c in modules.CATEGORIES])
+    return features(spark, sf_dir).select(F.col("hash").cast("long").alias("p_partkey"),
+        *[F.col(f"n_{c}").alias(f"cat_{c}") for c in modules.CATEGORIES])
 
 
 def threshold_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modules.threshold_probe(modules.functions(decoded(spark, sf_dir))).select(F.col("hash").cast("long").alias("p_partkey"), "func_idx", "largest_loop", F.col("rank").cast("long").alias("rank"))
+    return modules.threshold_probe(modules.functions(decoded(spark, sf_dir))).select(F.col("hash").cast("long").alias("p_partkey"),
+        "func_idx", "largest_loop", F.col("rank").cast("long").alias("rank"))
 
 
 def instruction_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,24 +110,29 @@ def wat_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def instruction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = decoded(spark, sf_dir, listings=True)
-    return modules.instructions(few).groupBy(F.col("hash").cast("long").alias("p_partkey")).agg(F.count("*").alias("instructions"), F.max("depth").cast("long").alias("deepest"), F.count_if(F.col("name") == "end").alias("ends"))
+    return modules.instructions(few).groupBy(F.col("hash").cast("long").alias("p_partkey")).agg(F.count("*").alias("instructions"),
+        F.max("depth").cast("long").alias("deepest"), F.count_if(F.col("name") == "end").alias("ends"))
 
 
 def module_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = modules.summary(features(spark, sf_dir))
-    return s.select(F.col("hash").cast("long").alias("p_partkey"), "instruction_count", "decoded_functions", "truncated_functions", F.array_join("import_names", ",").alias("imports"), F.array_join("export_names", ",").alias("exports"))
+    return s.select(F.col("hash").cast("long").alias("p_partkey"), "instruction_count", "decoded_functions", "truncated_functions",
+        F.array_join("import_names", ",").alias("imports"), F.array_join("export_names", ",").alias("exports"))
 
 
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = ml.vectorise(features(spark, sf_dir))
     z = v.select(F.col("hash").cast("long").alias("p_partkey"), F.posexplode("vector").alias("i", "v"))
-    return z.groupBy("p_partkey").agg(F.count("*").alias("columns"), rules.half_up(F.max(F.when(F.col("i") == 1, F.col("v"))), 6).alias("log_instructions"), rules.half_up(F.max(F.when(F.col("i") == 6, F.col("v"))), 6).alias("bitwise_ratio"),
-                                      rules.half_up(F.max(F.when(F.col("i") == 35 + 5, F.col("v"))), 6).alias("xor_share"), rules.half_up(F.max(F.when(F.col("i") == 29, F.col("v"))), 6).alias("coverage"))
+    return z.groupBy("p_partkey").agg(F.count("*").alias("columns"), rules.half_up(F.max(F.when(F.col("i") == 1, F.col("v"))),
+        6).alias("log_instructions"), rules.half_up(F.max(F.when(F.col("i") == 6, F.col("v"))), 6).alias("bitwise_ratio"),
+                                      rules.half_up(F.max(F.when(F.col("i") == 35 + 5, F.col("v"))), 6).alias("xor_share"),
+                                      rules.half_up(F.max(F.when(F.col("i") == 29, F.col("v"))), 6).alias("coverage"))
 
 
 def opcode_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ml.sequences(decoded(spark, sf_dir, listings=True))
-    return s.select(F.col("hash").cast("long").alias("p_partkey"), F.size("tokens").cast("long").alias("length"), "real_tokens", F.size(F.filter("tokens", lambda t: t == ml.token_id("i32.rotl"))).cast("long").alias("rotl"),
+    return s.select(F.col("hash").cast("long").alias("p_partkey"), F.size("tokens").cast("long").alias("length"), "real_tokens",
+        F.size(F.filter("tokens", lambda t: t == ml.token_id("i32.rotl"))).cast("long").alias("rotl"),
                     F.size(F.filter("tokens", lambda t: t == 4)).cast("long").alias("others"))
 
 
@@ -128,20 +140,24 @@ def module_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = modules.decode(shaped_modules(spark, sf_dir))
     f = modules.features(d)
     k = F.col("kernel")
-    return f.select(F.col("hash").cast("long").alias("p_partkey"), "function_count", "decoded_functions", "truncated_functions", "instruction_count", "total_loops", "total_back_edges", "max_nesting", "memory_initial_pages", "memory_grow_sites", "data_bytes",
-                    "export_count", "imported_functions", "stripped", "coverage", F.size("warnings").cast("long").alias("warnings"), *[f"n_{c}" for c in ("control", "call", "variable", "integer", "bitwise", "float", "atomic", "memory")],
+    return f.select(F.col("hash").cast("long").alias("p_partkey"), "function_count", "decoded_functions", "truncated_functions",
+        "instruction_count", "total_loops", "total_back_edges", "max_nesting", "memory_initial_pages", "memory_grow_sites", "data_bytes",
+                    "export_count", "imported_functions", "stripped", "coverage", F.size("warnings").cast("long").alias("warnings"),
+                    *[f"n_{c}" for c in ("control", "call", "variable", "integer", "bitwise", "float", "atomic", "memory")],
                     k["func_idx"].alias("kernel"), k["largest_loop"].alias("kernel_loop"))
 
 
 def shape_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = modules.functions(modules.decode(shaped_modules(spark, sf_dir, "nested", "table", "broken", "kernels")))
-    return a.select(F.col("hash").cast("long").alias("p_partkey"), "func_idx", "n", "locals", "blocks", "edges", "back_edges", "max_nesting", "largest_loop", "approximate", F.col("truncated").isNotNull().alias("cut"),
+    return a.select(F.col("hash").cast("long").alias("p_partkey"), "func_idx", "n", "locals", "blocks", "edges", "back_edges",
+        "max_nesting", "largest_loop", "approximate", F.col("truncated").isNotNull().alias("cut"),
                     F.get("loops", 0)["header"].alias("header"), F.get("loops", 0)["depth"].alias("depth"))
 
 
 def stored_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = modules.decode(shaped_modules(spark, sf_dir, "many"))
-    return modules.stored_functions(a).groupBy(F.col("hash").cast("long").alias("p_partkey")).agg(F.count("*").alias("functions"), F.max("func_idx").alias("last"), F.sum("n").alias("instructions"))
+    return modules.stored_functions(a).groupBy(F.col("hash").cast("long").alias("p_partkey")).agg(F.count("*").alias("functions"),
+        F.max("func_idx").alias("last"), F.sum("n").alias("instructions"))
 
 
 def shape_wat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,11 +168,13 @@ def shape_wat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shape_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = modules.features(modules.decode(shaped_modules(spark, sf_dir, "kernels"), budget=60))
-    return f.select(F.col("hash").cast("long").alias("p_partkey"), "instruction_count", "decoded_functions", "truncated_functions", "skipped", F.round("coverage", 6).alias("coverage"))
+    return f.select(F.col("hash").cast("long").alias("p_partkey"), "instruction_count", "decoded_functions", "truncated_functions",
+        "skipped", F.round("coverage", 6).alias("coverage"))
 
 
 def foreign_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modules.decode(shaped_modules(spark, sf_dir)).filter("not ok").select(F.col("hash").cast("long").alias("p_partkey"), "reason", "byte_length")
+    return modules.decode(shaped_modules(spark, sf_dir)).filter("not ok").select(F.col("hash").cast("long").alias("p_partkey"), "reason",
+        "byte_length")
 
 
 def risk_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,29 +187,36 @@ def risk_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hero_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("hash"), "p_brand")
     a = assessed(spark, sf_dir).select("hash", "score", "level").join(part, "hash")
-    return a.agg(F.count_if(rules.level_rank(F.col("level")) >= 3).alias("flagged"), F.max("score").alias("peak"), F.count_distinct("p_brand").alias("sites"))
+    return a.agg(F.count_if(rules.level_rank(F.col("level")) >= 3).alias("flagged"), F.max("score").alias("peak"),
+        F.count_distinct("p_brand").alias("sites"))
 
 
 def findings_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.by_layer(assessed(spark, sf_dir)).select(F.col("hash").cast("long").alias("p_partkey"), F.col("static").alias("static_findings"), F.col("runtime").alias("runtime_findings"), F.col("model").alias("model_findings"))
+    return rules.by_layer(assessed(spark, sf_dir)).select(F.col("hash").cast("long").alias("p_partkey"),
+        F.col("static").alias("static_findings"), F.col("runtime").alias("runtime_findings"), F.col("model").alias("model_findings"))
 
 
 def alert_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = assessed(spark, sf_dir).withColumn("origin", F.lit("site"))
     # more than are remembered: the oldest hundred count no more
-    seen = spark.range(0, 300).select(F.concat_ws("|", F.lit("site"), F.lit("high"), F.col("id").cast("string")).alias("alert_key"), F.col("id").alias("ts"))
+    seen = spark.range(0, 300).select(F.concat_ws("|", F.lit("site"), F.lit("high"), F.col("id").cast("string")).alias("alert_key"),
+        F.col("id").alias("ts"))
     return rules.alerts(a, seen).select("alert_key", "score")
 
 
 def stale_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import store
 
-    a = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 3).alias("ruleset"), F.when(F.col("p_size") % 7 != 0, F.lit("m1")).alias("model"))
+    a = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey",
+        F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 3).alias("ruleset"), F.when(F.col("p_size") % 7 != 0, F.lit("m1")).alias("model"))
     return store.stale(a, ruleset=1, model="m1").select("p_partkey")
 
 
-QUERIES = {f.__name__: f for f in (module_scorecard, module_features, module_kernels, module_findings, module_scores, opcode_histogram, category_counts, threshold_probe, instruction_budget, wat_header, instruction_rows,
-                                   module_summary, feature_vectors, opcode_sequences, module_shapes, shape_functions, stored_functions, shape_wat, shape_budget, foreign_bytes, risk_breakdown, hero_figures, findings_by_layer, alert_dedupe, stale_hashes)}
+QUERIES = {f.__name__: f for f in (module_scorecard, module_features, module_kernels, module_findings, module_scores, opcode_histogram,
+    category_counts, threshold_probe, instruction_budget, wat_header, instruction_rows,
+                                   module_summary, feature_vectors, opcode_sequences, module_shapes, shape_functions, stored_functions,
+                                   shape_wat, shape_budget, foreign_bytes, risk_breakdown, hero_figures, findings_by_layer, alert_dedupe,
+                                   stale_hashes)}
 
 _M = """WITH m AS (SELECT p_partkey, p_brand, p_size::BIGINT AS r, p_partkey % 2 = 0 AS shared, 6 * p_size::BIGINT + 11 AS n, 6 * p_size::BIGINT + 5 AS loop FROM part),
 b AS (SELECT *, r >= 6 AS kernel, 2.0::DOUBLE * r / n AS bw, (3.0::DOUBLE * r + 3) / n AS ar FROM m),
@@ -230,12 +255,14 @@ _SHAPE_COLUMNS = {
     "function_count": _by_shape(nested="2", table="1", many="2500", broken="2", overlong="1", declared="1", kernels="3"),
     "decoded_functions": _by_shape(nested="2", table="1", many="2500", broken="2", overlong="1", declared="1", kernels="3"),
     "truncated_functions": _by_shape(broken="1"),
-    "instruction_count": _by_shape(nested="15 + s", table="7 + s", many="7500 + 7 * s", broken="s + 2", overlong="1", declared="8", kernels="171 + 13 * s"),
+    "instruction_count": _by_shape(nested="15 + s", table="7 + s", many="7500 + 7 * s", broken="s + 2", overlong="1", declared="8",
+        kernels="171 + 13 * s"),
     "total_loops": _by_shape(nested="1", table="1", many="1", kernels="3"),
     "total_back_edges": _by_shape(nested="1", table="1"),
     "max_nesting": _by_shape(nested="3", table="2", many="1", kernels="1"),
     "memory_initial_pages": _by_shape(declared="s"), "memory_grow_sites": _by_shape(declared="1"), "data_bytes": _by_shape(declared="s + 5"),
-    "export_count": _by_shape(declared="2"), "imported_functions": _by_shape(declared="1"), "warnings": _by_shape(broken="1", overlong="1", declared="1"),
+    "export_count": _by_shape(declared="2"), "imported_functions": _by_shape(declared="1"),
+    "warnings": _by_shape(broken="1", overlong="1", declared="1"),
     "stripped": "shape <> 'declared'", "coverage": "CASE WHEN shape = 'broken' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END",
     "n_control": _by_shape(nested="14", table="6 + s", many="5001 + 2 * s", broken="s + 2", overlong="1", declared="4", kernels="49 + 3 * s"),
     "n_call": _by_shape(kernels="2 + s"), "n_variable": _by_shape(nested="s + 1", table="1", many="3 * s", kernels="80 + 6 * s"),
@@ -244,7 +271,8 @@ _SHAPE_COLUMNS = {
     "kernel": "CASE WHEN shape = 'nested' AND s >= 34 OR shape = 'kernels' THEN 0::BIGINT WHEN shape = 'many' AND s >= 6 THEN 2499 END",
     "kernel_loop": "CASE WHEN shape = 'nested' AND s >= 34 THEN 6 + s WHEN shape = 'kernels' THEN 41 + 4 * s WHEN shape = 'many' AND s >= 6 THEN 7 * s + 1 END",
 }
-_CATS = {"control": "4", "call": "0", "variable": "3 * r + 2", "memory": "0", "integer": "r + 3", "bitwise": "2 * r", "float": "0", "simd": "0", "atomic": "1", "reference": "0", "other": "0"}
+_CATS = {"control": "4", "call": "0", "variable": "3 * r + 2", "memory": "0", "integer": "r + 3", "bitwise": "2 * r", "float": "0",
+    "simd": "0", "atomic": "1", "reference": "0", "other": "0"}
 ORACLE_SQL = {
     "module_scorecard": _M + """SELECT p_brand, ['benign', 'low', 'medium', 'high', 'critical'][max(rank)] AS level, max(score) AS max_score, count(*) AS modules, 0::BIGINT AS unanalysed,
         arg_max(headline, rank::BIGINT * 1000000000 - p_partkey) AS headline FROM h GROUP BY p_brand""",
@@ -258,14 +286,16 @@ ORACLE_SQL = {
         {'name': 'loop', 'category': 'control', 'n': 1}, {'name': 'local.get', 'category': 'variable', 'n': 2 * r + 2}, {'name': 'i32.rotl', 'category': 'bitwise', 'n': r}, {'name': 'i32.xor', 'category': 'bitwise', 'n': r},
         {'name': 'local.set', 'category': 'variable', 'n': r}, {'name': 'i32.gt_s', 'category': 'integer', 'n': 1}, {'name': 'br_if', 'category': 'control', 'n': 1}, {'name': 'end', 'category': 'control', 'n': 2}]) AS e FROM m)
         SELECT e.name AS name, e.category AS category, sum(e.n)::BIGINT AS n, count(*) AS modules FROM x GROUP BY ALL""",
-    "category_counts": _M + "SELECT p_partkey, " + ", ".join(f"({x.replace('4', '5') if c == 'control' else x})::BIGINT AS cat_{c}" for c, x in _CATS.items()) + " FROM m",
+    "category_counts": _M + "SELECT p_partkey, " + ", ".join(f"({x.replace('4', '5') if c == 'control' else x})::BIGINT AS cat_{c}" for c,
+        x in _CATS.items()) + " FROM m",
     "threshold_probe": _M + "SELECT p_partkey, 0::BIGINT AS func_idx, loop AS largest_loop, 1::BIGINT AS rank FROM b WHERE loop >= 40 AND bw >= 0.15",
     "instruction_budget": _M + """, u AS (SELECT p_brand, coalesce(sum(n) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM m)
         SELECT p_brand, count(*) FILTER (used < 10000) AS decoded, count(*) FILTER (used >= 10000) AS skipped FROM u GROUP BY p_brand""",
     "wat_header": """SELECT p_partkey, concat_ws(chr(10), '(module', '  (type $t0 (func ))', '  (type $t1 (func (result i32)))', '  (import "pool" "websocket_send" (func (type $t0)))',
         CASE WHEN p_partkey % 2 = 0 THEN '  (memory 16 32 shared)' ELSE '  (memory 16 32)' END, '  (export "run" (func 1))', '  ;; 1 function bodies, 0 data segments', ')') AS wat FROM part""",
     "instruction_rows": _M + "SELECT p_partkey, n AS instructions, 1::BIGINT AS deepest, 2::BIGINT AS ends FROM m",
-    "module_shapes": _SHAPED + "SELECT p_partkey, " + ", ".join(f"{v} AS {k}" for k, v in _SHAPE_COLUMNS.items()) + " FROM a WHERE shape <> 'foreign'",
+    "module_shapes": _SHAPED + "SELECT p_partkey, " + ", ".join(f"{v} AS {k}" for k,
+        v in _SHAPE_COLUMNS.items()) + " FROM a WHERE shape <> 'foreign'",
     "shape_functions": _SHAPED + """
         SELECT p_partkey, 0::BIGINT AS func_idx, 14 + s AS n, 1::BIGINT AS locals, 15::BIGINT AS blocks, 17::BIGINT AS edges, 1::BIGINT AS back_edges, 3::BIGINT AS max_nesting, 6 + s AS largest_loop, false AS approximate, false AS cut, 1::BIGINT AS header, 1::BIGINT AS depth FROM a WHERE shape = 'nested'
         UNION ALL SELECT p_partkey, 1, 1, 0, 1, 0, 0, 0, 0, false, false, NULL, NULL FROM a WHERE shape = 'nested'

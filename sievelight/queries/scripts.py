@@ -45,7 +45,8 @@ def script_api_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_names_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.measure(sources(spark, sf_dir)).select("doc_id", F.array_join("miner_names", ",").alias("miner_names"), F.array_join("pool_endpoints", ",").alias("pool_endpoints"))
+    return lexical.measure(sources(spark, sf_dir)).select("doc_id", F.array_join("miner_names", ",").alias("miner_names"),
+        F.array_join("pool_endpoints", ",").alias("pool_endpoints"))
 
 
 def script_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,14 +58,16 @@ def script_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = sources(spark, sf_dir)
     m = lexical.measure(src).join(lexical.entropy(src, "doc_id", "source"), "doc_id").withColumn("hash", F.sha2("source", 256))
     assert "source" not in lexical.stored(m).columns
-    return lexical.stored(m).groupBy("hash").agg(F.max("byte_length").alias("byte_length"), F.max("eval_sites").alias("eval_sites"), F.max("entropy").alias("entropy"), F.count("*").alias("n"))
+    return lexical.stored(m).groupBy("hash").agg(F.max("byte_length").alias("byte_length"), F.max("eval_sites").alias("eval_sites"),
+        F.max("entropy").alias("entropy"), F.count("*").alias("n"))
 
 
 def label_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms are in lines of their own behind every third document."""
     from ..operators import modules
 
-    told = F.concat("source", F.lit("\nnonce of yespower\n"), F.element_at(F.array(*map(F.lit, TERMS)), (F.col("doc_id") % len(TERMS) + 1).cast("int")), F.lit("\nstratum nonce _hash_cn\n"))
+    told = F.concat("source", F.lit("\nnonce of yespower\n"), F.element_at(F.array(*map(F.lit, TERMS)),
+        (F.col("doc_id") % len(TERMS) + 1).cast("int")), F.lit("\nstratum nonce _hash_cn\n"))
     a = sources(spark, sf_dir).withColumn("source", F.when(F.col("doc_id") % 3 == 0, told).otherwise(F.col("source")))
     a = a.select("doc_id", modules.ascii_runs(F.encode("source", "UTF-8")).alias("runs"))
     found = lexical.signature_contexts(a, "doc_id", "runs", lexical.SIGNATURES)
@@ -72,27 +75,34 @@ def label_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # One for each alternative of the pattern, and what is none.
-TERMS = ("CryptoNight", "crypto-night", "cryptonote", "my cn_slow_hash", "cn_hash", "x_hash_cn", "x_loot_cn", "coin-hive", "CoinImp", "crypto-loot", "deepMiner", "webminer", "minero", "equihash", "RandomX", "yescrypt", "argon2d",
-         "cuckoo", "nimiq", "webdollar", "getwork", "jsecoin", "monero", "an xmr b", "zcash", "hushminer", "yazec", "jazec", "announced", "xmrx", "acn_hash")
+TERMS = ("CryptoNight", "crypto-night", "cryptonote", "my cn_slow_hash", "cn_hash", "x_hash_cn", "x_loot_cn", "coin-hive", "CoinImp",
+    "crypto-loot", "deepMiner", "webminer", "minero", "equihash", "RandomX", "yescrypt", "argon2d",
+         "cuckoo", "nimiq", "webdollar", "getwork", "jsecoin", "monero", "an xmr b", "zcash", "hushminer", "yazec", "jazec", "announced",
+         "xmrx", "acn_hash")
 
 
 def ascii_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import modules
 
     a = sources(spark, sf_dir).select("doc_id", modules.ascii_runs(F.encode("source", "UTF-8")).alias("runs"))
-    return a.select("doc_id", F.size("runs").cast("long").alias("runs"), F.aggregate("runs", F.lit(0), lambda m, r: m + F.length(r)).cast("long").alias("chars"))
+    return a.select("doc_id", F.size("runs").cast("long").alias("runs"),
+        F.aggregate("runs", F.lit(0), lambda m, r: m + F.length(r)).cast("long").alias("chars"))
 
 
 def inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.inline_scripts(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "pos", "length", "big_enough", F.md5("code").alias("code"))
+    return ingest.inline_scripts(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "pos", "length", "big_enough",
+        F.md5("code").alias("code"))
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's scripts come from the three next pages' URLs; every third page pins them."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    q = p.select(F.col("page_id").alias("_p"), F.col("url").alias("src"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("d")).select((F.col("_p") - F.col("d")).alias("page_id"), "src")
+    q = p.select(F.col("page_id").alias("_p"), F.col("url").alias("src"),
+        F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("d")).select((F.col("_p") - F.col("d")).alias("page_id"), "src")
     r = p.join(q, "page_id")
-    return r.select("page_id", "url", "src", ingest.third_party(F.col("src"), F.col("url")).alias("third_party"), (F.col("page_id") % 3 == 0).alias("has_integrity"), (F.col("page_id") % 2 == 0).alias("injected"), ingest.origin(F.col("src")).alias("origin"))
+    return r.select("page_id", "url", "src", ingest.third_party(F.col("src"), F.col("url")).alias("third_party"),
+        (F.col("page_id") % 3 == 0).alias("has_integrity"), (F.col("page_id") % 2 == 0).alias("injected"),
+        ingest.origin(F.col("src")).alias("origin"))
 
 
 def supply_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,16 +115,20 @@ def host_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(ingest.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (script_line_stats, script_escape_density, script_literals, script_entropy, script_api_counts, script_names_endpoints, script_findings, script_summary, label_evidence, ascii_runs, inline_scripts, supply_chain, host_of)}
+QUERIES = {f.__name__: f for f in (script_line_stats, script_escape_density, script_literals, script_entropy, script_api_counts,
+    script_names_endpoints, script_findings, script_summary, label_evidence, ascii_runs, inline_scripts, supply_chain, host_of)}
 
 _Q = TAIL.replace("'", "''")
 _S = f"WITH s AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '{_Q}' ELSE text END AS source FROM documents) "
 _UP = "floor({} * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE"
 # The SQL spells its own patterns, in the dialect of its engine: it does not read those under test.
 _RE2 = {
-    "eval": r"\beval\s*\(", "function_constructor": r"""\bnew\s+Function\s*\(|\bFunction\s*\(\s*["''`]""", "atob": r"\batob\s*\(|decodeURIComponent\s*\(\s*escape\s*\(",
-    "from_char_code": "fromCharCode", "document_write": r"document\s*\.\s*write(?:ln)?\s*\(", "create_element_script": r"""(?i)createElement\s*\(\s*["''`]script["''`]""",
-    "import_scripts": r"\bimportScripts\s*\(", "dynamic_import": r"\bimport\s*\(", "web_assembly": r"\bWebAssembly\s*\.", "worker": r"\bnew\s+(?:Shared)?Worker\s*\(",
+    "eval": r"\beval\s*\(", "function_constructor": r"""\bnew\s+Function\s*\(|\bFunction\s*\(\s*["''`]""",
+    "atob": r"\batob\s*\(|decodeURIComponent\s*\(\s*escape\s*\(",
+    "from_char_code": "fromCharCode", "document_write": r"document\s*\.\s*write(?:ln)?\s*\(",
+    "create_element_script": r"""(?i)createElement\s*\(\s*["''`]script["''`]""",
+    "import_scripts": r"\bimportScripts\s*\(", "dynamic_import": r"\bimport\s*\(", "web_assembly": r"\bWebAssembly\s*\.",
+    "worker": r"\bnew\s+(?:Shared)?Worker\s*\(",
     "web_socket": r"\bnew\s+WebSocket\s*\(", "timer_string": r"""set(?:Timeout|Interval)\s*\(\s*["''`]""",
 }
 _N = lambda n: f"len(regexp_extract_all(source, '{_RE2[n]}'))::BIGINT"
@@ -149,7 +163,8 @@ ORACLE_SQL = {
         f" t AS (SELECT doc_id, pos, run, unnest(list_distinct(list_transform(regexp_extract_all(run, '{_SIGNATURES}'), lambda x: lower(x)))) AS term FROM u), c AS (SELECT doc_id, term, length(substr(arg_min(run, pos), 1, 80)) AS n FROM t GROUP BY doc_id, term) SELECT term, count(*) AS docs, max(n)::BIGINT AS longest FROM c GROUP BY term",
     "inline_scripts": r"""WITH t AS (SELECT page_id, regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>') AS tags FROM pages), u AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos FROM t),
         c AS (SELECT page_id, pos, regexp_extract(tag, '(?is)^<script\b[^>]*>(.*)</script>$', 1) AS code FROM u) SELECT page_id, pos, length(code)::BIGINT AS length, length(code) BETWEEN 40 AND 2097152 AS big_enough, md5(code) AS code FROM c""",
-    "supply_chain": "WITH r AS (SELECT p.page_id, " + _ORIGIN.format("q.url", "q.url") + " AS origin, " + _ORIGIN.format("p.url", "p.url") + """ AS own, p.page_id % 2 = 0 AS injected FROM pages p JOIN pages q ON q.page_id BETWEEN p.page_id + 1 AND p.page_id + 3),
+    "supply_chain": "WITH r AS (SELECT p.page_id, " + _ORIGIN.format("q.url", "q.url") + " AS origin, " + _ORIGIN.format("p.url",
+        "p.url") + """ AS own, p.page_id % 2 = 0 AS injected FROM pages p JOIN pages q ON q.page_id BETWEEN p.page_id + 1 AND p.page_id + 3),
         u AS (SELECT page_id, count(*) AS unpinned, count(DISTINCT origin) AS origins, count(*) FILTER (injected) AS injected_scripts FROM r WHERE origin <> own AND page_id % 3 <> 0 GROUP BY page_id)
         SELECT *, floor(100 * (1 - exp(-(6 * 0.35::DOUBLE) / 50.0::DOUBLE)) + 0.5)::INT AS score, 'benign' AS level FROM u""",
     "host_of": "SELECT " + _HOST.format("url") + " AS host, count(*) AS n FROM pages GROUP BY 1",

@@ -35,13 +35,20 @@ def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = a.withColumns({
         "import_names": _case(0, F.array(lit("env.cryptonight_hash")), none), "export_names": F.array(lit("run")), "custom_names": none,
         "kernel": F.when(F.col("case").isin(5, 8), kernel), "runtime": F.when(F.col("case") == 5, long_run).when(F.col("case") == 6, short_run),
-        "instruction_count": F.when(F.col("case").isin(1, 8), lit(5000)).otherwise(lit(100)).cast("long"), "total_loops": _case(1, lit(2), lit(0)).cast("long"), "stripped": F.col("case") == 1,
-        "memory_shared": lit(False), "n_atomic": lit(0).cast("long"), "export_count": lit(1).cast("long"), "bitwise_ratio": lit(0.0), "float_ratio": lit(0.0),
-        "memory_initial_pages": _case(2, lit(500), lit(1)).cast("long"), "memory_max_pages": _case(2, lit(None), lit(10)).cast("long"), "memory_grow_sites": lit(0).cast("long"),
-        "data_bytes": _case(3, lit(524_288), lit(0)).cast("long"), "byte_length": lit(600_000).cast("long"), "truncated_functions": _case(4, lit(2), lit(0)).cast("long"), "skipped": _case(4, lit(3), lit(0)).cast("long"),
-        "probability": _case(7, lit(0.95), lit(None)), "drivers": F.array(F.struct(lit("op_i32.xor").alias("name"), lit(1.2345).alias("value")), F.struct(lit("coverage").alias("name"), lit(-0.5).alias("value")))})
+        "instruction_count": F.when(F.col("case").isin(1, 8), lit(5000)).otherwise(lit(100)).cast("long"),
+        "total_loops": _case(1, lit(2), lit(0)).cast("long"), "stripped": F.col("case") == 1,
+        "memory_shared": lit(False), "n_atomic": lit(0).cast("long"), "export_count": lit(1).cast("long"), "bitwise_ratio": lit(0.0),
+        "float_ratio": lit(0.0),
+        "memory_initial_pages": _case(2, lit(500), lit(1)).cast("long"), "memory_max_pages": _case(2, lit(None), lit(10)).cast("long"),
+        "memory_grow_sites": lit(0).cast("long"),
+        "data_bytes": _case(3, lit(524_288), lit(0)).cast("long"), "byte_length": lit(600_000).cast("long"),
+        "truncated_functions": _case(4, lit(2), lit(0)).cast("long"), "skipped": _case(4, lit(3), lit(0)).cast("long"),
+        "probability": _case(7, lit(0.95), lit(None)),
+        "drivers": F.array(F.struct(lit("op_i32.xor").alias("name"), lit(1.2345).alias("value")),
+            F.struct(lit("coverage").alias("name"), lit(-0.5).alias("value")))})
     every = rules.module_rules() + rules.runtime_rules() + rules.model_rules(12, 34, F.col("drivers"))
-    return rules.assess(a, every).select("p_partkey", F.explode("findings").alias("f")).select("p_partkey", "f.id", "f.confidence", "f.evidence", "f.reference")
+    return rules.assess(a, every).select("p_partkey", F.explode("findings").alias("f")).select("p_partkey", "f.id", "f.confidence",
+        "f.evidence", "f.reference")
 
 
 def finding_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,19 +58,23 @@ def finding_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = rules.module_rules() + rules.runtime_rules() + rules.model_rules() + rules.script_rules() + rules.supply_chain_rules()
-    return rules.catalogue(every, spark).groupBy("kind").agg(F.count("*").alias("rules"), F.sum("weight").alias("weights"), F.count("reference").alias("cited"))
+    return rules.catalogue(every, spark).groupBy("kind").agg(F.count("*").alias("rules"), F.sum("weight").alias("weights"),
+        F.count("reference").alias("cited"))
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored result for each even part, its analysis as JSON; every tenth is damaged."""
     a = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 2 = 0")
-    text = F.to_json(F.struct(F.col("p_size").cast("long").alias("instructions"), F.array(F.struct(F.lit("stripped-binary").alias("id"), F.lit(4).alias("weight"), F.lit(0.2).alias("confidence"))).alias("findings")))
-    return a.select("p_partkey", (F.col("p_size") * 2).alias("score"), F.when(F.col("p_partkey") % 10 == 0, "{broken").otherwise(text).alias("analysis"))
+    text = F.to_json(F.struct(F.col("p_size").cast("long").alias("instructions"),
+        F.array(F.struct(F.lit("stripped-binary").alias("id"), F.lit(4).alias("weight"), F.lit(0.2).alias("confidence"))).alias("findings")))
+    return a.select("p_partkey", (F.col("p_size") * 2).alias("score"),
+        F.when(F.col("p_partkey") % 10 == 0, "{broken").otherwise(text).alias("analysis"))
 
 
 def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = store.parsed(_results(spark, sf_dir))
-    return a.select("p_partkey", "score", "readable", F.col("analysis.instructions").alias("instructions"), F.get("analysis.findings", 0)["id"].alias("first_id"))
+    return a.select("p_partkey", "score", "readable", F.col("analysis.instructions").alias("instructions"),
+        F.get("analysis.findings", 0)["id"].alias("first_id"))
 
 
 def known_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +85,13 @@ def known_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def activity_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as artifacts, last seen by their price; results as analyses."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.floor(F.col("p_retailprice")).cast("long").alias("seen"))
-    return reports.newest_modules(part, _results(spark, sf_dir).select("p_partkey", "score"), "seen", "p_partkey").select("p_partkey", "seen", "score")
+    return reports.newest_modules(part, _results(spark, sf_dir).select("p_partkey", "score"), "seen", "p_partkey").select("p_partkey",
+        "seen", "score")
 
 
 def activity_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("ms"), "event_type")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id",
+        F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("ms"), "event_type")
     kinds = [r.k for r in e.agg(F.min("event_type").alias("k")).collect()]
     last = reports.last_capture(e, "ms", "event_id", "event_type", kinds[0])
     now = e.agg(F.max("ms")).first()[0]
@@ -92,17 +105,20 @@ def page_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each brand: parts, those with a result, and as many blind spots as parts of size 1."""
-    a = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(F.col("p_partkey") % 2 == 0).alias("done"), F.count_if(F.col("p_size") == 1).alias("blind"))
+    a = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").agg(F.count("*").alias("n"),
+        F.count_if(F.col("p_partkey") % 2 == 0).alias("done"), F.count_if(F.col("p_size") == 1).alias("blind"))
     return a.select("p_brand", reports.unanalysed(F.col("n"), F.col("done"), F.col("blind")).alias("unanalysed"))
 
 
 def classifier_against_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether shared modules are told better by a model of a module's bitwise share and atomics, or by the rules' score at 0.5."""
-    a = modules.assessed(spark, sf_dir).select("hash", (F.col("hash").cast("long") % 2).alias("label"), rules.unit_score(F.col("score")).alias("baseline"),
+    a = modules.assessed(spark, sf_dir).select("hash", (F.col("hash").cast("long") % 2).alias("label"),
+        rules.unit_score(F.col("score")).alias("baseline"),
                                                F.least(F.lit(1.0), F.col("bitwise_ratio") * 2 + F.col("n_atomic") * 0.1).alias("probability"))
     f1 = lambda score: ml.rates(ml.confusion(a, score, "label")).select("f1")
     both = f1("probability").withColumnRenamed("f1", "model").join(F.broadcast(f1("baseline").withColumnRenamed("f1", "rules")))
-    return both.select(half_up(F.col("model"), 6).alias("model_f1"), half_up(F.col("rules"), 6).alias("rules_f1"), ml.verdict(F.col("model"), F.col("rules")).alias("verdict"))
+    return both.select(half_up(F.col("model"), 6).alias("model_f1"), half_up(F.col("rules"), 6).alias("rules_f1"),
+        ml.verdict(F.col("model"), F.col("rules")).alias("verdict"))
 
 
 def sequence_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +128,8 @@ def sequence_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("binary")
     def encoded(key, rounds):
         return key.combine(rounds, lambda k, r: b"<html>" if k % 11 == 0 else wasm.parametric_module(int(r), False))
-    files = part.select(F.format_string("f%08d", "p_partkey").alias("name"), (F.col("p_partkey") % 2).cast("int").alias("label"), encoded("p_partkey", "p_size").alias("bytes"))
+    files = part.select(F.format_string("f%08d", "p_partkey").alias("name"), (F.col("p_partkey") % 2).cast("int").alias("label"),
+        encoded("p_partkey", "p_size").alias("bytes"))
     return ml.sequence_job(files)[1]
 
 
@@ -125,15 +142,18 @@ def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_folder(spark)}/rescored-{uuid.uuid4().hex}"
-    return flows.rescored(flows.events(spark, sf_dir), f"{base}/table", f"{base}/state").select("k", "reports", half_up(F.col("share"), 6).alias("share"))
+    return flows.rescored(flows.events(spark, sf_dir), f"{base}/table", f"{base}/state").select("k", "reports",
+        half_up(F.col("share"), 6).alias("share"))
 
 
 def network_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as responses: every third is declared a module, every fifth has a module's path, every seventh no type."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     kind = F.when(F.col("page_id") % 7 == 0, None).when(F.col("page_id") % 3 == 0, "Application/WASM").otherwise("text/html")
-    url = F.when(F.col("page_id") % 5 == 0, F.concat(F.regexp_extract("url", "^[^?#]*", 0), F.lit("/A.WASM?x#y"))).otherwise(F.concat("url", F.lit("?q=.wasm")))
-    return ingest.network_notes(p.select(url.alias("url"), (F.col("page_id") % 10).alias("tab_id"), F.col("page_id").alias("ts"), kind.alias("content_type")))
+    url = F.when(F.col("page_id") % 5 == 0, F.concat(F.regexp_extract("url", "^[^?#]*", 0), F.lit("/A.WASM?x#y"))).otherwise(F.concat("url",
+        F.lit("?q=.wasm")))
+    return ingest.network_notes(p.select(url.alias("url"), (F.col("page_id") % 10).alias("tab_id"), F.col("page_id").alias("ts"),
+        kind.alias("content_type")))
 
 
 def upload_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +170,10 @@ def runtime_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = telemetry.events(spark, sf_dir)
     module = lambda f, t: F.struct(f.alias("fingerprint"), t.alias("wasm_time_ms"))
     zero = F.lit(0).cast("long")
-    report = F.struct(F.col("event_type").alias("context"), F.lit(30_000).alias("observed_ms"), F.struct(F.col("k").alias("samples"), (F.col("k") * 3).alias("late_ms")).alias("drift"), zero.alias("worker_count"),
-                      zero.alias("socket_count"), zero.alias("socket_messages"), zero.alias("hardware_concurrency"), F.array(module(F.col("k"), F.col("ms") % 1000), module(F.col("k") + 1000, F.lit(5).cast("long"))).alias("modules"))
+    report = F.struct(F.col("event_type").alias("context"), F.lit(30_000).alias("observed_ms"),
+        F.struct(F.col("k").alias("samples"), (F.col("k") * 3).alias("late_ms")).alias("drift"), zero.alias("worker_count"),
+                      zero.alias("socket_count"), zero.alias("socket_messages"), zero.alias("hardware_concurrency"),
+                      F.array(module(F.col("k"), F.col("ms") % 1000), module(F.col("k") + 1000, F.lit(5).cast("long"))).alias("modules"))
     a = runtime.samples(e.select(F.col("event_id").alias("context_id"), report.alias("report")))
     return a.select(F.col("context_id").alias("event_id"), "context", "fingerprint", "wasm_time_ms", "drift_ms")
 
@@ -166,7 +188,8 @@ def rescored_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = reports.visible(modules.assessed(spark, sf_dir))
-    flags = reports.flags(F.col("memory_shared"), F.col("memory_grow_sites"), F.col("indirect_calls"), F.col("stripped"), F.col("truncated_functions"))
+    flags = reports.flags(F.col("memory_shared"), F.col("memory_grow_sites"), F.col("indirect_calls"), F.col("stripped"),
+        F.col("truncated_functions"))
     return a.select(F.col("hash").cast("long").alias("p_partkey"), F.array_join(flags, ",").alias("flags"))
 
 
@@ -177,8 +200,10 @@ def active_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.argmax_sticky(a, "g", "event_type", "n", "o", "none")
 
 
-QUERIES = {f.__name__: f for f in (rule_cases, finding_evidence, rule_catalogue, stored_results, known_results, activity_modules, activity_status, page_badges, coverage_gap, classifier_against_rules, sequence_counters,
-                                   stream_intake, stream_rescored, network_notes, upload_outcomes, first_scripts, runtime_samples, rescored_modules, report_flags, active_types)}
+QUERIES = {f.__name__: f for f in (rule_cases, finding_evidence, rule_catalogue, stored_results, known_results, activity_modules,
+    activity_status, page_badges, coverage_gap, classifier_against_rules, sequence_counters,
+                                   stream_intake, stream_rescored, network_notes, upload_outcomes, first_scripts, runtime_samples,
+                                   rescored_modules, report_flags, active_types)}
 
 _SAYS = "floor({} * 1000.0::DOUBLE + 0.5) / 10.0::DOUBLE"
 _PCT = lambda x: f"printf('%.1f%%', {_SAYS.format(x)})"
@@ -194,9 +219,11 @@ _ROWS = [
     (4, "incomplete-coverage", 1.0, "2 function(s) could not be fully decoded and 3 were skipped for budget; findings below cover the rest", None),
     (5, "hash-loop-density", 1.0, _RUNS, _MINOS),
     (5, "sustained-execution", 1.0, "spent 61.3s executing during 30.0s of observation across 4 context(s) — 2.00 core-equivalents, and that is a floor: per-call timing was stopped to avoid becoming the cost itself", _MINOS),
-    (5, "mining-runtime-corroborated", 1.0, _RUNS + "; it then ran for 61.3s of 30.0s (2.00 core-equivalents), with 4 contexts at once and its own timers running 900ms late and 42 messages over 1 socket(s) — compression and checksum routines do not run continuously", _MINOS),
+    (5, "mining-runtime-corroborated", 1.0,
+        _RUNS + "; it then ran for 61.3s of 30.0s (2.00 core-equivalents), with 4 contexts at once and its own timers running 900ms late and 42 messages over 1 socket(s) — compression and checksum routines do not run continuously", _MINOS),
     (5, "worker-fan-out", 0.4, "the same module is executing in 4 contexts on a 8-core machine, for 61.3s in total — the shape of claiming every core", _SPRING),
-    (5, "persistent-socket-traffic", 0.45, "42 messages across 1 socket(s) while executing for 61.3s — a mining pool hands out work and takes back shares this way", None),
+    (5, "persistent-socket-traffic", 0.45,
+        "42 messages across 1 socket(s) while executing for 61.3s — a mining pool hands out work and takes back shares this way", None),
     (6, "runtime-not-yet-observed", 1.0, "watched for 5.0s so far; runtime rules need 20.0s before a busy page can be told from a mining page", None),
     (7, "classifier-opinion", 1.0, "a model trained on 12 malicious and 34 benign modules scores this 0.95, driven by op_i32.xor=1.235, coverage=-0.500 (a model's opinion, not a measurement of intent)", _DEEP),
     (8, "hash-loop-density", 1.0, _RUNS, _MINOS),

@@ -22,35 +22,46 @@ def module_samples(e: DataFrame) -> DataFrame:
     """Latest sample of each (context, module)."""
     a = store.latest(e.withColumn("_id", F.col("event_id")), ["user_id", "k"], "ms", "event_id")
     t = F.floor(F.abs(F.col("value")) * 100).cast("long")
-    return a.select(F.col("k").alias("fingerprint"), F.col("event_type").alias("context"), F.lit(30000).cast("long").alias("observed_ms"), (F.col("user_id") % 500).cast("double").alias("drift_ms"), (F.col("user_id") % 4).alias("worker_count"), (F.col("k") % 2).alias("socket_count"),
-                    (F.col("k") % 20).alias("socket_messages"), F.lit(8).cast("long").alias("hardware_concurrency"), t.alias("wasm_time_ms"), F.lit(1).cast("long").alias("call_count"), t.alias("longest_call_ms"), (F.col("k") % 7 == 0).alias("timing_stopped"))
+    return a.select(F.col("k").alias("fingerprint"), F.col("event_type").alias("context"), F.lit(30000).cast("long").alias("observed_ms"),
+        (F.col("user_id") % 500).cast("double").alias("drift_ms"), (F.col("user_id") % 4).alias("worker_count"),
+        (F.col("k") % 2).alias("socket_count"),
+                    (F.col("k") % 20).alias("socket_messages"), F.lit(8).cast("long").alias("hardware_concurrency"),
+                    t.alias("wasm_time_ms"), F.lit(1).cast("long").alias("call_count"), t.alias("longest_call_ms"),
+                    (F.col("k") % 7 == 0).alias("timing_stopped"))
 
 
 def runtime_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = runtime.fold(module_samples(events(spark, sf_dir)))
-    return f.select("fingerprint", "wasm_time_ms", "longest_call_ms", half_up(F.col("cpu_share"), 6).alias("cpu_share"), half_up(F.col("mean_drift_ms"), 6).alias("mean_drift_ms"), "worker_count", "socket_messages", F.array_join("contexts", ",").alias("contexts"), "context_count", "timing_stopped")
+    return f.select("fingerprint", "wasm_time_ms", "longest_call_ms", half_up(F.col("cpu_share"), 6).alias("cpu_share"),
+        half_up(F.col("mean_drift_ms"), 6).alias("mean_drift_ms"), "worker_count", "socket_messages",
+        F.array_join("contexts", ",").alias("contexts"), "context_count", "timing_stopped")
 
 
 def runtime_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = runtime.fold(module_samples(events(spark, sf_dir)))
-    a = f.select("fingerprint", F.struct(*[c for c in f.columns if c != "fingerprint"]).alias("runtime"), F.lit(None).cast("struct<bitwise_ratio:double,largest_loop:bigint,order:bigint,arithmetic_ratio:double,call_ratio:double,func_idx:bigint>").alias("kernel"))
-    return rules.assess(a, rules.runtime_rules()).select("fingerprint", F.array_join(F.array_sort(F.transform("findings", lambda x: x["id"])), ",").alias("ids"))
+    a = f.select("fingerprint", F.struct(*[c for c in f.columns if c != "fingerprint"]).alias("runtime"),
+        F.lit(None).cast("struct<bitwise_ratio:double,largest_loop:bigint,order:bigint,arithmetic_ratio:double,call_ratio:double,func_idx:bigint>").alias("kernel"))
+    return rules.assess(a, rules.runtime_rules()).select("fingerprint",
+        F.array_join(F.array_sort(F.transform("findings", lambda x: x["id"])), ",").alias("ids"))
 
 
 def fingerprint_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = runtime.fold(module_samples(events(spark, sf_dir)))
-    known = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("fingerprint"), F.col("p_brand").alias("hash"))
+    known = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("fingerprint"),
+        F.col("p_brand").alias("hash"))
     return runtime.by_hash(f, known).groupBy("hash").agg(F.sum("wasm_time_ms").alias("wasm_time_ms"), F.count("*").alias("modules"))
 
 
 def rescore_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     now, old = runtime.fold(module_samples(e), "fingerprint"), runtime.fold(module_samples(e.filter("event_id % 2 = 0")), "fingerprint")
-    return runtime.worth_rescoring(now.withColumnRenamed("fingerprint", "hash"), old.withColumnRenamed("fingerprint", "hash")).groupBy("rescore").agg(F.count("*").alias("n"))
+    return runtime.worth_rescoring(now.withColumnRenamed("fingerprint", "hash"),
+        old.withColumnRenamed("fingerprint", "hash")).groupBy("rescore").agg(F.count("*").alias("n"))
 
 
 def level_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).select(F.col("user_id").alias("hash"), F.col("ms").alias("ts"), F.col("event_id").alias("id"), rules.level((F.col("k")).cast("int")).alias("level"))
+    e = events(spark, sf_dir).select(F.col("user_id").alias("hash"), F.col("ms").alias("ts"), F.col("event_id").alias("id"),
+        rules.level((F.col("k")).cast("int")).alias("level"))
     return runtime.level_changes(e).select("hash", "id", "before", "level")
 
 
@@ -69,7 +80,9 @@ def message_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("k").alias("hash"), F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("url"), F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("page_url"), (F.col("user_id") % 10).alias("tab_id"), F.col("ms").alias("ts"))
+    return events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("k").alias("hash"),
+        F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("url"),
+        F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("page_url"), (F.col("user_id") % 10).alias("tab_id"), F.col("ms").alias("ts"))
 
 
 def latest_sighting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +97,8 @@ def blind_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = store.upsert_artifacts(sightings(spark, sf_dir).withColumn("size", F.col("hash"))).withColumn("score", F.when(F.col("hash") % 3 > 0, F.col("hash") % 5))
+    a = store.upsert_artifacts(sightings(spark, sf_dir).withColumn("size", F.col("hash"))).withColumn("score",
+        F.when(F.col("hash") % 3 > 0, F.col("hash") % 5))
     return reports.ordered(a).limit(25).select("hash", "score", "last_seen")
 
 
@@ -105,7 +119,9 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", reports.format_bytes(F.col("n_chars") * F.col("doc_id")).alias("size"), reports.relative_time(F.col("doc_id") * 997_000).alias("age"), reports.source_label(F.col("source")).alias("label"), reports.first_three(F.slice(F.split("text", " "), 1, 5)).alias("names"))
+    return d.select("doc_id", reports.format_bytes(F.col("n_chars") * F.col("doc_id")).alias("size"),
+        reports.relative_time(F.col("doc_id") * 997_000).alias("age"), reports.source_label(F.col("source")).alias("label"),
+        reports.first_three(F.slice(F.split("text", " "), 1, 5)).alias("names"))
 
 
 def artifact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,12 +132,14 @@ def artifact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.latest(events(spark, sf_dir).select(F.col("k").alias("hash"), "ms", "event_id", "event_type"), "hash", "ms", "event_id").select("hash", "event_id", "event_type")
+    return store.latest(events(spark, sf_dir).select(F.col("k").alias("hash"), "ms", "event_id", "event_type"), "hash", "ms",
+        "event_id").select("hash", "event_id", "event_type")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.get(F.array(*map(F.lit, ("queued", "running", "complete", "failed"))), (F.col("event_id") % 4).cast("int"))
-    return store.job_states(events(spark, sf_dir).select(F.col("user_id").alias("id"), step.alias("status"), F.col("event_id").alias("ts"), F.repeat(F.lit("e"), (F.col("k") * 30).cast("int")).alias("error")))
+    return store.job_states(events(spark, sf_dir).select(F.col("user_id").alias("id"), step.alias("status"), F.col("event_id").alias("ts"),
+        F.repeat(F.lit("e"), (F.col("k") * 30).cast("int")).alias("error")))
 
 
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +173,8 @@ def clear_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.rate_limited(events(spark, sf_dir).select("user_id", "ms", "event_id"), "user_id", "ms", "event_id", 3, 86_400_000).select("event_id", "allowed")
+    return ingest.rate_limited(events(spark, sf_dir).select("user_id", "ms", "event_id"), "user_id", "ms", "event_id", 3,
+        86_400_000).select("event_id", "allowed")
 
 
 def frame_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,13 +182,17 @@ def frame_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def message_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = events(spark, sf_dir).select(F.col("event_type").alias("api"), F.when(F.col("k") % 5 > 0, F.element_at(F.array(*map(F.lit, ("page", "worker", "other"))), (F.col("k") % 3 + 1).cast("int"))).alias("context"), F.when(F.col("k") % 11 > 0, F.col("k")).alias("size"))
-    return ingest.validated(m, ("click", "view", "purchase", "page_view"), ("page", "worker")).groupBy("context", F.coalesce("reject", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+    m = events(spark, sf_dir).select(F.col("event_type").alias("api"),
+        F.when(F.col("k") % 5 > 0, F.element_at(F.array(*map(F.lit, ("page", "worker", "other"))),
+            (F.col("k") % 3 + 1).cast("int"))).alias("context"), F.when(F.col("k") % 11 > 0, F.col("k")).alias("size"))
+    return ingest.validated(m, ("click", "view", "purchase", "page_view"), ("page", "worker")).groupBy("context",
+        F.coalesce("reject", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.withColumn("bytes", F.when(F.col("doc_id") % 10 == 0, F.concat(F.expr("X'0061736D01000000'"), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8")))
+    return d.withColumn("bytes", F.when(F.col("doc_id") % 10 == 0, F.concat(F.expr("X'0061736D01000000'"),
+        F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8")))
 
 
 def sniff_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,13 +204,16 @@ def sniff_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     b = F.base64(F.encode("text", "UTF-8"))
-    return d.select("doc_id", F.sha2("text", 256).alias("hash"), ingest.short_hash(F.sha2("text", 256)).alias("short"), (ingest.from_base64(F.rtrim(F.replace(F.replace(b, F.lit("\r\n"), F.lit("")), F.lit("="), F.lit(" ")))) == F.encode("text", "UTF-8")).alias("round_trip"))
+    return d.select("doc_id", F.sha2("text", 256).alias("hash"), ingest.short_hash(F.sha2("text", 256)).alias("short"),
+        (ingest.from_base64(F.rtrim(F.replace(F.replace(b, F.lit("\r\n"), F.lit("")), F.lit("="), F.lit(" ")))) == F.encode("text",
+            "UTF-8")).alias("round_trip"))
 
 
 def upload_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = content(spark, sf_dir).withColumn("hash", F.sha2("bytes", 256))
     claim = F.when(F.col("doc_id") % 3 == 0, F.lit("00")).when(F.col("doc_id") % 3 == 1, F.upper("hash"))
-    return c.select(ingest.upload_status(F.octet_length("bytes"), ingest.is_module(F.col("bytes")), claim, F.col("hash"), F.col("doc_id") % 20 == 0).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    return c.select(ingest.upload_status(F.octet_length("bytes"), ingest.is_module(F.col("bytes")), claim, F.col("hash"),
+        F.col("doc_id") % 20 == 0).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def page_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +222,8 @@ def page_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 2).alias("klass"), F.sha2("text", 256).alias("hash"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 2).alias("klass"), F.sha2("text", 256).alias("hash"),
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"))
     return corpus.exact_dedupe(d, "klass", "hash", "name")
 
 
@@ -207,7 +234,8 @@ def label_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = content(spark, sf_dir)
-    a = c.select("lang", corpus.gate(F.octet_length("bytes"), ingest.is_module(F.col("bytes")) | (F.col("doc_id") % 3 > 0), F.col("doc_id") % 5 > 0, (F.col("doc_id") % 10) / F.lit(10.0) + 0.15).alias("reason"))
+    a = c.select("lang", corpus.gate(F.octet_length("bytes"), ingest.is_module(F.col("bytes")) | (F.col("doc_id") % 3 > 0),
+        F.col("doc_id") % 5 > 0, (F.col("doc_id") % 10) / F.lit(10.0) + 0.15).alias("reason"))
     return corpus.rejections(a, "lang", "reason")
 
 
@@ -217,11 +245,13 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.lpad(F.col("vec_id").cast("string"), 8, "0").alias("name"), (F.col("vec_id") % 50 + 100).alias("size"), "embedding")
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.lpad(F.col("vec_id").cast("string"), 8, "0").alias("name"),
+        (F.col("vec_id") % 50 + 100).alias("size"), "embedding")
 
 
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.similar_pairs(vectors(spark, sf_dir), "name", "size", "embedding", 0.35).select("a", F.col("c").alias("b"), half_up(F.col("cosine"), 6).alias("cosine"))
+    return corpus.similar_pairs(vectors(spark, sf_dir), "name", "size", "embedding", 0.35).select("a", F.col("c").alias("b"),
+        half_up(F.col("cosine"), 6).alias("cosine"))
 
 
 def near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,12 +261,18 @@ def near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sighting_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`lineitem` as a large sighting fact: upsert per part."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("hash"), F.col("l_suppkey").cast("string").alias("page_url"), F.lit(1).cast("long").alias("size"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(l_shipdate as timestamp_ntz))").alias("ts"))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("hash"),
+        F.col("l_suppkey").cast("string").alias("page_url"), F.lit(1).cast("long").alias("size"),
+        F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(l_shipdate as timestamp_ntz))").alias("ts"))
     return store.upsert_artifacts(li).select("hash", "first_seen", "last_seen", "seen_count", "last_page_url")
 
 
-QUERIES = {f.__name__: f for f in (runtime_fold, runtime_findings, fingerprint_join, rescore_gate, level_changes, timer_drift, timing_cutoff, message_counts, latest_sighting, blind_spots, report_order, activity_feed, activity_histogram, page_urls, formats, artifact_upsert, result_upsert,
-                                   job_states, next_queued, job_counts, lru_prune, log_cap, memo_antijoin, clear_tab, rate_limit, frame_dedupe, message_validation, sniff_kind, content_identity, upload_status, page_fingerprints, exact_dedupe, label_contradictions, corpus_gate, holdout_split,
+QUERIES = {f.__name__: f for f in (runtime_fold, runtime_findings, fingerprint_join, rescore_gate, level_changes, timer_drift,
+    timing_cutoff, message_counts, latest_sighting, blind_spots, report_order, activity_feed, activity_histogram, page_urls, formats,
+    artifact_upsert, result_upsert,
+                                   job_states, next_queued, job_counts, lru_prune, log_cap, memo_antijoin, clear_tab, rate_limit,
+                                   frame_dedupe, message_validation, sniff_kind, content_identity, upload_status, page_fingerprints,
+                                   exact_dedupe, label_contradictions, corpus_gate, holdout_split,
                                    near_duplicate_pairs, near_duplicate_clusters, sighting_facts)}
 
 _E = "WITH e AS (SELECT event_id, (epoch_us(ts) // 1000)::BIGINT AS ms, user_id, event_type, value, regexp_extract(props, '(\\d+)', 1)::BIGINT AS k FROM events) "
@@ -270,7 +306,8 @@ ORACLE_SQL = {
     "result_upsert": _E + "SELECT k AS hash, event_id, event_type FROM e QUALIFY row_number() OVER (PARTITION BY k ORDER BY ms DESC, event_id DESC) = 1",
     "job_states": _J + "SELECT * FROM x",
     "next_queued": _J + "SELECT id, 'queued' AS status FROM x WHERE status IN ('queued', 'running') ORDER BY created_at, id LIMIT 1",
-    "job_counts": _J + "SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("queued", "running", "complete", "failed")) + " FROM x",
+    "job_counts": _J + "SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("queued", "running", "complete",
+        "failed")) + " FROM x",
     "lru_prune": "WITH a AS (SELECT doc_id, row_number() OVER w AS n, sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM documents WINDOW w AS (ORDER BY doc_id * 7919 % 1000 DESC, doc_id DESC)) SELECT doc_id FROM a WHERE n <= 300 AND s <= 400000",
     "log_cap": _E + "SELECT event_id FROM e ORDER BY ms DESC, event_id DESC LIMIT 500",
     "memo_antijoin": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

@@ -16,7 +16,8 @@ def modules(spark: SparkSession, *paths: str, least: int = 0, most: int | None =
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.wasm").load(list(paths))
     f = f.filter(F.col("length") >= least) if least else f
     f = f.filter(F.col("length") <= most) if most is not None else f
-    return f.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("class"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.col("content").alias("bytes"))
+    return f.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("class"),
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.col("content").alias("bytes"))
 
 
 def write_modules(spark: SparkSession, folder: str, files: dict[str, bytes]) -> None:
@@ -51,8 +52,10 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.schema("sha256 string, tokens array<int>, label int, source string, kernel boolean, real_tokens long").json(path)
     if not df.filter(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).isEmpty():
         raise ValueError("a label is neither 0 nor 1")
-    at = df.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")).alias("_at"))
-    return at.groupBy("sha256").agg(F.min_by(F.struct("tokens", "label", "source", "kernel", "real_tokens"), "_at").alias("r")).select("sha256", "r.*")
+    at = df.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+        F.monotonically_increasing_id().alias("row")).alias("_at"))
+    return at.groupBy("sha256").agg(F.min_by(F.struct("tokens", "label", "source", "kernel", "real_tokens"),
+        "_at").alias("r")).select("sha256", "r.*")
 
 
 def write_evidence(df: DataFrame, path: str, name: str) -> None:

@@ -21,7 +21,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     # a glob, as a file stream takes folders and patterns
     e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events[.]parquet")
-    return e.withColumn("at", F.col("ts").cast("timestamp")).withColumn("ms", F.unix_millis("at")).withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("long")).select("event_id", "at", "ms", "user_id", "event_type", "value", "k")
+    return e.withColumn("at", F.col("ts").cast("timestamp")).withColumn("ms", F.unix_millis("at")).withColumn("k",
+        F.regexp_extract("props", r"(\d+)", 1).cast("long")).select("event_id", "at", "ms", "user_id", "event_type", "value", "k")
 
 
 def latest_state(e: DataFrame) -> DataFrame:
@@ -36,7 +37,8 @@ def deduplicated(e: DataFrame, horizon: str = "7 days") -> DataFrame:
 
 def windowed(e: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Activity histogram by event time. The watermark is an extension: it bounds the state for late data."""
-    return e.withWatermark("at", late).groupBy(F.window("at", size), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    return e.withWatermark("at", late).groupBy(F.window("at", size),
+        "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
 def rate_limited(e: DataFrame, rate: int, window: int) -> DataFrame:
@@ -46,7 +48,8 @@ def rate_limited(e: DataFrame, rate: int, window: int) -> DataFrame:
         allowed, now = gate(pdf["ms"].tolist(), tuple(state.get) if state.exists else None, rate, window)
         state.update(now)
         yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "allowed": allowed})
-    return e.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)
+    return e.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean", "start long, n long", "append",
+        GroupStateTimeout.NoTimeout)
 
 
 def merged(e: DataFrame, target: str, checkpoint: str):
@@ -64,7 +67,8 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/table" if mode == "complete" else f"{base}/table/epoch={epoch}")
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation",
+        f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/table").select(*stream.columns)
 
 
@@ -74,7 +78,8 @@ def intake(captures: DataFrame, seen: DataFrame, rate: int, window: int) -> Data
     first = ingest.first_seen(captures, "user_id", "k", "ms", "event_id")
     gated = ingest.rate_limited(first, "user_id", "ms", "event_id", rate, window).filter("allowed")
     known = seen.select(F.col("k").alias("_k")).distinct()
-    return gated.join(known, F.col("k") == F.col("_k"), "left").withColumn("status", F.when(F.col("_k").isNotNull(), "known").otherwise("queued")).drop("_k")
+    return gated.join(known, F.col("k") == F.col("_k"), "left").withColumn("status",
+        F.when(F.col("_k").isNotNull(), "known").otherwise("queued")).drop("_k")
 
 
 def taken_in(e: DataFrame, seen: DataFrame, target: str, checkpoint: str, rate: int = ingest.RATE, window: int = ingest.WINDOW_MS) -> DataFrame:
@@ -95,8 +100,10 @@ def rescored(e: DataFrame, target: str, checkpoint: str, threshold: float = 0.1)
     def write(batch: DataFrame, epoch: int) -> None:
         now = batch.groupBy("k").agg(F.count("*").alias("reports"), F.avg("value").alias("share"))
         if epoch:
-            last = spark.read.parquet(target).filter(F.col("epoch") < epoch).groupBy(F.col("k").alias("_k")).agg(F.max_by("share", "epoch").alias("_share"))
-            now = now.join(last, F.col("k") == F.col("_k"), "left").filter(F.col("_share").isNull() | (F.abs(F.col("share") - F.col("_share")) >= threshold)).drop("_k", "_share")
+            last = spark.read.parquet(target).filter(F.col("epoch") < epoch).groupBy(F.col("k").alias("_k")).agg(F.max_by("share",
+                "epoch").alias("_share"))
+            now = now.join(last, F.col("k") == F.col("_k"),
+                "left").filter(F.col("_share").isNull() | (F.abs(F.col("share") - F.col("_share")) >= threshold)).drop("_k", "_share")
         now.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
     e.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target)
