@@ -24,10 +24,11 @@ CURVES = 64
 DIMENSIONS, BITS = 16, 3
 #: A query's window on each curve is 2 * REACH + 1 ranges, together WINDOW * rows ** GROWTH rows. On random directions, where
 #: nothing is alike and no curve is selective, this finds nine of ten at every size; where vectors are alike far fewer would do.
-WINDOW, GROWTH, REACH = 0.06, 0.82, 3
+WINDOW, GROWTH, REACH = 0.052, 0.83, 3
 LEAST_WINDOW = 24
-#: Vectors, chosen by hash, on which the curves' quantiles and ranges are fitted. Every vector is indexed.
-FIT_ROWS = 65_536
+#: Vectors, chosen by hash, on which the curves' quantiles and ranges are fitted (fewer where they are long, but 1,024). Every
+#: vector is indexed.
+FIT_ROWS, FIT_VALUES = 65_536, 1 << 22
 #: Of these, so many give each query a bound: what is farther than their k-th is no neighbour.
 BOUND_ROWS = 128
 #: Candidates of each query and range, and of each query in all, that are left over k for the exact ranking.
@@ -247,7 +248,7 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     index = groups.join(asked, ["h", "h2"], "left").select(F.get("ids", 0).alias("rep"), "ids", F.coalesce("asks", F.lit(0)).alias("asks"), F.xxhash64(F.get("ids", 0)).alias("tie"), "_v", "h", "h2")
     index = spill(index.mapInArrow(_pack, "rep long, ids array<long>, asks int, tie long, v binary, h long, h2 long"), "ann-index")
     n = index.count()
-    sample = index.orderBy("tie").limit(FIT_ROWS).select("v", "tie").collect()
+    sample = index.orderBy("tie").limit(max(1_024, min(FIT_ROWS, FIT_VALUES // dim))).select("v", "tie").collect()
     fitted = fit(np.frombuffer(b"".join(bytes(r.v) for r in sample), "<f8").reshape(len(sample), -1), np.array([r.tie for r in sample], np.int64), n)
     dealt = index.select("rep", "v", "tie", "asks").mapInArrow(_dealt(fitted, k), "place long, role byte, rep long, bound float, v binary")
     # ranges side by side go to one task, as many as make up some windows
