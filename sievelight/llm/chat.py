@@ -34,10 +34,12 @@ def examples(conversations: DataFrame) -> DataFrame:
     with nothing to train (loss_length 0, loss_start null), so the output has every turn. A conversation is the unit of work: its
     examples grow with the square of its turns, as each holds all before it. Other columns are left out.
     """
-    turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     a = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     head = lambda t: F.concat(F.lit(ROLE), escape(t["role"]), F.lit(TEXT))
-    a = a.withColumn("parts", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), head(t).alias("head"), escape(t["text"]).alias("body"))))
+    a = a.withColumn("parts", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), head(t).alias("head"),
+        escape(t["text"]).alias("body"))))
     a = a.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("parts"))))
     last = F.get("parts", F.col("n") - 1)
     a = a.withColumn("reply", last["role"] == ASSISTANT).filter(F.col("reply") | (F.col("n") == F.size("parts")))
@@ -59,13 +61,17 @@ def turns_of(formatted: Column) -> Column:
 
 def digest(made: DataFrame) -> DataFrame:
     """Per conversation what its examples hold: all turns from the longest one, and the text under the loss masks."""
-    reply = F.when(F.col("loss_start").isNotNull(), unescape(F.expr("substring(formatted, cast(loss_start + 1 as int), cast(loss_length as int))"))).otherwise("")
+    reply = F.when(F.col("loss_start").isNotNull(),
+        unescape(F.expr("substring(formatted, cast(loss_start + 1 as int), cast(loss_length as int))"))).otherwise("")
     a = made.select("conv_id", "example", "formatted", reply.alias("reply"))
-    a = a.groupBy("conv_id").agg(F.max_by("formatted", "example").alias("_all"), F.sort_array(F.collect_list(F.struct("example", "reply"))).alias("_replies"), F.sum(F.length("formatted")).cast("long").alias("formatted_chars"))
+    a = a.groupBy("conv_id").agg(F.max_by("formatted", "example").alias("_all"),
+        F.sort_array(F.collect_list(F.struct("example", "reply"))).alias("_replies"),
+        F.sum(F.length("formatted")).cast("long").alias("formatted_chars"))
     a = a.withColumn("_turns", turns_of(F.col("_all"))).withColumn("_loss", F.array_join(F.transform("_replies", lambda r: r["reply"]), ""))
     told = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return a.select("conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
-                    F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+                    F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"),
+                    "formatted_chars")
 
 
 # The conversation that the query adds.
@@ -74,7 +80,8 @@ ADDED = ((-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[IN
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    added = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for c, t, r, x in ADDED])))
+    added = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"),
+        F.lit(r).alias("role"), F.lit(x).alias("text")) for c, t, r, x in ADDED])))
     return digest(spill(examples(own.unionByName(added)), "chat-examples"))
 
 

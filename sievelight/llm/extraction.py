@@ -32,13 +32,17 @@ TAG_WEIGHT, WORD_WEIGHT = -0.6, 0.5
 NOISE_WEIGHT = -1.0
 
 # Fixed values of HTML.
-RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "select", "svg", "math", "object", "canvas", "title", "audio", "video", "xmp", "noembed", "noframes")
+RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "select", "svg", "math", "object", "canvas", "title", "audio",
+    "video", "xmp", "noembed", "noframes")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
-         "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre",
+BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
+    "fieldset", "figcaption", "figure",
+         "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu",
+         "nav", "ol", "optgroup", "option", "p", "pre",
          "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"}
 #: An opening tag of the left closes an open one of the right.
-CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
+CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"},
+    "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 #: Elements of running text: what holds one is content even if nothing is known of its names.
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"}
 #: Elements that hold others; mostly links in one is a menu, while a paragraph may be one link.
@@ -249,16 +253,26 @@ def extract(page: str | None, weights: Weights) -> str:
 
 
 # Parts of the labelled pages. Names that sites give to what is, and is not, their article.
-CONTENT = ["article", "main", "div.content", "div.article", "div.post", "div.entry", "section.story", "div.text", "div#body", "section.article", "main.content", "div.main", "div.page"]
-NOISE = ["nav", "nav.menu", "nav.breadcrumbs", "header", "header.site", "header.masthead", "footer", "footer.site", "aside", "aside.sidebar", "div.sidebar", "div.side", "div.ad", "div.ads", "div.advert",
-         "div.advertisement", "div.banner", "div.promo", "div.promotion", "div.sponsored", "div.sponsor", "div.cookie", "div.cookies", "div.consent", "div.notice", "div.alert", "div.gdpr", "div.popup",
-         "div.modal", "div.overlay", "div.newsletter", "div.subscribe", "div.signup", "form", "form.search", "form.comment", "form.login", "div.search", "div.login", "div.share", "div.social",
-         "div.comments", "div.comment", "section.comments", "div.replies", "div.reply", "div.responses", "div.disqus", "ol.commentlist", "ul.comments", "div.related", "div.recommended", "div.more", "div.popular", "div.trending",
-         "div.menu", "ul.menu", "ul.nav", "div.navigation", "div.navbar", "div.topbar", "div.toolbar", "div.header", "div.footer", "div.copyright", "div.legal", "div.disclaimer", "div.pagination", "div.pager",
-         "div.breadcrumb", "div.tags", "div.widget", "dialog", "menu", "button", "div.skip", "select", "fieldset", "label", "section.related", "section.newsletter", "aside.ad", "aside.related", "div.tracking", "div.paywall",
-         "div.werbung", "div.anzeige", "div.kommentar", "div.kommentare", "div.warenkorb", "div.hinweis", "div.teilen", "div.seitenleiste", "div.fusszeile", "div.kopfzeile", "div.publicite", "div.pub", "div.commentaire",
-         "div.commentaires", "div.partager", "div.avis", "div.panier", "div.publicidad", "div.anuncio", "div.comentario", "div.comentarios", "div.compartir", "div.aviso", "div.menú", "div.barra", "div.pie",
-         "div.advertising", "div.adbox", "div.promoted", "div.notification", "div.toast", "div.rail", "div.secondary", "div.colophon", "div.links", "div.feedback", "div.discussion", "div.shoutbox"]
+CONTENT = ["article", "main", "div.content", "div.article", "div.post", "div.entry", "section.story", "div.text", "div#body",
+    "section.article", "main.content", "div.main", "div.page"]
+NOISE = ["nav", "nav.menu", "nav.breadcrumbs", "header", "header.site", "header.masthead", "footer", "footer.site", "aside",
+    "aside.sidebar", "div.sidebar", "div.side", "div.ad", "div.ads", "div.advert",
+         "div.advertisement", "div.banner", "div.promo", "div.promotion", "div.sponsored", "div.sponsor", "div.cookie", "div.cookies",
+         "div.consent", "div.notice", "div.alert", "div.gdpr", "div.popup",
+         "div.modal", "div.overlay", "div.newsletter", "div.subscribe", "div.signup", "form", "form.search", "form.comment", "form.login",
+         "div.search", "div.login", "div.share", "div.social",
+         "div.comments", "div.comment", "section.comments", "div.replies", "div.reply", "div.responses", "div.disqus", "ol.commentlist",
+         "ul.comments", "div.related", "div.recommended", "div.more", "div.popular", "div.trending",
+         "div.menu", "ul.menu", "ul.nav", "div.navigation", "div.navbar", "div.topbar", "div.toolbar", "div.header", "div.footer",
+         "div.copyright", "div.legal", "div.disclaimer", "div.pagination", "div.pager",
+         "div.breadcrumb", "div.tags", "div.widget", "dialog", "menu", "button", "div.skip", "select", "fieldset", "label",
+         "section.related", "section.newsletter", "aside.ad", "aside.related", "div.tracking", "div.paywall",
+         "div.werbung", "div.anzeige", "div.kommentar", "div.kommentare", "div.warenkorb", "div.hinweis", "div.teilen", "div.seitenleiste",
+         "div.fusszeile", "div.kopfzeile", "div.publicite", "div.pub", "div.commentaire",
+         "div.commentaires", "div.partager", "div.avis", "div.panier", "div.publicidad", "div.anuncio", "div.comentario", "div.comentarios",
+         "div.compartir", "div.aviso", "div.menú", "div.barra", "div.pie",
+         "div.advertising", "div.adbox", "div.promoted", "div.notification", "div.toast", "div.rail", "div.secondary", "div.colophon",
+         "div.links", "div.feedback", "div.discussion", "div.shoutbox"]
 ROLES = ["navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"]
 
 
@@ -276,9 +290,12 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
         unknown = lambda known, tag: f"{tag}.x{rng.randrange(10**9)}" if rng.random() < UNKNOWN else rng.choice(known)
         noise = lambda: _element(
             unknown(NOISE, "div"), rng.choice(["<ul>" + "".join(f'<li><a href="/x">{words("z", 1, 2)}</a></li>' for _ in range(rng.randint(2, 8))) + "</ul>", words("z", 3, 40), f'<p>{words("z", 5, 40)}</p>' * rng.randint(1, 3)]))
-        parts = [rng.choice([f"<p>{words('a', 8, 60)}</p>", f"<h2>{words('a', 2, 6)}</h2>", f"<ul><li>{words('a', 3, 12)}</li><li>{words('a', 3, 12)}</li></ul>",
-                             f"<blockquote>{words('a', 5, 20)}</blockquote>", f"<p><b>{words('a', 2, 5)}</b> {words('a', 5, 30)} <a href='y'>{words('a', 1, 3)}</a></p>",
-                             f"<table><tr><td>{words('a', 2, 6)}</td></tr></table>", f"<div>{words('a', 5, 30)}</div>"]) for _ in range(rng.randint(3, 9))]
+        parts = [rng.choice([f"<p>{words('a', 8, 60)}</p>", f"<h2>{words('a', 2, 6)}</h2>",
+            f"<ul><li>{words('a', 3, 12)}</li><li>{words('a', 3, 12)}</li></ul>",
+                             f"<blockquote>{words('a', 5, 20)}</blockquote>",
+                             f"<p><b>{words('a', 2, 5)}</b> {words('a', 5, 30)} <a href='y'>{words('a', 1, 3)}</a></p>",
+                             f"<table><tr><td>{words('a', 2, 6)}</td></tr></table>",
+                             f"<div>{words('a', 5, 30)}</div>"]) for _ in range(rng.randint(3, 9))]
         if rng.random() < 0.5:
             parts.insert(rng.randrange(1, len(parts)), noise())
         inner = f"<h1>{words('a', 3, 8)}</h1>" + "".join(parts)
@@ -288,7 +305,8 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
         main = _element(unknown(CONTENT, "div"), inner)
         around = rng.random()
         main = f"<div>{main}</div>" if around < 0.3 else f"<section>{main}</section>" if around < 0.4 else main
-        page = "".join(noise() for _ in range(rng.randint(1, 4))) + _element("div", words("z", 3, 20), role) * (rng.random() < 0.3) + main + "".join(noise() for _ in range(rng.randint(1, 4)))
+        page = "".join(noise() for _ in range(rng.randint(1, 4))) + _element("div", words("z", 3, 20),
+            role) * (rng.random() < 0.3) + main + "".join(noise() for _ in range(rng.randint(1, 4)))
         out.append(f"<!DOCTYPE html><html><head><title>z</title></head><body>{page}</body></html>")
     return out
 

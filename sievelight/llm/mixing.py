@@ -75,7 +75,8 @@ def _taken(sized: DataFrame, seed: str) -> DataFrame:
 def _copies_at(rank: Column) -> Column:
     longs, rate, step, u = F.col("_longs"), F.col("_rate"), F.col("_step"), F.col("_u")
     return F.when(rank < longs, _copies(rate, rank, u)).otherwise(
-        F.least(F.floor(rate * longs + step * (rank - longs + 1) + u) - F.floor(rate * longs + step * (rank - longs) + u), F.lit(MAX_COPIES))).cast("long")
+        F.least(F.floor(rate * longs + step * (rank - longs + 1) + u) - F.floor(rate * longs + step * (rank - longs) + u),
+            F.lit(MAX_COPIES))).cast("long")
 
 
 def _row_key(text: Column) -> Column:
@@ -103,7 +104,8 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     sized = spill(own.select("source", n_words_of(text).alias("size"), "doc_id", _row_key(text).alias("_key")), "mix-sizes")
     ranked = _taken(sized, seed)
     # rows that are alike stand next to each other: one row for them all
-    alike = ranked.groupBy("_key").agg(F.min("_rank").alias("_from"), *[F.first(c).alias(c) for c in ("size", "source_size", "target", "_longs", "_rate", "_step", "_u")])
+    alike = ranked.groupBy("_key").agg(F.min("_rank").alias("_from"),
+        *[F.first(c).alias(c) for c in ("size", "source_size", "target", "_longs", "_rate", "_step", "_u")])
     alike = spill(alike.withColumnRenamed("_key", "_k"), "mix-alike")
     keyed = own.withColumn("_key", _row_key(text))
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key")) - 1

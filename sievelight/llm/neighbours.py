@@ -230,7 +230,8 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     """
     spark = vectors.sparkSession
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
-    valid = F.col("_v").isNotNull() & (F.size("_v") > 0) & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
+    valid = F.col("_v").isNotNull() & (F.size("_v") > 0) & F.forall("_v",
+        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("_v")).filter("vec_id is not null").filter(valid)
     # two hashes stand for a vector where rows are joined
     own = own.withColumn("d", F.size("_v")).withColumn("h", F.xxhash64("_v")).withColumn("h2", F.xxhash64(F.lit(1), "_v"))
@@ -245,7 +246,8 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     groups = first.groupBy("h", "h2", "_v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asking = own.filter(F.col("vec_id") % every == 0).select("vec_id", "h", "h2")
     asked = asking.select("h", "h2").distinct().withColumn("asks", F.lit(1))
-    index = groups.join(asked, ["h", "h2"], "left").select(F.get("ids", 0).alias("rep"), "ids", F.coalesce("asks", F.lit(0)).alias("asks"), F.xxhash64(F.get("ids", 0)).alias("tie"), "_v", "h", "h2")
+    index = groups.join(asked, ["h", "h2"], "left").select(F.get("ids", 0).alias("rep"), "ids", F.coalesce("asks", F.lit(0)).alias("asks"),
+        F.xxhash64(F.get("ids", 0)).alias("tie"), "_v", "h", "h2")
     index = spill(index.mapInArrow(_pack, "rep long, ids array<long>, asks int, tie long, v binary, h long, h2 long"), "ann-index")
     n = index.count()
     sample = index.orderBy("tie").limit(max(1_024, min(FIT_ROWS, FIT_VALUES // dim))).select("v", "tie").collect()
@@ -254,18 +256,22 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     # ranges side by side go to one task, as many as make up some windows
     dealt = dealt.repartition(F.shiftright("place", CHUNK_BITS)).sortWithinPartitions("place", "role")
     found = dealt.mapInArrow(_found(k + SPARE), "q long, rep long, near float").groupBy("q", "rep").agg(F.min("near").alias("near"))
-    likely = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("near", "rep"))).filter(F.col("_r") <= k + SPARE).select("q", "rep")
+    likely = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("near",
+        "rep"))).filter(F.col("_r") <= k + SPARE).select("q", "rep")
     # the exact distance of the original vectors
     asks = index.filter("asks = 1").select(F.col("rep").alias("q"), F.col("v").alias("qv"))
-    exact = likely.join(asks, "q").join(index.select("rep", "v"), "rep").select("q", "rep", "qv", "v").mapInArrow(_measured, "q long, rep long, score double")
+    exact = likely.join(asks, "q").join(index.select("rep", "v"), "rep").select("q", "rep", "qv", "v").mapInArrow(_measured,
+        "q long, rep long, score double")
     # equal vectors of the query stand at distance 0
     same = index.filter("asks = 1").select(F.col("rep").alias("q"), "rep", F.lit(0.0).alias("score"))
     named = exact.union(same).join(index.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
     best = named.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).filter(F.col("_r") <= k + 1)
     lists = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
     ask = asking.withColumnRenamed("vec_id", "query_id").join(index.filter("asks = 1").select("h", "h2", F.col("rep").alias("q")), ["h", "h2"])
-    listed = ask.join(small(spill(lists, "ann-lists")), "q").select("query_id", F.posexplode(F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("rank", "x"))
-    return listed.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    listed = ask.join(small(spill(lists, "ann-lists")), "q").select("query_id",
+        F.posexplode(F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("rank", "x"))
+    return listed.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"),
+        F.col("x.score").alias("score"))
 
 
 def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +284,8 @@ def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             x = np.array(b.column("_v").to_pylist(), "<f8")
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("ids"), b.column("asks"), b.column("tie"), pa.array([r.tobytes() for r in x], pa.binary()),
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("ids"), b.column("asks"), b.column("tie"),
+                pa.array([r.tobytes() for r in x], pa.binary()),
                                               b.column("h"), b.column("h2")], ["rep", "ids", "asks", "tie", "v", "h", "h2"])
 
 

@@ -49,7 +49,8 @@ def encoders(path: str) -> tuple:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tuple(tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID}) for n, p in (("full", _FULL), ("plain", _PLAIN), ("whole", _WHOLE)))
+        _encoders[path] = tuple(tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID}) for n,
+            p in (("full", _FULL), ("plain", _PLAIN), ("whole", _WHOLE)))
     return _encoders[path]
 
 
@@ -85,7 +86,8 @@ def _tokenised(path: str, capacity: int):
                     start = max(0, end - capacity) if piece else 0
                     rows.append((doc_id, piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
             cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c,
+                t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                                              ["doc_id", "piece", "start", "length", "ids_crc32"])
     return run
 
@@ -201,7 +203,8 @@ def _island(capacity: int, epoch: int):
         at = np.empty(len(uids), np.int64)
         for k, b in enumerate(best.bins):
             at[b] = k
-        return pd.DataFrame({"uid": uids, "length": lengths, "cell": key[0], "island": key[1], "bin": at, "above": len(best.bins) - -(-sum(lengths) // capacity)})
+        return pd.DataFrame({"uid": uids, "length": lengths, "cell": key[0], "island": key[1], "bin": at,
+            "above": len(best.bins) - -(-sum(lengths) // capacity)})
     return run
 
 
@@ -257,10 +260,13 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     placed = spill(islands(rest.withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(cells))), capacity), "pack-placed")
     poor = placed.filter(F.col("fill") < WELL_FILLED * capacity)
     again = max(1, -(-poor.count() // CELL_ITEMS))
-    reopened = poor.select("uid", "length", F.pmod(F.xxhash64("sequence_id"), F.lit(again)).alias("cell"), F.lit(0).alias("origin"), F.col("sequence_id").alias("bin"))
+    reopened = poor.select("uid", "length", F.pmod(F.xxhash64("sequence_id"), F.lit(again)).alias("cell"), F.lit(0).alias("origin"),
+        F.col("sequence_id").alias("bin"))
     repacked = reopened.groupBy("cell").applyInPandas(_reopening(capacity), _PLACED)
-    whole = own.filter(F.col("length") == capacity).select("uid", F.col("uid").bitwiseOR(F.lit(4 << 60)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    at = whole.union(placed.filter(F.col("fill") >= WELL_FILLED * capacity).select("uid", "sequence_id", "offset")).union(repacked.select("uid", "sequence_id", "offset"))
+    whole = own.filter(F.col("length") == capacity).select("uid", F.col("uid").bitwiseOR(F.lit(4 << 60)).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"))
+    at = whole.union(placed.filter(F.col("fill") >= WELL_FILLED * capacity).select("uid", "sequence_id",
+        "offset")).union(repacked.select("uid", "sequence_id", "offset"))
     return own.join(at, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

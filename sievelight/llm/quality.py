@@ -58,7 +58,9 @@ def statistics(docs: DataFrame) -> DataFrame:
     few = F.filter(F.transform(win, lambda x, i: F.when(F.array_contains(twice, x), i).otherwise(-1)), lambda i: i >= 0)
     a = a.withColumn("_q_pairs", F.when(F.size(twice) > 8, F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     p = F.col("_q_pairs")
-    many = F.sort_array(F.transform(F.filter(p, lambda x, i: (x["h"] == F.get(p, i + 1)["h"]) & (i + 1 < F.size(p)) | (i > 0) & (x["h"] == F.get(p, F.greatest(i - 1, F.lit(0)))["h"])), lambda x: x["i"]))
+    many = F.sort_array(F.transform(F.filter(p, lambda x,
+        i: (x["h"] == F.get(p, i + 1)["h"]) & (i + 1 < F.size(p)) | (i > 0) & (x["h"] == F.get(p, F.greatest(i - 1, F.lit(0)))["h"])),
+            lambda x: x["i"]))
     a = a.withColumn("_q_at", F.when(F.size(twice) == 0, F.array().cast("array<int>")).when(F.size(twice) <= 8, few).otherwise(many))
     at = F.col("_q_at")
     covered = F.aggregate(F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3)))), F.lit(0), lambda m, x: m + x)
@@ -72,7 +74,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     of = {
         "n_words": n.cast("double"), "mean_word": share(F.col("word_chars"), n), "symbols_per_word": share(F.col("n_symbols"), n),
         "dup_line_share": share(F.col("n_dup_lines"), F.size("_q_lines")), "repeat_share": share(F.col("n_repeat_words"), n),
-        "upper_share": share(count("\\p{Lu}"), F.col("word_chars")), "bangs_per_word": share(count("[!?]"), n), "digits_per_word": share(count("[0-9]"), n),
+        "upper_share": share(count("\\p{Lu}"), F.col("word_chars")), "bangs_per_word": share(count("[!?]"), n),
+        "digits_per_word": share(count("[0-9]"), n),
         "distinct_share": share(F.size(F.array_distinct(w)), n), "pipes_per_word": share(count("[|]"), n), "stops_per_word": share(count("[.]"), n),
         "words_per_line": share(n, F.size("_q_lines")),
     }
@@ -194,4 +197,5 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule").cast("int").alias("rule"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.col("rule").cast("int").alias("rule"))

@@ -56,7 +56,8 @@ def propagate(units: DataFrame, room: list[int]) -> tuple[DataFrame | None, Data
             break
         told = grants(counts, room)
         rows = [(s, size, k, k == counts[s, size]) for (s, size), k in told.items() if k]
-        lot = asked.select("g", "piece", "shard", "size").join(F.broadcast(spark.createDataFrame(rows, "shard int, size long, k long, everyone boolean")), ["shard", "size"])
+        lot = asked.select("g", "piece", "shard",
+            "size").join(F.broadcast(spark.createDataFrame(rows, "shard int, size long, k long, everyone boolean")), ["shard", "size"])
         lot = spill(lot, "shard-asked")
         lucky = lot.filter("everyone")
         if not all(r[3] for r in rows):
@@ -93,14 +94,16 @@ def _gathered(own: DataFrame, n: int, room: list[int]) -> DataFrame:
     pieces = cut([(r.g, r.piece, r["size"]) for r in waiting.select("g", "piece", "size").collect()], room)
     placed = own.sparkSession.createDataFrame(pieces, _UNIT)
     placed = placed if done is None else placed.unionByName(done)
-    parts = placed.groupBy("g", "shard").agg(F.sum("size").alias("cnt")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("shard", "cnt"))).alias("parts"))
+    parts = placed.groupBy("g", "shard").agg(F.sum("size").alias("cnt")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("shard",
+        "cnt"))).alias("parts"))
     return spill(parts, "shard-parts")
 
 
 def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, g (the MD5 of the text), shard and slot of every row; see `shard`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = spill(docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("g")), "shard-rows")
+    own = spill(docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"), F.md5(text).alias("g")), "shard-rows")
     n = own.count()
     quota = quotas(n, shards)
     room = list(quota)
@@ -131,7 +134,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     doc_id and text are left out, so none can clash.
     """
     out = placed(docs, shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"),
+        F.lit(None).cast("int").alias("grown_shard"))
 
 
 def cut_links(at: DataFrame, shards: int = SHARDS) -> DataFrame:

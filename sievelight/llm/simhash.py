@@ -141,7 +141,8 @@ def _flips(mask: int, t: int) -> list[tuple[int, int]]:
 
 def _keys(plan: Plan, probes: bool = True):
     """A row for each bucket that a fingerprint is at home in (role 0) or probes (role 1)."""
-    flips = [(i, np.uint64(m), np.array([f for f, _ in _flips(m, t * probes)], np.uint64), np.array([low for _, low in _flips(m, t * probes)], np.uint64))
+    flips = [(i, np.uint64(m), np.array([f for f, _ in _flips(m, t * probes)], np.uint64),
+        np.array([low for _, low in _flips(m, t * probes)], np.uint64))
              for i, (m, t) in enumerate(zip(plan.masks, plan.thresholds, strict=True)) if t >= 0]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +154,8 @@ def _keys(plan: Plan, probes: bool = True):
                 key = np.concatenate((home, home[who] ^ flip[what])) if len(flip) else home
                 role = np.concatenate((np.zeros(len(fp), np.int8), np.ones(len(who), np.int8)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), i, np.int32)), pa.array(key.view(np.int64)), pa.array(np.concatenate((fp, fp[who])).view(np.int64)), pa.array(role)],
+                    [pa.array(np.full(len(key), i, np.int32)), pa.array(key.view(np.int64)),
+                        pa.array(np.concatenate((fp, fp[who])).view(np.int64)), pa.array(role)],
                     ["part", "key", "fp", "role"])
     return run
 
@@ -262,7 +264,8 @@ def links(distinct: DataFrame, k: int = MAX_DIFFERENCE) -> DataFrame:
         dealt = dealt.withColumn("_own", F.when(F.col("role") == 0, F.pmod(F.xxhash64("fp"), F.col("_g"))).otherwise(0).cast("int"))
         dealt = dealt.withColumn("block", F.explode(F.sequence("_own", F.col("_g") - 1)))
         dealt = dealt.withColumn("role", F.when((F.col("role") == 0) & (F.col("block") == F.col("_own")), 0).otherwise(1).cast("byte"))
-    dealt = dealt.select("part", "key", "block", "fp", "role").repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", "role")
+    dealt = dealt.select("part", "key", "block", "fp", "role").repartition("part", "key", "block").sortWithinPartitions("part", "key",
+        "block", "role")
     return dealt.mapInArrow(_links(k), "a long, b long").distinct()
 
 

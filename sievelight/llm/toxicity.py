@@ -188,7 +188,8 @@ def _counting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             once[kind].update(p.keys())
             twice[kind].update(x for x, c in p.items() if c > 1)
         for kind, of in once.items():
-            yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.string()), pa.array([kind] * len(of), pa.int32()), pa.array(list(of.values()), pa.int64()),
+            yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.string()), pa.array([kind] * len(of), pa.int32()),
+                pa.array(list(of.values()), pa.int64()),
                                               pa.array([twice[kind][x] for x in of], pa.int64())], ["prefix", "toxic", "n", "n2"])
 
 

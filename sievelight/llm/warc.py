@@ -89,7 +89,8 @@ def _writing(folder: str, compress: bool):
                 if size >= FILE_BYTES:
                     end()
         end()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())], ["path", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([c[0] for c in counts], pa.int64()),
+            pa.array([c[1] for c in counts], pa.int64())], ["path", "records", "bytes"])
     return run
 
 
@@ -105,14 +106,16 @@ def archive(pages: DataFrame, folder: str, compress: bool = False) -> str:
     """
     small_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    a = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    a = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload")).withColumn("digest",
+        F.sha2("payload", 256))
     keyed = a.filter(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
     first = spill(keyed.filter("_n > 1").select("digest", "_first"), "warc-copies")
     b = a.join(small(first), "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")))
     open_folder, path = open_at(folder)
     open_folder.create_dir(path, recursive=True)
     manifest = f"{folder.rstrip('/')}-manifest"
-    b.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_writing(folder, compress), "path string, records long, bytes long").write.parquet(manifest)
+    b.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_writing(folder, compress),
+        "path string, records long, bytes long").write.parquet(manifest)
     return manifest
 
 
@@ -266,8 +269,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda c: F.when(F.col(c) != "<urn:page:>", F.regexp_extract(c, "^<urn:page:(.*)>$", 1)).cast("long")
     # one pass over the archives: a response's length and digest are those of what was read, a revisit's those of its headers
     got = read(spark, manifest, manifest=True).filter(F.col("record_type").isin("response", "revisit"))
-    return got.select(page("record_id").alias("page_id"), F.coalesce(F.octet_length("payload"), F.col("payload_length")).cast("long").alias("payload_bytes"),
-                      F.coalesce(F.sha2("payload", 256), F.col("payload_digest")).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+    return got.select(page("record_id").alias("page_id"), F.coalesce(F.octet_length("payload"),
+        F.col("payload_length")).cast("long").alias("payload_bytes"),
+                      F.coalesce(F.sha2("payload", 256), F.col("payload_digest")).alias("payload_digest"), "record_type",
+                      page("refers_to").alias("refers_to"))
 
 
 OP7_SQL = """
