@@ -83,6 +83,22 @@ def test_links_give_all_components(spark, monkeypatch):
     assert len({*zip(got, label.tolist())}) == len(set(got)) == len(set(label.tolist()))
 
 
+def test_fingerprint_against_a_plain_reading(docs):
+    """By the words of the contract: A-Z lower-cased, words of other characters than white space, 4-word shingles with repeats."""
+    import xxhash
+
+    def plain(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", low)
+        if not words:
+            return 0
+        grams = [" ".join(words[i:i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+        hashes = [xxhash.xxh64(g.encode("utf-8"), seed=42).intdigest() for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    texts = [r.text for r in docs.select("text").collect()] + [None, "", " \n", "A", "a b c", "a b c d", "É É é e\u00a0x y", "same " * 9, "x\x1cy Z\x0bq \u3000 w"]
+    assert all(simhash.fingerprint(t) == plain(t) for t in texts)
+
+
 def test_simhash_awkward(awkward, empty):
     got = simhash.near_duplicates(awkward).collect()
     assert len(got) == len(AWKWARD) and {r.component_id for r in got if r.doc_id in (2, 3)} == {2} and {r.component_id for r in got if r.doc_id in (1, 6)} == {1}
@@ -257,6 +273,14 @@ def test_neighbours_of_clustered_and_far_off_vectors(spark):
     assert sorted(got) == list(range(0, 3000, 100)) and hit >= 0.95 * 300
 
 
+def test_of_two_equally_frequent_dimensions_the_smaller_takes_part(spark):
+    rows = [(i, [float(i + 1)] * (2 + i % 2), "x") for i in range(0, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = neighbours.search(df, k=3, every=10).collect()
+    assert {r.query_id for r in got} == {0, 10, 20, 30} and all(r.vec_id % 2 == 0 for r in got) and len(got) == 12
+    assert [r.vec_id for r in sorted(got, key=lambda r: (r.query_id, r["rank"])) if r.query_id == 10] == [8, 12, 6]
+
+
 def test_windows_grow_slower_than_rows():
     share = [neighbours.CURVES * neighbours.window(n) / n for n in (5_000, 10_000, 100_000, 10**7, 10**9)]
     assert share == sorted(share, reverse=True) and share[0] < 1 and share[-1] < 0.1
