@@ -192,13 +192,13 @@ def supply_chain_rules() -> list[Rule]:
         F.lit(0.35), F.col("unpinned"), F.col("origins"), quoted(F.col("first_origins")), late)]
 
 
-def findings(rules: list[Rule]) -> Column:
+def findings(rules: list[Rule], with_evidence: bool = True) -> Column:
     """Array of findings that hold, by weight times confidence, ties in the order of declaration. A confidence
-    of 0 or less is dropped before rounding."""
+    of 0 or less is dropped before rounding. Where only scores are asked for, evidence need not be put into words."""
     all_ = F.filter(F.array(*[
         F.when(F.coalesce(r.when, F.lit(False)) & (r.confidence > 0), F.struct(
             F.lit(r.id).alias("id"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.weight).alias("weight"),
-            half_up(r.confidence.cast("double"), 3).alias("confidence"), r.evidence.alias("evidence"), F.lit(r.title).alias("title"),
+            half_up(r.confidence.cast("double"), 3).alias("confidence"), (r.evidence if with_evidence else F.lit(None).cast("string")).alias("evidence"), F.lit(r.title).alias("title"),
             F.lit(r.summary).alias("summary"), F.lit(r.reference).cast("string").alias("reference"), F.lit(i).alias("rule_order")))
         for i, r in enumerate(rules)]), lambda f: f.isNotNull())
     worth = lambda f: f["weight"] * f["confidence"]
@@ -232,9 +232,9 @@ def headline(lvl: Column, f: Column) -> Column:
             .otherwise("Nothing unusual found. This looks like ordinary compiled code."))
 
 
-def assess(df: DataFrame, rules: list[Rule]) -> DataFrame:
+def assess(df: DataFrame, rules: list[Rule], with_evidence: bool = True) -> DataFrame:
     """Adds findings, score, level and headline: one projection, no shuffle."""
-    a = df.withColumn("findings", findings(rules)).withColumn("score", score(F.col("findings")))
+    a = df.withColumn("findings", findings(rules, with_evidence)).withColumn("score", score(F.col("findings")))
     a = a.withColumn("level", level(F.col("score")))
     return a.withColumn("headline", headline(F.col("level"), F.col("findings"))).withColumn("ruleset_version", F.lit(RULESET_VERSION))
 

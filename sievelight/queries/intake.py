@@ -52,7 +52,7 @@ def classifier_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = modules.part_modules(spark, sf_dir).select("hash", ascii_runs(F.col("bytes")).alias("runs"))
-    e = intake.evidence(modules.assessed(spark, sf_dir), lexical.signature_contexts(runs, "hash", "runs", scripts.SIGNATURES))
+    e = intake.evidence(modules.assessed(spark, sf_dir, with_evidence=True), lexical.signature_contexts(runs, "hash", "runs", scripts.SIGNATURES))
     return e.select(F.col("hash").cast("long").alias("p_partkey"), "instruction_count", "bitwise_ratio", "float_ratio", "memory_pages",
         F.col("kernel.loop_size").alias("loop_size"), F.col("risk.score").alias("score"),
                     F.array_join("risk.findings", ",").alias("findings"), F.array_join("exports", ",").alias("exports"),

@@ -45,8 +45,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.features(decoded(spark, sf_dir))
 
 
-def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.assess(features(spark, sf_dir), rules.module_rules())
+def assessed(spark: SparkSession, sf_dir: str, with_evidence: bool = False) -> DataFrame:
+    return rules.assess(features(spark, sf_dir), rules.module_rules(), with_evidence)
 
 
 def module_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:

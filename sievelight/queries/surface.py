@@ -52,7 +52,7 @@ def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finding_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = modules.assessed(spark, sf_dir).select(F.col("hash").cast("long").alias("p_partkey"), F.explode("findings").alias("f"))
+    a = modules.assessed(spark, sf_dir, with_evidence=True).select(F.col("hash").cast("long").alias("p_partkey"), F.explode("findings").alias("f"))
     return a.select("p_partkey", "f.id", "f.evidence", "f.reference", F.length("f.summary").cast("long").alias("summary_chars"))
 
 
