@@ -115,3 +115,22 @@ def gathered(batches: Iterable[pa.RecordBatch], rows: int = 65_536) -> Iterator[
             held, n = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+#: Keys with more than this share of the rows are joined apart; there can't be more than its inverse.
+HEAVY = 256
+
+
+def matched(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` joined with `side`, which has one row a key, where all keys are alike (nulls too). Both are written tables.
+
+    A side of few rows is broadcast. Else keys that hold over a 256th of the rows, which are at most 255, are broadcast with what
+    the side has of them, and all others are shuffled: no key lands in one task however many rows it has."""
+    other = side.withColumnsRenamed({k: f"_side_{k}" for k in keys})
+    join = lambda left, right: left.join(right, [F.col(k).eqNullSafe(F.col(f"_side_{k}")) for k in keys]).drop(*[f"_side_{k}" for k in keys])
+    if side.count() <= BROADCAST_ROWS:
+        return join(rows, F.broadcast(other))
+    heavy = rows.groupBy(*keys).count().filter(F.col("count") * HEAVY > rows.count())
+    heavy = F.broadcast(spill(heavy.select(*[F.col(k).alias(f"_heavy_{k}") for k in keys]), "heavy"))
+    split = lambda df, name, how: df.join(heavy, [F.col(name + k).eqNullSafe(F.col(f"_heavy_{k}")) for k in keys], how)
+    return join(split(rows, "", "left_semi"), F.broadcast(split(other, "_side_", "left_semi"))).unionByName(join(split(rows, "", "left_anti"), other))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, extraction, mixing, neighbours, packing, pieces, quality, sharding, simhash, toxicity, warc
+from . import chat, codes, extraction, mixing, neighbours, packing, pieces, quality, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_extraction": extraction.op10_extraction,
     "op11_pieces": pieces.op11_pieces,
+    "op12_codes": codes.op12_codes,
 }
 
-ORACLE_SQL = {"op3_mixing": mixing.OP3_SQL, "op7_warc": warc.OP7_SQL, "op8_chat": chat.OP8_SQL}
+ORACLE_SQL = {"op3_mixing": mixing.OP3_SQL, "op7_warc": warc.OP7_SQL, "op8_chat": chat.OP8_SQL, "op12_codes": codes.OP12_SQL}
