@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, codes, extraction, mixing, neighbours, packing, pieces, quality, sharding, simhash, toxicity, warc
+from . import chat, codes, extraction, mixing, neighbours, packing, phrases, pieces, quality, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,8 @@ QUERIES = {
     "op10_extraction": extraction.op10_extraction,
     "op11_pieces": pieces.op11_pieces,
     "op12_codes": codes.op12_codes,
+    "op13_phrases": phrases.op13_phrases,
 }
 
-ORACLE_SQL = {"op3_mixing": mixing.OP3_SQL, "op7_warc": warc.OP7_SQL, "op8_chat": chat.OP8_SQL, "op12_codes": codes.OP12_SQL}
+ORACLE_SQL = {"op3_mixing": mixing.OP3_SQL, "op7_warc": warc.OP7_SQL, "op8_chat": chat.OP8_SQL, "op12_codes": codes.OP12_SQL,
+              "op13_phrases": phrases.OP13_SQL}
