@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +10,6 @@ from ..functions import wasm
 from ..operators import ingest, intake, ml, reports, runtime, store
 from ..plans import rules
 from ..plans.rules import half_up
-from ..sources.shared import shared_folder
-from ..streaming import flows
 from . import modules, telemetry
 
 _KERNEL = "struct<bitwise_ratio:double,largest_loop:bigint,order:bigint,arithmetic_ratio:double,call_ratio:double,func_idx:bigint>"
@@ -133,19 +130,6 @@ def sequence_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.sequence_job(files)[1]
 
 
-def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures of the event stream; fingerprints below 20 have a stored result."""
-    base = f"{shared_folder(spark)}/intake-{uuid.uuid4().hex}"
-    taken = flows.taken_in(flows.events(spark, sf_dir), spark.range(20).withColumnRenamed("id", "k"), f"{base}/table", f"{base}/state", 1_000_000, 1)
-    return taken.groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("frames"))
-
-
-def stream_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{shared_folder(spark)}/rescored-{uuid.uuid4().hex}"
-    return flows.rescored(flows.events(spark, sf_dir), f"{base}/table", f"{base}/state").select("k", "reports",
-        half_up(F.col("share"), 6).alias("share"))
-
-
 def network_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as responses: every third is declared a module, every fifth has a module's path, every seventh no type."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
@@ -202,7 +186,7 @@ def active_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (rule_cases, finding_evidence, rule_catalogue, stored_results, known_results, activity_modules,
     activity_status, page_badges, coverage_gap, classifier_against_rules, sequence_counters,
-                                   stream_intake, stream_rescored, network_notes, upload_outcomes, first_scripts, runtime_samples,
+                                   network_notes, upload_outcomes, first_scripts, runtime_samples,
                                    rescored_modules, report_flags, active_types)}
 
 _SAYS = "floor({} * 1000.0::DOUBLE + 0.5) / 10.0::DOUBLE"
@@ -255,7 +239,6 @@ ORACLE_SQL = {
         fm AS (SELECT 2.0::DOUBLE * mt / (2 * mt + mf + mn) AS a, 2.0::DOUBLE * rt / (2 * rt + rf + rn) AS b FROM c)
         SELECT """ + telemetry._6("a") + " AS model_f1, " + telemetry._6("b") + " AS rules_f1, CASE WHEN a - b > 0.01 THEN 'better' WHEN a - b < -0.01 THEN 'worse' ELSE 'same' END AS verdict FROM fm",
     "sequence_counters": "WITH p AS (SELECT p_size::BIGINT AS r, count(*) AS n FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1) SELECT count(*) AS written, count(*) FILTER (r >= 6) AS kernels, count(*) FILTER (6 * r + 12 < 512) AS padded, (SELECT count(*) FROM part WHERE p_partkey % 11 = 0) AS skipped, sum(n - 1)::BIGINT AS duplicates FROM p",
-    "stream_intake": telemetry._E + ", f AS (SELECT user_id, k FROM e GROUP BY ALL) SELECT CASE WHEN k < 20 THEN 'known' ELSE 'queued' END AS status, count(*) AS n, count(DISTINCT user_id) AS frames FROM f GROUP BY 1",
     "network_notes": """SELECT CASE WHEN page_id % 5 = 0 THEN regexp_extract(url, '^[^?#]*') || '/A.WASM?x#y' ELSE url || '?q=.wasm' END AS url, page_id % 10 AS tab_id, page_id AS ts, 'network' AS reason
         FROM pages WHERE page_id % 5 = 0 OR page_id % 3 = 0 AND page_id % 7 <> 0""",
     "upload_outcomes": "SELECT ['known', 'accepted', 'too-large', 'rejected', 'unreachable'][p_size % 5 + 1] AS outcome, count(*) AS n FROM part GROUP BY 1",
@@ -266,5 +249,4 @@ ORACLE_SQL = {
     "report_flags": modules._M + "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'shared memory,stripped' ELSE 'stripped' END AS flags FROM h WHERE score > 0",
     "active_types": telemetry._E + """, c AS (SELECT user_id % 50 AS g, event_type, count(*) - 30 AS n, ('0x' || substr(md5(event_type), 1, 6))::BIGINT AS o FROM e GROUP BY 1, 2),
         t AS (SELECT * FROM c WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, o) = 1) SELECT g, coalesce(t.event_type, 'none') AS active FROM (SELECT DISTINCT g FROM c) LEFT JOIN t USING (g)""",
-    "stream_rescored": telemetry._E + "SELECT k, count(*) AS reports, " + telemetry._6("avg(value)") + " AS share FROM e GROUP BY k",
 }

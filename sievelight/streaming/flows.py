@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import ingest
 from ..operators.ingest import gate
 from ..sources.shared import shared_folder
 
@@ -70,40 +69,3 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation",
         f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/table").select(*stream.columns)
-
-
-def intake(captures: DataFrame, seen: DataFrame, rate: int, window: int) -> DataFrame:
-    """One micro-batch of captures (user_id, k, ms, event_id) as an intake takes them: the first of each fingerprint of a frame,
-    then the rate limit, then what is known already is marked so and not analysed again. `seen`: (k) of stored results."""
-    first = ingest.first_seen(captures, "user_id", "k", "ms", "event_id")
-    gated = ingest.rate_limited(first, "user_id", "ms", "event_id", rate, window).filter("allowed")
-    known = seen.select(F.col("k").alias("_k")).distinct()
-    return gated.join(known, F.col("k") == F.col("_k"), "left").withColumn("status",
-        F.when(F.col("_k").isNotNull(), "known").otherwise("queued")).drop("_k")
-
-
-def taken_in(e: DataFrame, seen: DataFrame, target: str, checkpoint: str, rate: int = ingest.RATE, window: int = ingest.WINDOW_MS) -> DataFrame:
-    """Runs the intake over a stream by micro-batches and returns the table of what it took."""
-    spark = e.sparkSession
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        intake(batch.select("user_id", "k", "ms", "event_id"), seen, rate, window).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
-    e.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target).drop("epoch")
-
-
-def rescored(e: DataFrame, target: str, checkpoint: str, threshold: float = 0.1) -> DataFrame:
-    """Runtime reports as a stream: each micro-batch folds the shares of its fingerprints and writes those whose share moved by
-    the threshold or more against what earlier batches wrote last. Returns the table of all rescorings."""
-    spark = e.sparkSession
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        now = batch.groupBy("k").agg(F.count("*").alias("reports"), F.avg("value").alias("share"))
-        if epoch:
-            last = spark.read.parquet(target).filter(F.col("epoch") < epoch).groupBy(F.col("k").alias("_k")).agg(F.max_by("share",
-                "epoch").alias("_share"))
-            now = now.join(last, F.col("k") == F.col("_k"),
-                "left").filter(F.col("_share").isNull() | (F.abs(F.col("share") - F.col("_share")) >= threshold)).drop("_k", "_share")
-        now.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
-    e.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target)

@@ -185,17 +185,6 @@ def test_upserts_of_a_stream_do_not_depend_on_repeats(spark, tmp_path):
     assert got.count() == got.select("user_id").distinct().count() > 0
 
 
-def test_rescoring_writes_what_moved(spark, tmp_path):
-    from sievelight.streaming import flows
-
-    schema = "k long, value double"
-    for i, rows in enumerate(([(1, 0.5), (2, 0.5)], [(1, 0.55), (2, 0.9)])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
-        flows.rescored(spark.readStream.schema(schema).json(f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/c")
-        got = {(r.k, r.share, r.epoch) for r in spark.read.parquet(f"{tmp_path}/t").collect()}
-    assert got == {(1, 0.5, 0), (2, 0.5, 0), (2, 0.9, 1)}
-
-
 def test_pairs_of_blocks_are_all_pairs(spark):
     import numpy as np
 
