@@ -1,12 +1,13 @@
 """Phrases whose words occur together more often than their parts would.
 
-Each shard of the texts is counted into tries of limited depth, which are written as runs in the order of their paths. Ranges of
-paths bring the runs together and merge them; a walk down the merged trie gives the counts of left parts, links from
-each path to the one without its first word those of right parts.
+Each shard of the texts is counted into tries of limited depth, which are serialised in the order of their paths, a run for each range
+of paths. The runs of a range come together and are merged; a walk down the merged trie gives the counts of left parts, links
+from each path to the one without its first word those of right parts.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import count
@@ -21,8 +22,12 @@ from pyspark.sql.window import Window
 from .common import MAX_RANGES, gathered, matched, small_batches, spill, table
 
 LONGEST, LEAST, TOP, INSIDE, SCORE = 4, 30, 2_000, 80, 2_000_000
-#: Word occurrences of one shard, and rows of runs that one range merges.
-SHARD_WORDS, RUN_ROWS = 2_000_000, 1_000_000
+#: Word occurrences of one shard, and bytes of text that one range of paths stands for (more where there would be too many ranges).
+SHARD_WORDS, RANGE_BYTES, MOST_RANGES = 2_000_000, 8 << 20, 100_000
+#: About so many rows, and so many bytes of each, are sampled to place the bounds of the ranges evenly; where they lie changes no count.
+BOUND_ROWS, BOUND_BYTES = 1_000, 1 << 14
+#: Rows of runs that a merge holds before it adds up those of one path.
+HELD_ROWS = 1 << 20
 #: What ends a piece (all of it as the first of them), and letters that are lowered.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ENDS, b"abcdefghijklmnopqrstuvwxyz" + ENDS[:1] * len(ENDS))
@@ -114,19 +119,39 @@ def _names(longest: int) -> list[str]:
     return ["lang", *[f"w{i}" for i in range(1, longest + 1)]]
 
 
-def _runs(depths: range, longest: int, pairs):
-    """(lang, text) to rows of the shards' tries, each trie in the order of its paths."""
-    names = [*_names(longest), "n"]
+def _schema(longest: int) -> pa.Schema:
+    return pa.schema([("lang", pa.string()), *[(k, pa.binary()) for k in _names(longest)[1:]], ("n", pa.int64())])
 
+
+def _serialised(table_: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table_.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table_)
+    return sink.getvalue().to_pybytes()
+
+
+def _parts(lang: str, words: list[bytes], rows: np.ndarray, bounds: list[tuple]) -> list[int]:
+    """Where each range begins among rows in order: a bound is (language, words), the first path of its range."""
+    path = lambda i: (lang, tuple(words[w] for w in rows[i] if w >= 0))
+    return [bisect_left(range(len(rows)), b, key=path) for b in bounds]
+
+
+def _runs(depths: range, longest: int, pairs, bounds):
+    """(lang, text) to runs: of each shard's tries, what lies in one range of paths, in order."""
     def written(shards: dict[str, Shard]) -> Iterator[pa.RecordBatch]:
+        parts: defaultdict[int, list[pa.Table]] = defaultdict(list)
         for lang in sorted(shards):
             words, rows, n = shards[lang].trie(depths, pairs and pairs.value)
             known = pa.array(words, pa.binary())
-            for f in range(0, len(rows), 1 << 17):
-                part = rows[f:f + (1 << 17)]
-                cells = [known.take(pa.array(part[:, i], mask=part[:, i] < 0)) for i in range(part.shape[1])]
-                cells += [pa.nulls(len(part), pa.binary())] * (longest - part.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), *cells, pa.array(n[f:f + (1 << 17)])], names)
+            cells = [known.take(pa.array(rows[:, i], mask=rows[:, i] < 0)) for i in range(rows.shape[1])]
+            cells += [pa.nulls(len(rows), pa.binary())] * (longest - len(cells))
+            whole = pa.table([pa.array([lang] * len(rows), pa.string()), *cells, pa.array(n)], schema=_schema(longest))
+            starts = [0, *_parts(lang, words, rows, bounds.value), len(rows)]
+            for r, (s, e) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+                if s < e:
+                    parts[r].append(whole.slice(s, e - s))
+        for r, tables in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([_serialised(pa.concat_tables(tables))], pa.binary())], ["range", "run"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, held = defaultdict(Shard), 0
@@ -140,70 +165,94 @@ def _runs(depths: range, longest: int, pairs):
     return run
 
 
+def _again(longest: int, bounds):
+    """Rows of a merged trie to runs, so that they can be merged with those of longer paths."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tb in gathered(batches, 1 << 17):
+            columns = [tb.column(k).to_pylist() for k in _names(longest)]
+            at = np.array([bisect_right(bounds.value, (row[0], tuple(w for w in row[1:] if w is not None))) for row in zip(*columns, strict=True)])
+            whole = tb.select([*_names(longest), "n"]).cast(_schema(longest))
+            for r in np.unique(at).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([_serialised(whole.filter(pa.array(at == r)))], pa.binary())], ["range", "run"])
+    return run
+
+
+def _bounds(sample: list, depths: range, longest: int, pairs, ranges: int) -> list[tuple]:
+    """First paths of ranges that hold about as many paths of the sample each."""
+    shards = defaultdict(Shard)
+    for lang, text in sample:
+        shards[lang].add(bytes(text))
+    paths = []
+    for lang in sorted(shards):
+        words, rows, _ = shards[lang].trie(depths, pairs)
+        paths += [(lang, tuple(words[w] for w in r if w >= 0)) for r in rows.tolist()]
+    return sorted({paths[i * len(paths) // ranges] for i in range(1, ranges)}) if paths else []
+
+
 def _walked(longest: int, least: int):
-    """Rows of runs in the order of their paths, to those of the merged trie: neighbours of one path are added up, rare paths
-    go, and each path gets the counts of its beginnings. A beginning that stands in an earlier range is null; the paths that a later
-    range may go on from are given once more, as open."""
+    """Runs by their ranges to the merged trie: equal paths of all runs are added up, rare ones go, and each path gets the counts of
+    its beginnings. A beginning that stands in an earlier range is null; the paths that a later range may go on from are given once
+    more, as open. A row without words has the number of all words of a language in its range."""
     keys = _names(longest)
     lefts = [f"l{k}" for k in range(1, longest)]
-    schema = pa.schema([("lang", pa.string()), *[(k, pa.binary()) for k in keys[1:]], ("n", pa.int64()), *[(x, pa.int64()) for x in lefts], ("open", pa.bool_())])
-
-    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held = None
-        for tb in gathered(batches, 1 << 17):
-            tb = tb if held is None else pa.concat_tables([held, tb])
-            new = np.zeros(tb.num_rows - 1, bool)
-            for k in keys:
-                c = tb.column(k).combine_chunks()
-                a, b = c[1:], c[:-1]
-                new |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(False) | (a.is_null().to_numpy(False) != b.is_null().to_numpy(False))
-            starts = np.concatenate(([0], np.flatnonzero(new) + 1))
-            sums = np.add.reduceat(tb.column("n").to_numpy(), starts)
-            lines = tb.select(keys).take(pa.array(starts)).append_column("n", pa.array(sums))
-            held = lines.slice(len(starts) - 1)
-            yield lines.slice(0, len(starts) - 1)
-        if held is not None:
-            yield held
+    schema = pa.schema([*_schema(longest), *[(x, pa.int64()) for x in lefts], ("open", pa.bool_())])
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum")]).select([*keys, "n_sum"]).rename_columns([*keys, "n"])
+
+    def lines(tb: pa.Table) -> list[tuple]:
+        """The frequent paths of one range, in order, with the counts of their beginnings."""
+        rows = tb.filter(pc.greater_equal(tb.column("n"), least))
+        rows = sorted(((lang, *(w for w in words if w is not None)), n) for lang, *words, n in zip(*[rows.column(k).to_pylist() for k in (*keys, "n")], strict=True))
+        path: list[tuple] = [((), 0)] * (longest + 1)  # by depth: the last path and its count
+        wide = lambda own: (*own, *[None] * (longest + 1 - len(own)))
+        out = []
+        for own, n in rows:
+            depth = len(own) - 1
+            before = [path[d][1] if d < depth and path[d][0] == own[:d + 1] else None for d in range(1, longest)]
+            path[depth] = (own, n)
+            out.append((*wide(own), n, *before, False))
+        last = rows[-1][0] if rows else ()
+        out += [(*wide(own), n, *[None] * (longest - 1), True) for d, (own, n) in enumerate(path) if 0 < d < longest and last[:d + 1] == own]
+        one = tb.filter(pc.is_null(tb.column("w2"))).group_by("lang").aggregate([("n", "sum")])
+        return out + [(lang, *[None] * longest, n, *[None] * (longest - 1), False) for lang, n in zip(one.column("lang").to_pylist(), one.column("n_sum").to_pylist(), strict=True)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path: list[tuple] = [()] * (longest + 1)  # by depth: the last path and its count
-        last: tuple = ()
-        for tb in merged(batches):
-            tb = tb.filter(pc.greater_equal(tb.column("n"), least))
-            out = []
-            for row in zip(*[tb.column(k).to_pylist() for k in keys], tb.column("n").to_pylist(), strict=True):
-                depth = sum(w is not None for w in row[1:-1])
-                own = row[:depth + 1]
-                before = [path[d][1] if d < depth and path[d] and path[d][0] == own[:d + 1] else None for d in range(1, longest)]
-                path[depth], last = (own, row[-1]), own
-                out.append((*row, *before, False))
+        now, held, waiting = None, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            out = lines(added(held)) if held else []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-        ends = [p for d, p in enumerate(path) if 0 < d < longest and p and last[:d + 1] == p[0]]
-        if ends:
-            fill = lambda p: (*p[0], *[None] * (longest + 1 - len(p[0])), p[1], *[None] * (longest - 1), True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*map(fill, ends), strict=True), schema, strict=True)], schema=schema)
+        for b in batches:
+            for r, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if r != now:
+                    yield from done()
+                    now, held, waiting = r, [], 0
+                held.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
+                waiting += held[-1].num_rows
+                if waiting > HELD_ROWS:
+                    held, waiting = [added(held)], 0
+        yield from done()
     ddl = ", ".join(["lang string", *[f"{k} binary" for k in keys[1:]], "n long", *[f"{x} long" for x in lefts], "open boolean"])
     return run, ddl
 
 
-def _merged(runs: DataFrame, longest: int, least: int) -> DataFrame:
-    """The merged trie of written runs: (lang, words, n, l1, ..), paths that occur `least` times or more."""
+def _merged(runs: DataFrame, longest: int, least: int, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """The merged trie of runs: (lang, words, n, l1, ..), paths that occur `least` times or more; and (lang, n) of all words."""
     keys = _names(longest)
     run, ddl = _walked(longest, least)
-    ranges = max(1, min(MAX_RANGES, -(-runs.count() // RUN_ROWS)))
-    nodes = spill(runs.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).mapInArrow(run, ddl), "phrases-trie")
-    done = nodes.filter("not open").drop("open")
+    dealt = runs.repartition(min(MAX_RANGES, ranges), "range").sortWithinPartitions("range")
+    nodes = spill(dealt.mapInArrow(run, ddl), "phrases-trie")
+    done = nodes.filter("not open and w1 is not null").drop("open")
     # at most one path a depth and range, so their size is that of the number of ranges
     for k in range(1, longest):
-        ends = nodes.filter("open").filter(F.col(f"w{k}").isNotNull())
-        if k + 1 < longest + 1:
-            ends = ends.filter(F.col(f"w{k + 1}").isNull())
         mine = keys[:k + 1]
+        ends = nodes.filter("open").filter(F.col(f"w{k}").isNotNull() & F.col(f"w{k + 1}").isNull())
         ends = F.broadcast(ends.select(*[F.col(c).alias(f"_{c}") for c in mine], F.col("n").alias("_n")))
         done = done.join(ends, [F.col(c) == F.col(f"_{c}") for c in mine], "left")
         done = done.withColumn(f"l{k}", F.when(F.col(f"w{k + 1}").isNotNull(), F.coalesce(f"l{k}", "_n"))).drop(*[f"_{c}" for c in mine], "_n")
-    return done
+    return done, nodes.filter("w1 is null").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _filter(pairs: DataFrame) -> tuple[np.ndarray, int]:
@@ -251,15 +300,22 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     keys = _names(longest)
     read = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     read = read.filter("text is not null")
-    ddl = ", ".join(["lang string", *[f"{k} binary" for k in keys[1:]], "n long"])
-    runs = spill(read.mapInArrow(_runs(range(1, 3), longest, None), ddl), "phrases-runs")
-    words = runs.filter("w2 is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    nodes = _merged(runs, longest, least)
+    size = read.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
+    ranges = max(1, min(MOST_RANGES, -(-size.bytes // RANGE_BYTES)))
+    some = read.sample(min(1.0, BOUND_ROWS / max(1, size.rows)), seed=13).select("lang", F.substring("text", 1, BOUND_BYTES)).limit(2 * BOUND_ROWS)
+    sample = [tuple(r) for r in some.collect()] if ranges > 1 else []
+    send = spark.sparkContext.broadcast
+
+    def runs(depths: range, pairs, bounds) -> DataFrame:
+        return read.mapInArrow(_runs(depths, longest, pairs, bounds), "range int, run binary")
+    bounds = send(_bounds(sample, range(1, 3), longest, None, ranges))
+    nodes, words = _merged(runs(range(1, 3), None, bounds), longest, least, ranges)
     if longest > 2:
         nodes = spill(nodes.select(*keys, "n"), "phrases-pairs")
-        pairs = spark.sparkContext.broadcast(_filter(nodes.filter("w2 is not null")))
-        longer = read.mapInArrow(_runs(range(3, longest + 1), longest, pairs), ddl)
-        nodes = _merged(spill(longer.unionByName(nodes), "phrases-runs"), longest, least)
+        pairs = send(_filter(nodes.filter("w2 is not null")))
+        bounds = send(_bounds(sample, range(1, longest + 1), longest, pairs.value, ranges))
+        longer = runs(range(3, longest + 1), pairs, bounds)
+        nodes, _ = _merged(longer.unionByName(nodes.mapInArrow(_again(longest, bounds), "range int, run binary")), longest, least, ranges)
     depth = sum((F.col(k).isNotNull().cast("int") for k in keys[1:]), F.lit(0))
     nodes = spill(nodes.withColumn("depth", depth), "phrases-nodes")
     level = [nodes, nodes.filter("depth = 1").select("lang", "w1", "n")]

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,7 +60,8 @@ def texts():
 
 @pytest.mark.parametrize("longest", [2, 3, 4])
 def test_equal_to_plain_counting(spark, texts, longest, monkeypatch):
-    monkeypatch.setattr(phrases, "RUN_ROWS", 60)  # many ranges, so that beginnings stand in earlier ones
+    monkeypatch.setattr(phrases, "RANGE_BYTES", 2_000)  # many ranges, so that beginnings stand in earlier ones
+    monkeypatch.setattr(phrases, "HELD_ROWS", 100)
     monkeypatch.setattr(phrases, "PAIR_BITS", 1)
     df = spark.createDataFrame([(*r, 1, "x", "y", "z") for r in texts], DOCS).repartition(5)
     want = _plain(texts, longest, 12, 40)
@@ -78,23 +80,26 @@ def test_nothing(spark):
     assert phrases.collocations(df).count() == phrases.collocations(df.limit(0)).count() == 0
 
 
-def test_shards_may_be_of_any_size(texts):
-    def rows(most):
-        import pyarrow as pa
-        old, phrases.SHARD_WORDS = phrases.SHARD_WORDS, most
-        try:
-            b = pa.RecordBatch.from_arrays([pa.array([r[1] or "und" for r in texts]), pa.array([(r[0] or "").encode() for r in texts])], ["lang", "text"])
-            c = Counter()
-            for out in phrases._runs(range(1, 5), 4, None)([b]):
-                lines = list(zip(*[x.to_pylist() for x in out.columns], strict=True))
-                keys = [tuple(x or b"" for x in line[1:5]) for line in lines]
-                assert keys == sorted(keys)
-                for line in lines:
-                    c[line[:5]] += line[5]
-            return c
-        finally:
-            phrases.SHARD_WORDS = old
-    assert rows(50) == rows(10**9)
+def test_shards_may_be_of_any_size(texts, monkeypatch):
+    rows = [(r[1] or "und", (r[0] or "").encode()) for r in texts]
+    bounds = phrases._bounds(rows, range(1, 5), 4, None, 9)
+
+    class Sent:
+        value = bounds
+
+    def counted(most):
+        monkeypatch.setattr(phrases, "SHARD_WORDS", most)
+        b = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["lang", "text"])
+        c = Counter()
+        for out in phrases._runs(range(1, 5), 4, None, Sent)([b]):
+            at, blob = out.column(0)[0].as_py(), out.column(1)[0].as_buffer()
+            lines = list(zip(*[x.to_pylist() for x in pa.ipc.open_stream(blob).read_all().columns], strict=True))
+            keys = [(line[0], tuple(x for x in line[1:5] if x is not None)) for line in lines]
+            assert keys == sorted(keys) and (not at or keys[0] >= bounds[at - 1]) and (at == len(bounds) or keys[-1] < bounds[at])
+            for line in lines:
+                c[line[:5]] += line[5]
+        return c
+    assert len(bounds) > 4 and counted(50) == counted(10**9)
 
 
 def test_filter_lets_all_its_pairs_through(spark):
