@@ -23,11 +23,11 @@ from .common import MAX_RANGES, gathered, matched, small_batches, spill, table
 
 LONGEST, LEAST, TOP, INSIDE, SCORE = 4, 30, 2_000, 80, 2_000_000
 #: Word occurrences of one shard, and bytes of text that one range of paths stands for (more where there would be too many ranges).
-SHARD_WORDS, RANGE_BYTES, MOST_RANGES = 2_000_000, 8 << 20, 100_000
+SHARD_WORDS, RANGE_BYTES, MOST_RANGES = 1_000_000, 4 << 20, 200_000
 #: About so many rows, and so many bytes of each, are sampled to place the bounds of the ranges evenly; where they lie changes no count.
 BOUND_ROWS, BOUND_BYTES = 1_000, 1 << 14
 #: Rows of runs that a merge holds before it adds up those of one path.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 18
 #: What ends a piece (all of it as the first of them), and letters that are lowered.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ENDS, b"abcdefghijklmnopqrstuvwxyz" + ENDS[:1] * len(ENDS))
@@ -97,9 +97,9 @@ class Shard:
             if follows is not None:
                 live &= follows[:n] & follows[depth - 2:depth - 2 + n]
             places = np.flatnonzero(live)
-            keys, inverse, counts = np.unique(node[places] * v + at[places + depth - 1], return_inverse=True, return_counts=True)
+            keys, inverse, counts = np.unique(node[places].astype(np.int64) * v + at[places + depth - 1], return_inverse=True, return_counts=True)
             paths = np.concatenate((paths[keys // v], (keys % v)[:, None]), axis=1)
-            node = np.full(len(at), -1, np.int64)
+            node = np.full(len(at), -1, np.int32)
             node[places] = inverse
             if depth == 2 and pairs is not None:
                 h = _hashes(words)
@@ -152,6 +152,8 @@ def _runs(depths: range, longest: int, pairs, bounds):
                     parts[r].append(whole.slice(s, e - s))
         for r, tables in parts.items():
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([_serialised(pa.concat_tables(tables))], pa.binary())], ["range", "run"])
+        parts.clear()
+        pa.default_memory_pool().release_unused()  # two workers share what an executor leaves them
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, held = defaultdict(Shard), 0
@@ -224,6 +226,7 @@ def _walked(longest: int, least: int):
             out = lines(added(held)) if held else []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            pa.default_memory_pool().release_unused()
         for b in batches:
             for r, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if r != now:
