@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scans
+
 MAX_BYTES, SNIFF_BYTES, TEXT_SHARE = 16 << 20, 4_096, 0.95
 RATE, WINDOW_MS = 60, 60_000
 SCRIPT_LEAST, SCRIPT_MOST = 40, 2 << 20
@@ -134,24 +136,9 @@ def gate(times: list[int], state: tuple[int, int] | None = None, rate: int = RAT
 
 
 def rate_limited(df: DataFrame, frame: str, ms: str, tie: str, rate: int = RATE, window: int = WINDOW_MS) -> DataFrame:
-    """Adds `allowed`. Windows depend on all events before, so a frame's events go through in order; of a frame only the window's
-    start and count are held, however many events it has."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", allowed boolean"
-    names, types = df.columns, dict(df.dtypes)
-    if types[ms] not in ("bigint", "int"):
-        raise ValueError("times are whole milliseconds")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = object(), None
-        for b in batches:
-            allowed: list[bool] = []
-            for f, t in zip(b.column(names.index(frame)).to_pylist(), b.column(names.index(ms)).to_pylist(), strict=True):
-                if f != now:
-                    now, state = f, None
-                one, state = gate([t], state, rate, window)
-                allowed += one
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(allowed, pa.bool_())], [*names, "allowed"])
-    return df.repartition(frame).sortWithinPartitions(frame, ms, tie).mapInArrow(run, schema)
+    """Adds `allowed`: whether an event is among the first `rate` of its frame's window. Windows depend on all events before, but no frame
+    goes through one task: see scans.chained."""
+    return scans.chained(df, frame, ms, tie, window, lambda places, starts: places - starts < rate, "allowed")
 
 
 def inline_scripts(pages: DataFrame) -> DataFrame:

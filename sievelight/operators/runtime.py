@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..sources.shared import written
+from . import scans
 
 CUTOFF_CALLS, CUTOFF_MEAN_MS = 20_000, 0.05
 
@@ -55,23 +57,20 @@ def worth_rescoring(now: DataFrame, before: DataFrame, key: str = "hash") -> Dat
 
 
 def level_changes(results: DataFrame, key: str = "hash", at: str = "ts", tie: str = "id") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(at, tie)
-    return results.withColumn("before", F.lag("level").over(w)).filter("before is not null and before <> level")
+    return scans.scanned(results, key, [at, tie], before={"before": "level"}).filter("before is not null and before <> level")
 
 
 def lateness(ticks: DataFrame, context: str, ms: str, tie: str, tick: int) -> DataFrame:
-    gap = F.col(ms) - F.lag(ms).over(Window.partitionBy(context).orderBy(ms, tie))
-    a = ticks.withColumn("late", F.when(gap.isNotNull(), F.greatest(F.lit(0), gap - tick))).filter("late is not null")
+    a = scans.scanned(ticks.select(context, ms, tie), context, [ms, tie], before={"_ms": ms})
+    a = a.withColumn("late", F.greatest(F.lit(0), F.col(ms) - F.col("_ms") - tick)).filter("_ms is not null")
     return a.groupBy(context).agg(F.count("*").alias("samples"), F.sum("late").alias("late_ms"), F.max("late").alias("max_late_ms"))
 
 
 def call_times(calls: DataFrame, key: str, order: list[str], ms: str, most: int = CUTOFF_CALLS, mean: float = CUTOFF_MEAN_MS) -> DataFrame:
     """Calls are always counted; they are timed until so many have a mean below the limit."""
-    w = Window.partitionBy(key).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    a = calls.withColumn("_n", F.row_number().over(w)).withColumn("_t", F.sum(ms).over(upto))
+    a = scans.scanned(calls.select(*dict.fromkeys([key, *order, ms])), key, order, sums={"_n": F.lit(1), "_t": F.col(ms)})
     cheap = (F.col("_n") >= most) & (F.col("_t") / F.col("_n") < mean)
-    a = a.withColumn("_cut", F.min(F.when(cheap, F.col("_n"))).over(Window.partitionBy(key)))
+    a = scans.first_of(written(a, "calls"), key, cheap, F.col("_n"), "_cut")
     timed = F.col("_cut").isNull() | (F.col("_n") <= F.col("_cut"))
     return a.groupBy(key).agg(F.count("*").alias("call_count"), F.sum(F.when(timed, F.col(ms)).otherwise(0)).alias("wasm_time_ms"),
         F.max(F.when(timed, F.col(ms))).alias("longest_call_ms"), F.bool_or(F.col("_cut").isNotNull()).alias("timing_stopped"))

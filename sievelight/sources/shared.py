@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +18,11 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='sievelight-')}")
     return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """The rows as a table in the shared folder: they are fixed, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
