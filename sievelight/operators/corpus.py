@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import shared_folder
-
-LEAST, MOST, COVERAGE, COSINE, SIZE_RATIO = 1_024, 20 << 20, 0.9, 0.999, 3.0
-MAX_ROUNDS = 10_000
-#: Rows of a block of vectors, and of one product.
-BLOCK_ROWS, ROWS_AT_ONCE = 2_048, 512
+LEAST, MOST, COVERAGE = 1_024, 20 << 20, 0.9
 
 
 def gate(size: Column, magic: Column, parsed: Column, coverage: Column) -> Column:
@@ -51,80 +42,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(total(a, b) / (F.sqrt(na) * F.sqrt(nb)))
 
 
-def _products(threshold: float, r: float):
-    """Pairs of one cell: products of two blocks of unit vectors, then the size window."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        name, size, part = pdf["name"].to_numpy(), pdf["size"].to_numpy(float), pdf["part"].to_numpy()
-        norm = np.sqrt((x * x).sum(axis=1))
-        unit = x / np.where(norm > 0, norm, 1.0)[:, None]
-        here, there = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
-        out = []
-        for f in range(0, len(here), ROWS_AT_ONCE):
-            at = here[f:f + ROWS_AT_ONCE]
-            near = unit[at] @ unit[there].T
-            near[np.ix_(norm[at] == 0, norm[there] == 0)] = 1.0
-            i, j = np.nonzero(near >= threshold)
-            score, i, j = near[i, j], at[i], there[j]
-            # the smaller name's size opens the window; in a block met with itself each pair is seen from both sides
-            first = name[i] < name[j]
-            once = first if part.min() == part.max() else name[i] != name[j]
-            a, c = np.where(first, i, j), np.where(first, j, i)
-            keep = once & (size[c] >= size[a] / r) & (size[c] < size[a] * r + 1)
-            out.append(pd.DataFrame({"a": name[a[keep]], "c": name[c[keep]], "cosine": score[keep]}))
-        return pd.concat(out)
-    return run
-
-
-def similar_pairs(df: DataFrame, name: str, size: str, vector: str, threshold: float = COSINE, r: float = SIZE_RATIO,
-    block: int = BLOCK_ROWS) -> DataFrame:
-    """Pairs within the size window at or above the threshold. Rows stand in buckets of log size, buckets in blocks of about
-    `block` rows, and each two blocks of one bucket or of neighbouring ones meet in a cell: a task multiplies two
-    blocks of bounded size, whatever the size of a bucket. Vectors of another length, or that hold nulls, are like none."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    bucket = F.floor(F.log(F.greatest(F.col(size), F.lit(1)).cast("double")) / math.log(r)).cast("int")
-    base = df.select(F.col(name).alias("name"), F.col(size).cast("double").alias("size"), v.alias("v"),
-        bucket.alias("b")).filter(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
-    # a few dozen buckets at most: sizes are 64-bit numbers
-    blocks = {row.b: -(-row.n // block) for row in base.groupBy("b").agg(F.count("*").alias("n")).collect()}
-    if not blocks:
-        return base.select(F.col("name").alias("a"), F.col("name").alias("c"), F.col("size").alias("cosine"))
-    of = lambda b: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), b), F.lit(0))
-    own = F.pmod(F.xxhash64("name"), of(F.col("b"))).cast("int")
-    upto = lambda n: F.filter(F.sequence(F.lit(-1), n - 1), lambda x: x >= 0)
-    cell = lambda b, i, j, step: F.struct(b.alias("b"), i.alias("i"), j.alias("j"), F.lit(step).alias("step"))
-    b, i = F.col("b"), F.col("own")
-    cells = F.concat(F.transform(upto(of(b)), lambda j: cell(b, F.least(i, j), F.greatest(i, j), 0)),
-        F.transform(upto(of(b + 1)), lambda j: cell(b, i, j, 1)),
-                     F.transform(upto(of(b - 1)), lambda j: cell(b - 1, j, i, 1)))
-    dealt = base.withColumn("own", own).withColumn("part", F.col("b") * F.lit(1 << 20) + F.col("own")).withColumn("cell", F.explode(cells))
-    return dealt.groupBy("cell", F.size("v")).applyInPandas(lambda pdf: _products(threshold, r)(pdf), "a string, c string, cosine double")
-
-
-def star_clusters(names: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """(name, seed): greedy stars in order of names, as the lexicographically first maximal independent set. A node
-    is a seed when all smaller neighbours are members, a member of its smallest seed when one is a seed."""
-    shared_folder(names.sparkSession)
-    down = pairs.select(F.greatest("a", "c").alias("n"), F.least("a", "c").alias("m")).distinct().checkpoint()
-    state = names.select(F.col(name).alias("n"), F.lit(None).cast("string").alias("s")).checkpoint()  # s: 'seed', 'member' or null
-    for _ in range(MAX_ROUNDS):
-        # what the smaller neighbours are
-        seen = down.join(state.select(F.col("n").alias("m"), "s"),
-            "m").groupBy("n").agg(F.bool_or(F.coalesce(F.col("s") == "seed", F.lit(False))).alias("x"),
-            F.bool_and(F.coalesce(F.col("s") == "member", F.lit(False))).alias("all"))
-        nxt = state.join(seen, "n", "left").select("n",
-            F.coalesce("s", F.when(F.coalesce("x", F.lit(False)), "member").when(F.coalesce("all", F.lit(True)), "seed")).alias("s")).checkpoint()
-        state = nxt
-        if state.filter("s is null").isEmpty():
-            break
-    else:
-        raise RuntimeError("star clusters did not settle")
-    seeds = state.filter("s = 'seed'").select(F.col("n").alias("m"))
-    joined = down.join(seeds, "m").groupBy("n").agg(F.min("m").alias("seed"))
-    return state.filter("s = 'member'").join(joined, "n").select(F.col("n").alias(name),
-        "seed").unionByName(seeds.select(F.col("m").alias(name), F.col("m").alias("seed")))
-
-
 def keep_first(clusters: DataFrame, name: str) -> DataFrame:
     return clusters.groupBy("seed").agg(F.min(name).alias("kept"), (F.count("*") - 1).alias("collapsed"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, ingest, reports, runtime, store
+from ..operators import corpus, graphs, ingest, pairs, reports, runtime, store
 from ..plans import rules
 from ..plans.rules import half_up
 
@@ -250,13 +250,22 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.similar_pairs(vectors(spark, sf_dir), "name", "size", "embedding", 0.35).select("a", F.col("c").alias("b"),
+    return pairs.similar_pairs(vectors(spark, sf_dir), "name", "size", "embedding", 0.35).select("a", F.col("c").alias("b"),
         half_up(F.col("cosine"), 6).alias("cosine"))
 
 
+def tight_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors drawn towards their label's axis, so that pivots tell most cells apart, with sizes of which some are outside each other's windows."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    drawn = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == F.col("label"), 4.0).otherwise(0.0))
+    v = e.select(F.lpad(F.col("vec_id").cast("string"), 8, "0").alias("name"), drawn.alias("v"),
+        ((F.col("vec_id") % 50 + 100) * F.when(F.col("vec_id") % 3 == 0, 4).otherwise(1)).alias("size"))
+    return pairs.similar_pairs(v, "name", "size", "v", 0.95).select("a", F.col("c").alias("b"), half_up(F.col("cosine"), 6).alias("cosine"))
+
+
 def near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return corpus.keep_first(corpus.star_clusters(v, corpus.similar_pairs(v, "name", "size", "embedding", 0.35), "name"), "name")
+    return corpus.keep_first(graphs.star_clusters(v, pairs.similar_pairs(v, "name", "size", "embedding", 0.35), "name"), "name")
 
 
 def sighting_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +282,7 @@ QUERIES = {f.__name__: f for f in (runtime_fold, runtime_findings, fingerprint_j
                                    job_states, next_queued, job_counts, lru_prune, log_cap, memo_antijoin, clear_tab, rate_limit,
                                    frame_dedupe, message_validation, sniff_kind, content_identity, upload_status, page_fingerprints,
                                    exact_dedupe, label_contradictions, corpus_gate, holdout_split,
-                                   near_duplicate_pairs, near_duplicate_clusters, sighting_facts)}
+                                   near_duplicate_pairs, tight_pairs, near_duplicate_clusters, sighting_facts)}
 
 _E = "WITH e AS (SELECT event_id, (epoch_us(ts) // 1000)::BIGINT AS ms, user_id, event_type, value, regexp_extract(props, '(\\d+)', 1)::BIGINT AS k FROM events) "
 _L = _E + ", l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY ms DESC, event_id DESC) = 1), m AS (SELECT k AS fingerprint, event_type AS context, floor(abs(value) * 100)::BIGINT AS t, user_id, k FROM l) "
@@ -326,6 +335,8 @@ ORACLE_SQL = {
     "corpus_gate": "WITH a AS (SELECT lang, doc_id, strlen(text) + CASE WHEN doc_id % 10 = 0 THEN 8 ELSE 0 END AS n FROM documents) SELECT lang, CASE WHEN n < 1024 THEN 'too-small' WHEN n > 20971520 THEN 'too-large' WHEN doc_id % 10 <> 0 AND doc_id % 3 = 0 THEN 'not-wasm-magic' WHEN doc_id % 5 = 0 THEN 'parse-failed' WHEN (doc_id % 10) / 10.0::DOUBLE + 0.15::DOUBLE < 0.9::DOUBLE THEN 'low-coverage' ELSE 'kept' END AS reason, count(*) AS n FROM a GROUP BY ALL",
     "holdout_split": f"SELECT doc_id, right({_SHA}, 1) IN ('0', '1', '2') AS held FROM documents",
     "near_duplicate_pairs": "WITH " + _P + "SELECT a, b, " + _6("c") + " AS cosine FROM p WHERE c >= 0.35",
+    "tight_pairs": "WITH " + _P.replace("vec_id % 50 + 100 AS size", "(vec_id % 50 + 100) * CASE WHEN vec_id % 3 = 0 THEN 4 ELSE 1 END AS size").replace("embedding::DOUBLE[] AS e",
+        "list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i - 1 = label THEN 4 ELSE 0 END) AS e") + "SELECT a, b, " + _6("c") + " AS cosine FROM p WHERE c >= 0.95",
     "near_duplicate_clusters": "WITH RECURSIVE " + _P + """, n AS (SELECT a, b FROM p WHERE c >= 0.35), o AS (SELECT name, row_number() OVER (ORDER BY name) AS i, coalesce(below, []) AS below FROM v LEFT JOIN (SELECT b, list(a) AS below FROM n GROUP BY b) ON b = name),
         w AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS seeds UNION ALL SELECT o.i, CASE WHEN list_has_any(below, seeds) THEN seeds ELSE list_append(seeds, name) END FROM w JOIN o ON o.i = w.i + 1),
         s AS (SELECT unnest(arg_max(seeds, i)) AS seed FROM w), m AS (SELECT b AS name, min(a) AS seed FROM n JOIN s ON a = seed WHERE b NOT IN (SELECT seed FROM s) GROUP BY b UNION ALL SELECT seed, seed FROM s)

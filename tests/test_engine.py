@@ -188,14 +188,14 @@ def test_upserts_of_a_stream_do_not_depend_on_repeats(spark, tmp_path):
 def test_pairs_of_blocks_are_all_pairs(spark):
     import numpy as np
 
-    from sievelight.operators import corpus
+    from sievelight.operators import pairs
 
     rng = np.random.default_rng(3)
     x = rng.normal(size=(160, 4))
     x[5] = x[6] = 0
     size = rng.integers(1, 400, 160)
     df = spark.createDataFrame([(f"n{i:03d}", int(s), v.tolist()) for i, (s, v) in enumerate(zip(size, x))], "name string, size long, v array<double>")
-    got = {(r.a, r.c) for r in corpus.similar_pairs(df, "name", "size", "v", 0.7, block=16).collect()}
+    got = {(r.a, r.c) for r in pairs.similar_pairs(df, "name", "size", "v", 0.7, block=16).collect()}
     want = set()
     for i in range(160):
         for j in range(i + 1, 160):
