@@ -98,3 +98,21 @@ def known(artifacts: DataFrame, results: DataFrame, key: str = "hash") -> DataFr
     rest = [c for c in results.columns if c != key]
     a = artifacts.join(results.select(F.col(key).alias("_k"), F.struct(*rest).alias("result")), F.col(key) == F.col("_k"), "left")
     return a.withColumn("status", F.when(F.col("_k").isNotNull(), "complete").otherwise("queued")).drop("_k")
+
+
+#: Stored artifacts and results.
+ARTIFACTS = "hash long, size long, first_seen long, last_seen long, seen_count long, last_page_url string"
+RESULTS = "hash long, at long, id long, value string"
+
+
+def artifacts_of_both(old: Column, new: Column) -> dict[str, Column]:
+    """An artifact seen before and again: what upsert_artifacts makes of all its sightings. What it was put in with stays."""
+    later = F.struct(new["last_seen"], new["last_page_url"]) > F.struct(old["last_seen"], old["last_page_url"])
+    return {"size": F.greatest(old["size"], new["size"]), "first_seen": F.least(old["first_seen"], new["first_seen"]), "last_seen": F.greatest(old["last_seen"], new["last_seen"]),
+            "seen_count": old["seen_count"] + new["seen_count"], "last_page_url": F.when(later, new["last_page_url"]).otherwise(old["last_page_url"])}
+
+
+def last_of_both(old: Column, new: Column) -> dict[str, Column]:
+    """The later write wins, of equal times the one of the larger id, whichever batch it came in."""
+    later = F.coalesce(F.struct(new["at"], new["id"]) >= F.struct(old["at"], old["id"]), F.lit(True))
+    return {c: F.when(later, new[c]).otherwise(old[c]) for c in ("at", "id", "value")}

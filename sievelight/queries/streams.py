@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import store
 from ..plans import rules
 from ..plans.rules import half_up
+from ..sources.tables import Stored
 from ..streaming import keyed
 from . import modules, telemetry
 
@@ -53,7 +55,29 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.alerted(results, FILES)
 
 
-QUERIES = {f.__name__: f for f in (stream_intake, stream_rescored, stream_alerts)}
+def _stored(rows: DataFrame, table_of, made_of, combine) -> DataFrame:
+    """A stored table after all files of rows have been merged into it, each by a run of its own."""
+    def run(stream: DataFrame, target: str, checkpoint: str) -> None:
+        table = table_of(target)
+        table.create(stream.sparkSession)
+        stream.writeStream.foreachBatch(lambda batch, epoch: table.merge(made_of(batch), epoch, combine) and None).option("checkpointLocation",
+            checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return keyed.in_files(rows, "ts", FILES, run)
+
+
+def stored_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = telemetry.sightings(spark, sf_dir).select((F.col("hash") * 1_000 + F.col("id") % 40).alias("hash"), "page_url", "ts", (F.col("hash") * 10).alias("size"))
+    done = _stored(s, lambda path: Stored(path, "hash", store.ARTIFACTS, 16), store.upsert_artifacts, store.artifacts_of_both)
+    return done.select("hash", "size", "first_seen", "last_seen", "seen_count", "last_page_url", "first_batch")
+
+
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = telemetry.events(spark, sf_dir).select(F.col("k").alias("hash"), F.col("ms").alias("ts"), F.col("ms").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("value"))
+    done = _stored(e, lambda path: Stored(path, "hash", store.RESULTS, 16), lambda b: store.latest(b.drop("ts"), "hash", "at", "id"), store.last_of_both)
+    return done.select("hash", F.col("id").alias("event_id"), F.col("value").alias("event_type"))
+
+
+QUERIES = {f.__name__: f for f in (stream_intake, stream_rescored, stream_alerts, stored_artifacts, stored_results)}
 
 _E = telemetry._E
 _6 = telemetry._6
@@ -113,6 +137,10 @@ r AS (WITH RECURSIVE q AS (SELECT user_id, i, ms AS start, 1 AS c FROM o WHERE i
     FROM q JOIN o ON o.user_id = q.user_id AND o.i = q.i + 1) SELECT * FROM q)
 SELECT user_id, event_id, CASE WHEN k < 20 THEN 'known' ELSE 'queued' END AS status FROM r JOIN o USING (user_id, i) WHERE c <= {RATE}""",
     "stream_rescored": _E + ", " + modules._M.strip().removeprefix("WITH ") + "," + _STREAMED,
+    "stored_artifacts": telemetry._S + f""", w AS (SELECT min(ts) AS low, max(ts) AS high FROM s),
+t AS (SELECT hash * 1000 + id % 40 AS hash, hash * 10 AS size, page_url, ts, CASE WHEN ts < low + (high - low) * 1 // {FILES} THEN 0 WHEN ts < low + (high - low) * 2 // {FILES} THEN 1 ELSE 2 END AS f FROM s, w)
+SELECT hash, max(size) AS size, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS seen_count, max({{'t': ts, 'p': page_url}}).p AS last_page_url, min(f) AS first_batch FROM t GROUP BY hash""",
+    "stored_results": telemetry.ORACLE_SQL["result_upsert"],
     "stream_alerts": _E + f""",
 a AS (SELECT user_id % 5 AS viewer, event_id AS id, ms, coalesce(CASE WHEN user_id % 13 > 0 THEN 'o' || user_id % 13 END, 'unknown page') || '|'
     || CASE WHEN k >= 75 THEN 'critical' ELSE 'high' END || '|' || CASE WHEN k < 99 THEN k::VARCHAR ELSE 'none' END AS alert_key FROM e WHERE k >= 50),

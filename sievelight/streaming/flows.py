@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import store
 from ..operators.ingest import gate
 from ..sources.shared import shared_folder
+from ..sources.tables import Stored
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +53,14 @@ def rate_limited(e: DataFrame, rate: int, window: int) -> DataFrame:
         GroupStateTimeout.NoTimeout)
 
 
-def merged(e: DataFrame, target: str, checkpoint: str):
-    """Upserts each micro-batch into a table of versions; a failed batch is written again under its own number."""
+def merged(e: DataFrame, target: str, checkpoint: str, buckets: int = 64):
+    """Upserts the last write of each context into a stored table: one row a context, whatever batches come or are repeated."""
+    table = Stored(target, "hash", store.RESULTS, buckets)
+    table.create(e.sparkSession)
+
     def write(batch: DataFrame, epoch: int) -> None:
-        latest_state(batch).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        last = store.latest(batch.select(F.col("user_id").alias("hash"), F.col("ms").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("value")), "hash", "at", "id")
+        table.merge(last, epoch, store.last_of_both)
     return e.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
