@@ -5,17 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import uuid
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import modules
 from ..functions.wasm import number
-from ..sources.shared import shared_folder
+from ..sources.shared import written
 from .modules import ratio
 
 # The opcodes that have a column and a token of their own, in schema order.
@@ -30,6 +31,8 @@ FEATURE_NAMES = ["log_byteLength", "log_instructionCount", "log_functionCount",
                  "log_memoryGrowSites", "dataSection_share", "stripped", "coverage", "has_kernel", "kernel_bitwiseRatio",
                  "kernel_arithmeticRatio", "kernel_callRatio", "log_kernel_loopSize", *[f"op_{o}" for o in VOCABULARY]]
 EPOCHS, RATE, L2 = 400, 0.3, 0.01
+#: Tasks that sum up what others have summed, where there are four times as many or more.
+TREE = 64
 
 
 def vectorise(features: DataFrame) -> DataFrame:
@@ -167,49 +170,112 @@ def check_model(model: dict) -> None:
         raise ValueError("model version does not fit its content")
 
 
-def train(df: DataFrame, names: list[str], vector: str = "vector", label: str = "label", epochs: int = EPOCHS, rate: float = RATE,
-    l2: float = L2) -> dict:
-    """Weighted logistic regression by batch gradient descent. Each epoch is one pass of partial sums over the
-    stored vectors; only one gradient a partition comes back."""
-    stats = {r.i: r for r in standardiser(df, vector).collect()}
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        raise ValueError("nothing to train on")
-    if len(counts) < 2:
-        raise ValueError("one class only")
-    mean, sd = ([stats[i][k] for i in range(len(names))] for k in ("mean", "sd"))
-    total = sum(counts.values())
-    cw = {k: total / (2 * n) for k, n in counts.items()}
-    packed = df.select(scaled(F.col(vector), mean, sd).alias("x"), F.col(label).cast("double").alias("y")).persist()
-    w, b, losses = np.zeros(len(names)), 0.0, []
+def _blocks(df: DataFrame, vector: str, label: str, fold: str | None) -> DataFrame:
+    """Vectors of a fold in blocks: (fold, x, y), matrices as bytes, so that no epoch reads lists again."""
+    rows = df.select((F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"), F.col(vector).alias("x"), F.col(label).cast("double").alias("y"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = b.column(0).to_numpy()
+            x, y = np.array(b.column(1).to_pylist(), np.float64), b.column(2).to_numpy()
+            own = np.unique(f)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([x[f == k].tobytes() for k in own], pa.binary()), pa.array([y[f == k].tobytes() for k in own], pa.binary())], ["fold", "x", "y"])
+    return rows.filter("y is not null").mapInArrow(run, "fold int, x binary, y binary")
+
+
+def _opened(batches: Iterable[pa.RecordBatch], columns: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for b in batches:
+        for f, x, y in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            yield f, np.frombuffer(x).reshape(-1, columns), np.frombuffer(y)
+
+
+def _summed(blocks: DataFrame, partial, tasks: int) -> np.ndarray:
+    """The sum of what `partial` makes of each task's blocks. Where there are many tasks, sums of theirs are summed up first, so
+    that the driver gets some hundred."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = partial(batches)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(hashlib.md5(total.tobytes()).digest()[:4], "little") % TREE]), pa.array([total.tobytes()], pa.binary())], ["slot", "g"])
+
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(g) for b in batches for g in b.column(1).to_pylist()]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())], ["slot", "g"])
+    sums = blocks.mapInArrow(run, "slot long, g binary")
+    if tasks > 4 * TREE:
+        sums = sums.repartition(TREE, "slot").mapInArrow(added, "slot long, g binary")
+    parts = sorted(bytes(r.g) for r in sums.collect())  # in an order that does not depend on which task was first
+    return np.sum([np.frombuffer(g) for g in parts], axis=0) if parts else np.zeros(0)
+
+
+def _moments(columns: int, folds_: int, centre: np.ndarray | None):
+    """Of each fold: rows of label 1 and of all, sums of columns, and of their squares about the centre."""
+    def run(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((folds_, 2 + 2 * columns))
+        for f, x, y in _opened(batches, columns):
+            x = x if centre is None else x - centre
+            out[f] += np.concatenate(([(y == 1).sum(), len(y)], x.sum(axis=0), (x * x).sum(axis=0)))
+        return out.ravel()
+    return run
+
+
+def _gradients(w: np.ndarray, b: np.ndarray, mean: np.ndarray, sd: np.ndarray, k1: np.ndarray, k0: np.ndarray, centre: np.ndarray, held: np.ndarray):
+    """Gradients and loss of all models at once: a matrix of weights against each block. held: the fold that a model may not see."""
+    def run(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
+        models, columns = w.shape
+        v, shift = (w / sd).T, b - (mean / sd * w).sum(axis=1)
+        g, e_sum, loss = np.zeros((models, columns)), np.zeros(models), np.zeros(models)
+        for f, x, y in _opened(batches, columns):
+            x = x - centre
+            p = 1 / (1 + np.exp(-np.clip(x @ v + shift, -700, 700)))
+            k = np.where(y[:, None] == 1, k1, k0) * (held != f)
+            e = k * (p - y[:, None])
+            g += e.T @ x
+            e_sum += e.sum(axis=0)
+            q = np.clip(p, 1e-12, 1 - 1e-12)
+            loss -= (k * (y[:, None] * np.log(q) + (1 - y[:, None]) * np.log(1 - q))).sum(axis=0)
+        return np.concatenate(((g - e_sum[:, None] * mean) / sd, e_sum[:, None], loss[:, None]), axis=1).ravel()
+    return run
+
+
+def _descended(df: DataFrame, names: list[str], vector: str, label: str, epochs: int, rate: float, l2: float, fold: str | None, held: list[int]) -> list[dict]:
+    """A model for each of `held`, trained on all rows of other folds, in one job an epoch for all of them together."""
+    columns, folds_ = len(names), max([0, *held]) + 1
+    blocks = written(_blocks(df, vector, label, fold), "blocks").persist()
+    tasks = blocks.rdd.getNumPartitions()
     try:
+        # about the mean of all rows, so that squares don't swallow a spread far from zero
+        first = _summed(blocks, _moments(columns, folds_, None), tasks).reshape(-1, 2 + 2 * columns).sum(axis=0)
+        if not len(first) or not first[1]:
+            raise ValueError("nothing to train on")
+        centre = first[2:2 + columns] / first[1]
+        per = _summed(blocks, _moments(columns, folds_, centre), tasks).reshape(folds_, -1)
+        seen = np.stack([per.sum(axis=0) - (per[f] if f >= 0 else 0) for f in held])
+        ones, total = seen[:, 0], seen[:, 1]
+        if (ones == 0).any() or (ones == total).any():
+            raise ValueError("one class only")
+        mean = seen[:, 2:2 + columns] / total[:, None]
+        sd = np.maximum(np.sqrt(np.maximum(seen[:, 2 + columns:] / total[:, None] - mean ** 2, 0.0)), 1e-9)
+        k1, k0 = total / (2 * ones), total / (2 * (total - ones))
+        w, b, losses = np.zeros((len(held), columns)), np.zeros(len(held)), []
         for epoch in range(epochs):
-            got = packed.mapInPandas(_gradients(w, b, cw.get(1, 1.0), cw.get(0, 1.0)), "g array<double>, loss double").collect()
-            g, loss = np.sum([r.g for r in got], axis=0), sum(r.loss for r in got)
-            w, b = w - rate * (g[:-1] / total + l2 * w), b - rate * g[-1] / total
+            got = _summed(blocks, _gradients(w, b, mean, sd, k1, k0, centre, np.array(held)), tasks).reshape(len(held), columns + 2)
+            w, b = w - rate * (got[:, :columns] / total[:, None] + l2 * w), b - rate * got[:, columns] / total
             if epoch % max(1, epochs // 20) == 0 or epoch == epochs - 1:
-                losses.append(loss / total)
+                losses.append(got[:, -1] / total)
     finally:
-        packed.unpersist()
-    model = {"schema": list(names), "weights": w.tolist(), "bias": float(b), "mean": mean, "sd": sd, "losses": losses}
-    return model | {"version": model_version(model)}
-
-
-def _gradients(w, b, w1, w0):
-    def run(batches):
-        g, loss = np.zeros(len(w) + 1), 0.0
-        for pdf in batches:
-            x, y = np.array(pdf["x"].tolist()).reshape(len(pdf), len(w)), pdf["y"].to_numpy()
-            p = 1 / (1 + np.exp(-np.clip(x @ w + b, -700, 700)))
-            k = np.where(y == 1, w1, w0)
-            e = k * (p - y)
-            g += np.append(e @ x, e.sum())
-            q = np.clip(p, 1e-12, 1 - 1e-12)
-            loss -= (k * (y * np.log(q) + (1 - y) * np.log(1 - q))).sum()
-        import pandas as pd
+        blocks.unpersist()
+    models = []
+    for i in range(len(held)):
+        model = {"schema": list(names), "weights": w[i].tolist(), "bias": float(b[i]), "mean": (mean[i] + centre).tolist(), "sd": sd[i].tolist(), "losses": [float(x[i]) for x in losses]}
+        models.append(model | {"version": model_version(model)})
+    return models
 
-        yield pd.DataFrame({"g": [g.tolist()], "loss": [loss]})
-    return run
+
+def train(df: DataFrame, names: list[str], vector: str = "vector", label: str = "label", epochs: int = EPOCHS, rate: float = RATE, l2: float = L2) -> dict:
+    """Weighted logistic regression by batch gradient descent, one job of partial sums over stored blocks an epoch. Rows without a
+    label are left out."""
+    return _descended(df, names, vector, label, epochs, rate, l2, None, [-1])[0]
 
 
 def confusion(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:
@@ -263,12 +329,9 @@ def folds(df: DataFrame, key: str, k: int = 5, label: str | None = None) -> Data
 def cross_validate(df: DataFrame, names: list[str], key: str, k: int = 5, vector: str = "vector", label: str = "label",
     epochs: int = 60) -> DataFrame:
     """Each row with the probability of a model that has not seen its fold; one class in a fold's rest is refused."""
-    dealt = folds(df, key, k, label)
-    path = f"{shared_folder(df.sparkSession)}/folds-{uuid.uuid4().hex}"
-    dealt.write.parquet(path)
-    dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
-    parts = [predict(dealt.filter(F.col("fold") == f), train(dealt.filter(F.col("fold") != f), names, vector, label, epochs),
-        vector).drop("contributions") for f in range(k)]
+    dealt = written(folds(df, key, k, label), "folds")
+    models = _descended(dealt, names, vector, label, epochs, RATE, L2, "fold", list(range(k)))
+    parts = [predict(dealt.filter(F.col("fold") == f), models[f], vector).drop("contributions") for f in range(k)]
     return reduce(DataFrame.unionByName, parts)
 
 
