@@ -1,9 +1,10 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
 Every word and tag of a page has a weight by the elements it stands in, learned as log-odds from labelled pages: by their
-names, and by how they stand among the others (mostly links, a named box among plain paragraphs, beside the article).
-A linear scan finds the contiguous run of the largest sum. Inside the run, words that stand in elements of
-negative weight (an advert, a comment thread) are left out. All passes over a page are linear in its length.
+names, by what they hold (mostly links, a thread of like boxes, an offer), and by where they stand (beside the article). A box
+inside an article whose name is unknown stays unless what it holds speaks against it: figures, code, notes, quotes and
+lists of references are such boxes. A linear scan finds the contiguous run of the largest sum. Inside the run, words that stand in
+elements of negative weight (an advert, a comment thread) are left out. All passes over a page are linear in its length.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from .common import small_batches, table
 TRAINING_PAGES, SEED = 800, 7
 #: Share of their boxes whose names the learner can't know; names need this many pages to be learned.
 UNKNOWN, LEAST_PAGES = 0.25, 2
-PLAIN = {"<html", "<body", "<div", "<p", "<ul", "<li", "<a", "<section", "<span", "<b", "<table", "<tr", "<td", "<h1", "<h2", "<blockquote"}
+PLAIN = {"<html", "<body", "<div", "<p", "<ul", "<li", "<a", "<section", "<span", "<b", "<table", "<tr", "<td", "<h1", "<h2", "<blockquote",
+         "<ol", "<dl", "<dt", "<dd", "<th", "<tbody", "<i", "<em", "<strong"}
 #: A tag's weight, and a word's before its elements are known.
 TAG_WEIGHT, WORD_WEIGHT = -0.6, 0.5
 #: The least that a word counts in the scan. Noise inside content counts nothing, however long it is; it is left out in any case.
@@ -47,6 +49,18 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"}
 #: Elements that hold others; mostly links in one is a menu, while a paragraph may be one link.
 BOXES = {"div", "ul", "ol", "dl", "section", "nav", "aside", "table", "header", "footer", "menu"}
+#: What only articles hold, wherever they have a box of their own for it.
+RICH = {"pre", "code", "figure", "figcaption", "blockquote", "q", "dl", "cite", "math"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Share of a run's words by which an element is what they are the text of.
+HOME = 0.8
+#: Share of the words of a page's paragraphs by which a box is its text.
+TEXT = 0.6
+# Words of offers and of readers' talk, in the languages of the names below.
+OFFERS = {"advertisement", "advert", "sponsored", "promoted", "sale", "discount", "buy", "shop", "subscribe", "offer", "anzeige", "werbung", "rabatt", "kaufen", "gesponsert",
+          "publicité", "sponsorisé", "acheter", "soldes", "publicidad", "patrocinado", "comprar", "oferta", "descuento"}
+TALK = {"reply", "replies", "comment", "comments", "commented", "says", "wrote", "ago", "upvote", "likes", "antworten", "kommentar", "kommentare", "schrieb", "sagt", "répondre",
+        "commentaire", "commentaires", "responder", "comentario", "comentarios", "dijo"}
 CLOSES |= {t: {"p"} for t in BLOCK if t not in CLOSES and t not in ("body", "html", "head")}
 
 #: As browsers read it: a quote matters only behind "=", and a tag that never ends takes the rest of the page with it.
@@ -162,37 +176,62 @@ def parse(page: str) -> Tree:
 
 
 def _add_structure(t: Tree) -> None:
-    """Marks of how an element stands among the others, which no name tells."""
+    """Marks of what an element holds and where it stands, which no name tells."""
     n = len(t.tags)
-    words, linked, prose = [0] * n, [0] * n, [0] * n
+    words, linked, prose, rich, headed, offers, talks = ([0] * n for _ in range(7))
     in_link, article = [False] * n, [False] * n
+    alike: list[dict] = [{} for _ in range(n)]  # children of one name
+    ends, paragraphs = [0] * n, [0] * n  # the last child that holds prose, and how many are paragraphs
     for i in range(1, n):
-        in_link[i] = in_link[t.parents[i]] or t.tags[i] == "a"
-        article[i] = article[t.parents[i]] or t.tags[i] in ("article", "main")
-        prose[t.parents[i]] += t.tags[i] == "p"
+        parent = t.parents[i]
+        in_link[i] = in_link[parent] or t.tags[i] == "a"
+        article[i] = article[parent] or t.tags[i] in ("article", "main")
+        rich[i], headed[i] = t.tags[i] in RICH, t.tags[i] in HEADINGS
+        if t.tags[i] in PROSE:
+            ends[parent] = i
+            paragraphs[parent] += t.tags[i] == "p"
+        if t.tags[i] in BOXES or t.tags[i] in ("li", "article"):
+            alike[parent][t.marks[i]] = alike[parent].get(t.marks[i], 0) + (len(t.marks[i]) > 1)
     for kind, what, i in t.items:
         if kind == "text":
-            k = len(what.split())
-            words[i] += k
-            linked[i] += k * in_link[i]
+            said = what.split()
+            words[i] += len(said)
+            linked[i] += len(said) * in_link[i]
+            if t.tags[i] in PROSE:
+                prose[t.parents[i]] += len(said)
+            low = [w.strip(".,:;!?()").lower() for w in said]
+            offers[i] += sum(w in OFFERS for w in low)
+            talks[i] += sum(w in TALK for w in low)
+    own = prose[:]
     for i in range(n - 1, 0, -1):
-        words[t.parents[i]] += words[i]
-        linked[t.parents[i]] += linked[i]
+        for sums in (words, linked, prose, rich, headed, offers, talks):
+            sums[t.parents[i]] += sums[i]
     main = max((i for i in range(1, n) if t.tags[i] in ("article", "main")), key=lambda i: (words[i], -i), default=0)
+    # without an element that says so, the innermost box with most of the words of paragraphs
+    text = 0 if main else max((i for i in range(1, n) if t.tags[i] in BOXES and prose[i] > TEXT * prose[0]), default=0)
     above, up = {0}, main
     while up:
         above.add(up)
         up = t.parents[up]
     for i in range(1, n):
         tag, parent, more = t.tags[i], t.parents[i], []
-        if article[parent] and tag in ("header", "footer"):
+        named = len(t.marks[i]) > 1
+        if (article[parent] or own[parent] and t.tags[parent] in BOXES) and tag in ("header", "footer", "aside"):
             t.marks[i] = (f"<{tag} in article", *t.marks[i][1:])
-        if tag in BOXES and words[i] and 2 * linked[i] >= words[i]:
+        # a list of references has no name of its own, or stands in an article's last box
+        if tag in BOXES and words[i] and 2 * linked[i] >= words[i] and (named or tag in ("nav", "menu") or not (article[parent] or own[parent])):
             more.append("?links")
-        if tag == "div" and len(t.marks[i]) > 1 and prose[parent] > 1:
-            more.append("?named among paragraphs")
+        if named and tag in BOXES and not rich[i]:
+            # what stands behind the last of its parent's paragraphs, and has none of its own: like boxes in a row, or readers' talk
+            most = max(alike[i].values(), default=0)
+            if 0 < ends[parent] < i and not paragraphs[i] and (most > 1 and not headed[i] or (most or headed[i]) and talks[i]):
+                more.append("?thread")
+            if offers[i] and words[i] <= 60 and not headed[i]:
+                more.append("?offer")
         if main and parent in above and parent != main and i not in above and tag in BLOCK:
             more.append("?beside the article")
+        if text and parent == t.parents[text] and i != text and named and tag in BOXES and not rich[i] and not headed[i] and t.marks[i] != t.marks[text] and 2 * words[i] <= words[text]:
+            more.append("?beside the text")
         if more:
             t.marks[i] = (*t.marks[i], *more)
 
@@ -221,27 +260,28 @@ def extract(page: str | None, weights: Weights) -> str:
     """The main text: blocks in page order, joined by a line end. Null, empty and textless pages: ''."""
     t = parse(page or "")
     weight, content = weigh(t, weights)
-    items: list[tuple[str, float]] = []  # text, or "\n" where a block begins or ends, and weight
+    items: list[tuple[str, float, int]] = []  # text, or "\n" where a block begins or ends, its weight and element
     best, best_at, run, run_from = 0.0, (0, 0), 0.0, 0
     for kind, what, i in t.items:
         noise = _noise(weight[i])
         if kind == "text":
             # words of one stretch have one weight, so its sum is taken at once
             value = len(what.split()) * max(WORD_WEIGHT + weight[i], NOISE_WEIGHT)
-            items.append((what, WORD_WEIGHT + weight[i]))
+            items.append((what, WORD_WEIGHT + weight[i], i))
         else:
             value = TAG_WEIGHT
             if kind == "block":
-                items.append(("\n", 0.0))
+                items.append(("\n", 0.0, i))
             elif what == "br":
-                items.append((" ", math.inf))
+                items.append((" ", math.inf, i))
         run += 0.0 if noise and content[i] else value
         if run <= 0:
             run, run_from = 0.0, len(items)
         elif run > best:
             best, best_at = run, (run_from, len(items))
+    begin, end = _whole(t, items, *best_at)
     blocks, now = [], []
-    for text, value in [*items[best_at[0]:best_at[1]], ("\n", 0.0)]:
+    for text, value, _ in [*items[begin:end], ("\n", 0.0, 0)]:
         if text == "\n" and value == 0.0:
             # references are those of one text node each
             if block := " ".join("".join(map(decoded, now)).split()):
@@ -252,6 +292,38 @@ def extract(page: str | None, weights: Weights) -> str:
     return "\n".join(blocks)
 
 
+def _whole(t: Tree, items: list[tuple[str, float, int]], begin: int, end: int) -> tuple[int, int]:
+    """A headline, a caption or a last line may have fewer words than its tags weigh. The innermost element that holds at least HOME of
+    the run's words is what they are the text of: the run is drawn out to its ends. Noise in it stays out."""
+    held: dict[int, int] = defaultdict(int)
+    total = 0
+    for text, value, i in items[begin:end]:
+        if value > 0 and value != math.inf:
+            n = len(text.split())
+            held[i] += n
+            total += n
+    if not total:
+        return begin, end
+    # children stand behind their parents
+    n = len(t.tags)
+    words = [0] * n
+    for i, k in held.items():
+        words[i] = k
+    for i in range(n - 1, 0, -1):
+        words[t.parents[i]] += words[i]
+    home = max(i for i in range(n) if words[i] >= HOME * total)
+    # a single paragraph is the text of what it stands in
+    while home and t.tags[home] not in BOXES and t.tags[home] not in ("article", "main"):
+        home = t.parents[home]
+    if t.tags[home] in ("", "html", "body"):
+        return begin, end
+    inside = [False] * n
+    for i in range(home, n):
+        inside[i] = i == home or inside[t.parents[i]]
+    at = [k for k, (_, _, i) in enumerate(items) if inside[i]]
+    return (min(begin, at[0]), max(end, at[-1] + 1)) if at else (begin, end)
+
+
 # Parts of the labelled pages. Names that sites give to what is, and is not, their article.
 CONTENT = ["article", "main", "div.content", "div.article", "div.post", "div.entry", "section.story", "div.text", "div#body",
     "section.article", "main.content", "div.main", "div.page"]
@@ -287,17 +359,30 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
     rng, out = random.Random(seed), []
     for _ in range(n):
         words = lambda c, a, b: " ".join(f"{c}{rng.randrange(10**9)}" for _ in range(rng.randint(a, b)))
-        unknown = lambda known, tag: f"{tag}.x{rng.randrange(10**9)}" if rng.random() < UNKNOWN else rng.choice(known)
+        fresh = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(6))
+        unknown = lambda known, tag: f"{tag}.{fresh()}" if rng.random() < UNKNOWN else rng.choice(known)
         noise = lambda: _element(
             unknown(NOISE, "div"), rng.choice(["<ul>" + "".join(f'<li><a href="/x">{words("z", 1, 2)}</a></li>' for _ in range(rng.randint(2, 8))) + "</ul>", words("z", 3, 40), f'<p>{words("z", 5, 40)}</p>' * rng.randint(1, 3)]))
-        parts = [rng.choice([f"<p>{words('a', 8, 60)}</p>", f"<h2>{words('a', 2, 6)}</h2>",
+        box = lambda inside: f"<{(b := rng.choice(['div', 'section', 'aside' if rng.random() < 0.2 else 'div']))} class='{fresh()}'>{inside}</{b}>"
+        links = lambda c: "<ul>" + "".join(f"<li><a href='/x'>{words(c, 1, 6)}</a></li>" for _ in range(rng.randint(2, 8))) + "</ul>"
+        # boxes of an article, under names that say nothing, and what stands in them
+        boxed = lambda: rng.choice([box(f"<pre>{words('a', 3, 30)}</pre>"), box(words("a", 5, 40)), box(f"<p>{words('a', 3, 90)}</p>"), links("a"),
+                                    box(f"<h2>{words('a', 1, 5)}</h2><p>{words('a', 10, 40)}</p><p>{words('a', 10, 40)}</p>"),
+                                    f"<figure>{words('a', 1, 3)}<figcaption>{words('a', 3, 20)}</figcaption></figure>", box(f"<blockquote>{words('a', 5, 30)}</blockquote>")])
+        # inside an article, boxes that nobody knows are told by what they hold
+        kin = fresh()
+        told = lambda: box(rng.choice([links("z"), f"{words('z', 2, 20)} {rng.choice(sorted(OFFERS))} {words('z', 1, 10)}",
+                                       "".join(f"<div class='{kin}'><p>{words('z', 4, 40)}</p></div>" for _ in range(rng.randint(2, 6)))]))
+        parts = [boxed() if rng.random() < 0.25 else rng.choice([f"<p>{words('a', 8, 60)}</p>", f"<h2>{words('a', 2, 6)}</h2>",
             f"<ul><li>{words('a', 3, 12)}</li><li>{words('a', 3, 12)}</li></ul>",
                              f"<blockquote>{words('a', 5, 20)}</blockquote>",
                              f"<p><b>{words('a', 2, 5)}</b> {words('a', 5, 30)} <a href='y'>{words('a', 1, 3)}</a></p>",
                              f"<table><tr><td>{words('a', 2, 6)}</td></tr></table>",
                              f"<div>{words('a', 5, 30)}</div>"]) for _ in range(rng.randint(3, 9))]
         if rng.random() < 0.5:
-            parts.insert(rng.randrange(1, len(parts)), noise())
+            parts.insert(rng.randrange(1, len(parts)), _element(rng.choice(NOISE), words("z", 3, 40)))
+        if rng.random() < 0.4:
+            parts.append(told())
         inner = f"<h1>{words('a', 3, 8)}</h1>" + "".join(parts)
         if rng.random() < 0.3:
             inner = f"<header>{inner[:inner.find('</h1>') + 5]}</header>{inner[inner.find('</h1>') + 5:]}"
