@@ -60,20 +60,19 @@ def token_id(name: str) -> int:
 
 
 def sequences(decoded: DataFrame, length: int = SEQUENCE_LENGTH, most: int = SEQUENCE_FUNCTIONS) -> DataFrame:
-    """hash, tokens (CLS, up to four functions joined by SEP, padded) and real_tokens. The kernel's function comes
-    first, then larger ones, then by index; a function that doesn't fit is cut to a window that begins at its
-    largest loop, moved back where the function ends before the room does."""
+    """hash, tokens (CLS, up to four functions joined by SEP, padded) and real_tokens, of modules with functions. The kernel's
+    function comes first, then larger ones, then by index; a function that doesn't fit is cut to a window that begins at its
+    largest loop, moved back where the function ends before the room does. All of it is done inside the module's row."""
     ids = F.create_map(*[F.lit(x) for i, n in enumerate(VOCABULARY) for x in (n, len(SPECIAL) + i)])
-    fn = modules.functions(decoded)
-    good = (F.col("largest_loop") >= modules.KERNEL_LOOP) & (F.col("n_float") == 0) & (F.col("call_ratio") < modules.KERNEL_CALLS)
-    best = F.max(F.when(good, F.struct("bitwise_ratio", "largest_loop", (-F.col("func_idx")).alias("o")))).over(Window.partitionBy("hash"))
-    fn = fn.withColumn("_kernel", (-F.col("func_idx")).eqNullSafe(best["o"]))
-    head = F.array_max(F.transform("loops", lambda x: F.struct(x["size"].alias("s"), (-x["header"]).alias("h"))))["h"]
-    fn = fn.withColumn("item", F.struct((~F.col("_kernel")).alias("a"), (-F.col("n")).alias("b"), F.col("func_idx").alias("c"),
-        F.coalesce(-head, F.lit(0)).cast("int").alias("head"),
-        F.transform("listing", lambda x: F.coalesce(F.try_element_at(ids, x["name"]), F.lit(4))).alias("t")))
-    per = Window.partitionBy("hash").orderBy("item.a", "item.b", "item.c")
-    top = fn.withColumn("_r", F.row_number().over(per)).filter(F.col("_r") <= most).groupBy("hash").agg(F.sort_array(F.collect_list("item")).alias("fs"))
+    best = F.array_max(F.transform(F.filter("functions", modules.is_kernel), lambda f: F.struct(ratio(modules.cat(f, "bitwise"), f["n"]).alias("b"),
+        modules.largest_loop(f).alias("l"), (-f["func_idx"]).alias("o"))))["o"]
+    head = lambda f: F.array_max(F.transform(f["loops"], lambda x: F.struct(x["size"].alias("s"), (-x["header"]).alias("h"))))["h"]
+    place = lambda f: F.struct((~(-f["func_idx"]).eqNullSafe(F.col("_best"))).alias("a"), (-f["n"]).alias("b"), f["func_idx"].alias("c"),
+        F.coalesce(-head(f), F.lit(0)).cast("int").alias("head"), f["listing"].alias("l"))
+    first = F.slice(F.array_sort(F.transform("functions", place), lambda x, y: _before(x, y, "a", "b", "c")), 1, most)
+    # only functions that are taken are turned to tokens
+    tokens = F.transform(first, lambda f: F.struct(f["head"].alias("head"), F.transform(f["l"], lambda x: F.coalesce(F.try_element_at(ids, x["name"]), F.lit(4))).alias("t")))
+    top = decoded.filter(F.size("functions") > 0).withColumn("_best", best).select("hash", tokens.alias("fs"))
 
     def add(acc: Column, f: Column) -> Column:
         joint = F.when(F.size(acc) > 1, 1).otherwise(0)
@@ -86,6 +85,14 @@ def sequences(decoded: DataFrame, length: int = SEQUENCE_LENGTH, most: int = SEQ
         F.size("real").cast("long").alias("real_tokens"))
 
 
+def _before(x: Column, y: Column, *fields: str) -> Column:
+    """Order of structs by their first fields."""
+    out = F.lit(0)
+    for f in reversed(fields):
+        out = F.when(x[f] < y[f], -1).when(x[f] > y[f], 1).otherwise(out)
+    return out
+
+
 def sequence_job(files: DataFrame, order: str = "name") -> tuple[DataFrame, DataFrame]:
     """(name, label, bytes) to the sequences of a training set and one row of counters.
 
@@ -97,7 +104,7 @@ def sequence_job(files: DataFrame, order: str = "name") -> tuple[DataFrame, Data
     first = a.groupBy("hash").agg(F.min(F.struct("label", order)).alias("r"), F.count("*").alias("copies"))
     one = a.join(first, (a["hash"] == first["hash"]) & (a["label"].eqNullSafe(F.col("r")["label"])) & (a[order] == F.col("r")[order]),
         "left_semi").dropDuplicates(["hash"])
-    decoded = modules.decode(one, listings=True)
+    decoded = written(modules.decode(one, listings=True), "decoded")
     kernel = modules.features(decoded).select("hash", F.col("kernel").isNotNull().alias("kernel"))
     made = sequences(decoded).join(kernel, "hash").join(first.select("hash", F.col("r.label").alias("label"),
         F.col(f"r.{order}").alias("source")), "hash")

@@ -76,19 +76,24 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def _cat(f: Column, name: str) -> Column:
+def cat(f: Column, name: str) -> Column:
     return F.get(f["cats"], F.lit(CATEGORIES.index(name)))
 
 
-def _largest_loop(f: Column) -> Column:
+def largest_loop(f: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(f["loops"], lambda x: x["size"])), F.lit(0))
 
 
+def is_kernel(f: Column) -> Column:
+    """Whether a function is a kernel candidate: a long loop, no floats, hardly a call."""
+    return (largest_loop(f) >= KERNEL_LOOP) & (cat(f, "float") == 0) & (ratio(cat(f, "call"), f["n"]) < KERNEL_CALLS)
+
+
 def functions(decoded: DataFrame) -> DataFrame:
     """One row a decoded function with its conditional counts, ratios and largest loop."""
     a = decoded.select("hash", F.explode("functions").alias("f"))
     f = F.col("f")
-    a = a.select("hash", "f.*", *[_cat(f, c).alias(f"n_{c}") for c in CATEGORIES], _largest_loop(f).alias("largest_loop"),
+    a = a.select("hash", "f.*", *[cat(f, c).alias(f"n_{c}") for c in CATEGORIES], largest_loop(f).alias("largest_loop"),
         f["indirect"].alias("n_indirect"))
     n = F.col("n")
     return (a.withColumn("bitwise_ratio", ratio(F.col("n_bitwise"), n)).withColumn("arithmetic_ratio",
@@ -114,11 +119,10 @@ def features(decoded: DataFrame) -> DataFrame:
     a = decoded.filter("ok").withColumn("_cats", F.aggregate(
         fs, F.array_repeat(F.lit(0).cast("long"), len(CATEGORIES)), lambda m, f: F.zip_with(m, f["cats"], lambda x, y: x + y)))
     n = F.col("instruction_count")
-    kernels = F.transform(F.filter(fs, lambda f: (_largest_loop(f) >= KERNEL_LOOP) & (_cat(f, "float") == 0) & (ratio(_cat(f, "call"),
-        f["n"]) < KERNEL_CALLS)), lambda f: F.struct(
-        ratio(_cat(f, "bitwise"), f["n"]).alias("bitwise_ratio"), _largest_loop(f).alias("largest_loop"), (-f["func_idx"]).alias("order"),
-        ratio(_cat(f, "bitwise") + _cat(f, "integer"), f["n"]).alias("arithmetic_ratio"),
-        ratio(_cat(f, "call"), f["n"]).alias("call_ratio"), f["func_idx"].alias("func_idx")))
+    kernels = F.transform(F.filter(fs, is_kernel), lambda f: F.struct(
+        ratio(cat(f, "bitwise"), f["n"]).alias("bitwise_ratio"), largest_loop(f).alias("largest_loop"), (-f["func_idx"]).alias("order"),
+        ratio(cat(f, "bitwise") + cat(f, "integer"), f["n"]).alias("arithmetic_ratio"),
+        ratio(cat(f, "call"), f["n"]).alias("call_ratio"), f["func_idx"].alias("func_idx")))
     own = F.coalesce(F.get("memories", 0), F.get(F.filter("imports", lambda i: i["kind"] == "memory"), 0)["limits"])
     a = a.select(
         "hash", "byte_length", "function_count", "skipped", "data_bytes", "ops", "warnings",

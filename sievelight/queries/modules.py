@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import wasm
 from ..operators import ml, modules
 from ..plans import rules
+from ..sources.shared import written
 
 
 def _spread(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -136,6 +137,22 @@ def opcode_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.size(F.filter("tokens", lambda t: t == 4)).cast("long").alias("others"))
 
 
+def shape_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens of modules of several functions, in full and where only 40 have room."""
+    d = written(modules.decode(shaped_modules(spark, sf_dir, "nested", "kernels", "many"), listings=True), "decoded")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    whole = ml.sequences(d).select("hash", text("tokens").alias("tokens"), "real_tokens")
+    short = ml.sequences(d, 40).select("hash", text("tokens").alias("short"))
+    return whole.join(short, "hash").select(F.col("hash").cast("long").alias("p_partkey"), "tokens", "real_tokens", "short")
+
+
+def shape_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 73 columns of modules of several shapes."""
+    v = ml.vectorise(modules.features(modules.decode(shaped_modules(spark, sf_dir, "nested", "kernels", "many", "broken", "declared"))))
+    z = v.select(F.col("hash").cast("long").alias("p_partkey"), F.posexplode("vector").alias("i", "v"))
+    return z.select("p_partkey", F.get(F.array(*map(F.lit, ml.FEATURE_NAMES)), F.col("i")).alias("name"), rules.half_up(F.col("v"), 6).alias("value"))
+
+
 def module_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = modules.decode(shaped_modules(spark, sf_dir))
     f = modules.features(d)
@@ -214,7 +231,7 @@ def stale_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (module_scorecard, module_features, module_kernels, module_findings, module_scores, opcode_histogram,
     category_counts, threshold_probe, instruction_budget, wat_header, instruction_rows,
-                                   module_summary, feature_vectors, opcode_sequences, module_shapes, shape_functions, stored_functions,
+                                   module_summary, feature_vectors, opcode_sequences, shape_sequences, shape_vectors, module_shapes, shape_functions, stored_functions,
                                    shape_wat, shape_budget, foreign_bytes, risk_breakdown, hero_figures, findings_by_layer, alert_dedupe,
                                    stale_hashes)}
 
@@ -271,6 +288,53 @@ _SHAPE_COLUMNS = {
     "kernel": "CASE WHEN shape = 'nested' AND s >= 34 OR shape = 'kernels' THEN 0::BIGINT WHEN shape = 'many' AND s >= 6 THEN 2499 END",
     "kernel_loop": "CASE WHEN shape = 'nested' AND s >= 34 THEN 6 + s WHEN shape = 'kernels' THEN 41 + 4 * s WHEN shape = 'many' AND s >= 6 THEN 7 * s + 1 END",
 }
+# the functions of a module in the order of its sequence, as names, and where the largest loop of the first begins
+_REPEAT = lambda names, n: f"flatten(list_transform(range(0, {n}), lambda i: {names}))"
+_TURN = "['local.get', 'local.get', 'i32.xor', 'drop']"
+_ORDERED = _SHAPED + f""", o AS (SELECT p_partkey, shape, s,
+    CASE shape WHEN 'nested' THEN ['block', 'loop'] || {_REPEAT("['local.get']", "s")} || ['if', 'br', 'else', 'br_if', 'end', 'end', 'end', 'local.get', 'if', 'nop', 'end', 'end']
+        WHEN 'kernels' THEN ['loop'] || {_REPEAT(_TURN, "10 + s")} || ['end', 'end']
+        ELSE ['loop'] || {_REPEAT("['local.get', 'i32.eqz', 'drop', 'local.get', 'local.get', 'i32.xor', 'drop']", "s")} || ['end', 'end'] END AS t1,
+    CASE shape WHEN 'nested' THEN ['end'] WHEN 'kernels' THEN ['loop'] || {_REPEAT(_TURN, "20 + s")} || {_REPEAT("['call']", "2 + s")} || ['end', 'end'] ELSE ['i32.const', 'drop', 'end'] END AS t2,
+    CASE shape WHEN 'nested' THEN NULL WHEN 'kernels' THEN ['loop'] || {_REPEAT(_TURN, "10 + s")} || ['end', 'end'] ELSE ['i32.const', 'drop', 'end'] END AS t3,
+    CASE shape WHEN 'many' THEN ['i32.const', 'drop', 'end'] END AS t4, CASE shape WHEN 'nested' THEN 1 ELSE 0 END AS h1
+    FROM a WHERE shape IN ('nested', 'kernels', 'many')),
+i AS (SELECT p_partkey, h1, """ + ", ".join(f"list_transform(t{k}, lambda x: coalesce(list_position({ml.VOCABULARY}, x) + {len(ml.SPECIAL) - 1}, 4)::BIGINT) AS t{k}" for k in (1, 2, 3, 4)) + " FROM o)"
+
+
+def _joined(length: int, name: str) -> str:
+    """A sequence of so many tokens: functions one after the other, each cut to the room that is left."""
+    out = f"{name}0 AS (SELECT *, [2::BIGINT] AS acc FROM i)"
+    for k in (1, 2, 3, 4):
+        room, head = f"({length} - len(acc) - (len(acc) > 1)::INT)", "h1" if k == 1 else "0"
+        begin = f"greatest(least({head}, len(t{k}) - {room}), 0)"
+        out += f""", {name}{k} AS (SELECT * EXCLUDE (acc), CASE WHEN t{k} IS NULL OR {room} <= 0 THEN acc ELSE acc || CASE WHEN len(acc) > 1 THEN [5::BIGINT] ELSE [] END
+            || CASE WHEN len(t{k}) <= {room} THEN t{k} ELSE t{k}[{begin} + 1:{begin} + {room}] END END AS acc FROM {name}{k - 1})"""
+    return out + f", {name} AS (SELECT p_partkey, len(acc)::BIGINT AS n, array_to_string(acc || list_transform(range(0, {length} - len(acc)), lambda i: 0::BIGINT), ' ') AS tokens FROM {name}4)"
+
+
+_LEB = lambda n: f"(CASE WHEN {n} < 128 THEN 1 WHEN {n} < 16384 THEN 2 ELSE 3 END)"
+_SECTION = lambda n: f"(1 + {_LEB(f'({n})')} + ({n}))"
+_BODY = lambda n: f"({_LEB(f'({n})')} + ({n}))"
+# bytes of a module, section by section
+_BYTES = _by_shape(nested="8 + 6 + 5 + " + _SECTION("1 + " + _BODY("24 + 2 * s") + " + 3"), broken="8 + 6 + 5 + 11 + " + _SECTION("1 + " + _BODY("s + 3") + " + 4"), declared="165 + s",
+    kernels="8 + 6 + 6 + " + _SECTION("1 + 2 * " + _BODY("67 + 6 * s") + " + " + _BODY("131 + 8 * s")), many="8 + 6 + 2505 + " + _SECTION("2 + 14994 + " + _BODY("7 + 10 * s")))
+_OPS = {"local.get": _by_shape(nested="s + 1", many="3 * s", kernels="80 + 6 * s"), "i32.xor": _by_shape(many="s", kernels="40 + 3 * s"), "call": _by_shape(kernels="2 + s"),
+    "br_if": _by_shape(nested="1"), "br": _by_shape(nested="1"), "loop": _by_shape(nested="1", many="1", kernels="3"), "block": _by_shape(nested="1"), "if": _by_shape(nested="2"),
+    "memory.grow": _by_shape(declared="1")}
+_KERNEL = {"kernel_bitwiseRatio": _by_shape(kernels="(10 + s)::DOUBLE / (43 + 4 * s)", many="s::DOUBLE / (7 * s + 3)", other="0.0::DOUBLE"),
+    "kernel_arithmeticRatio": _by_shape(kernels="(10 + s)::DOUBLE / (43 + 4 * s)", many="2.0::DOUBLE * s / (7 * s + 3)", other="0.0::DOUBLE"),
+    "kernel_callRatio": "0.0::DOUBLE", "log_kernel_loopSize": "ln(1.0::DOUBLE + coalesce(kernel_loop, 0))"}
+_LN = lambda c: f"ln(1.0::DOUBLE + {c})"
+_PER = lambda a, b: f"CASE WHEN {b} = 0 THEN 0 ELSE ({a})::DOUBLE / ({b}) END"
+_VECTOR = {"log_byteLength": _LN("bytes"), "log_instructionCount": _LN("instruction_count"), "log_functionCount": _LN("function_count"), "log_importedFunctionCount": _LN("imported_functions"),
+    "log_exportCount": _LN("export_count"), "exports_per_function": _PER("export_count", "function_count"), "bitwiseRatio": _PER("n_bitwise", "instruction_count"),
+    "floatRatio": _PER("n_float", "instruction_count"), **{f"cat_{c}": _PER(f"n_{c}", "instruction_count") if f"n_{c}" in _SHAPE_COLUMNS else "0" for c in
+        ("control", "call", "variable", "memory", "integer", "bitwise", "float", "simd", "atomic", "reference", "other")},
+    "loops_per_function": _PER("total_loops", "function_count"), "backEdges_per_function": _PER("total_back_edges", "function_count"), "log_maxNesting": _LN("max_nesting"),
+    "indirectCall_ratio": "0", "log_memoryInitialPages": _LN("memory_initial_pages"), "memory_bounded": "0", "memoryShared": "0", "log_memoryGrowSites": _LN("memory_grow_sites"),
+    "dataSection_share": _PER("data_bytes", "bytes"), "stripped": "stripped::INT", "coverage": _PER("decoded_functions", "decoded_functions + truncated_functions"), "has_kernel": "(kernel IS NOT NULL)::INT", **_KERNEL,
+    **{f"op_{o}": _PER(f'"{o}"', "instruction_count") if o in _OPS else "0" for o in ml.VOCABULARY}}
 _CATS = {"control": "4", "call": "0", "variable": "3 * r + 2", "memory": "0", "integer": "r + 3", "bitwise": "2 * r", "float": "0",
     "simd": "0", "atomic": "1", "reference": "0", "other": "0"}
 ORACLE_SQL = {
@@ -316,6 +380,11 @@ ORACLE_SQL = {
     "feature_vectors": _M + """SELECT p_partkey, 73::BIGINT AS columns, floor(ln(1.0::DOUBLE + n) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS log_instructions, floor(bw * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS bitwise_ratio,
         floor(r::DOUBLE / n * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS xor_share, 1.0::DOUBLE AS coverage FROM b""",
     "opcode_sequences": _M + """SELECT p_partkey, 512::BIGINT AS length, least(n + 1, 512) AS real_tokens, r AS rotl, least(r + 2, r + 2) + 1 + 1 + 1 + 2 AS others FROM m""",
+    "shape_sequences": _ORDERED + ", " + _joined(512, "w") + ", " + _joined(40, "q")
+        + " SELECT w.p_partkey, w.tokens, w.n AS real_tokens, q.tokens AS short FROM w JOIN q USING (p_partkey)",
+    "shape_vectors": _SHAPED + ", b AS (SELECT p_partkey, shape, s, " + ", ".join(f'{v} AS "{k}"' for k, v in (_SHAPE_COLUMNS | _OPS).items()) + f", {_BYTES} AS bytes FROM a"
+        " WHERE shape IN ('nested', 'kernels', 'many', 'broken', 'declared')), v AS (SELECT p_partkey, unnest([" + ", ".join(f"{{'name': '{k}', 'value': ({v})::DOUBLE}}" for k, v in _VECTOR.items())
+        + "]) AS x FROM b) SELECT p_partkey, x.name AS name, floor(x.value * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS value FROM v",
     "risk_breakdown": _M + "SELECT level, count(*) AS n, floor(count(*)::DOUBLE / sum(count(*)) OVER () * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS share FROM h GROUP BY level",
     "hero_figures": _M + "SELECT count(*) FILTER (rank >= 3) AS flagged, max(score) AS peak, count(DISTINCT p_brand) AS sites FROM h",
     "findings_by_layer": _M + "SELECT p_partkey, count(*) AS static_findings, 0::BIGINT AS runtime_findings, 0::BIGINT AS model_findings FROM g GROUP BY p_partkey",
