@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import scans
 
 LEAST, MOST, COVERAGE = 1_024, 20 << 20, 0.9
 
@@ -46,9 +47,7 @@ def keep_first(clusters: DataFrame, name: str) -> DataFrame:
     return clusters.groupBy("seed").agg(F.min(name).alias("kept"), (F.count("*") - 1).alias("collapsed"))
 
 
-def largest_first(files: DataFrame) -> DataFrame:
-    return files.orderBy(F.desc("length"), "path")
-
-
-def first_in_group(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_r = 1").drop("_r")
+def largest_first(files: DataFrame, folder: str) -> DataFrame:
+    """Adds the place of each file in its folder, the largest first, by path where sizes are equal; a folder of any size is counted
+    by ranges."""
+    return scans.scanned(files.withColumn("_size", -F.col("length")), folder, ["_size", "path"], sums={"place": F.lit(1).cast("long")}).drop("_size")

@@ -146,8 +146,9 @@ def dot(x: Column, weights: list[float]) -> Column:
     return F.aggregate(F.zip_with(x, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda m, v: m + v)
 
 
-def predict(df: DataFrame, model: dict, vector: str = "vector") -> DataFrame:
-    check_model(model)
+def predict(df: DataFrame, model: dict, vector: str = "vector", names: list[str] | None = None) -> DataFrame:
+    """Probability and largest contributions. names: those of the vector's columns, held against the model's."""
+    check_model(model, names)
     x = scaled(F.col(vector), model["mean"], model["sd"])
     return df.withColumn("probability", sigmoid(dot(x, model["weights"]) + F.lit(model["bias"]))).withColumn("contributions",
         contributions(x, model["weights"], model["schema"]))
@@ -167,8 +168,12 @@ def model_version(model: dict) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def check_model(model: dict) -> None:
+def check_model(model: dict, names: list[str] | None = None) -> None:
+    """Refuses a model that is not whole, or whose columns are not, by name and in order, those that it is to be used on."""
     n = len(model["schema"])
+    if names is not None and list(names) != list(model["schema"]):
+        other = next((f"{a} where {b} is" for a, b in zip(names, model["schema"], strict=False) if a != b), f"{len(names)} columns, not {n}")
+        raise ValueError(f"the model was made for other columns: {other}")
     if not all(len(model[k]) == n for k in ("weights", "mean", "sd")):
         raise ValueError("model columns differ in number")
     if not all(math.isfinite(x) for k in ("weights", "mean", "sd") for x in model[k]) or not math.isfinite(model["bias"]):

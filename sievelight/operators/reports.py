@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from . import scans
 
 from .ingest import host
 
@@ -23,6 +28,16 @@ def ordered(report: DataFrame, missing: int = -1) -> DataFrame:
     return report.orderBy(F.coalesce("score", F.lit(missing)).desc(), F.col("last_seen").desc(), "hash")
 
 
+def placed(report: DataFrame, group: str, missing: int = -1) -> DataFrame:
+    """Adds the place of each row in its group's report, from 1, in the order of `ordered`; a group of any size is counted by ranges."""
+    keyed = report.withColumns({"_score": -F.coalesce("score", F.lit(missing)), "_seen": -F.col("last_seen")})
+    return scans.scanned(keyed, group, ["_score", "_seen", "hash"], sums={"place": F.lit(1).cast("long")}).drop("_score", "_seen")
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def blind_spots(notes: DataFrame, sightings: DataFrame) -> DataFrame:
     """Notes whose URL is not the most recent URL of a captured hash."""
     return notes.join(latest_sightings(sightings).select("url").distinct(), "url", "left_anti")

@@ -77,6 +77,21 @@ def without_tab(tab: Column, *stores: DataFrame) -> list[DataFrame]:
     return [s.filter(~F.col("tab_id").eqNullSafe(tab)) for s in stores]
 
 
+#: The stores, and those that hold rows of a tab.
+STORES = ("artifacts", "blobs", "sightings", "notes", "events", "results", "runtime", "fingerprints", "scripts", "externalScripts")
+TAB_STORES = ("sightings", "notes", "runtime", "scripts", "externalScripts")
+
+
+def clear_tab(tab: Column, stores: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All stores, those that hold rows of a tab without this tab's."""
+    return {n: without_tab(tab, s)[0] if n in TAB_STORES else s for n, s in stores.items()}
+
+
+def clear_all(stores: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All stores, with their columns and no rows; nothing is read."""
+    return {n: s.sparkSession.createDataFrame([], s.schema) for n, s in stores.items()}
+
+
 def unseen(artifacts: DataFrame, results: DataFrame, key: str = "hash") -> DataFrame:
     """Memoisation: only what has no result is analysed."""
     return artifacts.join(results.select(key), key, "left_anti")

@@ -25,11 +25,11 @@ def standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.predict(samples(spark, sf_dir), MODEL).select("vec_id", half_up(F.col("probability"), 6).alias("probability"))
+    return ml.predict(samples(spark, sf_dir), MODEL, names=NAMES).select("vec_id", half_up(F.col("probability"), 6).alias("probability"))
 
 
 def top_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = ml.predict(samples(spark, sf_dir), MODEL).select("vec_id", F.posexplode("contributions").alias("place", "c"))
+    a = ml.predict(samples(spark, sf_dir), MODEL, names=NAMES).select("vec_id", F.posexplode("contributions").alias("place", "c"))
     return a.select("vec_id", F.col("place").cast("long").alias("place"), half_up(F.col("c.value"), 5).alias("value"))
 
 

@@ -333,7 +333,7 @@ _VECTOR = {"log_byteLength": _LN("bytes"), "log_instructionCount": _LN("instruct
         ("control", "call", "variable", "memory", "integer", "bitwise", "float", "simd", "atomic", "reference", "other")},
     "loops_per_function": _PER("total_loops", "function_count"), "backEdges_per_function": _PER("total_back_edges", "function_count"), "log_maxNesting": _LN("max_nesting"),
     "indirectCall_ratio": "0", "log_memoryInitialPages": _LN("memory_initial_pages"), "memory_bounded": "0", "memoryShared": "0", "log_memoryGrowSites": _LN("memory_grow_sites"),
-    "dataSection_share": _PER("data_bytes", "bytes"), "stripped": "stripped::INT", "coverage": _PER("decoded_functions", "decoded_functions + truncated_functions"), "has_kernel": "(kernel IS NOT NULL)::INT", **_KERNEL,
+    "dataSection_share": _PER("data_bytes", "bytes"), "stripped": "stripped::INT", "coverage": _PER("decoded_functions", "decoded_functions + truncated_functions"), "has_kernel": "(kernel IS NOT NULL)::INT", **{k: f"CASE WHEN kernel IS NULL THEN 0 ELSE {v} END" for k, v in _KERNEL.items()},
     **{f"op_{o}": _PER(f'"{o}"', "instruction_count") if o in _OPS else "0" for o in ml.VOCABULARY}}
 _CATS = {"control": "4", "call": "0", "variable": "3 * r + 2", "memory": "0", "integer": "r + 3", "bitwise": "2 * r", "float": "0",
     "simd": "0", "atomic": "1", "reference": "0", "other": "0"}

@@ -68,9 +68,10 @@ def write_model(spark: SparkSession, model: dict, path: str) -> None:
     _write_text(spark, path, json.dumps(model))
 
 
-def read_model(spark: SparkSession, path: str) -> dict:
+def read_model(spark: SparkSession, path: str, names: list[str] | None = None) -> dict:
+    """names: the columns that the model is to be used on; one made for others is refused."""
     model = json.loads(_read_text(spark, path))
-    ml.check_model(model)
+    ml.check_model(model, names)
     return model
 
 

@@ -65,3 +65,13 @@ def test_refused(spark, data):
         ml.train(_frame(spark, x, np.ones_like(y)), list("abcdef"))
     with pytest.raises(ValueError, match="nothing"):
         ml.train(_frame(spark, x, y).filter(F.lit(False)), list("abcdef"))
+
+
+def test_model_of_other_columns_is_refused(spark, data):
+    x, y = data
+    df = _frame(spark, x, y)
+    model = ml.train(df, list("abcdef"), epochs=2)
+    assert ml.predict(df, model, names=list("abcdef")).count() == 500
+    for names, said in ((list("abdcef"), "d where c is"), (list("abcde"), "5 columns, not 6"), ([*"abcdefg"], "7 columns, not 6")):
+        with pytest.raises(ValueError, match=said):
+            ml.predict(df, model, names=names)
