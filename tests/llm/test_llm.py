@@ -467,9 +467,9 @@ def test_grammar_against_a_second_reading():
                 if w in ("idiot", "kill"):
                     want[near("you") + 2 * near("not") + 4 * ("said" in seen[:i]) + 8 * (w == "kill")] += 1
                 elif w == "rotten" and (near("you") or abusive):
-                    want[toxicity.WEAK_AT + (0 if not abusive else 1 + near("you"))] += 1
+                    want[toxicity.WEAK_AT + (not near("you")) + 2 * near("not") + 4 * ("said" in seen[:i])] += 1
                 elif w == "rotten":
-                    suspect = True
+                    suspect |= not near("not") and "said" not in seen[:i]
                     continue
                 else:
                     want[toxicity.AFTER] += w == "you" and "idiot" in seen[max(0, i - toxicity.REACH):i]
@@ -479,8 +479,16 @@ def test_grammar_against_a_second_reading():
             want[toxicity.MANY] += emitted > 1
         got = toxicity.features(text, model, scan)
         if suspects > 1:
-            want[toxicity.AGAIN] = suspects - 1
-        assert got[:toxicity.DENSE] == pytest.approx([np.log1p(want[i]) for i in range(toxicity.DENSE)]), text
+            want[toxicity.AGAIN], want[toxicity.DENSE] = suspects - 1, 100 * suspects / (1 + text.count("."))
+        assert got == pytest.approx([np.log1p(want[i]) for i in range(toxicity.N_FEATURES)]), text
+
+
+def test_weak_stems_are_negated_and_reported_like_others():
+    model = toxicity.Model(stems=("idiot",), weak=("rot",))
+    scan = model.scanner()
+    of = lambda t: toxicity.score_of(toxicity.features(t, model, scan), model)
+    assert of("You are rot.") > of("You are not rot.") > of("") and of("You are rot.") > of("He said you are rot.")
+    assert of("The rot. A rot lies here.") > of("Not rot. He said rot.") == of("A rot lies here.") == of("")
 
 
 def test_toxicity_held_out(spark):
