@@ -488,7 +488,7 @@ def test_weak_stems_are_negated_and_reported_like_others():
     scan = model.scanner()
     of = lambda t: toxicity.score_of(toxicity.features(t, model, scan), model)
     assert of("You are rot.") > of("You are not rot.") > of("") and of("You are rot.") > of("He said you are rot.")
-    assert of("The rot. A rot lies here.") > of("Not rot. He said rot.") == of("A rot lies here.") == of("")
+    assert of("The rot. A rot lies here.") > of("Not rot. It said rot.") == of("A rot lies here.") == of("")
 
 
 def test_toxicity_held_out(spark):
