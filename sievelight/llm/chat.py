@@ -32,7 +32,8 @@ def examples(conversations: DataFrame) -> DataFrame:
     Turns are ordered by turn, then role and text (ties, repeated rows). Null roles and texts are empty, a null
     conv_id is a conversation of its own. Where other turns follow the last reply, one more example holds them
     with nothing to train (loss_length 0, loss_start null), so the output has every turn. A conversation is the unit of work: its
-    examples grow with the square of its turns, as each holds all before it. Other columns are left out.
+    examples grow with the square of its turns, as each holds all before it. Texts of any length are kept whole. Other columns are
+    left out, so none can clash. An empty table gives an empty one.
     """
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -182,8 +182,9 @@ def verdict(rules: list[Rule]) -> Column:
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` with its statistics, base_failed, rule (which rejects; 0: none) and kept.
 
-    Null texts have no words and fail the base rules. Columns of `docs` with these names are replaced; ties,
-    repeated rows and null ids need no care, as each row is judged alone.
+    Null and empty texts have no words and fail the base rules. Columns of `docs` with these names are replaced; ties,
+    repeated rows and null ids need no care, as each row is judged alone. Texts of any length are counted whole, inside the row. An
+    empty table gives an empty one; without labels only the base rules judge.
     """
     judged = statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", verdict(train(docs, labels)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

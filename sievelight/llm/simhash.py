@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, k: int = MAX_DIFFERENCE) -> DataFrame:
 
     Null and wordless texts have fingerprint 0 and are linked like any other. Equal fingerprints are collapsed
     before links are searched, so copies cost nothing. Null ids take part but never name a component unless it
-    has no other id. An empty table gives an empty result.
+    has no other id. Repeated rows give rows of their own. Texts of any length are read whole. Only doc_id and text are read, so
+    other columns can't clash. An empty table gives an empty result.
     """
     fps = spill(fingerprints(docs), "simhash-fps")
     first = spill(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
@@ -294,7 +295,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near copies: of each component one row stays, that of the smallest id (null ids last;
     among equal ids, that of the smallest hash of the text). Rows that share an id but no text are judged apart, and rows
-    with a null id follow their component like others. Other columns pass through, whatever their names.
+    with a null id follow their component like others. Other columns pass through, whatever their names. Null texts are like empty
+    ones, of which one stays. Texts of any length are compared whole. An empty table gives an empty one.
 
     Copies are texts with a Jaccard similarity of 0.8 or more in their 5-word shingles (`copies`), not the 4 bits of
     `near_duplicates`, which are the contract of `op1_simhash`: 4 of 64 bits stand for a similarity of about 0.96."""

@@ -272,7 +272,8 @@ def score_of(x: list[float], model: Model) -> float:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with score (0 to 1) of its whole texts; null and empty texts get the score of no emission.
-    Other columns pass through; one named score is replaced. Each row is judged alone."""
+    Other columns pass through; one named score is replaced. Each row is judged alone, so repeated rows and null ids need no care. Texts of
+    any length are read whole, in linear time. An empty table gives an empty one."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
