@@ -10,6 +10,7 @@ from ..functions import wasm
 from ..operators import ingest, intake, ml, reports, runtime, store
 from ..plans import rules
 from ..plans.rules import half_up
+from ..sources.shared import written
 from . import modules, telemetry
 
 _KERNEL = "struct<bitwise_ratio:double,largest_loop:bigint,order:bigint,arithmetic_ratio:double,call_ratio:double,func_idx:bigint>"
@@ -112,6 +113,7 @@ def classifier_against_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = modules.assessed(spark, sf_dir).select("hash", (F.col("hash").cast("long") % 2).alias("label"),
         rules.unit_score(F.col("score")).alias("baseline"),
                                                F.least(F.lit(1.0), F.col("bitwise_ratio") * 2 + F.col("n_atomic") * 0.1).alias("probability"))
+    a = written(a, "scores")  # read twice, decoded once
     f1 = lambda score: ml.rates(ml.confusion(a, score, "label")).select("f1")
     both = f1("probability").withColumnRenamed("f1", "model").join(F.broadcast(f1("baseline").withColumnRenamed("f1", "rules")))
     return both.select(half_up(F.col("model"), 6).alias("model_f1"), half_up(F.col("rules"), 6).alias("rules_f1"),

@@ -43,14 +43,20 @@ def windowed(e: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFra
 
 
 def rate_limited(e: DataFrame, rate: int, window: int) -> DataFrame:
-    """Windows restart at the first event after the last one ends; a frame's state is its window's start and count."""
+    """Windows restart at the first event after the last one ends; a frame's state is its window's start and count. Once the watermark has passed
+    a window's end, its state goes: the next event begins a new window in any case. What is later than a window is dropped."""
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches)).sort_values(["ms", "event_id"], kind="stable")
         allowed, now = gate(pdf["ms"].tolist(), tuple(state.get) if state.exists else None, rate, window)
         state.update(now)
+        state.setTimeoutTimestamp(max(now[0] + window, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "allowed": allowed})
+    e = e.withWatermark("at", f"{window} milliseconds")
     return e.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean", "start long, n long", "append",
-        GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def merged(e: DataFrame, target: str, checkpoint: str, buckets: int = 64):
