@@ -20,7 +20,8 @@ from ..sources.shared import written
 from .modules import ratio
 
 # The opcodes that have a column and a token of their own, in schema order.
-VOCABULARY = ("i32.add i32.sub i32.mul i32.and i32.or i32.xor i32.shl i32.shr_u i32.shr_s i32.rotl i32.rotr i64.add i64.mul i64.xor i64.shl i64.rotl i32.load i32.store i64.load i64.store "
+VOCABULARY = ("i32.add i32.sub i32.mul i32.and i32.or i32.xor i32.shl i32.shr_u i32.shr_s i32.rotl i32.rotr i64.add i64.mul i64.xor i64.shl i64.rotl i32.load "
+    "i32.store i64.load i64.store "
               "local.get local.set local.tee global.get call call_indirect br_if br loop block if return f64.add f64.mul f32.add f32.mul memory.grow memory.size").split()
 SPECIAL = ("PAD", "MASK", "CLS", "UNK", "OTHER", "SEP")
 SEQUENCE_LENGTH, SEQUENCE_FUNCTIONS = 512, 4

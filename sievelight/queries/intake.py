@@ -93,21 +93,29 @@ o AS (SELECT doc_id, b, CASE WHEN doc_id % 13 = 0 THEN 'undecodable' WHEN doc_id
 _P = "floor({} * {}.0::DOUBLE + 0.5) / {}.0::DOUBLE"
 _4 = lambda x: _P.format(x, 10000, 10000)
 ORACLE_SQL = {
-    "capture_intake": _C + "SELECT doc_id, outcome, CASE WHEN outcome = 'captured' THEN octet_length(b) END AS size, CASE WHEN outcome = 'captured' THEN sha256(b) END AS hash FROM o",
-    "captured_artifacts": _C + "SELECT sha256(b) AS hash, max(octet_length(b)) AS size, min(doc_id) AS first_seen, max(doc_id) AS last_seen, count(*) AS seen_count FROM o WHERE outcome = 'captured' GROUP BY sha256(b)",
-    "skip_intake": telemetry._E + "SELECT sink, event_type AS api, CASE WHEN k % 3 > 0 THEN 'worker' ELSE 'page' END AS context, count(*) AS n FROM e, (VALUES ('events'), ('notes')) v(sink) GROUP BY ALL",
-    "script_intake": scripts._S + "SELECT sha256(source) AS hash, arg_min(doc_id, (doc_id % 100) * 1000000000 + doc_id) AS id, max(length(source)) AS byte_length FROM s GROUP BY sha256(source)",
+    "capture_intake": _C + "SELECT doc_id, outcome, CASE WHEN outcome = 'captured' THEN octet_length(b) END AS size, CASE WHEN outcome = 'captured' THEN sha256(b) END AS hash "
+        "FROM o",
+    "captured_artifacts": _C + "SELECT sha256(b) AS hash, max(octet_length(b)) AS size, min(doc_id) AS first_seen, max(doc_id) AS last_seen, count(*) AS seen_count FROM o WHERE "
+        "outcome = 'captured' GROUP BY sha256(b)",
+    "skip_intake": telemetry._E + "SELECT sink, event_type AS api, CASE WHEN k % 3 > 0 THEN 'worker' ELSE 'page' END AS context, count(*) AS n FROM e, (VALUES ('events'), ('notes')) "
+        "v(sink) GROUP BY ALL",
+    "script_intake": scripts._S + "SELECT sha256(source) AS hash, arg_min(doc_id, (doc_id % 100) * 1000000000 + doc_id) AS id, max(length(source)) AS byte_length FROM s GROUP BY "
+        "sha256(source)",
     "report_snapshot": telemetry._E + "SELECT user_id, floor(max(abs(value)) + 0.5)::BIGINT AS longest_call_ms FROM e GROUP BY user_id",
     "classifier_findings": "WITH p AS (SELECT vec_id, CASE WHEN vec_id % 7 > 0 THEN (vec_id % 101)::DOUBLE / 100 END AS p FROM embeddings), "
         "c AS (SELECT vec_id, CASE WHEN p > 0.6::DOUBLE THEN " + _P.format("least(1.0::DOUBLE, (p - 0.6::DOUBLE) / (0.95::DOUBLE - 0.6::DOUBLE))", 1000, 1000) + " END AS confidence FROM p), "
         "s AS (SELECT *, floor(100 * (1 - exp(-coalesce(18 * confidence, 0) / 50.0::DOUBLE)) + 0.5)::INT AS score FROM c) "
         "SELECT vec_id, confidence, score, CASE WHEN score >= 25 THEN 'medium' WHEN score >= 10 THEN 'low' ELSE 'benign' END AS level FROM s",
     "evidence_records": modules._M + ", i AS (SELECT p_partkey, string_agg(id, ',' ORDER BY weight * confidence DESC, o) AS findings FROM g GROUP BY p_partkey) "
-        "SELECT p_partkey, n AS instruction_count, " + _4("bw") + " AS bitwise_ratio, 0.0::DOUBLE AS float_ratio, 16::BIGINT AS memory_pages, CASE WHEN kernel THEN loop END AS loop_size, score, findings, 'run' AS exports, '{\"websocket\":\"websocket_send\"}' AS signatures FROM b JOIN s USING (p_partkey) LEFT JOIN i USING (p_partkey)",
-    "inspection_lines": modules._M + "SELECT p_partkey, p_partkey || ' | funcs=1 truncated=0 | instrs=' || n || ' | loops=1 nest=1 | bitwise=' || printf('%.1f', " + _P.format("bw * 100", 10, 10) + ") || '% float=0.0% | mem=16p shared=' || shared || ' | warnings=0 | risk=' || score || '/100 ' || level AS line FROM b JOIN (SELECT p_partkey, score, level FROM l) USING (p_partkey)",
+        "SELECT p_partkey, n AS instruction_count, " + _4("bw") + " AS bitwise_ratio, 0.0::DOUBLE AS float_ratio, 16::BIGINT AS memory_pages, CASE WHEN kernel THEN loop END AS loop_size, score, findings, 'run' AS "
+            "exports, '{\"websocket\":\"websocket_send\"}' AS signatures FROM b JOIN s USING (p_partkey) LEFT JOIN i USING (p_partkey)",
+    "inspection_lines": modules._M + "SELECT p_partkey, p_partkey || ' | funcs=1 truncated=0 | instrs=' || n || ' | loops=1 nest=1 | bitwise=' || printf('%.1f', " + _P.format("bw * 100", 10, 10) + ") || '% float=0.0% | mem=16p shared=' || shared || ' | warnings=0 | risk=' || score || '/100 ' || level AS line FROM b JOIN (SELECT p_partkey, score, "
+        "level FROM l) USING (p_partkey)",
     "decode_profile": "SELECT p_partkey, true AS ok, false AS suspect FROM part",
     "union_scorecard": modules._M + ", ev AS (SELECT user_id, regexp_extract(props, '(\\d+)', 1)::INT AS k FROM events), "
-        "a AS (SELECT p_partkey % 10 AS page, score, level FROM l UNION ALL SELECT user_id % 10, k, CASE WHEN k % 4 > 0 THEN CASE WHEN k >= 75 THEN 'critical' WHEN k >= 50 THEN 'high' WHEN k >= 25 THEN 'medium' WHEN k >= 10 THEN 'low' ELSE 'benign' END END FROM ev) "
-        "SELECT page, ['benign', 'low', 'medium', 'high', 'critical'][max(coalesce(list_position(['benign', 'low', 'medium', 'high', 'critical'], level), 1))] AS level, max(score) AS max_score, count(*) AS modules, count(*) FILTER (level IS NULL) AS unanalysed FROM a GROUP BY page",
+        "a AS (SELECT p_partkey % 10 AS page, score, level FROM l UNION ALL SELECT user_id % 10, k, CASE WHEN k % 4 > 0 THEN CASE WHEN k >= 75 THEN 'critical' "
+            "WHEN k >= 50 THEN 'high' WHEN k >= 25 THEN 'medium' WHEN k >= 10 THEN 'low' ELSE 'benign' END END FROM ev) "
+        "SELECT page, ['benign', 'low', 'medium', 'high', 'critical'][max(coalesce(list_position(['benign', 'low', 'medium', 'high', 'critical'], level), 1))] "
+            "AS level, max(score) AS max_score, count(*) AS modules, count(*) FILTER (level IS NULL) AS unanalysed FROM a GROUP BY page",
     "tab_report_shapes": telemetry._E + "SELECT k % 4 = 0 AS valid, count(*) AS n FROM e GROUP BY 1",
 }

@@ -110,10 +110,17 @@ def _descent(epochs: int, seen: str) -> str:
 ORACLE_SQL = {
     "standardise": _V + "SELECT i, " + _6("avg(v)") + " AS mean, " + _6("greatest(stddev_pop(v), 1e-9)") + " AS sd FROM v GROUP BY i",
     "predict": _V + "SELECT vec_id, " + _6("(1 / (1 + exp(-(sum(c) - 0.25::DOUBLE))))") + " AS probability FROM c GROUP BY vec_id",
-    "top_contributions": _V + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(c) DESC, i) - 1 AS place FROM c WHERE c <> 0) SELECT vec_id, place, floor(c * 100000.0::DOUBLE + 0.5) / 100000.0::DOUBLE AS value FROM r WHERE place < 5",
-    "confusion_metrics": _R + ", c AS (SELECT count(*) FILTER (score >= 0.5 AND quality = 1) AS tp, count(*) FILTER (score >= 0.5 AND quality = 0) AS fp, count(*) FILTER (score < 0.5 AND quality = 1) AS fn, count(*) FILTER (score < 0.5 AND quality = 0) AS tn FROM s), d AS (SELECT *, (tp + tn)::DOUBLE / (tp + fp + fn + tn) AS a, tp::DOUBLE / (tp + fp) AS p, tp::DOUBLE / (tp + fn) AS r FROM c)"
+    "top_contributions": _V + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(c) DESC, i) - 1 AS place FROM c WHERE c <> 0) SELECT vec_id, place, floor(c * "
+        "100000.0::DOUBLE + 0.5) / 100000.0::DOUBLE AS value FROM r WHERE place < 5",
+    "confusion_metrics": _R + ", c AS (SELECT count(*) FILTER (score >= 0.5 AND quality = 1) AS tp, count(*) FILTER (score >= 0.5 AND quality = 0) AS fp, count(*) FILTER (score < "
+        "0.5 "
+        ""
+        ""
+        "AND quality = 1) AS fn, count(*) FILTER (score < 0.5 AND quality = 0) AS tn FROM s), d AS (SELECT *, (tp + tn)::DOUBLE / (tp + fp + fn + tn) AS a, "
+        "tp::DOUBLE / (tp + fp) AS p, tp::DOUBLE / (tp + fn) AS r FROM c)"
         " SELECT tp, fp, fn, tn, " + _6("a") + " AS accuracy, " + _6("p") + " AS precision, " + _6("r") + " AS recall, " + _6("(2 * p * r / (p + r))") + " AS f1 FROM d",
-    "roc_auc": _R + ", w AS (SELECT sum(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0 END) / count(*) AS auc FROM s p, s n WHERE p.quality = 1 AND n.quality = 0) SELECT " + _6("auc") + " AS auc FROM w",
+    "roc_auc": _R + ", w AS (SELECT sum(CASE WHEN p.score > n.score THEN 1.0::DOUBLE WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0 END) / count(*) AS auc FROM s p, s n "
+        "WHERE p.quality = 1 AND n.quality = 0) SELECT " + _6("auc") + " AS auc FROM w",
     "holdout_folds": _FOLDS + "SELECT label, fold, count(*) AS n FROM d GROUP BY ALL",
     "train_logistic": "WITH RECURSIVE d AS (SELECT vec_id, embedding::DOUBLE[] AS v, (label = 0)::INT AS label, 0 AS fold FROM embeddings), " + _descent(400, "true")
         + f", e AS (SELECT w, b FROM g WHERE epoch = 400) SELECT 'v' || i AS name, {_6('w[i + 1]')} AS weight FROM e, (SELECT unnest(range(64)) AS i) UNION ALL SELECT 'bias', {_6('b')} FROM e",

@@ -88,14 +88,17 @@ QUERIES = {f.__name__: f for f in (text_shares, capture_sizes, long_scripts, scr
 _6, _S = telemetry._6, telemetry._S
 _PLACE = "row_number() OVER (PARTITION BY tab_id ORDER BY coalesce(CASE WHEN hash % 3 > 0 THEN {} END, {}) DESC, ts DESC, id) AS place"
 ORACLE_SQL = {
-    "text_shares": "WITH b AS (SELECT doc_id, octet_length(encode(text[1:400])) AS n, doc_id % 60 AS z FROM documents), s AS (SELECT doc_id, CASE WHEN n + z = 0 THEN 0 ELSE n::DOUBLE / (n + z) END AS s FROM b) "
+    "text_shares": "WITH b AS (SELECT doc_id, octet_length(encode(text[1:400])) AS n, doc_id % 60 AS z FROM documents), s AS (SELECT doc_id, CASE WHEN n + z = 0 THEN 0 "
+        "ELSE n::DOUBLE / (n + z) END AS s FROM b) "
         f"SELECT doc_id, {_6('s')} AS share, CASE WHEN s > 0.95 THEN 'js' END AS kind FROM s",
-    "capture_sizes": "SELECT doc_id, CASE WHEN doc_id % 800 = 400 THEN 'size' ELSE 'captured' END AS outcome, CASE WHEN doc_id % 400 > 0 THEN 8 + doc_id % 50 WHEN doc_id % 800 = 0 THEN 16777216 END AS size FROM documents",
+    "capture_sizes": "SELECT doc_id, CASE WHEN doc_id % 800 = 400 THEN 'size' ELSE 'captured' END AS outcome, CASE WHEN doc_id % 400 > 0 THEN 8 + doc_id % 50 WHEN doc_id % "
+        "800 = 0 THEN 16777216 END AS size FROM documents",
     "long_scripts": "WITH s AS (SELECT doc_id, length(text) + 15 + CASE WHEN doc_id % 400 = 0 THEN 4194294 ELSE 0 END AS n FROM documents) "
         f"SELECT doc_id, n AS byte_length, {_6('least(1.0::DOUBLE, 4194304.0::DOUBLE / n)')} AS coverage, (n <= 4194304)::BIGINT AS eval, (n <= 4194304)::BIGINT AS miner_names FROM s",
     "script_places": _S + f"SELECT tab_id, id AS hash, {_PLACE.format('hash % 4 - 1', 0)} FROM s",
     "module_places": _S + f"SELECT tab_id, id AS hash, {_PLACE.format('hash % 4', -1)} FROM s",
-    "scan_order": "SELECT lang, doc_id AS path, octet_length(encode(text)) AS length, row_number() OVER (PARTITION BY lang ORDER BY octet_length(encode(text)) DESC, doc_id) AS place FROM documents",
+    "scan_order": "SELECT lang, doc_id AS path, octet_length(encode(text)) AS length, row_number() OVER (PARTITION BY lang ORDER BY octet_length(encode(text)) DESC, "
+        "doc_id) AS place FROM documents",
     "cleared_stores": _S + f", n AS (SELECT unnest({list(store.STORES)}) AS store, unnest(range(10)) AS i) SELECT store, count(*) AS before, "
         f"count(*) FILTER (tab_id <> 3 OR store NOT IN ({', '.join(repr(x) for x in store.TAB_STORES)})) AS after_tab, 0::BIGINT AS after_all FROM s, n WHERE id % 10 >= i GROUP BY store",
     "rescored_on_evidence": modules._M + """, e AS (SELECT p_partkey, 28 * 0.5::DOUBLE + 20 * 1.0::DOUBLE + CASE WHEN hit THEN 45 * (floor(least(least(conf, 1.0) * least(0.7::DOUBLE + 0.15::DOUBLE * 2, 1.3::DOUBLE), 1.0) * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE) ELSE 0 END AS more FROM k WHERE p_partkey % 2 = 1),

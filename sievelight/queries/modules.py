@@ -343,7 +343,8 @@ ORACLE_SQL = {
     "module_features": _M + """SELECT p_partkey, n AS instruction_count, 2 * r AS n_bitwise, r + 3 AS n_integer, 1::BIGINT AS n_atomic, 0::BIGINT AS n_float, 0::BIGINT AS n_call, 1::BIGINT AS total_loops, 1::BIGINT AS total_back_edges,
         1::BIGINT AS max_nesting, 16::BIGINT AS memory_initial_pages, 32::BIGINT AS memory_max_pages, shared AS memory_shared, 0::BIGINT AS memory_grow_sites, 1::BIGINT AS export_count, 1::BIGINT AS imported_functions,
         1::BIGINT AS function_count, 1.0::DOUBLE AS coverage, true AS stripped FROM m""",
-    "module_kernels": _M + "SELECT p_partkey, 0::BIGINT AS func_idx, loop AS loop_size, floor(bw * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS bitwise_ratio, floor(ar * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS arithmetic_ratio FROM b WHERE kernel",
+    "module_kernels": _M + "SELECT p_partkey, 0::BIGINT AS func_idx, loop AS loop_size, floor(bw * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS bitwise_ratio, floor(ar * "
+        "1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS arithmetic_ratio FROM b WHERE kernel",
     "module_findings": _M + "SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY weight * confidence DESC, o) - 1 AS place, id, weight, confidence FROM g",
     "module_scores": _M + "SELECT p_partkey, score, level, headline FROM h",
     "opcode_histogram": _M + """, x AS (SELECT unnest([{'name': 'i32.const', 'category': 'integer', 'n': r + 2}, {'name': 'i32.atomic.load', 'category': 'atomic', 'n': 1}, {'name': 'drop', 'category': 'control', 'n': 1},
@@ -376,7 +377,8 @@ ORACLE_SQL = {
     "shape_budget": _SHAPED + """SELECT p_partkey, 60::BIGINT AS instruction_count, CASE WHEN s <= 4 THEN 2 ELSE 1 END::BIGINT AS decoded_functions, 1::BIGINT AS truncated_functions, CASE WHEN s <= 4 THEN 1 ELSE 2 END::BIGINT AS skipped,
         CASE WHEN s <= 4 THEN 0.333333::DOUBLE ELSE 0.0::DOUBLE END AS coverage FROM a WHERE shape = 'kernels'""",
     "foreign_bytes": _SHAPED + "SELECT p_partkey, 'not a WebAssembly module' AS reason, 6 + s AS byte_length FROM a WHERE shape = 'foreign'",
-    "module_summary": _M + "SELECT p_partkey, n AS instruction_count, 1::BIGINT AS decoded_functions, 0::BIGINT AS truncated_functions, 'pool.websocket_send' AS imports, 'run' AS exports FROM m",
+    "module_summary": _M + "SELECT p_partkey, n AS instruction_count, 1::BIGINT AS decoded_functions, 0::BIGINT AS truncated_functions, 'pool.websocket_send' AS imports, 'run' AS "
+        "exports FROM m",
     "feature_vectors": _M + """SELECT p_partkey, 73::BIGINT AS columns, floor(ln(1.0::DOUBLE + n) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS log_instructions, floor(bw * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS bitwise_ratio,
         floor(r::DOUBLE / n * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS xor_share, 1.0::DOUBLE AS coverage FROM b""",
     "opcode_sequences": _M + """SELECT p_partkey, 512::BIGINT AS length, least(n + 1, 512) AS real_tokens, r AS rotl, least(r + 2, r + 2) + 1 + 1 + 1 + 2 AS others FROM m""",
@@ -385,9 +387,12 @@ ORACLE_SQL = {
     "shape_vectors": _SHAPED + ", b AS (SELECT p_partkey, shape, s, " + ", ".join(f'{v} AS "{k}"' for k, v in (_SHAPE_COLUMNS | _OPS).items()) + f", {_BYTES} AS bytes FROM a"
         " WHERE shape IN ('nested', 'kernels', 'many', 'broken', 'declared')), v AS (SELECT p_partkey, unnest([" + ", ".join(f"{{'name': '{k}', 'value': ({v})::DOUBLE}}" for k, v in _VECTOR.items())
         + "]) AS x FROM b) SELECT p_partkey, x.name AS name, floor(x.value * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS value FROM v",
-    "risk_breakdown": _M + "SELECT level, count(*) AS n, floor(count(*)::DOUBLE / sum(count(*)) OVER () * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS share FROM h GROUP BY level",
+    "risk_breakdown": _M + "SELECT level, count(*) AS n, floor(count(*)::DOUBLE / sum(count(*)) OVER () * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS share FROM h GROUP BY "
+        "level",
     "hero_figures": _M + "SELECT count(*) FILTER (rank >= 3) AS flagged, max(score) AS peak, count(DISTINCT p_brand) AS sites FROM h",
     "findings_by_layer": _M + "SELECT p_partkey, count(*) AS static_findings, 0::BIGINT AS runtime_findings, 0::BIGINT AS model_findings FROM g GROUP BY p_partkey",
-    "alert_dedupe": _M + "SELECT 'site|' || level || '|' || p_partkey AS alert_key, score FROM h WHERE level IN ('high', 'critical') AND NOT (level = 'high' AND p_partkey BETWEEN 100 AND 299)",
-    "stale_hashes": "SELECT p_partkey FROM part WHERE (CASE WHEN p_size % 5 <> 0 THEN p_size % 3 END) IS DISTINCT FROM 1 OR (CASE WHEN p_size % 7 <> 0 THEN 'm1' END) IS DISTINCT FROM 'm1'",
+    "alert_dedupe": _M + "SELECT 'site|' || level || '|' || p_partkey AS alert_key, score FROM h WHERE level IN ('high', 'critical') AND NOT (level = 'high' AND p_partkey "
+        "BETWEEN 100 AND 299)",
+    "stale_hashes": "SELECT p_partkey FROM part WHERE (CASE WHEN p_size % 5 <> 0 THEN p_size % 3 END) IS DISTINCT FROM 1 OR (CASE WHEN p_size % 7 <> 0 THEN 'm1' END) IS "
+        "DISTINCT FROM 'm1'",
 }

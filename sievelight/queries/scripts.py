@@ -145,10 +145,12 @@ _FIND = lambda p: f"array_to_string(list_transform(list_filter(regexp_extract_al
 _HOST = r"regexp_extract(lower({}), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
 _ORIGIN = r"regexp_extract(lower({}), '^[a-z][a-z0-9+.-]*://', 0) || " + _HOST
 ORACLE_SQL = {
-    "script_line_stats": _S + "SELECT doc_id, len(string_split(source, chr(10)))::BIGINT AS line_count, list_max(list_transform(string_split(source, chr(10)), lambda x: length(x)))::BIGINT AS max_line, " + _UP.format("(length(source)::DOUBLE / len(string_split(source, chr(10))))") + " AS mean_line FROM s",
+    "script_line_stats": _S + "SELECT doc_id, len(string_split(source, chr(10)))::BIGINT AS line_count, list_max(list_transform(string_split(source, chr(10)), lambda x: "
+        "length(x)))::BIGINT AS max_line, " + _UP.format("(length(source)::DOUBLE / len(string_split(source, chr(10))))") + " AS mean_line FROM s",
     "script_escape_density": _S + "SELECT doc_id, " + _UP.format(f"({_DENSITY})") + " AS escape_density FROM s",
     "script_literals": _S + f"SELECT doc_id, coalesce(list_max(list_transform({_INNER}, lambda x: length(x))), 0)::BIGINT AS longest_literal, len(list_filter({_INNER}, lambda x: length(x) <= 4096 AND regexp_full_match(x, '[A-Za-z0-9+/=]{{64,}}')))::BIGINT AS base64_literals FROM s",
-    "script_entropy": _S + ", c AS (SELECT doc_id, unnest(string_split(source, '')) AS c FROM s), n AS (SELECT doc_id, c, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM n) SELECT doc_id, " + _UP.format("(-sum(n::DOUBLE / t * log2(n::DOUBLE / t)))") + " AS entropy FROM t GROUP BY doc_id",
+    "script_entropy": _S + ", c AS (SELECT doc_id, unnest(string_split(source, '')) AS c FROM s), n AS (SELECT doc_id, c, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT *, "
+        "sum(n) OVER (PARTITION BY doc_id) AS t FROM n) SELECT doc_id, " + _UP.format("(-sum(n::DOUBLE / t * log2(n::DOUBLE / t)))") + " AS entropy FROM t GROUP BY doc_id",
     "script_api_counts": _S + "SELECT doc_id, " + ", ".join(f"{_N(n)} AS {n}" for n in _RE2) + ", contains(source, 'hardwareConcurrency') AS reads_concurrency FROM s",
     "script_names_endpoints": _S + "SELECT doc_id, " + _FIND(_FAMILY) + " AS miner_names, " + _FIND(_ENDPOINT) + " AS pool_endpoints FROM s",
     "script_findings": _S + f""", f AS (SELECT doc_id, {_DENSITY} AS d, length(source) AS n, doc_id % 7 = 0 AS tail FROM s),
@@ -157,9 +159,11 @@ ORACLE_SQL = {
           CASE WHEN tail THEN 'js-decoded-code-execution,js-injects-remote-script,js-known-miner-family,js-miner-bootstrap-shape,js-mining-pool-endpoint' || CASE WHEN obf THEN ',js-obfuscated-source' ELSE '' END ELSE '' END AS ids FROM g),
         t AS (SELECT *, floor(100 * (1 - exp(-raw / 50.0::DOUBLE)) + 0.5)::INT AS score FROM r)
         SELECT doc_id, ids, score, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' WHEN score >= 10 THEN 'low' ELSE 'benign' END AS level FROM t""",
-    "ascii_runs": _S + r", r AS (SELECT doc_id, list_transform(regexp_extract_all(source, '[\x20-\x7e]{5,}'), lambda x: substr(x, 1, 200)) AS runs FROM s) SELECT doc_id, len(runs)::BIGINT AS runs, length(array_to_string(runs, ''))::BIGINT AS chars FROM r",
+    "ascii_runs": _S + r", r AS (SELECT doc_id, list_transform(regexp_extract_all(source, '[\x20-\x7e]{5,}'), lambda x: substr(x, 1, 200)) AS runs FROM s) SELECT doc_id, "
+        r"len(runs)::BIGINT AS runs, length(array_to_string(runs, ''))::BIGINT AS chars FROM r",
     "label_evidence": _S + ", v AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || chr(10) || 'nonce of yespower' || chr(10) || [" + ", ".join(f"'{t}'" for t in TERMS) + f"][doc_id % {len(TERMS)} + 1] || chr(10) || 'stratum nonce _hash_cn' || chr(10) ELSE source END AS source FROM s)"
-        r", r AS (SELECT doc_id, list_transform(regexp_extract_all(source, '[\x20-\x7e]{5,}'), lambda x: substr(x, 1, 200)) AS runs FROM v), u AS (SELECT doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS pos FROM r),"
+        r", r AS (SELECT doc_id, list_transform(regexp_extract_all(source, '[\x20-\x7e]{5,}'), lambda x: substr(x, 1, 200)) AS runs FROM v), u AS (SELECT "
+            r"doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS pos FROM r),"
         f" t AS (SELECT doc_id, pos, run, unnest(list_distinct(list_transform(regexp_extract_all(run, '{_SIGNATURES}'), lambda x: lower(x)))) AS term FROM u), c AS (SELECT doc_id, term, length(substr(arg_min(run, pos), 1, 80)) AS n FROM t GROUP BY doc_id, term) SELECT term, count(*) AS docs, max(n)::BIGINT AS longest FROM c GROUP BY term",
     "inline_scripts": r"""WITH t AS (SELECT page_id, regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>') AS tags FROM pages), u AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos FROM t),
         c AS (SELECT page_id, pos, regexp_extract(tag, '(?is)^<script\b[^>]*>(.*)</script>$', 1) AS code FROM u) SELECT page_id, pos, length(code)::BIGINT AS length, length(code) BETWEEN 40 AND 2097152 AS big_enough, md5(code) AS code FROM c""",
@@ -168,6 +172,8 @@ ORACLE_SQL = {
         u AS (SELECT page_id, count(*) AS unpinned, count(DISTINCT origin) AS origins, count(*) FILTER (injected) AS injected_scripts FROM r WHERE origin <> own AND page_id % 3 <> 0 GROUP BY page_id)
         SELECT *, floor(100 * (1 - exp(-(6 * 0.35::DOUBLE) / 50.0::DOUBLE)) + 0.5)::INT AS score, 'benign' AS level FROM u""",
     "host_of": "SELECT " + _HOST.format("url") + " AS host, count(*) AS n FROM pages GROUP BY 1",
-    "script_summary": _S + ", c AS (SELECT doc_id, unnest(string_split(source, '')) AS c FROM s), n AS (SELECT doc_id, c, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM n), e AS (SELECT doc_id, -sum(n::DOUBLE / t * log2(n::DOUBLE / t)) AS e FROM t GROUP BY doc_id)"
-        " SELECT sha256(source) AS hash, max(length(source))::BIGINT AS byte_length, max(CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 0 END)::BIGINT AS eval_sites, max(floor(e * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE) AS entropy, count(*) AS n FROM s JOIN e USING (doc_id) GROUP BY 1",
+    "script_summary": _S + ", c AS (SELECT doc_id, unnest(string_split(source, '')) AS c FROM s), n AS (SELECT doc_id, c, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT *, "
+        "sum(n) OVER (PARTITION BY doc_id) AS t FROM n), e AS (SELECT doc_id, -sum(n::DOUBLE / t * log2(n::DOUBLE / t)) AS e FROM t GROUP BY doc_id)"
+        " SELECT sha256(source) AS hash, max(length(source))::BIGINT AS byte_length, max(CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 0 END)::BIGINT AS eval_sites, "
+            "max(floor(e * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE) AS entropy, count(*) AS n FROM s JOIN e USING (doc_id) GROUP BY 1",
 }

@@ -204,14 +204,17 @@ _ROWS = [
     (3, "large-embedded-payload", 1.0, "512 KB of the module's 586 KB is data rather than code", None),
     (4, "incomplete-coverage", 1.0, "2 function(s) could not be fully decoded and 3 were skipped for budget; findings below cover the rest", None),
     (5, "hash-loop-density", 1.0, _RUNS, _MINOS),
-    (5, "sustained-execution", 1.0, "spent 61.3s executing during 30.0s of observation across 4 context(s) — 2.00 core-equivalents, and that is a floor: per-call timing was stopped to avoid becoming the cost itself", _MINOS),
+    (5, "sustained-execution", 1.0, "spent 61.3s executing during 30.0s of observation across 4 context(s) — 2.00 core-equivalents, and that is a floor: per-call timing was stopped to "
+        "avoid becoming the cost itself", _MINOS),
     (5, "mining-runtime-corroborated", 1.0,
-        _RUNS + "; it then ran for 61.3s of 30.0s (2.00 core-equivalents), with 4 contexts at once and its own timers running 900ms late and 42 messages over 1 socket(s) — compression and checksum routines do not run continuously", _MINOS),
+        _RUNS + "; it then ran for 61.3s of 30.0s (2.00 core-equivalents), with 4 contexts at once and its own timers running 900ms late and 42 messages over 1 "
+            "socket(s) — compression and checksum routines do not run continuously", _MINOS),
     (5, "worker-fan-out", 0.4, "the same module is executing in 4 contexts on a 8-core machine, for 61.3s in total — the shape of claiming every core", _SPRING),
     (5, "persistent-socket-traffic", 0.45,
         "42 messages across 1 socket(s) while executing for 61.3s — a mining pool hands out work and takes back shares this way", None),
     (6, "runtime-not-yet-observed", 1.0, "watched for 5.0s so far; runtime rules need 20.0s before a busy page can be told from a mining page", None),
-    (7, "classifier-opinion", 1.0, "a model trained on 12 malicious and 34 benign modules scores this 0.95, driven by op_i32.xor=1.235, coverage=-0.500 (a model's opinion, not a measurement of intent)", _DEEP),
+    (7, "classifier-opinion", 1.0, "a model trained on 12 malicious and 34 benign modules scores this 0.95, driven by op_i32.xor=1.235, coverage=-0.500 (a model's opinion, not a "
+        "measurement of intent)", _DEEP),
     (8, "hash-loop-density", 1.0, _RUNS, _MINOS),
     (8, "mining-corroborated", 0.8, _RUNS + ", alongside only 1 exported function(s) over 5000 instructions", _SPRING),
 ]
@@ -231,16 +234,23 @@ ORACLE_SQL = {
     "rule_catalogue": "SELECT * FROM (VALUES ('static', 19::BIGINT, 375::BIGINT, 8::BIGINT), ('runtime', 5, 105, 3), ('model', 1, 18, 1)) AS v(kind, rules, weights, cited)",
     "stored_results": _R + "SELECT p_partkey, score, readable, CASE WHEN readable THEN n END AS instructions, CASE WHEN readable THEN 'stripped-binary' END AS first_id FROM r",
     "known_results": _R + "SELECT p_partkey, CASE WHEN r.p_partkey IS NULL THEN 'queued' ELSE 'complete' END AS status, score FROM part LEFT JOIN r USING (p_partkey)",
-    "activity_modules": _R + "SELECT p_partkey, seen, score FROM (SELECT p_partkey, floor(p_retailprice)::BIGINT AS seen FROM part ORDER BY seen DESC, p_partkey DESC LIMIT 200) LEFT JOIN r USING (p_partkey)",
+    "activity_modules": _R + "SELECT p_partkey, seen, score FROM (SELECT p_partkey, floor(p_retailprice)::BIGINT AS seen FROM part ORDER BY seen DESC, p_partkey DESC LIMIT 200) "
+        "LEFT "
+        ""
+        ""
+        "JOIN r USING (p_partkey)",
     "activity_status": f"WITH e AS (SELECT event_id, {_MS} AS ms, event_type FROM events), n AS (SELECT max(ms) AS now FROM e), h AS (SELECT count(*) AS n FROM e, n WHERE ms >= now - 86400000 GROUP BY least(23, floor((ms - (now - 86400000)) * 24 / 86400000.0::DOUBLE))), "
-        "l AS (SELECT * FROM e ORDER BY ms DESC, event_id DESC LIMIT 200) SELECT (SELECT max(ms) FROM l WHERE event_type = (SELECT min(event_type) FROM e)) AS last_capture, (SELECT max(n) FROM h) AS peak",
+        "l AS (SELECT * FROM e ORDER BY ms DESC, event_id DESC LIMIT 200) SELECT (SELECT max(ms) FROM l WHERE event_type = (SELECT min(event_type) FROM e)) AS "
+            "last_capture, (SELECT max(n) FROM h) AS peak",
     "page_badges": modules._M + "SELECT p_brand, count(*) AS modules, ['#6b7280', '#4a7c59', '#e8a200', '#d9480f', '#b00020'][max(rank)] AS colour FROM h GROUP BY p_brand",
     "coverage_gap": "SELECT p_brand, greatest(0, count(*) - count(*) FILTER (p_partkey % 2 = 0) + count(*) FILTER (p_size = 1)) AS unanalysed FROM part GROUP BY p_brand",
     "classifier_against_rules": modules._M + """, x AS (SELECT p_partkey % 2 AS y, least(1.0::DOUBLE, bw * 2 + 0.1::DOUBLE) >= 0.5 AS m, score / 100.0::DOUBLE >= 0.5 AS r FROM k JOIN s USING (p_partkey)),
         c AS (SELECT count(*) FILTER (m AND y = 1) AS mt, count(*) FILTER (m AND y = 0) AS mf, count(*) FILTER (NOT m AND y = 1) AS mn, count(*) FILTER (r AND y = 1) AS rt, count(*) FILTER (r AND y = 0) AS rf, count(*) FILTER (NOT r AND y = 1) AS rn FROM x),
         fm AS (SELECT 2.0::DOUBLE * mt / (2 * mt + mf + mn) AS a, 2.0::DOUBLE * rt / (2 * rt + rf + rn) AS b FROM c)
         SELECT """ + telemetry._6("a") + " AS model_f1, " + telemetry._6("b") + " AS rules_f1, CASE WHEN a - b > 0.01 THEN 'better' WHEN a - b < -0.01 THEN 'worse' ELSE 'same' END AS verdict FROM fm",
-    "sequence_counters": "WITH p AS (SELECT p_size::BIGINT AS r, count(*) AS n FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1) SELECT count(*) AS written, count(*) FILTER (r >= 6) AS kernels, count(*) FILTER (6 * r + 12 < 512) AS padded, (SELECT count(*) FROM part WHERE p_partkey % 11 = 0) AS skipped, sum(n - 1)::BIGINT AS duplicates FROM p",
+    "sequence_counters": "WITH p AS (SELECT p_size::BIGINT AS r, count(*) AS n FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1) SELECT count(*) AS written, count(*) FILTER (r >= "
+        "6) AS kernels, count(*) FILTER (6 * r + 12 < 512) AS padded, (SELECT count(*) FROM part WHERE p_partkey % 11 = 0) AS skipped, sum(n - 1)::BIGINT AS "
+        "duplicates FROM p",
     "network_notes": """SELECT CASE WHEN page_id % 5 = 0 THEN regexp_extract(url, '^[^?#]*') || '/A.WASM?x#y' ELSE url || '?q=.wasm' END AS url, page_id % 10 AS tab_id, page_id AS ts, 'network' AS reason
         FROM pages WHERE page_id % 5 = 0 OR page_id % 3 = 0 AND page_id % 7 <> 0""",
     "upload_outcomes": "SELECT ['known', 'accepted', 'too-large', 'rejected', 'unreachable'][p_size % 5 + 1] AS outcome, count(*) AS n FROM part GROUP BY 1",

@@ -293,31 +293,46 @@ _SHA = "sha256(text)"
 _P = "v AS (SELECT lpad(vec_id::VARCHAR, 8, '0') AS name, vec_id % 50 + 100 AS size, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT x.name AS a, y.name AS b, list_cosine_similarity(x.e, y.e) AS c FROM v x JOIN v y ON x.name < y.name AND y.size >= x.size / 3.0 AND y.size < x.size * 3 + 1) "
 _SCALED = lambda by: f"printf('%.1f', floor(n / {by}::DOUBLE * 10 + 0.5) / 10)"
 ORACLE_SQL = {
-    "runtime_fold": _L + "SELECT fingerprint, sum(t)::BIGINT AS wasm_time_ms, max(t) AS longest_call_ms, " + _6("sum(least(t / 30000.0::DOUBLE, 1.0))") + " AS cpu_share, " + _6("avg((user_id % 500)::DOUBLE)") + " AS mean_drift_ms, max(user_id % 4) AS worker_count, max(k % 20) AS socket_messages, string_agg(DISTINCT context, ',' ORDER BY context) AS contexts, count(*) AS context_count, bool_or(k % 7 = 0) AS timing_stopped FROM m GROUP BY fingerprint",
-    "runtime_findings": _L + ", f AS (SELECT fingerprint, sum(t) AS t, sum(least(t / 30000.0::DOUBLE, 1.0)) AS share, max(k % 20) AS msgs, max(k % 2) AS sockets FROM m GROUP BY fingerprint) SELECT fingerprint, concat_ws(',', CASE WHEN sockets > 0 AND msgs >= 10 AND t >= 5000 THEN 'persistent-socket-traffic' END, CASE WHEN share > 0.5 THEN 'sustained-execution' END) AS ids FROM f",
-    "fingerprint_join": _L + ", f AS (SELECT fingerprint, sum(t)::BIGINT AS t FROM m GROUP BY 1) SELECT p_brand AS hash, sum(t)::BIGINT AS wasm_time_ms, count(*) AS modules FROM f JOIN part ON p_partkey = fingerprint AND p_partkey % 2 = 0 GROUP BY 1",
+    "runtime_fold": _L + "SELECT fingerprint, sum(t)::BIGINT AS wasm_time_ms, max(t) AS longest_call_ms, " + _6("sum(least(t / 30000.0::DOUBLE, 1.0))") + " AS cpu_share, " + _6("avg((user_id % 500)::DOUBLE)") + " AS mean_drift_ms, max(user_id % 4) AS worker_count, max(k % 20) AS socket_messages, string_agg(DISTINCT context, ',' ORDER BY context) AS contexts, "
+        "count(*) AS context_count, bool_or(k % 7 = 0) AS timing_stopped FROM m GROUP BY fingerprint",
+    "runtime_findings": _L + ", f AS (SELECT fingerprint, sum(t) AS t, sum(least(t / 30000.0::DOUBLE, 1.0)) AS share, max(k % 20) AS msgs, max(k % 2) AS sockets FROM m GROUP BY "
+        "fingerprint) SELECT fingerprint, concat_ws(',', CASE WHEN sockets > 0 AND msgs >= 10 AND t >= 5000 THEN 'persistent-socket-traffic' END, CASE WHEN "
+        "share > 0.5 THEN 'sustained-execution' END) AS ids FROM f",
+    "fingerprint_join": _L + ", f AS (SELECT fingerprint, sum(t)::BIGINT AS t FROM m GROUP BY 1) SELECT p_brand AS hash, sum(t)::BIGINT AS wasm_time_ms, count(*) AS modules FROM f "
+        "JOIN part ON p_partkey = fingerprint AND p_partkey % 2 = 0 GROUP BY 1",
     "rescore_gate": _E + """, a AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY ms DESC, event_id DESC) = 1), b AS (SELECT * FROM e WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY ms DESC, event_id DESC) = 1),
         x AS (SELECT k, count(*) AS c, sum(least(floor(abs(value) * 100) / 30000.0::DOUBLE, 1.0)) AS s FROM a GROUP BY k), y AS (SELECT k, count(*) AS c, sum(least(floor(abs(value) * 100) / 30000.0::DOUBLE, 1.0)) AS s FROM b GROUP BY k)
         SELECT y.k IS NULL OR x.c <> y.c OR abs(x.s - y.s) >= 0.1 AS rescore, count(*) AS n FROM x LEFT JOIN y USING (k) GROUP BY 1""",
-    "level_changes": _E + ", v AS (SELECT user_id AS hash, event_id AS id, ms, CASE WHEN k >= 75 THEN 'critical' WHEN k >= 50 THEN 'high' WHEN k >= 25 THEN 'medium' WHEN k >= 10 THEN 'low' ELSE 'benign' END AS level FROM e), w AS (SELECT *, lag(level) OVER (PARTITION BY hash ORDER BY ms, id) AS before FROM v) SELECT hash, id, before, level FROM w WHERE before <> level",
-    "timer_drift": _E + ", g AS (SELECT user_id, greatest(0, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) - 60000) AS late, lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS p FROM e) SELECT user_id, count(*) AS samples, sum(late)::BIGINT AS late_ms, max(late) AS max_late_ms FROM g WHERE p IS NOT NULL GROUP BY user_id",
+    "level_changes": _E + ", v AS (SELECT user_id AS hash, event_id AS id, ms, CASE WHEN k >= 75 THEN 'critical' WHEN k >= 50 THEN 'high' WHEN k >= 25 THEN 'medium' WHEN k >= "
+        "10 THEN 'low' ELSE 'benign' END AS level FROM e), w AS (SELECT *, lag(level) OVER (PARTITION BY hash ORDER BY ms, id) AS before FROM v) SELECT hash, "
+        "id, before, level FROM w WHERE before <> level",
+    "timer_drift": _E + ", g AS (SELECT user_id, greatest(0, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) - 60000) AS late, lag(ms) OVER (PARTITION BY "
+        "user_id ORDER BY ms, event_id) AS p FROM e) SELECT user_id, count(*) AS samples, sum(late)::BIGINT AS late_ms, max(late) AS max_late_ms FROM g WHERE "
+        "p IS NOT NULL GROUP BY user_id",
     "timing_cutoff": _E + """, a AS (SELECT user_id, floor(abs(value))::BIGINT AS t, row_number() OVER w AS n, sum(floor(abs(value))) OVER (w ROWS UNBOUNDED PRECEDING) AS c FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
         b AS (SELECT *, min(CASE WHEN n >= 20 AND c / n::DOUBLE < 60 THEN n END) OVER (PARTITION BY user_id) AS cut FROM a)
         SELECT user_id, count(*) AS call_count, coalesce(sum(t) FILTER (cut IS NULL OR n <= cut), 0)::BIGINT AS wasm_time_ms, max(t) FILTER (cut IS NULL OR n <= cut) AS longest_call_ms, bool_or(cut IS NOT NULL) AS timing_stopped FROM b GROUP BY user_id""",
-    "message_counts": _E + "SELECT user_id, count(*) FILTER (k % 4 = 0) AS sockets, count(*) FILTER (k % 4 IN (1, 2)) AS messages, count(*) FILTER (k % 4 = 3) AS workers FROM e GROUP BY user_id",
-    "latest_sighting": _S + ", t AS (SELECT *, count(*) OVER (PARTITION BY hash) AS sightings FROM s QUALIFY row_number() OVER (PARTITION BY hash ORDER BY ts DESC, id) = 1) SELECT hash, sightings, id, url, n_chars, toxic FROM t JOIN documents d ON d.doc_id = hash LEFT JOIN labels l ON l.doc_id = hash",
-    "blind_spots": _S + ", t AS (SELECT * FROM s WHERE hash < 10 QUALIFY row_number() OVER (PARTITION BY hash ORDER BY ts DESC, id) = 1) SELECT id, url FROM s WHERE hash >= 10 AND url NOT IN (SELECT url FROM t)",
-    "report_order": _S + ", a AS (SELECT hash, CASE WHEN hash % 3 > 0 THEN hash % 5 END AS score, max(ts) AS last_seen FROM s GROUP BY hash) SELECT hash, score, last_seen FROM a ORDER BY coalesce(score, -1) DESC, last_seen DESC, hash LIMIT 25",
+    "message_counts": _E + "SELECT user_id, count(*) FILTER (k % 4 = 0) AS sockets, count(*) FILTER (k % 4 IN (1, 2)) AS messages, count(*) FILTER (k % 4 = 3) AS workers FROM e "
+        "GROUP BY user_id",
+    "latest_sighting": _S + ", t AS (SELECT *, count(*) OVER (PARTITION BY hash) AS sightings FROM s QUALIFY row_number() OVER (PARTITION BY hash ORDER BY ts DESC, id) = 1) "
+        "SELECT hash, sightings, id, url, n_chars, toxic FROM t JOIN documents d ON d.doc_id = hash LEFT JOIN labels l ON l.doc_id = hash",
+    "blind_spots": _S + ", t AS (SELECT * FROM s WHERE hash < 10 QUALIFY row_number() OVER (PARTITION BY hash ORDER BY ts DESC, id) = 1) SELECT id, url FROM s WHERE hash >= "
+        "10 AND url NOT IN (SELECT url FROM t)",
+    "report_order": _S + ", a AS (SELECT hash, CASE WHEN hash % 3 > 0 THEN hash % 5 END AS score, max(ts) AS last_seen FROM s GROUP BY hash) SELECT hash, score, last_seen FROM "
+        "a ORDER BY coalesce(score, -1) DESC, last_seen DESC, hash LIMIT 25",
     "activity_feed": _E + ", n AS (SELECT * FROM e ORDER BY ms DESC, event_id DESC LIMIT 200) SELECT event_id, k, quality FROM n LEFT JOIN labels ON doc_id = k",
     "activity_histogram": _E + f", a AS (SELECT {NOW - 330_000} + ms % 340000 AS t FROM e), b AS (SELECT least(59, floor((t - {NOW - 300_000}) * 60 / 300000.0::DOUBLE))::BIGINT AS bucket, count(*) AS n FROM a WHERE t >= {NOW - 300_000} GROUP BY 1) SELECT r.bucket, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(60)) AS bucket) r LEFT JOIN b USING (bucket)",
-    "page_urls": _S + ", a AS (SELECT tab_id, arg_max(page_url, id) AS u FROM s WHERE tab_id < 5 GROUP BY 1), b AS (SELECT tab_id, arg_min(page_url, id) AS v FROM s WHERE tab_id > 3 GROUP BY 1) SELECT coalesce(a.tab_id, b.tab_id) AS tab_id, coalesce(u, v) AS page_url FROM a FULL JOIN b ON a.tab_id = b.tab_id",
-    "artifact_upsert": _S + "SELECT hash, hash * 10 AS size, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS seen_count, NOT bool_or(id % 3 > 0 AND hash < 90) AS is_new FROM s GROUP BY hash",
+    "page_urls": _S + ", a AS (SELECT tab_id, arg_max(page_url, id) AS u FROM s WHERE tab_id < 5 GROUP BY 1), b AS (SELECT tab_id, arg_min(page_url, id) AS v FROM s WHERE "
+        "tab_id > 3 GROUP BY 1) SELECT coalesce(a.tab_id, b.tab_id) AS tab_id, coalesce(u, v) AS page_url FROM a FULL JOIN b ON a.tab_id = b.tab_id",
+    "artifact_upsert": _S + "SELECT hash, hash * 10 AS size, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS seen_count, NOT bool_or(id % 3 > 0 AND hash < 90) AS is_new "
+        "FROM s GROUP BY hash",
     "result_upsert": _E + "SELECT k AS hash, event_id, event_type FROM e QUALIFY row_number() OVER (PARTITION BY k ORDER BY ms DESC, event_id DESC) = 1",
     "job_states": _J + "SELECT * FROM x",
     "next_queued": _J + "SELECT id, 'queued' AS status FROM x WHERE status IN ('queued', 'running') ORDER BY created_at, id LIMIT 1",
     "job_counts": _J + "SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("queued", "running", "complete",
         "failed")) + " FROM x",
-    "lru_prune": "WITH a AS (SELECT doc_id, row_number() OVER w AS n, sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM documents WINDOW w AS (ORDER BY doc_id * 7919 % 1000 DESC, doc_id DESC)) SELECT doc_id FROM a WHERE n <= 300 AND s <= 400000",
+    "lru_prune": "WITH a AS (SELECT doc_id, row_number() OVER w AS n, sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM documents WINDOW w AS (ORDER BY doc_id * "
+        "7919 % 1000 DESC, doc_id DESC)) SELECT doc_id FROM a WHERE n <= 300 AND s <= 400000",
     "log_cap": _E + "SELECT event_id FROM e ORDER BY ms DESC, event_id DESC LIMIT 500",
     "memo_antijoin": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "clear_tab": _S + "SELECT tab_id, count(*) AS n FROM s WHERE tab_id <> 3 GROUP BY 1",
@@ -326,13 +341,19 @@ ORACLE_SQL = {
           SELECT o.user_id, o.i, CASE WHEN o.ms - q.start >= 86400000 THEN o.ms ELSE q.start END, CASE WHEN o.ms - q.start >= 86400000 THEN 1 ELSE q.c + 1 END FROM q JOIN o ON o.user_id = q.user_id AND o.i = q.i + 1) SELECT * FROM q)
         SELECT event_id, c <= 3 AS allowed FROM r JOIN o USING (user_id, i)""",
     "frame_dedupe": _E + "SELECT user_id, k, event_id FROM e QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY ms, event_id) = 1",
-    "message_validation": _E + ", m AS (SELECT event_type AS api, coalesce(CASE WHEN k % 5 > 0 THEN ['page', 'worker', 'other'][k % 3 + 1] END, 'page') AS context, CASE WHEN k % 11 > 0 THEN k END AS size FROM e) SELECT context, CASE WHEN api NOT IN ('click', 'view', 'purchase', 'page_view') THEN 'api' WHEN context NOT IN ('page', 'worker') THEN 'context' WHEN size IS NULL THEN 'size' ELSE 'accepted' END AS outcome, count(*) AS n FROM m GROUP BY ALL",
-    "sniff_kind": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'wasm' WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 4 IN (0, 3) THEN 'js' END AS kind, doc_id % 10 = 0 AS version_1 FROM documents",
+    "message_validation": _E + ", m AS (SELECT event_type AS api, coalesce(CASE WHEN k % 5 > 0 THEN ['page', 'worker', 'other'][k % 3 + 1] END, 'page') AS context, CASE WHEN k % 11 "
+        "> 0 THEN k END AS size FROM e) SELECT context, CASE WHEN api NOT IN ('click', 'view', 'purchase', 'page_view') THEN 'api' WHEN context NOT IN "
+        "('page', 'worker') THEN 'context' WHEN size IS NULL THEN 'size' ELSE 'accepted' END AS outcome, count(*) AS n FROM m GROUP BY ALL",
+    "sniff_kind": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'wasm' WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 4 IN (0, 3) THEN 'js' END AS kind, doc_id % 10 = 0 "
+        "AS version_1 FROM documents",
     "content_identity": f"SELECT doc_id, {_SHA} AS hash, left({_SHA}, 12) AS short, true AS round_trip FROM documents",
-    "upload_status": "WITH s AS (SELECT CASE WHEN doc_id % 10 <> 0 THEN 415 WHEN doc_id % 3 = 0 THEN 409 WHEN doc_id % 20 = 0 THEN 200 ELSE 202 END AS status FROM documents) SELECT status, count(*) AS n FROM s GROUP BY status",
+    "upload_status": "WITH s AS (SELECT CASE WHEN doc_id % 10 <> 0 THEN 415 WHEN doc_id % 3 = 0 THEN 409 WHEN doc_id % 20 = 0 THEN 200 ELSE 202 END AS status FROM "
+        "documents) SELECT status, count(*) AS n FROM s GROUP BY status",
     "exact_dedupe": f"WITH d AS (SELECT doc_id % 2 AS klass, {_SHA} AS hash, lpad(doc_id::VARCHAR, 12, '0') AS name FROM documents), x AS (SELECT hash FROM d GROUP BY 1 HAVING count(DISTINCT klass) > 1) SELECT klass, hash, min(name) AS name, count(*) AS copies FROM d WHERE hash NOT IN (SELECT hash FROM x) GROUP BY 1, 2 UNION ALL SELECT klass, hash, name, 1 FROM d WHERE hash IN (SELECT hash FROM x)",
     "label_contradictions": f"SELECT {_SHA} AS hash, count(DISTINCT source) AS classes, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1",
-    "corpus_gate": "WITH a AS (SELECT lang, doc_id, strlen(text) + CASE WHEN doc_id % 10 = 0 THEN 8 ELSE 0 END AS n FROM documents) SELECT lang, CASE WHEN n < 1024 THEN 'too-small' WHEN n > 20971520 THEN 'too-large' WHEN doc_id % 10 <> 0 AND doc_id % 3 = 0 THEN 'not-wasm-magic' WHEN doc_id % 5 = 0 THEN 'parse-failed' WHEN (doc_id % 10) / 10.0::DOUBLE + 0.15::DOUBLE < 0.9::DOUBLE THEN 'low-coverage' ELSE 'kept' END AS reason, count(*) AS n FROM a GROUP BY ALL",
+    "corpus_gate": "WITH a AS (SELECT lang, doc_id, strlen(text) + CASE WHEN doc_id % 10 = 0 THEN 8 ELSE 0 END AS n FROM documents) SELECT lang, CASE WHEN n < 1024 THEN "
+        "'too-small' WHEN n > 20971520 THEN 'too-large' WHEN doc_id % 10 <> 0 AND doc_id % 3 = 0 THEN 'not-wasm-magic' WHEN doc_id % 5 = 0 THEN 'parse-failed' "
+        "WHEN (doc_id % 10) / 10.0::DOUBLE + 0.15::DOUBLE < 0.9::DOUBLE THEN 'low-coverage' ELSE 'kept' END AS reason, count(*) AS n FROM a GROUP BY ALL",
     "holdout_split": f"SELECT doc_id, right({_SHA}, 1) IN ('0', '1', '2') AS held FROM documents",
     "near_duplicate_pairs": "WITH " + _P + "SELECT a, b, " + _6("c") + " AS cosine FROM p WHERE c >= 0.35",
     "tight_pairs": "WITH " + _P.replace("vec_id % 50 + 100 AS size", "(vec_id % 50 + 100) * CASE WHEN vec_id % 3 = 0 THEN 4 ELSE 1 END AS size").replace("embedding::DOUBLE[] AS e",
@@ -341,12 +362,14 @@ ORACLE_SQL = {
         w AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS seeds UNION ALL SELECT o.i, CASE WHEN list_has_any(below, seeds) THEN seeds ELSE list_append(seeds, name) END FROM w JOIN o ON o.i = w.i + 1),
         s AS (SELECT unnest(arg_max(seeds, i)) AS seed FROM w), m AS (SELECT b AS name, min(a) AS seed FROM n JOIN s ON a = seed WHERE b NOT IN (SELECT seed FROM s) GROUP BY b UNION ALL SELECT seed, seed FROM s)
         SELECT seed, min(name) AS kept, count(*) - 1 AS collapsed FROM m GROUP BY seed""",
-    "formats": "WITH d AS (SELECT doc_id, source, n_chars * doc_id AS n, doc_id * 997000 // 1000 AS s, string_split(text, ' ')[1:5] AS w FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN " + _SCALED(1024) + " || ' KB' ELSE " + _SCALED(1048576) + """ || ' MB' END AS size,
+    "formats": "WITH d AS (SELECT doc_id, source, n_chars * doc_id AS n, doc_id * 997000 // 1000 AS s, string_split(text, ' ')[1:5] AS w FROM documents) SELECT "
+        "doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN " + _SCALED(1024) + " || ' KB' ELSE " + _SCALED(1048576) + """ || ' MB' END AS size,
         CASE WHEN s < 5 THEN 'just now' WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS age,
         array_to_string(list_transform(string_split(replace(coalesce(source, 'unknown'), '-', ' '), ' '), lambda x: upper(x[1:1]) || lower(x[2:])), ' ') AS label,
         array_to_string(w[1:3], ', ') || CASE WHEN len(w) > 3 THEN ' +' || (len(w) - 3) || ' more' ELSE '' END AS names FROM d""",
     "page_fingerprints": """WITH b AS (SELECT doc_id, strlen(text)::BIGINT AS n, hex(encode(text)) AS h FROM documents), c AS (SELECT doc_id, n, CASE WHEN n <= 12288 THEN h ELSE substr(h, 1, 8192) || substr(h, (n - 4096) // 2 * 2 + 1, 8192) || right(h, 8192) END AS h FROM b),
         l AS (SELECT doc_id, n, list_concat([n % 256, n // 256 % 256, n // 65536 % 256, n // 16777216 % 256], list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)) AS bytes FROM c)
         SELECT doc_id, lower(to_base(n, 36)) || ':' || lower(to_base(list_reduce(bytes, lambda m, x: xor(m, x) * 16777619 % 4294967296, 2166136261::BIGINT), 36)) AS fingerprint FROM l""",
-    "sighting_facts": "SELECT l_partkey AS hash, (epoch_us(min(l_shipdate)) // 1000)::BIGINT AS first_seen, (epoch_us(max(l_shipdate)) // 1000)::BIGINT AS last_seen, count(*) AS seen_count, max({'t': l_shipdate, 'p': l_suppkey::VARCHAR}).p AS last_page_url FROM lineitem GROUP BY 1",
+    "sighting_facts": "SELECT l_partkey AS hash, (epoch_us(min(l_shipdate)) // 1000)::BIGINT AS first_seen, (epoch_us(max(l_shipdate)) // 1000)::BIGINT AS last_seen, "
+        "count(*) AS seen_count, max({'t': l_shipdate, 'p': l_suppkey::VARCHAR}).p AS last_page_url FROM lineitem GROUP BY 1",
 }
