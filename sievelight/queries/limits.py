@@ -68,22 +68,41 @@ def cleared_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(together(store.clear_all(stores), "after_all"), "store")
 
 
+def _seen_running(spark: SparkSession, sf_dir: str):
+    """Features of modules, with `odd`, and what is seen of one that runs in two contexts for most of the time."""
+    f = modules.features(spark, sf_dir).withColumn("odd", F.col("hash").cast("long") % 2)
+    zero = F.lit(0).cast("long")
+    runtime = F.struct(F.lit(30_000).cast("long").alias("observed_ms"), F.lit(1.25).alias("cpu_share"), F.lit(2).cast("long").alias("context_count"),
+        F.array(F.lit("page"), F.lit("worker")).alias("contexts"), F.lit(300.0).alias("mean_drift_ms"), zero.alias("socket_count"), zero.alias("socket_messages"),
+        F.lit(37_500).cast("long").alias("wasm_time_ms"), F.lit(2).cast("long").alias("hardware_concurrency"), F.lit(False).alias("timing_stopped"))
+    return f, runtime
+
+
 def rescored_on_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second module has come to run, nearly flat out and in two contexts; all rules are run again for these."""
-    f = modules.features(spark, sf_dir)
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("hash"), (F.col("p_partkey") % 2).alias("odd"))
-    fold = lambda n: p.select("hash", n.alias("context_count"), F.lit(1.25).alias("cpu_share"), F.lit(30_000).cast("long").alias("observed_ms"))
-    now, before = fold(1 + F.col("odd")), fold(F.lit(1))
-    zero = F.lit(0).cast("long")
-    runtime = F.struct(F.col("observed_ms"), F.col("cpu_share"), F.col("context_count").cast("long").alias("context_count"), F.array(F.lit("page"), F.lit("worker")).alias("contexts"),
-        F.lit(300.0).alias("mean_drift_ms"), zero.alias("socket_count"), zero.alias("socket_messages"), F.lit(37_500).cast("long").alias("wasm_time_ms"),
-        F.lit(2).cast("long").alias("hardware_concurrency"), F.lit(False).alias("timing_stopped"))
-    seen = f.join(now.select("hash", runtime.alias("runtime")), "hash")
+    f, runtime = _seen_running(spark, sf_dir)
+    fold = lambda n: f.select("hash", n.alias("context_count"), F.lit(1.25).alias("cpu_share"), F.lit(30_000).cast("long").alias("observed_ms"))
+    now, before, seen = fold(1 + F.col("odd")), fold(F.lit(1)), f.withColumn("runtime", runtime)
     a = intake.rescored(now, before, seen, [*rules.module_rules(), *rules.runtime_rules()])
     return a.select(F.col("hash").cast("long").alias("p_partkey"), "score", "level")
 
 
-QUERIES = {f.__name__: f for f in (text_shares, capture_sizes, long_scripts, script_places, module_places, scan_order, cleared_stores, rescored_on_evidence)}
+def layers_of_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of each layer, where every second module ran nearly flat out and a model has its opinion of each."""
+    f, runtime = _seen_running(spark, sf_dir)
+    seen = f.withColumn("runtime", F.when(F.col("odd") == 1, runtime)).withColumn("probability", (F.col("hash").cast("long") % 101) / F.lit(100.0))
+    a = rules.by_layer(rules.assess(seen, [*rules.module_rules(), *rules.runtime_rules(), *rules.model_rules()]))
+    return a.select(F.col("hash").cast("long").alias("p_partkey"), F.col("static").alias("static_findings"), F.col("runtime").alias("runtime_findings"),
+        F.col("model").alias("model_findings"))
+
+
+def shape_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether modules of all shapes, broken and foreign ones too, can be decoded, and that none takes suspiciously long."""
+    a = intake.profile(modules.shaped_modules(spark, sf_dir))
+    return a.select(F.col("hash").cast("long").alias("p_partkey"), "ok", "byte_length", "suspect")
+
+
+QUERIES = {f.__name__: f for f in (text_shares, capture_sizes, long_scripts, script_places, module_places, scan_order, cleared_stores, rescored_on_evidence, layers_of_findings, shape_profile)}
 
 _6, _S = telemetry._6, telemetry._S
 _PLACE = "row_number() OVER (PARTITION BY tab_id ORDER BY coalesce(CASE WHEN hash % 3 > 0 THEN {} END, {}) DESC, ts DESC, id) AS place"
@@ -101,6 +120,12 @@ ORACLE_SQL = {
         "doc_id) AS place FROM documents",
     "cleared_stores": _S + f", n AS (SELECT unnest({list(store.STORES)}) AS store, unnest(range(10)) AS i) SELECT store, count(*) AS before, "
         f"count(*) FILTER (tab_id <> 3 OR store NOT IN ({', '.join(repr(x) for x in store.TAB_STORES)})) AS after_tab, 0::BIGINT AS after_all FROM s, n WHERE id % 10 >= i GROUP BY store",
+    "layers_of_findings": modules._M + """, n AS (SELECT p_partkey, count(*) AS found FROM g GROUP BY p_partkey)
+        SELECT p_partkey, coalesce(found, 0) AS static_findings, CASE WHEN p_partkey % 2 = 1 THEN 2 + hit::INT ELSE 0 END::BIGINT AS runtime_findings, (p_partkey % 101 > 60)::BIGINT AS model_findings
+        FROM k LEFT JOIN n USING (p_partkey) WHERE coalesce(found, 0) > 0 OR p_partkey % 2 = 1 OR p_partkey % 101 > 60""",
+    "shape_profile": modules._SHAPED + f", b AS (SELECT p_partkey, shape, s, {modules._BYTES} AS bytes FROM a) SELECT p_partkey, shape <> 'foreign' AS ok, "
+        "CASE shape WHEN 'table' THEN bytes_of_table WHEN 'overlong' THEN bytes_of_overlong WHEN 'foreign' THEN 6 + s ELSE bytes END AS byte_length, false AS suspect FROM (SELECT *, "
+        f"8 + 6 + 4 + {modules._SECTION('1 + ' + modules._BODY('316 + s'))} AS bytes_of_table, 8 + 6 + 4 + 6 + 3 + s AS bytes_of_overlong FROM b)",
     "rescored_on_evidence": modules._M + """, e AS (SELECT p_partkey, 28 * 0.5::DOUBLE + 20 * 1.0::DOUBLE + CASE WHEN hit THEN 45 * (floor(least(least(conf, 1.0) * least(0.7::DOUBLE + 0.15::DOUBLE * 2, 1.3::DOUBLE), 1.0) * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE) ELSE 0 END AS more FROM k WHERE p_partkey % 2 = 1),
         z AS (SELECT p_partkey, floor(100 * (1 - exp(-(more + coalesce(raw, 0)) / 50.0::DOUBLE)) + 0.5)::INT AS score FROM e LEFT JOIN t USING (p_partkey))
         SELECT p_partkey, score, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' WHEN score >= 10 THEN 'low' ELSE 'benign' END AS level FROM z""",

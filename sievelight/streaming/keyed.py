@@ -54,7 +54,7 @@ def drained(stream: DataFrame, target: str, checkpoint: str, then: Callable[[Dat
 
 
 def in_files(rows: DataFrame, at: str, files: int, run: Callable[[DataFrame, str, str], None]) -> DataFrame:
-    """Puts rows into a folder, one file after the other in the order of `at`, and runs a stream over it after each, from its
+    """Puts rows into a folder, one delivery after the other in the order of `at`, and runs a stream over it after each, from its
     checkpoint. Returns the table that the runs have written; `run` gets the stream, the table's folder and the checkpoint's."""
     spark = rows.sparkSession
     base = f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}"
@@ -64,7 +64,7 @@ def in_files(rows: DataFrame, at: str, files: int, run: Callable[[DataFrame, str
             break
         bound = lambda k: low + (high - low) * k // files
         part = rows if low is None else rows.filter((F.col(at) >= bound(i)) & (F.col(at) < bound(i + 1) if i < files - 1 else F.lit(True)))
-        part.coalesce(1).write.parquet(f"{base}/in/{i}")
+        part.write.parquet(f"{base}/in/{i}")
         run(spark.readStream.schema(rows.schema).parquet(f"{base}/in/*"), f"{base}/table", f"{base}/state")
     return spark.read.parquet(f"{base}/table")
 
