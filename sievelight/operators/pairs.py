@@ -169,13 +169,12 @@ def dealt(df: DataFrame, name: str, size: str, vector: str, threshold: float, r:
     counts = {x.dim: x.n for x in base.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    sample: dict[int, list] = {}
-    for row in base.orderBy(F.xxhash64("name")).select("dim", "v").limit(SAMPLE_ROWS).collect():
-        sample.setdefault(row.dim, []).append(row.v)
-    pivots = {}
-    for dim, n in counts.items():
-        unit = _units(np.array(sample.get(dim, [[1.0] * dim])))
-        pivots[dim] = farthest_first(unit, 1 if theta > WIDEST else min(MOST_PIVOTS, max(1, n // ROWS_A_PIVOT)))
+    pivots = {dim: np.eye(1, dim) for dim in counts}  # one for all, where none helps
+    if theta <= WIDEST:
+        sample: dict[int, list] = {}
+        for row in base.orderBy(F.xxhash64("name")).select("dim", "v").limit(SAMPLE_ROWS).collect():
+            sample.setdefault(row.dim, []).append(row.v)
+        pivots |= {dim: farthest_first(_units(np.array(v)), min(MOST_PIVOTS, max(1, counts[dim] // ROWS_A_PIVOT))) for dim, v in sample.items()}
     placed = written(base.mapInArrow(_placed(spark.sparkContext.broadcast(pivots)), "name string, size double, b int, dim int, pivot int, near array<double>, v binary"), "placed")
     spans = [f(F.get("near", i)).alias(f"{k}{i}") for i in range(SPANS) for f, k in ((F.min, "l"), (F.max, "h"))]
     # some dozen buckets (sizes are 64-bit numbers) times at most MOST_PIVOTS pivots
