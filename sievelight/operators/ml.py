@@ -345,7 +345,8 @@ def cross_validate(df: DataFrame, names: list[str], key: str, k: int = 5, vector
     dealt = written(folds(df, key, k, label), "folds")
     models = _descended(dealt, names, vector, label, epochs, RATE, L2, "fold", list(range(k)))
     parts = [predict(dealt.filter(F.col("fold") == f), models[f], vector).drop("contributions") for f in range(k)]
-    return reduce(DataFrame.unionByName, parts)
+    # written, as all measures of it read it again
+    return written(reduce(DataFrame.unionByName, parts), "validated")
 
 
 def verdict(f1_model: Column, f1_baseline: Column) -> Column:
