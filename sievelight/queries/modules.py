@@ -12,18 +12,19 @@ from ..plans import rules
 from ..sources.shared import written
 
 
-def _spread(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Rows of `part`, dealt over all cores: the table is one small file, but its modules are large."""
+def _spread(spark: SparkSession, sf_dir: str, *columns: str, keys: DataFrame | None = None) -> DataFrame:
+    """Rows of `part`, dealt over all cores: the table is one small file, but its modules are large. With `keys` (k) only those."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", *columns)
+    part = part if keys is None else part.join(keys, part.p_partkey == keys.k, "left_semi")
     return part.repartition(spark.sparkContext.defaultParallelism, "p_partkey")
 
 
-def part_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_modules(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
     """(hash, bytes): a module for each row."""
     @F.pandas_udf("binary")
     def encoded(rounds, shared):
         return rounds.combine(shared, lambda r, s: wasm.parametric_module(int(r), bool(s)))
-    return _spread(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("hash"),
+    return _spread(spark, sf_dir, keys=keys).select(F.col("p_partkey").cast("string").alias("hash"),
         encoded("p_size", F.col("p_partkey") % 2 == 0).alias("bytes"))
 
 

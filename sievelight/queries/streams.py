@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import modules as module_operators
 from ..operators import store
 from ..plans import rules
 from ..plans.rules import half_up
+from ..sources.shared import written
 from ..sources.tables import Stored
 from ..streaming import keyed
 from . import modules, telemetry
@@ -39,8 +41,11 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scoring of a module that new runtime evidence was worth, after each of three files, and the level before it."""
-    features = modules.features(spark, sf_dir).withColumn("k", F.col("hash").cast("long"))
-    r = keyed.rescored(reports(spark, sf_dir), features, FILES)
+    told = reports(spark, sf_dir)
+    # only modules that are reported are decoded, once for all files
+    of_reported = modules.part_modules(spark, sf_dir, told.select("k").distinct())
+    features = written(module_operators.features(module_operators.decode(of_reported)), "features").withColumn("k", F.col("hash").cast("long"))
+    r = keyed.rescored(told, features, FILES)
     return keyed.with_level_before(r, "k", "epoch").select(F.col("epoch").cast("long").alias("file"), "k", F.col("runtime.context_count").alias("contexts"),
         half_up(F.col("runtime.cpu_share"), 6).alias("cpu_share"), F.col("runtime.observed_ms").alias("observed_ms"),
         F.array_join("runtime.contexts", ",").alias("kinds"), F.col("runtime.longest_call_ms").alias("longest_call_ms"), "score", "level", "before")

@@ -225,6 +225,11 @@ def evidence(samples: DataFrame) -> DataFrame:
     return given.groupBy("k").transformWithStateInPandas(Evidence(), f"k long, {RUNTIME}", "append", "None")
 
 
+def _with_features(batch: DataFrame, features: DataFrame) -> DataFrame:
+    """Features are as many as there are modules, however small their table looks to the optimizer: a shuffle brings them together."""
+    return batch.join(features.hint("merge"), "k")
+
+
 def rescored(samples: DataFrame, features: DataFrame, files: int, with_evidence: bool = False) -> DataFrame:
     """(epoch, k, runtime, findings, score, level, ...): all rules run again, with the runtime evidence, for each fold that is
     worth it; features has `k` and the columns of module features. Modules without features are dropped."""
@@ -232,7 +237,7 @@ def rescored(samples: DataFrame, features: DataFrame, files: int, with_evidence:
     every = [*rules.module_rules(), *rules.runtime_rules()]
 
     def scored(batch: DataFrame) -> DataFrame:
-        now = batch.select("k", F.struct(*fields).alias("runtime")).join(features, "k")
+        now = _with_features(batch.select("k", F.struct(*fields).alias("runtime")), features)
         return rules.assess(now, every, with_evidence).select("k", "runtime", "findings", "score", "level", "headline")
 
     def run(stream: DataFrame, target: str, checkpoint: str) -> None:

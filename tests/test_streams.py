@@ -123,6 +123,20 @@ def test_level_moves_with_evidence(spark):
     assert rules.LEVELS.index(level[1, 1][1]) > rules.LEVELS.index(level[0, 1][1])
 
 
+def test_features_do_not_pass_the_driver(spark):
+    batch, features = spark.range(3).withColumnRenamed("id", "k").localCheckpoint(), spark.range(5).withColumnRenamed("id", "k")
+    joined = keyed._with_features(batch, features)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 3
+
+
+def test_only_reported_modules_are_decoded(spark):
+    from sievelight.queries import modules
+
+    sf = "/root/testdata/sf0.001"
+    asked = spark.createDataFrame([(4,), (7,), (10**9,)], "k long")
+    assert sorted(r.hash for r in modules.part_modules(spark, sf, asked).collect()) == ["4", "7"]
+
+
 def test_store_of_the_session_is_put_back(spark):
     before = spark.conf.get(keyed.PROVIDER)
     test_no_rows(spark)
