@@ -64,6 +64,12 @@ def sequences(decoded: DataFrame, length: int = SEQUENCE_LENGTH, most: int = SEQ
     """hash, tokens (CLS, up to four functions joined by SEP, padded) and real_tokens, of modules with functions. The kernel's
     function comes first, then larger ones, then by index; a function that doesn't fit is cut to a window that begins at its
     largest loop, moved back where the function ends before the room does. All of it is done inside the module's row."""
+    made = F.get("made", 0)
+    return sequences_of(decoded, length, most=most).select("hash", made["tokens"].alias("tokens"), made["real_tokens"].alias("real_tokens"))
+
+
+def sequences_of(decoded: DataFrame, *lengths: int, most: int = SEQUENCE_FUNCTIONS) -> DataFrame:
+    """(hash, made): for each length the tokens and real_tokens of `sequences`, from functions that are turned to tokens once."""
     ids = F.create_map(*[F.lit(x) for i, n in enumerate(VOCABULARY) for x in (n, len(SPECIAL) + i)])
     best = F.array_max(F.transform(F.filter("functions", modules.is_kernel), lambda f: F.struct(ratio(modules.cat(f, "bitwise"), f["n"]).alias("b"),
         modules.largest_loop(f).alias("l"), (-f["func_idx"]).alias("o"))))["o"]
@@ -73,17 +79,21 @@ def sequences(decoded: DataFrame, length: int = SEQUENCE_LENGTH, most: int = SEQ
     first = F.slice(F.array_sort(F.transform("functions", place), lambda x, y: _before(x, y, "a", "b", "c")), 1, most)
     # only functions that are taken are turned to tokens
     tokens = F.transform(first, lambda f: F.struct(f["head"].alias("head"), F.transform(f["l"], lambda x: F.coalesce(F.try_element_at(ids, x["name"]), F.lit(4))).alias("t")))
-    top = decoded.filter(F.size("functions") > 0).withColumn("_best", best).select("hash", tokens.alias("fs"))
+    top = decoded.filter(F.size("functions") > 0).withColumn("_best", best)
+    # one-row generators: the optimizer would copy what follows into each place that reads it
+    top = top.select(F.inline(F.array(F.struct("hash", tokens.alias("fs")))))
 
-    def add(acc: Column, f: Column) -> Column:
+    def add(acc: Column, f: Column, length: int) -> Column:
         joint = F.when(F.size(acc) > 1, 1).otherwise(0)
         room = F.lit(length) - F.size(acc) - joint
         window = F.slice(f["t"], F.greatest(F.least(f["head"], F.size(f["t"]) - room), F.lit(0)) + 1, F.greatest(room, F.lit(0)))
         return F.when(room > 0, F.concat(acc, F.when(joint == 1, F.array(F.lit(5))).otherwise(F.array().cast("array<int>")),
             F.when(F.size(f["t"]) <= room, f["t"]).otherwise(window))).otherwise(acc)
-    a = top.withColumn("real", F.aggregate("fs", F.array(F.lit(2)), add))
-    return a.select("hash", F.concat("real", F.array_repeat(F.lit(0), F.lit(length) - F.size("real"))).alias("tokens"),
-        F.size("real").cast("long").alias("real_tokens"))
+    adding = lambda n: lambda acc, f: add(acc, f, n)
+    real = [F.aggregate("fs", F.array(F.lit(2)), adding(n)).alias(f"real{i}") for i, n in enumerate(lengths)]
+    a = top.select(F.inline(F.array(F.struct("hash", *real))))
+    return a.select("hash", F.array(*[F.struct(F.concat(f"real{i}", F.array_repeat(F.lit(0), F.lit(n) - F.size(f"real{i}"))).alias("tokens"),
+        F.size(f"real{i}").cast("long").alias("real_tokens")) for i, n in enumerate(lengths)]).alias("made"))
 
 
 def _before(x: Column, y: Column, *fields: str) -> Column:

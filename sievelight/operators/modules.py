@@ -18,7 +18,7 @@ _LOOPS = "array<struct<header:bigint,end:bigint,depth:bigint,size:bigint>>"
 _FUNCTION = (
     "struct<func_idx:bigint,type_idx:bigint,locals:bigint,n:bigint,cats:array<bigint>,indirect:bigint,truncated:string,"
     f"loops:{_LOOPS},blocks:bigint,edges:bigint,back_edges:bigint,max_nesting:bigint,approximate:boolean,"
-    "listing:array<struct<name:string,operands:string>>>")
+    "listing:array<struct<name:string,operands:string,depth:int>>>")
 DECODED = (
     "hash string, ok boolean, reason string, byte_length bigint, version bigint, "
     "types array<struct<params:array<string>,results:array<string>>>, "
@@ -30,8 +30,9 @@ DECODED = (
 
 CATEGORIES = wasm.CATEGORIES
 KERNEL_LOOP, KERNEL_CALLS = 40, 0.02
-#: Decoded functions that a task holds before it passes their modules on.
-HELD_FUNCTIONS = 20_000
+#: What a task holds before it passes modules on, in listed instructions (a module or a function weighs as much as six): of
+#: modules that differ, as Python objects, and of all, as Arrow columns.
+HELD_APART, HELD = 60_000, 600_000
 
 
 def _arrow(fields: str) -> pa.Schema:
@@ -40,25 +41,44 @@ def _arrow(fields: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(fields))
 
 
-def decode(blobs: DataFrame, budget: int = wasm.MAX_INSTRUCTIONS, listings: bool = False, key: str = "hash", content: str = "bytes") -> DataFrame:
-    """(hash, bytes) to one nested row a module. Put filters on metadata before this: it is the only Python step.
-    Never fails on a bad input (ok = false and a reason). `functions` has every function within the budget, `ops` counts
-    the opcodes of them all. `listings` keeps names and operands in order."""
+def _repeated(rows: list[dict], taken: list[int], hashes: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as often and in the order as they are taken, each under a hash of its own."""
+    b = pa.RecordBatch.from_pylist(rows, schema=schema).take(pa.array(taken, pa.int32()))
+    return b.set_column(schema.get_field_index("hash"), schema.field("hash"), pa.array(hashes, pa.string()))
+
+
+def _decoding(budget: int, listings: bool):
+    """Batches of (hash, bytes) to decoded rows; of equal contents in a batch one is decoded."""
     schema = _arrow(DECODED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = []
+            place, rows, weights = {}, [], []  # of contents that differ
+            hashes, taken, held = [], [], 0
             for h, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                row = wasm.parse(data, budget, listings) | {"hash": h}
-                row["ops"] = list(row["ops"].items())
-                held.append({n: row[n] for n in schema.names})
-                if sum(len(r["functions"]) for r in held) >= HELD_FUNCTIONS:
-                    yield pa.RecordBatch.from_pylist(held, schema=schema)
-                    held = []
-            if held:
-                yield pa.RecordBatch.from_pylist(held, schema=schema)
-    return blobs.select(F.col(key).cast("string").alias("hash"), F.col(content).alias("bytes")).mapInArrow(run, DECODED)
+                if data not in place:
+                    place[data] = len(rows)
+                    row = wasm.parse(data, budget, listings) | {"hash": None}
+                    row["ops"] = list(row["ops"].items())
+                    rows.append({n: row[n] for n in schema.names})
+                    weights.append(6 + sum(6 + len(f["listing"] or ()) for f in row["functions"]))
+                hashes.append(h)
+                taken.append(place[data])
+                held += weights[place[data]]
+                if held >= HELD or (place[data] == len(rows) - 1 and sum(weights) >= HELD_APART):
+                    yield _repeated(rows, taken, hashes, schema)
+                    place, rows, weights = {}, [], []
+                    hashes, taken, held = [], [], 0
+            if taken:
+                yield _repeated(rows, taken, hashes, schema)
+    return run
+
+
+def decode(blobs: DataFrame, budget: int = wasm.MAX_INSTRUCTIONS, listings: bool = False, key: str = "hash", content: str = "bytes") -> DataFrame:
+    """(hash, bytes) to one nested row a module. Put filters on metadata before this: it is the only Python step.
+    Never fails on a bad input (ok = false and a reason). `functions` has every function within the budget, `ops` counts
+    the opcodes of them all. `listings` keeps names, operands and depths in order. Equal contents of a batch are decoded once."""
+    return blobs.select(F.col(key).cast("string").alias("hash"), F.col(content).alias("bytes")).mapInArrow(_decoding(budget, listings), DECODED)
 
 
 def category(name: Column) -> Column:
@@ -164,8 +184,8 @@ def summary(f: DataFrame) -> DataFrame:
                     F.slice("warnings", 1, 10).alias("warnings"))
 
 
-def wat_header(decoded: DataFrame) -> DataFrame:
-    """Text form of what a module declares."""
+def header_text() -> Column:
+    """Text form of what a module declares, over a decoded row."""
     text = lambda c: c.cast("string")
     bounds = lambda m: F.concat(text(m["min"]), F.coalesce(F.concat(F.lit(" "), text(m["max"])), F.lit("")), F.when(m["shared"], " shared").otherwise(""))
     words = lambda what, xs: F.when(F.size(xs) > 0, F.concat(F.lit(f"({what} "), F.array_join(xs, " "), F.lit(")"))).otherwise("")
@@ -188,24 +208,33 @@ def wat_header(decoded: DataFrame) -> DataFrame:
             F.array(F.concat(F.lit("  (start $f"), text(F.col("start")), F.lit(")")))).otherwise(F.array().cast("array<string>")),
         F.array(F.concat(F.lit("  ;; "), text(F.col("function_count")), F.lit(" function bodies, "), text(F.col("data_segments")),
             F.lit(" data segments"))), F.array(F.lit(")")))
-    return decoded.filter("ok").select("hash", F.array_join(lines, "\n").alias("wat"))
+    return F.array_join(lines, "\n")
+
+
+def wat_header(decoded: DataFrame) -> DataFrame:
+    return decoded.filter("ok").select("hash", header_text().alias("wat"))
+
+
+def _line(op: Column) -> Column:
+    """Indented text of an instruction."""
+    return F.concat(F.repeat(F.lit("  "), op["depth"]), op["name"], F.when(op["operands"] != "", F.concat(F.lit(" "), op["operands"])).otherwise(""))
 
 
 def instructions(decoded: DataFrame) -> DataFrame:
     """On demand: one row an instruction with its depth and its indented text (decode with listings=True)."""
     a = decoded.select("hash", F.explode("functions").alias("f")).select("hash", "f.func_idx", F.posexplode("f.listing").alias("pos", "op"))
-    a = a.select("hash", "func_idx", "pos", "op.name", "op.operands")
-    step = F.when(F.col("name").isin("block", "loop", "if"), 1).when(F.col("name") == "end", -1).otherwise(0)
-    before = F.coalesce(F.sum(step).over(Window.partitionBy("hash", "func_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    a = a.withColumn("depth", F.greatest(before - F.col("name").isin("end", "else").cast("int"), F.lit(0)))
-    return a.withColumn("wat", F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), "name",
-        F.when(F.col("operands") != "", F.concat(F.lit(" "), "operands")).otherwise("")))
+    return a.select("hash", "func_idx", "pos", "op.name", "op.operands", F.col("op.depth").cast("long").alias("depth"), _line(F.col("op")).alias("wat"))
+
+
+def body_text(f: Column) -> Column:
+    """The indented text of a function, built inside its module's row."""
+    return F.array_join(F.transform(f["listing"], _line), "\n")
 
 
 def wat_bodies(decoded: DataFrame) -> DataFrame:
     """(hash, func_idx, wat): the indented text of each function."""
-    a = instructions(decoded).groupBy("hash", "func_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "wat"))).alias("lines"))
-    return a.select("hash", "func_idx", F.array_join(F.transform("lines", lambda x: x["wat"]), "\n").alias("wat"))
+    a = decoded.select("hash", F.explode("functions").alias("f")).filter(F.size("f.listing") > 0)
+    return a.select("hash", "f.func_idx", body_text(F.col("f")).alias("wat"))
 
 
 def ascii_runs(content: Column, least: int = 5, clip: int = 200) -> Column:

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 from ..functions import wasm
 from ..operators import ml, modules
 from ..plans import rules
-from ..sources.shared import written
+
+
+ROWS_A_TASK = 20_000
 
 
 def _spread(spark: SparkSession, sf_dir: str, *columns: str, keys: DataFrame | None = None) -> DataFrame:
-    """Rows of `part`, dealt over all cores: the table is one small file, but its modules are large. With `keys` (k) only those."""
+    """Rows of `part`, dealt over all cores: the table is one small file, but its modules are large. A part of the rows is some
+    ROWS_A_TASK at most, however many there are. With `keys` (k) only those."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", *columns)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-part.count() // ROWS_A_TASK))
     part = part if keys is None else part.join(keys, part.p_partkey == keys.k, "left_semi")
-    return part.repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    return part.repartition(tasks, "p_partkey")
 
 
 def part_modules(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
@@ -82,7 +86,8 @@ def module_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opcode_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modules.opcode_histogram(decoded(spark, sf_dir)).groupBy("name", "category").agg(F.sum("n").alias("n"), F.count("*").alias("modules"))
+    a = modules.opcode_histogram(decoded(spark, sf_dir)).groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("modules"))
+    return a.select("name", modules.category(F.col("name")).alias("category"), "n", "modules")  # of names, not of modules' names
 
 
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,11 +129,9 @@ def module_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = ml.vectorise(features(spark, sf_dir))
-    z = v.select(F.col("hash").cast("long").alias("p_partkey"), F.posexplode("vector").alias("i", "v"))
-    return z.groupBy("p_partkey").agg(F.count("*").alias("columns"), rules.half_up(F.max(F.when(F.col("i") == 1, F.col("v"))),
-        6).alias("log_instructions"), rules.half_up(F.max(F.when(F.col("i") == 6, F.col("v"))), 6).alias("bitwise_ratio"),
-                                      rules.half_up(F.max(F.when(F.col("i") == 35 + 5, F.col("v"))), 6).alias("xor_share"),
-                                      rules.half_up(F.max(F.when(F.col("i") == 29, F.col("v"))), 6).alias("coverage"))
+    at = lambda i: rules.half_up(F.get("vector", i), 6)
+    return v.select(F.col("hash").cast("long").alias("p_partkey"), F.size("vector").cast("long").alias("columns"), at(1).alias("log_instructions"),
+        at(6).alias("bitwise_ratio"), at(35 + 5).alias("xor_share"), at(29).alias("coverage"))
 
 
 def opcode_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,11 +143,12 @@ def opcode_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shape_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tokens of modules of several functions, in full and where only 40 have room."""
-    d = written(modules.decode(shaped_modules(spark, sf_dir, "nested", "kernels", "many"), listings=True), "decoded")
+    d = modules.decode(shaped_modules(spark, sf_dir, "nested", "kernels", "many"), listings=True)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
-    whole = ml.sequences(d).select("hash", text("tokens").alias("tokens"), "real_tokens")
-    short = ml.sequences(d, 40).select("hash", text("tokens").alias("short"))
-    return whole.join(short, "hash").select(F.col("hash").cast("long").alias("p_partkey"), "tokens", "real_tokens", "short")
+    both = ml.sequences_of(d, ml.SEQUENCE_LENGTH, 40)
+    whole, short = F.get("made", 0), F.get("made", 1)
+    return both.select(F.col("hash").cast("long").alias("p_partkey"), text(whole["tokens"]).alias("tokens"), whole["real_tokens"].alias("real_tokens"),
+        text(short["tokens"]).alias("short"))
 
 
 def shape_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,8 +184,9 @@ def stored_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shape_wat(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = modules.decode(shaped_modules(spark, sf_dir, "declared", "nested"), listings=True)
-    bodies = modules.wat_bodies(d).filter("func_idx = 0").select("hash", F.col("wat").alias("body"))
-    return modules.wat_header(d).join(bodies, "hash").select(F.col("hash").cast("long").alias("p_partkey"), F.col("wat").alias("header"), "body")
+    first = F.get(F.filter("functions", lambda f: f["func_idx"] == 0), 0)
+    a = d.filter("ok").select("hash", modules.header_text().alias("header"), first.alias("f")).filter(F.size("f.listing") > 0)
+    return a.select(F.col("hash").cast("long").alias("p_partkey"), "header", modules.body_text(F.col("f")).alias("body"))
 
 
 def shape_budget(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -254,3 +255,53 @@ def test_query_against_sql(spark, con, name):
 @pytest.mark.parametrize("name", [n for n in REFERENCE if n not in entry.oracle_sql()])
 def test_query_without_sql(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
+
+
+def test_equal_contents_are_decoded_once(spark, monkeypatch):
+    seen, parse = [], wasm.parse
+    monkeypatch.setattr(wasm, "parse", lambda data, *more: seen.append(data) or parse(data, *more))
+    a, b = wasm.parametric_module(3, False), wasm.parametric_module(50, True)
+    data = [a, None, b, a, b"x", b, a, None]
+    batch = pa.RecordBatch.from_pydict({"hash": pa.array([str(i) for i in range(8)]), "bytes": pa.array(data, pa.binary())})
+    got = [r for out in modules._decoding(10**6, True)([batch]) for r in out.to_pylist()]
+    assert seen == [a, None, b, b"x"] and [r["hash"] for r in got] == [str(i) for i in range(8)]
+    assert [len(r["functions"]) for r in got] == [1, 0, 1, 1, 0, 1, 1, 0] and got[2]["functions"] == got[5]["functions"] and got[0]["ops"] == got[6]["ops"]
+    # what a task holds is bounded, in modules that differ and in all
+    monkeypatch.setattr(modules, "HELD", 300)
+    assert [out.num_rows for out in modules._decoding(10**6, True)([batch])] == [3, 3, 2]
+    monkeypatch.setattr(modules, "HELD", 10**6)
+    monkeypatch.setattr(modules, "HELD_APART", 100)
+    assert max(out.num_rows for out in modules._decoding(10**6, True)([batch])) < 8
+
+
+def test_depths_and_bodies_need_no_shuffle(spark):
+    blobs = spark.createDataFrame([("a", bytearray(wasm.shaped_module(0, 2))), ("b", bytearray(b"<html>"))], "hash string, bytes binary")
+    d = modules.decode(blobs, listings=True)
+    for df in (modules.instructions(d), modules.wat_bodies(d)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+    rows = sorted(modules.instructions(d).filter("func_idx = 0").collect(), key=lambda r: r.pos)
+    assert [(r.name, r.depth) for r in rows] == [("block", 0), ("loop", 1), ("local.get", 2), ("local.get", 2), ("if", 2), ("br", 3), ("else", 2), ("br_if", 3), ("end", 2), ("end", 1),
+        ("end", 0), ("local.get", 0), ("if", 0), ("nop", 1), ("end", 0), ("end", 0)]
+    body = {r.func_idx: r.wat for r in modules.wat_bodies(d).collect()}
+    assert body[1] == "end" and body[0].split("\n")[:3] == ["block 64", "  loop 64", "    local.get 0"]
+
+
+def test_tasks_grow_with_the_table(spark, monkeypatch):
+    from sievelight.queries import modules
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    monkeypatch.setattr(modules, "ROWS_A_TASK", 10)
+    assert modules._spread(spark, sf).rdd.getNumPartitions() == -(-n // 10) > spark.sparkContext.defaultParallelism
+
+
+def test_sequences_of_two_lengths_decode_once(spark):
+    from sievelight.queries import modules as queries
+
+    plan = queries.shape_sequences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    d = modules.decode(queries.shaped_modules(spark, "/root/testdata/sf0.001", "kernels"), listings=True)
+    both = {r.hash: r.made for r in ml.sequences_of(d, 64, 40).collect()}
+    for i, n in enumerate((64, 40)):
+        assert {r.hash: r.tokens for r in ml.sequences(d, n).collect()} == {h: made[i].tokens for h, made in both.items()}
