@@ -1,7 +1,7 @@
 """Near copies for the pipeline: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
 SimHash fingerprints cannot find these: at a similarity of 0.8 some 10 of 64 bits differ, and no partition of the bits
-that a probe can afford finds pairs so far apart. Candidates therefore share all five MinHash values of one of 26 bands. At
+that a probe can afford finds pairs so far apart. Beside what fingerprints link, candidates therefore share all five MinHash values of one of 26 bands. At
 a similarity of exactly 0.8 a pair is missed with probability (1 - 0.8^5)^26 = 0.00003, above it less often; the hashes
 are fixed, so reruns agree. What may be alike is brought together by components of the candidates, and every link is
 verified on the whole sets.
@@ -9,7 +9,7 @@ verified on the whole sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,17 +114,24 @@ def key_of(text: Column) -> Column:
     return F.md5(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(key, root): each distinct text that has near copies, with what names its component."""
+def _band_links(made: DataFrame) -> DataFrame:
+    """(a, b): ids that join all texts that share a band."""
+    banded = made.select("id", F.explode("bands").alias("band"))
+    heads = banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").drop("last")
+    return banded.join(heads, "band").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+
+
+def classes(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(key, root): each distinct text that has near copies, with what names its component. `candidates` makes more links (a, b) of
+    (key, id); all are verified."""
     small_batches(docs.sparkSession)
     texts = docs.select(key_of(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     made = texts.mapInArrow(_banded, "key string, n long, bands array<long>").withColumn("id", F.monotonically_increasing_id())
     # equal texts are one from here on, and go by a number
     made = spill(made, "copies-bands").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     made = spill(made, "copies-distinct")
-    banded = made.select("id", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").drop("last")
-    near = components(banded.join(heads, "band").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    met = _band_links(made)
+    near = components(met if candidates is None else met.unionByName(candidates(made.select("key", "id"))))
     member = spill(near.join(made, near.node == made.id).select("key", "id", "root", "n"), "copies-candidates")
     cut = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("g"))
     # any two blocks of a set of candidates meet, and with them all their texts

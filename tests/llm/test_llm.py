@@ -623,3 +623,15 @@ def test_pipeline_on_awkward_and_empty_tables(spark, awkward, empty):
             docs = corpus_pipeline.spill(stage(spark, docs, SF), "test")
             assert docs.columns == df.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_fingerprints_find_copies_of_the_pipeline(spark, monkeypatch):
+    """Without any band, near copies are found by their fingerprints, and checked on their shingles."""
+    monkeypatch.setattr(copies, "_band_links", lambda made: made.select(made.id.alias("a"), made.id.alias("b")).limit(0))
+    run = [f"w{i}" for i in range(3000)]
+    ends = ["a b c d e " * 100 + " ".join(f"{c}{i}" for i in range(8)) for c in "xy"]  # one fingerprint, few shingles in common
+    texts = [" ".join(run), " ".join([*run[:-1], "other"]), *ends, None, " "]
+    apart = lambda a, b: (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+    assert apart(*texts[:2]) <= simhash.MAX_DIFFERENCE and apart(*ends) <= simhash.MAX_DIFFERENCE
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4]
