@@ -14,14 +14,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
 COSINE, SIZE_RATIO = 0.999, 3.0
-#: Rows of a block of vectors, and of one product.
-BLOCK_ROWS, ROWS_AT_ONCE = 2_048, 512
+#: All rows of a length make so many blocks, so a row is sent to as many at most and what is sent grows with the table, until blocks
+#: come to BLOCK_BYTES of vectors, which two of a task must leave room for. Small tables have fewer blocks.
+BLOCKS, LEAST_ROWS, BLOCK_BYTES = 12, 512, 16 << 20
+#: Rows of both sides of one product.
+ROWS_AT_ONCE, PARTNERS_AT_ONCE = 512, 4_096
 #: Pivots are chosen from so many rows, a pivot for so many rows of all, and not more than so many.
 SAMPLE_ROWS, ROWS_A_PIVOT, MOST_PIVOTS = 4_096, 32, 256
 #: Angles to so many pivots sum up a cell. Farther than this angle no pivot helps.
@@ -88,6 +92,11 @@ def _windows(low: np.ndarray, high: np.ndarray, sizes: np.ndarray, r: float) ->
     return ((b >= low / r) & (a < high * r + 1)) | ((high >= a / r) & (low < b * r + 1))
 
 
+def block_rows(rows: int, dim: int) -> int:
+    """Rows of a block, for a table of so many rows of one length."""
+    return max(min(LEAST_ROWS, max(1, BLOCK_BYTES // (8 * dim))), min(-(-rows // BLOCKS), BLOCK_BYTES // (8 * dim)))
+
+
 def _planned(rows: list, pivots: np.ndarray, block: int, theta: float, r: float) -> Cells:
     """Which cells can hold a pair with which."""
     spans = np.array([[(getattr(x, f"l{i}"), getattr(x, f"h{i}")) for i in range(SPANS)] for x in rows])
@@ -132,34 +141,49 @@ def _dealt(plans, theta: float, r: float):
     return run, "dim int, ca int, cb int, i int, j int, part int, name string, size double, v binary"
 
 
+def linked(size: np.ndarray, unit: np.ndarray, sizes: np.ndarray, units: np.ndarray, threshold: float, r: float) -> np.ndarray:
+    """Whether each row of the first side, which opens the window, and each of the second are a pair."""
+    near = cosines(unit, units)
+    return (near >= threshold) & (sizes >= size[:, None] / r) & (sizes < size[:, None] * r + 1)
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    near = x @ y.T
+    near[np.ix_(~x.any(axis=1), ~y.any(axis=1))] = 1.0
+    return near
+
+
 def _products(threshold: float, r: float):
-    """Pairs of two blocks, or of a block with itself: products of unit vectors, then the size window."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of two blocks, or of a block with itself: products of unit vectors, then the size window. A task holds two blocks and the
+    pairs of one product."""
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
         with_itself = key[1] == key[2] and key[3] == key[4]
-        x = np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(len(pdf), -1)
-        name, size, part = pdf["name"].to_numpy(), pdf["size"].to_numpy(float), pdf["part"].to_numpy()
-        zero = ~x.any(axis=1)
+        x = np.frombuffer(b"".join(rows["v"].to_pylist()), np.float64).reshape(len(rows), -1)
+        name, size, part = rows["name"].combine_chunks(), rows["size"].to_numpy(), rows["part"].to_numpy()
+        rank = pc.rank(name, tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)  # in the order of their bytes
         here = np.flatnonzero(part == 0)
         there = here if with_itself else np.flatnonzero(part == 1)
-        out = [pd.DataFrame({"a": [], "c": [], "cosine": []}).astype({"a": str, "c": str, "cosine": float})]
-        for f in range(0, len(here) if len(there) else 0, ROWS_AT_ONCE):
+        for f in range(0, len(here), ROWS_AT_ONCE):
             at = here[f:f + ROWS_AT_ONCE]
-            near = x[at] @ x[there].T
-            near[np.ix_(zero[at], zero[there])] = 1.0
-            i, j = np.nonzero(near >= threshold)
-            score, i, j = near[i, j], at[i], there[j]
-            # the smaller name's size opens the window; in a block met with itself each pair is seen from both sides
-            first = name[i] < name[j]
-            once = first if with_itself else name[i] != name[j]
-            a, c = np.where(first, i, j), np.where(first, j, i)
-            keep = once & (size[c] >= size[a] / r) & (size[c] < size[a] * r + 1)
-            out.append(pd.DataFrame({"a": name[a[keep]], "c": name[c[keep]], "cosine": score[keep]}))
-        return pd.concat(out)
+            # in a block met with itself whoever stands before has been met
+            for g in range(f if with_itself else 0, len(there), PARTNERS_AT_ONCE):
+                to = there[g:g + PARTNERS_AT_ONCE]
+                near = cosines(x[at], x[to])
+                i, j = np.nonzero(near >= threshold)
+                score, i, j = near[i, j], at[i], to[j]
+                # the smaller name's size opens the window
+                first = rank[i] < rank[j]
+                a, c = np.where(first, i, j), np.where(first, j, i)
+                keep = (rank[i] != rank[j]) & (size[c] >= size[a] / r) & (size[c] < size[a] * r + 1)
+                keep &= (i < j) if with_itself else True
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([name.take(pa.array(a[keep])), name.take(pa.array(c[keep])), pa.array(score[keep])], ["a", "c", "cosine"])
     return run
 
 
-def dealt(df: DataFrame, name: str, size: str, vector: str, threshold: float, r: float, block: int) -> DataFrame | None:
-    """Rows of the blocks that are to be multiplied (None: no rows)."""
+def dealt(df: DataFrame, name: str, size: str, vector: str, threshold: float, r: float, block: int | None) -> DataFrame | None:
+    """Rows of the blocks that are to be multiplied (None: no rows). Blocks of `block` rows (None: `block_rows`)."""
     spark = df.sparkSession
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     bucket = F.floor(F.log(F.greatest(F.col(size), F.lit(1)).cast("double")) / math.log(r)).cast("int")
@@ -181,16 +205,16 @@ def dealt(df: DataFrame, name: str, size: str, vector: str, threshold: float, r:
     cells: dict[int, list] = {}
     for row in placed.groupBy("dim", "b", "pivot").agg(F.count("*").alias("n"), F.min("size").alias("small"), F.max("size").alias("large"), *spans).orderBy("dim", "b", "pivot").collect():
         cells.setdefault(row.dim, []).append(row)
-    plans = spark.sparkContext.broadcast({dim: _planned(rows, pivots[dim], block, theta, r) for dim, rows in cells.items()})
+    plans = spark.sparkContext.broadcast({dim: _planned(rows, pivots[dim], block or block_rows(counts[dim], dim), theta, r) for dim, rows in cells.items()})
     run, ddl = _dealt(plans, theta, r)
     return placed.select("name", "size", "b", "dim", "pivot", "v", F.xxhash64("name").alias("tie")).mapInArrow(run, ddl)
 
 
-def similar_pairs(df: DataFrame, name: str, size: str, vector: str, threshold: float = COSINE, r: float = SIZE_RATIO, block: int = BLOCK_ROWS) -> DataFrame:
+def similar_pairs(df: DataFrame, name: str, size: str, vector: str, threshold: float = COSINE, r: float = SIZE_RATIO, block: int | None = None) -> DataFrame:
     """(a, c, cosine): pairs within the size window at or above the threshold, a the smaller name. Two zero vectors have cosine 1, one
-    of them 0. Vectors of another length, empty ones or ones that hold nulls are like none. Cells are cut into blocks of about `block` rows, so a
-    task multiplies two blocks of bounded size, whatever a cell holds."""
+    of them 0. Vectors of another length, empty ones or ones that hold nulls are like none. Cells are cut into blocks of about `block` rows
+    (None: `block_rows`), so a task multiplies two blocks of bounded size, whatever a cell holds."""
     cells = dealt(df, name, size, vector, threshold, r, block)
     if cells is None:
         return df.sparkSession.createDataFrame([], "a string, c string, cosine double")
-    return cells.groupBy("dim", "ca", "cb", "i", "j").applyInPandas(lambda key, pdf: _products(threshold, r)(key, pdf), "a string, c string, cosine double")
+    return cells.groupBy("dim", "ca", "cb", "i", "j").applyInArrow(_products(threshold, r), "a string, c string, cosine double")

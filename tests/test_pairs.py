@@ -104,3 +104,13 @@ def test_components(spark):
         root[high] = low
     got = {r.n: r.root for r in graphs.components(spark.createDataFrame(links, "n string, m string")).collect()}
     assert got == {n: find(n) for n in {n for x in links if x[0] != x[1] for n in x}}
+
+
+def test_what_blocks_are_sent_grows_with_the_table(spark):
+    rng = np.random.default_rng(7)
+    sent = []
+    for n in (7_000, 28_000):
+        df = spark.createDataFrame([(f"n{i:05d}", v.tolist()) for i, v in enumerate(rng.normal(size=(n, 4)))], "name string, v array<double>").withColumn("size", F.lit(9))
+        sent.append(pairs.dealt(df, "name", "size", "v", 0.35, 3.0, None).count() / n)
+    assert max(sent) <= pairs.BLOCKS and sent[1] <= sent[0] * 1.01
+    assert pairs.block_rows(10**7, 64) == 32_768 and pairs.block_rows(10**7, 10**8) == 1 and pairs.block_rows(5, 64) == 512
