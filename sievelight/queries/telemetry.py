@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, graphs, ingest, pairs, reports, runtime, store
+from ..operators import corpus, ingest, pairs, reports, runtime, stars, store
 from ..plans import rules
 from ..plans.rules import half_up
 
@@ -264,8 +264,7 @@ def tight_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    return corpus.keep_first(graphs.star_clusters(v, pairs.similar_pairs(v, "name", "size", "embedding", 0.35), "name"), "name")
+    return corpus.keep_first(stars.similar_stars(vectors(spark, sf_dir), "name", "size", "embedding", 0.35), "name")
 
 
 def sighting_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

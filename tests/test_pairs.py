@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievelight.operators import graphs, pairs
+from sievelight.operators import graphs, pairs, stars
 
 
 def _plain(name, size, x, threshold, r):
@@ -106,6 +106,35 @@ def test_components(spark):
     assert got == {n: find(n) for n in {n for x in links if x[0] != x[1] for n in x}}
 
 
+@pytest.mark.parametrize("threshold, stretch", [(-0.2, 16), (0.35, 16), (0.35, 100), (0.75, 16), (0.97, 16), (0.97, 40), (0.35, 4_096)])
+def test_stars_of_vectors_are_those_of_their_pairs(spark, threshold, stretch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(12, 8))[rng.integers(12, size=400)] + rng.normal(size=(400, 8)) * rng.choice([0.0, 0.05, 0.3, 2.0], 400)[:, None]
+    x[7] = x[8] = x[9] = 0
+    size = np.exp(rng.normal(size=400) * 2 + 5).astype(int) + 1
+    name = [f"n{i:04d}" for i in rng.permutation(400)]
+    odd = spark.createDataFrame([("m", 9, None), ("o", 9, []), ("p", 9, [1.0, None]), ("q", 9, [1.0, 2.0]), ("n0000x", 10, [2.0, 4.0])], "name string, size long, v array<double>")
+    df = _frame(spark, name, size, x).unionByName(odd)
+    got = [(r.name, r.seed) for r in stars.similar_stars(df, "name", "size", "v", threshold, stretch=stretch).collect()]
+    links = _plain(name, size, x, threshold, 3.0) | {("n0000x", "q")}
+    assert len(got) == len(dict(got)) and dict(got) == _greedy([*name, "m", "o", "p", "q", "n0000x"], links)
+
+
+def test_stars_of_repeated_names_and_of_nothing(spark):
+    df = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("b", 1, [1.0, 0.0]), ("c", 1, [0.0, 1.0])], "name string, size long, v array<double>")
+    assert {(r.name, r.seed) for r in stars.similar_stars(df, "name", "size", "v").collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+    assert stars.similar_stars(df.limit(0), "name", "size", "v").count() == 0
+
+
+def test_dense_stars_list_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "similar_pairs", lambda *a, **k: pytest.fail("pairs were listed"))
+    rng = np.random.default_rng(3)
+    name = [f"n{i:04d}" for i in range(1_500)]
+    x = rng.normal(size=(1_500, 8))
+    got = stars.similar_stars(_frame(spark, name, np.full(1_500, 9), x), "name", "size", "v", 0.35, stretch=128)
+    assert {r.name: r.seed for r in got.collect()} == _greedy(name, _plain(name, np.full(1_500, 9), x, 0.35, 3.0))
+
+
 def test_what_blocks_are_sent_grows_with_the_table(spark):
     rng = np.random.default_rng(7)
     sent = []
