@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -55,10 +55,13 @@ def snapshot(df: DataFrame, *times: str) -> DataFrame:
     return df.withColumns({c: F.floor(F.col(c) + F.lit(0.5)) for c in times})
 
 
-def rescored(now: DataFrame, before: DataFrame, assessed: DataFrame, rule_set: list, key: str = "hash") -> DataFrame:
-    """Runs all rules again for the keys that the gate lets through, and no others."""
+def rescored(now: DataFrame, before: DataFrame, assessed: DataFrame | Callable[[DataFrame], DataFrame], rule_set: list, key: str = "hash",
+        with_evidence: bool = True) -> DataFrame:
+    """Runs all rules again for the keys that the gate lets through, and no others. A function is given these keys and makes their
+    rows, so that no other module need be decoded."""
     changed = runtime.worth_rescoring(now, before, key).filter("rescore").select(key)
-    return rules.assess(assessed.join(changed, key, "left_semi"), rule_set)
+    rows = assessed(changed) if callable(assessed) else assessed.join(changed, key, "left_semi")
+    return rules.assess(rows, rule_set, with_evidence)
 
 
 def evidence(assessed: DataFrame, signatures: DataFrame) -> DataFrame:

@@ -68,29 +68,27 @@ def cleared_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(together(store.clear_all(stores), "after_all"), "store")
 
 
-def _seen_running(spark: SparkSession, sf_dir: str):
-    """Features of modules, with `odd`, and what is seen of one that runs in two contexts for most of the time."""
-    f = modules.features(spark, sf_dir).withColumn("odd", F.col("hash").cast("long") % 2)
+def _running():
+    """What is seen of a module that runs in two contexts for most of the time."""
     zero = F.lit(0).cast("long")
-    runtime = F.struct(F.lit(30_000).cast("long").alias("observed_ms"), F.lit(1.25).alias("cpu_share"), F.lit(2).cast("long").alias("context_count"),
+    return F.struct(F.lit(30_000).cast("long").alias("observed_ms"), F.lit(1.25).alias("cpu_share"), F.lit(2).cast("long").alias("context_count"),
         F.array(F.lit("page"), F.lit("worker")).alias("contexts"), F.lit(300.0).alias("mean_drift_ms"), zero.alias("socket_count"), zero.alias("socket_messages"),
         F.lit(37_500).cast("long").alias("wasm_time_ms"), F.lit(2).cast("long").alias("hardware_concurrency"), F.lit(False).alias("timing_stopped"))
-    return f, runtime
 
 
 def rescored_on_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second module has come to run, nearly flat out and in two contexts; all rules are run again for these."""
-    f, runtime = _seen_running(spark, sf_dir)
-    fold = lambda n: f.select("hash", n.alias("context_count"), F.lit(1.25).alias("cpu_share"), F.lit(30_000).cast("long").alias("observed_ms"))
-    now, before, seen = fold(1 + F.col("odd")), fold(F.lit(1)), f.withColumn("runtime", runtime)
-    a = intake.rescored(now, before, seen, [*rules.module_rules(), *rules.runtime_rules()])
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    fold = lambda n: part.select(F.col("p_partkey").cast("string").alias("hash"), n.alias("context_count"), F.lit(1.25).alias("cpu_share"), F.lit(30_000).cast("long").alias("observed_ms"))
+    seen = lambda changed: modules.features_of(spark, sf_dir, changed).withColumn("runtime", _running())
+    a = intake.rescored(fold(1 + F.col("p_partkey") % 2), fold(F.lit(1)), seen, [*rules.module_rules(), *rules.runtime_rules()], with_evidence=False)
     return a.select(F.col("hash").cast("long").alias("p_partkey"), "score", "level")
 
 
 def layers_of_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of each layer, where every second module ran nearly flat out and a model has its opinion of each."""
-    f, runtime = _seen_running(spark, sf_dir)
-    seen = f.withColumn("runtime", F.when(F.col("odd") == 1, runtime)).withColumn("probability", (F.col("hash").cast("long") % 101) / F.lit(100.0))
+    odd = F.col("hash").cast("long") % 2 == 1
+    seen = modules.features(spark, sf_dir).withColumn("runtime", F.when(odd, _running())).withColumn("probability", (F.col("hash").cast("long") % 101) / F.lit(100.0))
     a = rules.by_layer(rules.assess(seen, [*rules.module_rules(), *rules.runtime_rules(), *rules.model_rules()]))
     return a.select(F.col("hash").cast("long").alias("p_partkey"), F.col("static").alias("static_findings"), F.col("runtime").alias("runtime_findings"),
         F.col("model").alias("model_findings"))

@@ -32,8 +32,8 @@ def part_modules(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None
         encoded("p_size", F.col("p_partkey") % 2 == 0).alias("bytes"))
 
 
-def decoded(spark: SparkSession, sf_dir: str, listings: bool = False) -> DataFrame:
-    return modules.decode(part_modules(spark, sf_dir), listings=listings)
+def decoded(spark: SparkSession, sf_dir: str, listings: bool = False, keys: DataFrame | None = None) -> DataFrame:
+    return modules.decode(part_modules(spark, sf_dir, keys), listings=listings)
 
 
 def shaped_modules(spark: SparkSession, sf_dir: str, *shapes: str) -> DataFrame:
@@ -47,8 +47,13 @@ def shaped_modules(spark: SparkSession, sf_dir: str, *shapes: str) -> DataFrame:
     return a.select(F.col("p_partkey").cast("string").alias("hash"), encoded("shape", "p_size").alias("bytes"))
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modules.features(decoded(spark, sf_dir))
+def features(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
+    return modules.features(decoded(spark, sf_dir, keys=keys))
+
+
+def features_of(spark: SparkSession, sf_dir: str, changed: DataFrame) -> DataFrame:
+    """Features of the modules of some hashes; no others are decoded."""
+    return features(spark, sf_dir, changed.select(F.col("hash").cast("long").alias("k")))
 
 
 def assessed(spark: SparkSession, sf_dir: str, with_evidence: bool = False) -> DataFrame:

@@ -305,3 +305,11 @@ def test_sequences_of_two_lengths_decode_once(spark):
     both = {r.hash: r.made for r in ml.sequences_of(d, 64, 40).collect()}
     for i, n in enumerate((64, 40)):
         assert {r.hash: r.tokens for r in ml.sequences(d, n).collect()} == {h: made[i].tokens for h, made in both.items()}
+
+
+@pytest.mark.parametrize("query", ["rescored_on_evidence"])
+def test_only_what_is_scored_again_is_decoded(spark, query):
+    from sievelight import queries
+
+    plan = queries.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.index("MapInArrow") < plan.index("LeftSemi")
