@@ -166,9 +166,9 @@ def runtime_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rescored_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second module has come to run in another context."""
-    f = modules.features(spark, sf_dir)
+    f = lambda changed: modules.features_of(spark, sf_dir, changed)
     at = lambda n: spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("hash"), n.alias("context_count"), F.lit(0.5).alias("cpu_share"), F.lit(30_000).alias("observed_ms"))
-    a = intake.rescored(at(1 + F.col("p_partkey") % 2), at(F.lit(1)), f, rules.module_rules())
+    a = intake.rescored(at(1 + F.col("p_partkey") % 2), at(F.lit(1)), f, rules.module_rules(), with_evidence=False)
     return a.select(F.col("hash").cast("long").alias("p_partkey"), "score")
 
 

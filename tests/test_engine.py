@@ -307,7 +307,7 @@ def test_sequences_of_two_lengths_decode_once(spark):
         assert {r.hash: r.tokens for r in ml.sequences(d, n).collect()} == {h: made[i].tokens for h, made in both.items()}
 
 
-@pytest.mark.parametrize("query", ["rescored_on_evidence"])
+@pytest.mark.parametrize("query", ["rescored_on_evidence", "rescored_modules"])
 def test_only_what_is_scored_again_is_decoded(spark, query):
     from sievelight import queries
 
