@@ -313,3 +313,8 @@ def test_only_what_is_scored_again_is_decoded(spark, query):
 
     plan = queries.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.index("MapInArrow") < plan.index("LeftSemi")
+
+
+def test_equal_modules_are_made_once():
+    assert wasm.parametric_module(7, True) is wasm.parametric_module(7, True) != wasm.parametric_module(7, False)
+    assert wasm.shaped_module(7, 3) is wasm.shaped_module(7, 3) != wasm.shaped_module(7, 4)
